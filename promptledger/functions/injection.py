@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptledger.functions.once import evaluate_once
 from promptledger.functions.spans import match_spans
 from promptledger.functions.threats import threat_name, threat_order
 
@@ -132,7 +133,7 @@ def max_threat(matches: Column) -> Column:
 
 
 def _with_verdict(df: DataFrame, matches: Column) -> DataFrame:
-    out = df.withColumn("matches", F.coalesce(matches, F.array().cast(MATCH_ARRAY)))
+    out = evaluate_once(df, "matches", F.coalesce(matches, F.array().cast(MATCH_ARRAY)))
     return out.withColumn("threat_level", max_threat(F.col("matches"))).withColumn("match_count", F.size("matches"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptledger.functions.once import evaluate_once
 from promptledger.functions.spans import match_spans
 
 # Type names and patterns, in priority order. (?U) makes \b, \d and \s follow Unicode.
@@ -85,9 +86,9 @@ def scan_pii(df: DataFrame, text: str, max_input_length: int | None = None) -> D
     """Add ``detections`` and ``truncated``. Whole texts are scanned unless a length is asked for."""
     source = F.col(text)
     if max_input_length is None:
-        return df.withColumn("detections", detections(source)).withColumn("truncated", F.lit(False))
+        return evaluate_once(df, "detections", detections(source)).withColumn("truncated", F.lit(False))
     window = F.substring(source, 1, max_input_length)
-    return df.withColumn("detections", detections(window)).withColumn(
+    return evaluate_once(df, "detections", detections(window)).withColumn(
         "truncated", F.coalesce(F.length(source) > max_input_length, F.lit(False))
     )
 
@@ -106,7 +107,8 @@ def summary(found: Column) -> tuple[Column, Column, Column]:
 
 def scan_message_array(df: DataFrame, messages: str = "messages", scrub: bool = False) -> DataFrame:
     """Add ``message_detections`` (one array per message); with ``scrub`` replace the contents."""
-    out = df.withColumn(
+    out = evaluate_once(
+        df,
         "message_detections",
         F.transform(F.col(messages), lambda m: F.coalesce(detections(m["content"]), F.array().cast(DETECTION_ARRAY))),
     )
@@ -129,7 +131,7 @@ def scan_parts(df: DataFrame, parts: str, scrub: bool = False) -> DataFrame:
     def found(p: Column) -> Column:
         return F.when(p["type"] == "text", detections(p["text"])).otherwise(F.array().cast(DETECTION_ARRAY))
 
-    out = df.withColumn("part_detections", F.transform(F.col(parts), found))
+    out = evaluate_once(df, "part_detections", F.transform(F.col(parts), found))
     if scrub:
         out = out.withColumn(
             parts,

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptledger.functions.once import evaluate_once
+
 # The character classes that are removed, as Java regex classes.
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{2060}\x{2061}\x{2062}\x{2063}\x{2064}\x{FEFF}]"
 DIRECTIONAL = r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
@@ -75,7 +77,7 @@ def sanitize(
     every = [c for classes in chosen.values() for c in classes]
     dirty = F.rlike(source, F.lit(_join(every))) if every else F.lit(False)
 
-    out = df.withColumn("_dirty", dirty)
+    out = evaluate_once(df, "_dirty", dirty)
     for kind in ("zero_width", "directional", "control_char"):
         count = F.lit(0)
         if kind in chosen:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promptledger.functions.guard import has_guard, is_disagreement
 from promptledger.functions.injection import scan_injection_messages, serialized_matches
+from promptledger.functions.once import evaluate_once
 from promptledger.functions.pii import detections
 from promptledger.functions.sanitize import sanitize
 from promptledger.functions.threats import at_least
@@ -30,7 +31,7 @@ def combined_content(messages: Column) -> Column:
 
 def analyze(requests: DataFrame) -> DataFrame:
     """Sanitizer and injection verdicts of requests with a ``messages`` array."""
-    clean = sanitize(requests.withColumn("_combined", combined_content(F.col("messages"))), "_combined")
+    clean = sanitize(evaluate_once(requests, "_combined", combined_content(F.col("messages"))), "_combined")
     scanned = scan_injection_messages(clean, embedding_task=F.coalesce(F.col("task") == "embeddings", F.lit(False)))
     return scanned.drop("_combined", "sanitized")
 
@@ -62,7 +63,7 @@ def alerts(analyzed: DataFrame) -> DataFrame:
             injection("medium", "info", "Medium-threat injection pattern detected: "),
         )
     )
-    return analyzed.filter(F.size(found) > 0).select("request_id", "event_ts", "client_id", F.inline(found))
+    return analyzed.select("request_id", "event_ts", "client_id", F.inline(found))
 
 
 def scan_rows(analyzed: DataFrame, guard: DataFrame | None = None) -> DataFrame:
@@ -278,7 +279,7 @@ def pii_events(requests: DataFrame, was_scrubbed: bool = False) -> DataFrame:
         "request_id", "event_ts", "client_id", "model", "task",
         F.posexplode("messages").alias("message_index", "_m"),
     )
-    found = turns.withColumn("_d", detections(F.col("_m.content"))).filter(F.size("_d") > 0)
+    found = evaluate_once(turns, "_d", detections(F.col("_m.content")))
     return found.select(
         "request_id", "event_ts", "client_id", "model", "task", "message_index",
         F.col("_m.role").alias("message_role"),
