@@ -102,18 +102,21 @@ def injection_matches(
     Patterns are data, not expressions, so the plan stays small however many there are. A regex is
     only run where one of its needles stands in the text.
     """
-    folded, odd = F.lower(text), F.rlike(text, F.lit(_ODD_FOLDS))
+    # What the needle tests share is worked out once per text.
+    facts = F.array(
+        F.struct(text.alias("text"), F.lower(text).alias("folded"), F.rlike(text, F.lit(_ODD_FOLDS)).alias("odd"))
+    )
 
-    def hit(p: Column) -> Column:
-        likely = (F.size(p["needles"]) == 0) | F.exists(p["needles"], lambda n: F.contains(folded, n)) | odd
-        found = likely & F.rlike(text, p["regex"])
+    def hit(p: Column, fact: Column) -> Column:
+        needle = F.exists(p["needles"], lambda n: F.contains(fact["folded"], n))
+        found = ((F.size(p["needles"]) == 0) | needle | fact["odd"]) & F.rlike(fact["text"], p["regex"])
         if without_delimiters is None:
             return found
         return ~(without_delimiters & (p["category"] == "delimiter_attack")) & found
 
-    def spans(p: Column) -> Column:
+    def spans(p: Column, fact: Column) -> Column:
         return F.transform(
-            match_spans(text, p["regex"]),
+            match_spans(fact["text"], p["regex"]),
             lambda span: F.struct(
                 p["pattern"].alias("pattern"),
                 p["category"].alias("category"),
@@ -123,7 +126,11 @@ def injection_matches(
             ),
         )
 
-    return F.flatten(F.transform(F.filter(_table(patterns, case_sensitive), hit), spans))
+    def matches(fact: Column) -> Column:
+        hits = F.filter(_table(patterns, case_sensitive), lambda p: hit(p, fact))
+        return F.flatten(F.transform(hits, lambda p: spans(p, fact)))
+
+    return F.flatten(F.transform(facts, matches))
 
 
 def max_threat(matches: Column) -> Column:

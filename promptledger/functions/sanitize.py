@@ -101,7 +101,7 @@ def sanitize_messages(df: DataFrame, messages: str = "messages") -> DataFrame:
     No explode: the contents travel to Python as one array, and only where NFC may matter.
     """
     original = F.transform(F.col(messages), lambda m: m["content"])
-    out = df.withColumn("_contents", F.transform(original, strip_invisible))
+    out = df.withColumn("_contents", F.transform(original, lambda c: strip_invisible(c)))
     needs_nfc = F.exists(F.col("_contents"), lambda c: F.rlike(c, F.lit(_MAY_CHANGE_UNDER_NFC)))
     out = out.withColumn(
         "_clean", F.coalesce(_nfc_all(F.when(needs_nfc, F.col("_contents"))), F.col("_contents"))

@@ -16,7 +16,8 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start,end,text>>`` of all matches of a pattern that never matches empty."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    gaps = F.split(text, pattern, -1)
+    # One gap more than matches: the text after the last match comes without a hit.
     pieces = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_ARRAY).alias("spans"))
 
@@ -24,6 +25,7 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
         begin = acc["pos"] + F.length(piece["gap"])
         stop = begin + F.length(piece["hit"])
         span = F.struct(begin.alias("start"), stop.alias("end"), piece["hit"].alias("text"))
-        return F.struct(stop.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        grown = F.struct(stop.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.when(piece["hit"].isNotNull(), grown).otherwise(acc)
 
     return F.aggregate(pieces, start, step, lambda acc: acc["spans"])

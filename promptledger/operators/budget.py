@@ -195,20 +195,20 @@ def _used_at_start(
     sure = F.when(F.col("state") == "admitted", F.col(amount)).otherwise(F.lit(0))
     spent = rows.filter(counted & (F.col("state") != "denied") & (F.col(amount) > 0)).select(
         F.col(group).alias("_group"), F.to_date("end_ts").alias("_day"), F.col("end_ts").alias("_at"),
-        F.lit(0).alias("_kind"), "request_id", sure.alias("_low"), F.col(amount).alias("_high"),
+        F.lit(1).alias("_kind"), "request_id", sure.alias("_low"), F.col(amount).alias("_high"),
     )
     asked = rows.filter(counted & checks).select(
         F.col(group).alias("_group"), F.to_date("start_ts").alias("_day"), F.col("start_ts").alias("_at"),
-        F.lit(1).alias("_kind"), "request_id", F.lit(0).alias("_low"), F.lit(0).alias("_high"),
+        F.lit(0).alias("_kind"), "request_id", F.lit(0).alias("_low"), F.lit(0).alias("_high"),
     )
     totals = running(
         spent.unionByName(asked),
         ["_group", "_day"],
-        [F.col("_at"), F.col("_kind"), F.col("request_id")],
+        [F.col("_at"), F.col("request_id"), F.col("_kind")],
         F.floor(F.unix_micros("_at") / F.lit(900_000_000)),
         sums={f"{prefix}_low": F.col("_low"), f"{prefix}_high": F.col("_high")},
     )
-    return totals.filter(F.col("_kind") == 1).select("request_id", f"{prefix}_low", f"{prefix}_high")
+    return totals.filter(F.col("_kind") == 0).select("request_id", f"{prefix}_low", f"{prefix}_high")
 
 
 def replay_admissions(
@@ -224,8 +224,9 @@ def replay_admissions(
     Whether a request is admitted depends on earlier decisions, but nothing is folded one row at
     a time. Each round brackets the use seen by every open request between sure charges and
     possible charges; requests on which both bounds agree are decided, which tightens the bounds
-    of the next round. The earliest open request of a day is always decided, so rounds end with
-    the exact answer. All days, keys and tiers advance together and hot keys are spread by time.
+    of the next round. Moments that coincide are ordered by request id, so the earliest open
+    request only depends on decided ones and every round makes progress until the answer is exact.
+    All days, keys and tiers advance together and hot keys are spread by time.
     """
     rows = requests.select(
         "request_id", "key", "tier", "tier_daily_limit", "start_ts", "end_ts",
@@ -251,6 +252,7 @@ def replay_admissions(
 
     current = cut_lineage(rows)
     settled: list[DataFrame] = []
+    last_open = None
     while True:
         open_rows = F.col("state") == "open"
         seen = bounds(current, open_rows)
@@ -261,11 +263,13 @@ def replay_admissions(
         )
         # A day is finished when none of its requests is open and none of the day before, whose
         # charges may still land in it.
-        days = current.filter(open_rows).select(F.to_date("start_ts").alias("_open")).distinct()
-        if days.isEmpty():
+        left = current.filter(open_rows).agg(F.count(F.lit(1)), F.min(F.to_date("start_ts"))).first()
+        if left[0] == 0:
             break
-        first_open = days.agg(F.min("_open")).scalar()
-        done = F.to_date("end_ts") < first_open
+        if left[0] == last_open:
+            raise ValueError("request_id must be unique and end_ts must not be before start_ts")
+        last_open = left[0]
+        done = F.to_date("end_ts") < F.lit(left[1])
         settled.append(current.filter(done))
         current = current.filter(~done)
     current = reduce(DataFrame.unionByName, [current, *settled])

@@ -6,7 +6,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,54 +64,48 @@ def demand(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataFrame:
     return rows.drop("_us")
 
 
+def decide(accepted: list[int], now: int, rpm: int, limits: RateLimits) -> tuple[str | None, float | None, list[int]]:
+    """Decision for one request: limit hit, seconds to wait, requests seen per window.
+
+    ``accepted`` holds the accepted times of the key in order, in microseconds; times older than
+    the longest window are dropped and ``now`` is added when it is accepted.
+    """
+    gone = bisect_right(accepted, now - limits.hour_window * MICROS)
+    if gone:
+        del accepted[:gone]
+    hit, retry, counts = None, None, []
+    for name, seconds, limit in limits.windows:
+        first = bisect_right(accepted, now - seconds * MICROS)
+        counts.append(len(accepted) - first)
+        if hit is None and counts[-1] >= (rpm if name == "minute" else limit):
+            hit = name
+            retry = max(0.1, seconds - (now - accepted[first]) / MICROS)
+    if hit is None:
+        accepted.append(now)
+    return hit, retry, counts
+
+
 def _fold(limits: RateLimits):
     """Replay sorted rows, one stretch after the other.
 
     State is the accepted times of the last hour of the current stretch, so memory is bounded by
     the hourly limit however long a stretch is.
     """
-    lengths = [seconds * MICROS for _, seconds, _ in limits.windows]
-    names = np.array([name for name, _, _ in limits.windows], dtype=object)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stretch, accepted = None, []
         for batch in batches:
-            if batch.empty:
-                continue
-            us = batch["_us"].to_numpy()
-            rpm = batch["_rpm"].to_numpy()
-            starts = (batch["key"] + "\0" + batch["_cluster"].astype(str)).to_numpy()
-            hit = np.full(len(batch), None, dtype=object)
-            retry = np.full(len(batch), np.nan)
-            counts = np.zeros((3, len(batch)), dtype=np.int64)
-            for i in range(len(batch)):
-                if starts[i] != stretch:
-                    stretch, accepted = starts[i], []
-                now = int(us[i])
-                gone = bisect_right(accepted, now - lengths[2])
-                if gone:
-                    del accepted[:gone]
-                for w, limit in enumerate((limits.burst, int(rpm[i]), limits.per_hour)):
-                    first = bisect_right(accepted, now - lengths[w])
-                    counts[w, i] = len(accepted) - first
-                    if hit[i] is None and counts[w, i] >= limit:
-                        hit[i] = names[w]
-                        retry[i] = max(0.1, (lengths[w] - (now - accepted[first])) / MICROS)
-                if hit[i] is None:
-                    accepted.append(now)
-            yield pd.DataFrame(
-                {
-                    "key": batch["key"],
-                    "request_id": batch["request_id"],
-                    "start_ts": batch["start_ts"],
-                    "allowed": hit == None,  # noqa: E711
-                    "limit_hit": hit,
-                    "retry_after": retry,
-                    "burst_count": counts[0],
-                    "minute_count": counts[1],
-                    "hour_count": counts[2],
-                }
+            out = []
+            for key, cluster, now, rpm in zip(batch["key"], batch["_cluster"], batch["_us"], batch["_rpm"]):
+                if (key, cluster) != stretch:
+                    stretch, accepted = (key, cluster), []
+                hit, retry, counts = decide(accepted, int(now), int(rpm), limits)
+                out.append((hit is None, hit, retry, *counts))
+            decided = pd.DataFrame(
+                out, columns=["allowed", "limit_hit", "retry_after", "burst_count", "minute_count", "hour_count"],
+                index=batch.index,
             )
+            yield pd.concat([batch[["key", "request_id", "start_ts"]], decided], axis=1)
 
     return replay
 
