@@ -188,27 +188,45 @@ def usage_by_key(charged: DataFrame, daily_limit: int = DEFAULT_DAILY_LIMIT) ->
 # --- admission replay --------------------------------------------------------------------------
 
 
-def _used_at_start(
-    rows: DataFrame, group: str, amount: str, prefix: str, checks: Column, counted: Column
-) -> DataFrame:
-    """For each row to check, the least and most the group can have used when the request starts."""
-    sure = F.when(F.col("state") == "admitted", F.col(amount)).otherwise(F.lit(0))
-    spent = rows.filter(counted & (F.col("state") != "denied") & (F.col(amount) > 0)).select(
-        F.col(group).alias("_group"), F.to_date("end_ts").alias("_day"), F.col("end_ts").alias("_at"),
-        F.lit(1).alias("_kind"), "request_id", sure.alias("_low"), F.col(amount).alias("_high"),
-    )
-    asked = rows.filter(counted & checks).select(
-        F.col(group).alias("_group"), F.to_date("start_ts").alias("_day"), F.col("start_ts").alias("_at"),
-        F.lit(0).alias("_kind"), "request_id", F.lit(0).alias("_low"), F.lit(0).alias("_high"),
-    )
+def _used_at_start(rows: DataFrame, checks: Column) -> DataFrame:
+    """Least and most the key and the tier can have used when each checked request starts.
+
+    Every request gives up to four entries, its charge and its check in the account of its key and
+    in that of its capped tier, so all accounts of all days are summed in one pass.
+    """
+    capped = F.coalesce(F.col("tier_daily_limit") > 0, F.lit(False))
+
+    def entry(kind: str, owner: str, at: str, is_check: bool, low: Column, high: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.col(owner).alias("owner"), F.to_date(at).alias("day"), F.col(at).alias("at"),
+            F.lit(is_check).alias("is_check"), low.alias("low"), high.alias("high"),
+        )
+
+    def entries(kind: str, owner: str, amount: str, counted: Column) -> list[Column]:
+        none = F.lit(0).cast("bigint")
+        spends = counted & (F.col("state") != "denied") & (F.col(amount) > 0)
+        sure = F.when(F.col("state") == "admitted", F.col(amount)).otherwise(none)
+        return [
+            F.when(spends, entry(kind, owner, "end_ts", False, sure, F.col(amount))),
+            F.when(counted & checks, entry(kind, owner, "start_ts", True, none, none)),
+        ]
+
+    moves = F.array_compact(F.array(*entries("key", "key", "cost", F.lit(True)), *entries("tier", "tier", "raw", capped)))
     totals = running(
-        spent.unionByName(asked),
-        ["_group", "_day"],
-        [F.col("_at"), F.col("request_id"), F.col("_kind")],
-        F.floor(F.unix_micros("_at") / F.lit(900_000_000)),
-        sums={f"{prefix}_low": F.col("_low"), f"{prefix}_high": F.col("_high")},
+        rows.select("request_id", F.inline(moves)),
+        ["kind", "owner", "day"],
+        [F.col("at"), F.col("request_id"), (~F.col("is_check")).cast("int")],
+        F.floor(F.unix_micros("at") / F.lit(900_000_000)),
+        sums={"least": F.col("low"), "most": F.col("high")},
+    )
+    seen = totals.filter("is_check").groupBy("request_id").agg(
+        *[
+            F.max(F.when(F.col("kind") == kind, F.col(source))).alias(f"{kind}_{name}")
+            for kind in ("key", "tier")
+            for source, name in (("least", "low"), ("most", "high"))
+        ]
     )
-    return totals.filter(F.col("_kind") == 0).select("request_id", f"{prefix}_low", f"{prefix}_high")
+    return rows.join(seen, "request_id", "left")
 
 
 def replay_admissions(
@@ -238,12 +256,6 @@ def replay_admissions(
     )
     capped = F.coalesce(F.col("tier_daily_limit") > 0, F.lit(False))
     limited = F.lit(daily_limit > 0 and enforce_pre_request)
-    everyone = F.lit(True)
-
-    def bounds(current: DataFrame, checks: Column) -> DataFrame:
-        by_key = _used_at_start(current, "key", "cost", "key", checks, everyone)
-        by_tier = _used_at_start(current, "tier", "raw", "tier", checks, capped)
-        return current.join(by_key, "request_id", "left").join(by_tier, "request_id", "left")
 
     def over(key_used: str, tier_used: str) -> tuple[Column, Column]:
         key_over = limited & (F.col(key_used) + F.col("estimate") > F.lit(daily_limit))
@@ -255,7 +267,7 @@ def replay_admissions(
     last_open = None
     while True:
         open_rows = F.col("state") == "open"
-        seen = bounds(current, open_rows)
+        seen = _used_at_start(current, open_rows)
         low, high = over("key_low", "tier_low"), over("key_high", "tier_high")
         decided = F.when(low[0] | low[1], "denied").when(~high[0] & ~high[1], "admitted").otherwise("open")
         current = cut_lineage(
@@ -274,7 +286,7 @@ def replay_admissions(
         current = current.filter(~done)
     current = reduce(DataFrame.unionByName, [current, *settled])
 
-    final = bounds(current, everyone)
+    final = _used_at_start(current, F.lit(True))
     key_over, tier_over = over("key_low", "tier_low")
     kind = F.when(key_over, F.lit("daily_key_limit")).when(
         tier_over, F.concat(F.lit("daily_tier_limit:"), F.col("tier"))

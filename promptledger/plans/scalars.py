@@ -25,6 +25,7 @@ from promptledger.plans.scan_tables import (
     labelled_scans,
     pii_hits_sql,
 )
+from promptledger.session import spread
 
 # Characters placed into the documents by arithmetic, so that every kind occurs: zero width,
 # directional, control, tag, and a letter followed by a combining accent.
@@ -35,7 +36,7 @@ DIRTY = (
 
 
 def dirty_documents(spark, sf):
-    return X._table(spark, sf, "documents").selectExpr("doc_id", f"{DIRTY} as text")
+    return spread(X._table(spark, sf, "documents").selectExpr("doc_id", f"{DIRTY} as text"))
 
 
 _ZERO = r"[\x{200B}\x{200C}\x{200D}\x{2060}-\x{2064}\x{FEFF}]"
@@ -93,7 +94,7 @@ _PII_DOCS = "recursive docs as (select doc_id, text from documents), " + pii_hit
 
 
 def pii_documents(spark, sf):
-    return pii.scan_pii(X._table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return pii.scan_pii(spread(X._table(spark, sf, "documents").select("doc_id", "text")), "text")
 
 
 @query("f4_pii_scan", X.with_sql("select doc_id, name as pii_type, start_pos, end_pos, value from pii_kept", _PII_DOCS))
@@ -107,7 +108,7 @@ def f4(spark, sf):
 @query("f4_pii_pages", X.with_sql("select page_id, name as pii_type, start_pos, end_pos, value from pii_kept",
     "recursive " + pii_hits_sql("pages", "page_id", "html")))
 def f4_pages(spark, sf):
-    hits = pii.scan_pii(X._table(spark, sf, "pages").select("page_id", "html"), "html")
+    hits = pii.scan_pii(spread(X._table(spark, sf, "pages").select("page_id", "html")), "html")
     return hits.select("page_id", F.explode("detections").alias("d")).select(
         "page_id", "d.pii_type", F.col("d.start").alias("start_pos"), F.col("d.end").alias("end_pos"), "d.value"
     )
@@ -191,7 +192,7 @@ _SEEDED_SQL = f"docs as (select doc_id, {_SEEDED} as text from documents)"
 
 
 def seeded_documents(spark, sf):
-    return X._table(spark, sf, "documents").selectExpr("doc_id", f"{_SEEDED} as text")
+    return spread(X._table(spark, sf, "documents").selectExpr("doc_id", f"{_SEEDED} as text"))
 
 
 @query("f9_injection_scan", X.with_sql(f"""
@@ -246,7 +247,7 @@ select doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\s+(\\w+ing)\\b')) as ma
   case when len(regexp_extract_all(text, '(?i)\\bthe\\s+(\\w+ing)\\b')) > 0 then 'medium' else 'none' end as threat_level from documents""")
 def h3(spark, sf):
     own = [J.InjectionPattern("the_ing", "house_rules", "medium", r"\bthe\s+(\w+ing)\b", ("the",))]
-    return J.scan_injection(X._table(spark, sf, "documents"), "text", own).select("doc_id", "match_count", "threat_level")
+    return J.scan_injection(spread(X._table(spark, sf, "documents").select("doc_id", "text")), "text", own).select("doc_id", "match_count", "threat_level")
 
 
 @query("f12_threat_order", X.with_sql("select request_id, regex_threat_level, threat_ord::bigint as threat_order from scans", SCANS_SQL))

@@ -96,9 +96,10 @@ def g5(spark, sf):
     return collected(spark, L.budget_stream(priced, DAILY_LIMIT), "budget")
 
 
-@query("g6_stream_assembly", X.with_sql(f"""
-select request_id, content_hash, chunk_count, finish_reason, total_tokens from ({_ASSEMBLED_SQL}) x
-where last_us + 30000000 <= (select max(last_us) - 60000000 from timed) """.replace("from (", "from (select a.*, t.last_us from (").replace(") x", ") a join timed t using (request_id)) x"),
+@query("g6_stream_assembly", X.with_sql("""
+select request_id, content_hash, chunk_count, finish_reason, total_tokens from assembled join timed using (request_id)
+where last_us + 30000000 <= (select max(last_us) - 60000000 from timed)""",
+    f"assembled as ({_ASSEMBLED_SQL})",
     "timed as (select concat('conv-', conv_id, '-', turn) as request_id, 1704067200000000 + conv_id * 60000000 + turn * 1000000 + 2000000 as last_us from conversations)"))
 def g6(spark, sf):
     """Closed sessions only; the last ones stay open in a stream."""
