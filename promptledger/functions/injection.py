@@ -17,13 +17,17 @@ MATCH_ARRAY = "array<struct<pattern:string,category:string,text:string,position:
 
 @dataclass(frozen=True)
 class InjectionPattern:
-    """``needles``: lower-case words of which a matching text must contain one (empty: unknown)."""
+    """``needles``: lower-case words of which a matching text must contain one (empty: unknown).
+
+    ``long_run``: every match has at least 50 characters without whitespace.
+    """
 
     name: str
     category: str
     level: str
     regex: str
     needles: tuple[str, ...] = ()
+    long_run: bool = False
 
 
 # Name, level and expression of each pattern, in match order; the needles are ours.
@@ -47,7 +51,7 @@ PATTERNS: tuple[InjectionPattern, ...] = (
     InjectionPattern("hypothetical_framing", "roleplay_escape", "low", r"in\s+this\s+(hypothetical|fictional|imaginary)\s+scenario", ("scenario",)),
     InjectionPattern("decode_request", "encoding_tricks", "medium", r"(decode|decrypt|decipher)\s+(this|the\s+following)\s*(base64|rot13|hex)?", ("decode", "decrypt", "decipher")),
     InjectionPattern("encoded_content", "encoding_tricks", "medium", r"the\s+(following|above|below)\s+is\s+(encoded|encrypted|base64)", ("encoded", "encrypted", "base64")),
-    InjectionPattern("possible_base64", "encoding_tricks", "low", r"[A-Za-z0-9+/]{50,}={0,2}"),
+    InjectionPattern("possible_base64", "encoding_tricks", "low", r"[A-Za-z0-9+/]{50,}={0,2}", long_run=True),
     InjectionPattern("fake_real_instructions", "context_manipulation", "high", r"(the\s+real|your\s+actual|secret)\s+instructions?\s+(are|is|say)", ("instruction",)),
     InjectionPattern("test_framing", "context_manipulation", "low", r"this\s+is\s+(a\s+)?test\s+(of|to\s+check)", ("test",)),
     InjectionPattern("ignore_safety", "context_manipulation", "critical", r"ignore\s+(the\s+)?safety\s+(protocols?|guidelines?|restrictions?)", ("ignore",)),
@@ -59,6 +63,7 @@ CATEGORIES = tuple(dict.fromkeys(p.category for p in PATTERNS))
 
 # Letters outside ASCII that fold to s, k or i when case is ignored; such texts skip the needle test.
 _ODD_FOLDS = r"[\x{017F}\x{212A}\x{0130}\x{0131}]"
+_LONG_RUN = r"\S{50}"
 
 
 def select_patterns(
@@ -82,13 +87,14 @@ def _table(patterns: Sequence[InjectionPattern], case_sensitive: bool) -> Column
             F.lit(p.level).alias("level"),
             F.lit(flags + p.regex).alias("regex"),
             F.array(*[F.lit(n) for n in p.needles]).cast("array<string>").alias("needles"),
+            F.lit(p.long_run).alias("long_run"),
         )
         for p in patterns
     ]
     return F.array(*rows) if rows else F.array().cast(_TABLE)
 
 
-_TABLE = "array<struct<pattern:string,category:string,level:string,regex:string,needles:array<string>>>"
+_TABLE = "array<struct<pattern:string,category:string,level:string,regex:string,needles:array<string>,long_run:boolean>>"
 
 
 def injection_matches(
@@ -104,12 +110,18 @@ def injection_matches(
     """
     # What the needle tests share is worked out once per text.
     facts = F.array(
-        F.struct(text.alias("text"), F.lower(text).alias("folded"), F.rlike(text, F.lit(_ODD_FOLDS)).alias("odd"))
+        F.struct(
+            text.alias("text"),
+            F.lower(text).alias("folded"),
+            F.rlike(text, F.lit(_ODD_FOLDS)).alias("odd"),
+            F.rlike(text, F.lit(_LONG_RUN)).alias("long_run"),
+        )
     )
 
     def hit(p: Column, fact: Column) -> Column:
         needle = F.exists(p["needles"], lambda n: F.contains(fact["folded"], n))
-        found = ((F.size(p["needles"]) == 0) | needle | fact["odd"]) & F.rlike(fact["text"], p["regex"])
+        likely = (F.size(p["needles"]) == 0) | needle | fact["odd"]
+        found = likely & (~p["long_run"] | fact["long_run"]) & F.rlike(fact["text"], p["regex"])
         if without_delimiters is None:
             return found
         return ~(without_delimiters & (p["category"] == "delimiter_attack")) & found

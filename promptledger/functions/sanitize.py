@@ -51,7 +51,8 @@ def _classes(zero_width: bool, directional: bool, control: bool, tags: bool) ->
 
 
 def _join(classes: list[str]) -> str:
-    return classes[0] if len(classes) == 1 else "(?:" + "|".join(classes) + ")"
+    """One class of all, which a regex engine tests faster than alternatives."""
+    return "[" + "".join(c[1:-1] for c in classes) + "]"
 
 
 def strip_invisible(text: Column, zero_width=True, directional=True, control=True, tags=True) -> Column:

@@ -207,7 +207,7 @@ def full_daily_rollup(
         measures += [F.percentile_approx("latency_ms", p).alias(n) for n, p in LATENCY_PERCENTILES.items()]
         return rows.groupBy(*keys).agg(*measures)
     percentiles = exact_percentiles(rows, keys, "latency_ms", LATENCY_PERCENTILES)
-    return _join_on(rows.groupBy(*keys).agg(*measures), percentiles, keys)
+    return _join_on(rows.groupBy(*keys).agg(*measures), percentiles, keys, "left")
 
 
 def write_daily_rollup(rollup: DataFrame, path: str) -> None:

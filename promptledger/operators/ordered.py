@@ -20,11 +20,11 @@ def time_bucket(ts: Column, width_us: int = HOUR_US) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(width_us))
 
 
-def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner join on columns that may be null."""
+def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns that may be null."""
     right = right.select(*[F.col(n).alias(f"_r_{n}") if n in names else F.col(n) for n in right.columns])
     on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names])
-    return left.join(right, on).drop(*[f"_r_{n}" for n in names])
+    return left.join(right, on, how).drop(*[f"_r_{n}" for n in names])
 
 
 def running(
@@ -72,29 +72,43 @@ def running(
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]
 ) -> DataFrame:
-    """Exact interpolated percentiles per key, one row per key.
+    """Exact interpolated percentiles per key, one row per key that has a value.
 
-    Equal values are counted before the shuffle and ranks come from ``running``, so no group
-    is held in memory; keys whose values are all null come out with null percentiles.
+    Equal values are counted before the shuffle. Counts per value bucket tell in which buckets the
+    wanted ranks lie; only values of these buckets are put in order, so no group is held in memory.
     """
-    counted = df.groupBy(*keys, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
-    ranked = running(
-        counted,
-        keys,
-        [F.col("_value")],
-        F.coalesce(F.floor(F.asinh("_value") * 32), F.lit(-(1 << 40))),
-        sums={"_upto": F.col("_n")},
+    counted = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_bucket", F.floor(F.asinh("_value") * 32))
     )
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    placed = _join_on(ranked, totals, keys)
-    aggregates, results = [], []
-    for name, p in wanted.items():
-        position = F.lit(p) * (F.col("_total") - 1)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            here = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            aggregates.append(F.max(F.when(here, F.col("_value"))).alias(f"_{name}_{side}"))
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        share = F.lit(p) * (F.col("_total") - 1) - F.floor(F.lit(p) * (F.col("_total") - 1))
-        results.append((low + (high - low) * share).alias(name))
-    summed = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *aggregates)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = counted.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size")).select(
+        *keys, "_bucket", "_size",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        F.sum("_size").over(whole).alias("_total"),
+    )
+    last = F.col("_total") - 1
+    ranks = {n: (F.floor(F.lit(p) * last), F.ceil(F.lit(p) * last)) for n, p in wanted.items()}
+    holds = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_size")) for pair in ranks.values() for r in pair]
+    needed = buckets.filter(reduce(lambda a, b: a | b, holds))
+
+    inside = (
+        Window.partitionBy(*keys, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = _join_on(counted, needed, [*keys, "_bucket"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(inside)
+    )
+    found = [
+        F.max(F.when((F.col("_upto") - F.col("_n") <= r) & (r < F.col("_upto")), F.col("_value"))).alias(f"_{n}_{side}")
+        for n, pair in ranks.items()
+        for side, r in zip(("lo", "hi"), pair)
+    ]
+    summed = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *found)
+    results = []
+    for n, p in wanted.items():
+        low, high = F.col(f"_{n}_lo"), F.col(f"_{n}_hi")
+        results.append((low + (high - low) * (F.lit(p) * last - F.floor(F.lit(p) * last))).alias(n))
     return summed.select(*keys, *results)
