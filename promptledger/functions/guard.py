@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptledger.functions.spans import unicode_regex
+
 # Safety categories of the two guard model families.
 HAZARD_CATEGORIES = {
     "S1": "Violent Crimes",
@@ -35,7 +37,7 @@ RISK_CATEGORIES = {
 
 VERDICT = "struct<safe:boolean,skipped:boolean,category_code:string,category_name:string,confidence:string,error:string>"
 
-_STRIP = r"(?U)\A\s+|\s+\z"
+_STRIP = unicode_regex(r"\A\s+|\s+\z")
 
 
 def _strip(text: Column) -> Column:
@@ -84,7 +86,7 @@ def parse_hazard_verdict(raw: Column) -> Column:
 
 def parse_risk_verdict(raw: Column, category: Column) -> Column:
     """``Yes`` / ``No`` for one category, with an optional confidence tag."""
-    confidence = F.regexp_extract(raw, r"(?U)<confidence>\s*(\w+)\s*</confidence>", 1)
+    confidence = F.regexp_extract(raw, unicode_regex(r"<confidence>\s*(\w+)\s*</confidence>"), 1)
     confidence = F.when(confidence != "", confidence)
     word = F.lower(_strip(F.get(F.split(raw, "<", -1), F.lit(0))))
     name = F.coalesce(_lookup(RISK_CATEGORIES, category), category)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptledger.functions.spans import unicode_regex
+
 # What counts as safe.
 SAFE_KEY = r"\A[a-zA-Z0-9][a-zA-Z0-9_-]{0,127}\n?\z"
 SAFE_ID = r"\A[a-zA-Z0-9][a-zA-Z0-9_.-]{0,127}\n?\z"
@@ -15,7 +17,7 @@ METRIC_LABEL_CUT = 64
 LOG_VALUE_CUT = 128
 ID_CUT = 128
 
-_STRIP = r"(?U)\A\s+|\s+\z"
+_STRIP = unicode_regex(r"\A\s+|\s+\z")
 
 
 def _filled(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions.once import evaluate_once
-from promptledger.functions.spans import match_spans
+from promptledger.functions.spans import match_spans, unicode_regex
 from promptledger.functions.threats import threat_name, threat_order
 
 MATCH_ARRAY = "array<struct<pattern:string,category:string,text:string,position:int,level:string>>"
@@ -78,14 +78,13 @@ EMBEDDING_PATTERNS = select_patterns(without=("delimiter_attack",))
 
 
 def _table(patterns: Sequence[InjectionPattern], case_sensitive: bool) -> Column:
-    """The patterns as one constant array; (?U) makes classes and case folding follow Unicode."""
-    flags = "(?U)" if case_sensitive else "(?iU)"
+    """The patterns as one constant array."""
     rows = [
         F.struct(
             F.lit(p.name).alias("pattern"),
             F.lit(p.category).alias("category"),
             F.lit(p.level).alias("level"),
-            F.lit(flags + p.regex).alias("regex"),
+            F.lit(unicode_regex(p.regex, not case_sensitive)).alias("regex"),
             F.array(*[F.lit(n) for n in p.needles]).cast("array<string>").alias("needles"),
             F.lit(p.long_run).alias("long_run"),
         )

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions.once import evaluate_once
-from promptledger.functions.spans import match_spans
+from promptledger.functions.spans import match_spans, unicode_regex
 
-# Type names and patterns, in priority order. (?U) makes \b, \d and \s follow Unicode.
+# Type names and patterns, in priority order.
 PII_PATTERNS: tuple[tuple[str, str], ...] = (
-    ("SSN", r"(?U)\b\d{3}[-\s]\d{2}[-\s]\d{4}\b"),
-    ("CREDIT_CARD", r"(?U)\b(?:\d{4}[-\s]){3}\d{4}\b"),
-    ("EMAIL", r"(?U)\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
-    ("PHONE", r"(?U)\b(?:\+1[-.\s]?)?\(?[2-9]\d{2}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
-    ("IP_ADDRESS", r"(?U)\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"),
+    ("SSN", r"\b\d{3}[-\s]\d{2}[-\s]\d{4}\b"),
+    ("CREDIT_CARD", r"\b(?:\d{4}[-\s]){3}\d{4}\b"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
+    ("PHONE", r"\b(?:\+1[-.\s]?)?\(?[2-9]\d{2}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
+    ("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"),
 )
 
 # What a text must contain before a pattern is worth trying: two neighbouring digits (all numbers
@@ -44,7 +44,8 @@ def _as_detection(rank: int, pii_type: str):
 def all_matches(text: Column) -> Column:
     """Every match of every pattern, in order of start and then of pattern priority."""
     found = []
-    for rank, (pii_type, pattern) in enumerate(PII_PATTERNS):
+    for rank, (pii_type, written) in enumerate(PII_PATTERNS):
+        pattern = unicode_regex(written)
         spans = F.transform(match_spans(text, pattern), _as_detection(rank, pii_type))
         hit = _worth_trying(text, pii_type) & F.rlike(text, F.lit(pattern))
         found.append(F.when(hit, spans).otherwise(F.array().cast(DETECTION_ARRAY)))

@@ -9,6 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns are written in Python's regex language. Java's Unicode mode differs in three shorthands:
+# its words include combining marks and joiners, and its whitespace lacks the separators 1C to 1F.
+_WORD = r"\p{L}\p{N}_"
+_IN_CLASS = {"s": r"\s\x1C-\x1F", "w": _WORD}
+_OUTSIDE = {
+    "s": r"[\s\x1C-\x1F]",
+    "S": r"[^\s\x1C-\x1F]",
+    "w": f"[{_WORD}]",
+    "W": f"[^{_WORD}]",
+    "b": f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))",
+}
+
+
+def unicode_regex(pattern: str, ignore_case: bool = False) -> str:
+    """Java form of a Python pattern over Unicode text."""
+    out, inside, escaped = [], False, False
+    for c in pattern:
+        if escaped:
+            out.append((_IN_CLASS if inside else _OUTSIDE).get(c, "\\" + c))
+            escaped = False
+        elif c == "\\":
+            escaped = True
+        else:
+            inside = (inside or c == "[") and c != "]"
+            out.append(c)
+    return ("(?iU)" if ignore_case else "(?U)") + "".join(out)
+
+
 SPAN_ARRAY = "array<struct<start:int,end:int,text:string>>"
 
 

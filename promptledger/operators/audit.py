@@ -27,7 +27,9 @@ def as_of_column(df: DataFrame, as_of: datetime | None, ts: str = "event_ts") ->
 
 def since_hours(df: DataFrame, hours: int, as_of: datetime | None = None, ts: str = "event_ts") -> DataFrame:
     """Rows of the last hours, the lower end included; no upper end."""
-    return df.filter(F.col(ts) >= as_of_column(df, as_of, ts) - F.make_interval(hours=F.lit(hours)))
+    cutoff = as_of_column(df, as_of, ts) - F.make_interval(hours=F.lit(hours))
+    recent = df.filter(F.col(ts) >= cutoff)
+    return recent.filter(F.col("event_date") >= F.to_date(cutoff)) if "event_date" in df.columns else recent
 
 
 def _where(df: DataFrame, **equal: str | None) -> DataFrame:
@@ -245,7 +247,10 @@ def daily_usage(
 
 
 def retained(audit: DataFrame, days: int = RETENTION_DAYS, as_of: datetime | None = None) -> DataFrame:
-    return audit.filter(F.col("event_ts") >= as_of_column(audit, as_of) - F.make_interval(days=F.lit(days)))
+    """Rows that are young enough. On a table with ``event_date`` folders older days are not even listed."""
+    cutoff = as_of_column(audit, as_of) - F.make_interval(days=F.lit(days))
+    kept = audit.filter(F.col("event_ts") >= cutoff)
+    return kept.filter(F.col("event_date") >= F.to_date(cutoff)) if "event_date" in audit.columns else kept
 
 
 def purge_report(audit: DataFrame, days: int = RETENTION_DAYS, as_of: datetime | None = None) -> DataFrame:

@@ -53,6 +53,11 @@ def _demand_counts(rows: DataFrame, limits: RateLimits) -> DataFrame:
     for name, seconds, _ in limits.windows:
         frame = ordered.rangeBetween(-(seconds * MICROS - 1), Window.currentRow)
         spread = spread.withColumn(f"{name}_demand", F.count(F.lit(1)).over(frame))
+    # Requests of the same moment count for each other; in a replay only those with a smaller id came first.
+    same = Window.partitionBy("key", "_stretch", "_us")
+    spread = spread.withColumn(
+        "_later", F.count(F.lit(1)).over(same) - F.row_number().over(same.orderBy("request_id"))
+    )
     return spread.filter("_stretch = _own").drop("_own", "_stretch")
 
 
@@ -61,7 +66,7 @@ def demand(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataFrame:
     rows = _demand_counts(requests.withColumn("_us", F.unix_micros("start_ts")), limits)
     for name, _, limit in limits.windows:
         rows = rows.withColumn(f"{name}_remaining", F.greatest(F.lit(0), F.lit(limit) - F.col(f"{name}_demand")))
-    return rows.drop("_us")
+    return rows.drop("_us", "_later")
 
 
 def decide(accepted: list[int], now: int, rpm: int, limits: RateLimits) -> tuple[str | None, float | None, list[int]]:
@@ -151,7 +156,7 @@ def replay_limits(requests: DataFrame, limits: RateLimits = RateLimits()) -> Dat
         F.lit(True).alias("allowed"),
         F.lit(None).cast("string").alias("limit_hit"),
         F.lit(None).cast("double").alias("retry_after"),
-        *[(F.col(f"{n}_demand") - 1).alias(f"{n}_count") for n, _, _ in limits.windows],
+        *[(F.col(f"{n}_demand") - F.col("_later") - 1).alias(f"{n}_count") for n, _, _ in limits.windows],
     )
     contended = (
         _join_on(rows.withColumn("_hour", hour), stretches, ["key", "_hour"])

@@ -13,6 +13,7 @@ from promptledger.functions.injection import scan_injection_messages, serialized
 from promptledger.functions.once import evaluate_once
 from promptledger.functions.pii import detections
 from promptledger.functions.sanitize import sanitize
+from promptledger.functions.spans import unicode_regex
 from promptledger.functions.threats import at_least
 from promptledger.operators.audit import PAGE_CAP, since_hours
 
@@ -229,7 +230,7 @@ def finetune_rows(scans: DataFrame, labeled_only: bool = True) -> DataFrame:
     """Non-blank messages with the target text; an unlabeled row gets the target ``safe``."""
     rows = scans.filter(F.col("label").isNotNull()) if labeled_only else scans
     spoken = F.filter(
-        F.col("messages"), lambda m: m["content"].isNotNull() & F.rlike(m["content"], F.lit(r"(?U)\S"))
+        F.col("messages"), lambda m: m["content"].isNotNull() & F.rlike(m["content"], F.lit(unicode_regex(r"\S")))
     )
     unsafe = F.col("label") == "unsafe"
     named = unsafe & (F.coalesce(F.col("label_category"), F.lit("")) != "")

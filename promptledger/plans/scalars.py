@@ -30,8 +30,8 @@ from promptledger.session import spread
 # Characters placed into the documents by arithmetic, so that every kind occurs: zero width,
 # directional, control, tag, and a letter followed by a combining accent.
 DIRTY = (
-    "concat(text, case doc_id % 7 when 0 then 'a​b﻿' when 1 then 'x‮y⁦' when 2 then 'p\x07q\x7fr' "
-    "when 3 then 'tag\U000e0041\U000e0042' when 4 then 'café' when 5 then '​⁠\x01' else '' end)"
+    "concat(text, case doc_id % 7 when 0 then 'a\u200bb\ufeff' when 1 then 'x\u202ey\u2066' when 2 then 'p\x07q\x7fr' "
+    "when 3 then 'tag\U000e0041\U000e0042' when 4 then 'cafe\u0301' when 5 then '\u200b\u2060\x01' else '' end)"
 )
 
 
@@ -73,10 +73,10 @@ def f1_switches(spark, sf):
     return out.select("doc_id", F.sha2("sanitized", 256).alias("sanitized_hash"), "total_removals")
 
 
-@query("f2_nfc", "select page_id, sha256(nfc_normalize(concat(html, 'Å'))) as nfc_hash from pages")
+@query("f2_nfc", "select page_id, sha256(nfc_normalize(concat(html, 'A\u030a'))) as nfc_hash from pages")
 def f2(spark, sf):
     rows = X._table(spark, sf, "pages")
-    return rows.select("page_id", F.sha2(S.nfc(F.concat("html", F.lit("Å"))), 256).alias("nfc_hash"))
+    return rows.select("page_id", F.sha2(S.nfc(F.concat("html", F.lit("A\u030a"))), 256).alias("nfc_hash"))
 
 
 @query("f3_sanitize_messages", X.with_sql(f"""

@@ -37,9 +37,9 @@ def pii_events(spark: SparkSession, sf: str) -> DataFrame:
     return scans.pii_events(X.requests(spark, sf), was_scrubbed=True)
 
 
-# The same pattern texts for the SQL engine, which knows no Unicode flag.
+# The same pattern texts for the SQL engine.
 INJECTION_SQL_PATTERNS = tuple((p.name, p.category, THREAT_LEVELS.index(p.level), p.regex) for p in PATTERNS)
-PII_SQL_PATTERNS = tuple((name, regex.removeprefix("(?U)")) for name, regex in PII_PATTERNS)
+PII_SQL_PATTERNS = PII_PATTERNS
 
 
 def spans_sql(source: str, key: str, text: str, regex: str, rank: int, name: str) -> str:
