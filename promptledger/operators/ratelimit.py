@@ -110,7 +110,7 @@ def _fold(limits: RateLimits):
                 out, columns=["allowed", "limit_hit", "retry_after", "burst_count", "minute_count", "hour_count"],
                 index=batch.index,
             )
-            yield pd.concat([batch[["key", "request_id", "start_ts"]], decided], axis=1)
+            yield pd.concat([batch[["key", "request_id", "start_ts"]], decided, batch["_history"]], axis=1)
 
     return replay
 
@@ -148,10 +148,18 @@ def replay_limits(requests: DataFrame, limits: RateLimits = RateLimits()) -> Dat
     near = hours.select("key", F.explode(F.array(F.col("_hour") - 1, F.col("_hour"), F.col("_hour") + 1)).alias("_hour")).distinct()
     by_hour = Window.partitionBy("key").orderBy("_hour")
     jump = F.when(F.col("_hour") - F.lag("_hour").over(by_hour) > 1, 1).otherwise(0)
-    stretches = near.withColumn("_jump", jump).withColumn("_cluster", F.sum("_jump").over(by_hour)).drop("_jump")
+    # The first hour of a stretch is only history: what its own windows see lies before the stretch,
+    # where demand was below the limits, so for its requests plain counting is right.
+    history = (F.col("_jump") == 1) | F.lag("_hour").over(by_hour).isNull()
+    stretches = (
+        near.withColumn("_jump", jump)
+        .withColumn("_history", history)
+        .withColumn("_cluster", F.sum("_jump").over(by_hour))
+        .drop("_jump")
+    )
 
     placed = _left_on(counted, stretches, ["key", "_hour"])
-    quiet = placed.filter(F.col("_cluster").isNull()).select(
+    quiet = placed.filter(F.coalesce("_history", F.lit(True))).select(
         "key", "request_id", "start_ts",
         F.lit(True).alias("allowed"),
         F.lit(None).cast("string").alias("limit_hit"),
@@ -160,10 +168,12 @@ def replay_limits(requests: DataFrame, limits: RateLimits = RateLimits()) -> Dat
     )
     contended = (
         _join_on(rows.withColumn("_hour", hour), stretches, ["key", "_hour"])
-        .select("key", "_cluster", "_us", "request_id", "start_ts", "_rpm")
+        .select("key", "_cluster", "_us", "request_id", "start_ts", "_rpm", "_history")
         .repartition("key", "_cluster")
         .sortWithinPartitions("key", "_cluster", "_us", "request_id")
-        .mapInPandas(_fold(limits), DECISION)
+        .mapInPandas(_fold(limits), DECISION + ", _history boolean")
+        .filter(~F.col("_history"))
+        .drop("_history")
         .withColumn("retry_after", F.when(F.col("limit_hit").isNotNull(), F.col("retry_after")))
     )
     return quiet.unionByName(contended)

@@ -10,7 +10,7 @@ from promptledger.plans import fixtures as X
 from promptledger.plans.ingest import _ASSEMBLED_SQL, data_line_rows
 from promptledger.plans.registry import query
 from promptledger.plans.scan_tables import PII_EVENTS_SQL, SCANS_SQL
-from promptledger.plans.windows import DAILY_LIMIT, LIMITS
+from promptledger.plans.windows import DAILY_LIMIT, LIMITER_SQL, LIMITS
 from promptledger.session import scratch_path
 from promptledger.sources.chunks import data_lines
 from promptledger.streaming import limits as L
@@ -34,9 +34,18 @@ def table_stream(spark, rows, name):
 
 
 def collected(spark, stream, name):
-    """Run a stream to its end and read what it wrote."""
+    """Run a stream to its end and read what it wrote.
+
+    Every shuffle partition of a stateful stream is a state store of its own, so a short run should
+    not have many more of them than cores.
+    """
     path = scratch_path(spark, name)
-    run_available(stream.writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/checkpoint")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), spark.sparkContext.defaultParallelism))
+    try:
+        run_available(stream.writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/checkpoint")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -78,13 +87,26 @@ def g3(spark, sf):
     return collected(spark, U.daily_usage(event_stream(spark, sf)), "daily-usage")
 
 
-@query("g4_stream_limiter")
+@query("g4_stream_limiter", X.with_sql("""
+select key, request_id, us as start_us, limit_hit is null as allowed, limit_hit,
+  case when limit_hit is not null then round(greatest(0.1::double, (oldest - us) / 1000000.0), 6) end as retry_after from walk""", LIMITER_SQL))
 def g4(spark, sf):
     rows = event_stream(spark, sf).select(F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"))
     return collected(spark, L.limit_stream(rows, LIMITS), "limiter")
 
 
-@query("g5_stream_budget")
+@query("g5_stream_budget", X.with_sql("""
+select key, request_id, us as start_us, day as usage_day, tier, used_before <= 40000 as admitted, used_before from walk""",
+    f"""recursive {X.AUDIT_SQL}, {X.TIERS_SQL},
+turns as (
+  select a.client_id as key, a.request_id, epoch_us(a.event_ts) as us, epoch_us(a.event_ts) // 86400000000 as day, coalesce(r.tier, 'unclassified') as tier,
+    cast(trunc(a.total_tokens * r.cost_multiplier) as bigint) as cost, row_number() over (partition by a.client_id order by a.event_ts, a.request_id) as n
+  from audit a join resolved r on r.model = a.model),
+walk as (
+  select *, 0::bigint as used_before from turns where n = 1
+  union all
+  select t.*, case when t.day = w.day then case when w.used_before <= 40000 then w.used_before + w.cost else w.used_before end else 0 end
+  from walk w join turns t on t.key = w.key and t.n = w.n + 1)"""))
 def g5(spark, sf):
     rows = event_stream(spark, sf)
     batch = X.audit(spark, sf)
@@ -93,7 +115,7 @@ def g5(spark, sf):
         F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"), "tier",
         B.weighted(F.col("total_tokens"), F.col("cost_multiplier")).alias("cost"), F.lit(0).cast("bigint").alias("estimate"),
     )
-    return collected(spark, L.budget_stream(priced, DAILY_LIMIT), "budget")
+    return collected(spark, L.budget_stream(priced, DAILY_LIMIT), "budget").drop("tier_tokens")
 
 
 @query("g6_stream_assembly", X.with_sql("""

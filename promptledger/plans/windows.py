@@ -36,7 +36,29 @@ def e1(spark, sf):
     return demand(limited_requests(spark, sf), LIMITS)
 
 
-@query("e2_limiter_replay")
+# One request after the other per key, with the list of accepted times as state.
+LIMITER_SQL = f"""recursive {X.AUDIT_SQL},
+turns as (
+  select client_id as key, request_id, epoch_us(event_ts) as us, row_number() over (partition by client_id order by event_ts, request_id) as n from audit),
+walk as (
+  select key, n, request_id, us, [us] as accepted, cast(null as varchar) as limit_hit, cast(null as bigint) as oldest, 0 as burst_count, 0 as minute_count, 0 as hour_count
+  from turns where n = 1
+  union all
+  select key, n, request_id, us, case when hit is null then list_append(hours, us) else hours end, hit,
+    case hit when 'burst' then bursts[1] + 10000000 when 'minute' then minutes[1] + 60000000 when 'hour' then hours[1] + 3600000000 end,
+    len(bursts), len(minutes), len(hours)
+  from (select *, case when len(bursts) >= 2 then 'burst' when len(minutes) >= 3 then 'minute' when len(hours) >= 4 then 'hour' end as hit
+    from (select t.*, list_filter(w.accepted, lambda a: t.us - a < 10000000) as bursts, list_filter(w.accepted, lambda a: t.us - a < 60000000) as minutes,
+        list_filter(w.accepted, lambda a: t.us - a < 3600000000) as hours
+      from walk w join turns t on t.key = w.key and t.n = w.n + 1) x) y)"""
+
+
+@query("e2_limiter_replay", X.with_sql("""
+select key, request_id, us as start_ts, limit_hit is null as allowed, limit_hit, round(greatest(0.1::double, (oldest - us) / 1000000.0), 6) as retry_after,
+  burst_count::bigint as burst_count, minute_count::bigint as minute_count, hour_count::bigint as hour_count
+from (select * from walk where limit_hit is not null) z
+union all
+select key, request_id, us, true, null, null, burst_count, minute_count, hour_count from walk where limit_hit is null""", LIMITER_SQL))
 def e2(spark, sf):
     return replay_limits(limited_requests(spark, sf), LIMITS)
 
@@ -57,19 +79,49 @@ def e3_tier(spark, sf):
 
 
 def budget_requests(spark, sf):
-    """Requests that last a few minutes, with an estimate that varies."""
+    """Requests that last a few minutes but start on the day they end, with an estimate that varies."""
     rows = X.audit(spark, sf)
     tiers = B.resolve_tiers(rows, X.assignments(spark), X.tiers(spark))
     return B.with_tiers(rows, tiers).select(
         "request_id", F.col("client_id").alias("key"), "tier", "tier_daily_limit", "cost_multiplier",
         F.col("total_tokens").alias("tokens"),
         (F.col("event_id") % 7 * 100).cast("int").alias("estimated_tokens"),
-        A.start_ts(F.col("event_ts"), F.col("latency_ms") * 1000).alias("start_ts"),
+        F.greatest(A.start_ts(F.col("event_ts"), F.col("latency_ms") * 1000), F.date_trunc("day", "event_ts")).alias("start_ts"),
         F.col("event_ts").alias("end_ts"),
     )
 
 
-@query("e4_budget_replay")
+# One check or charge of a day after the other; state is the use per client, that of the capped tier, and the
+# denied requests whose end is still to come.
+_BUDGET_SQL = f"""recursive {X.AUDIT_SQL}, {X.TIERS_SQL},
+asked as (
+  select a.request_id, cast(substr(a.client_id, 8) as int) + 1 as slot, r.tier, coalesce(r.tier_daily_limit, 0) as cap,
+    cast(trunc(a.total_tokens * r.cost_multiplier) as bigint) as cost, a.total_tokens as raw, event_id % 7 * 100 as estimate,
+    cast(trunc(event_id % 7 * 100 * r.cost_multiplier) as bigint) as weighted_estimate, epoch_us(a.event_ts) as end_us,
+    greatest(epoch_us(a.event_ts) - cast(round(coalesce(a.latency_ms, 0) * 1000 * 1000) as bigint), epoch_us(a.event_ts) // 86400000000 * 86400000000) as start_us
+  from audit a join resolved r on r.model = a.model),
+moves as (
+  select *, at_us // 86400000000 as day, row_number() over (partition by at_us // 86400000000 order by at_us, request_id, kind) as n
+  from (select *, start_us as at_us, 0 as kind from asked union all select *, end_us, 1 from asked) x),
+walk as (
+  select distinct 0::bigint as n, day, list_resize([0::bigint], 10, 0::bigint) as used, 0::bigint as tier_used, []::varchar[] as denied,
+    null::varchar as request_id, 0 as kind, null::varchar as budget_type from moves
+  union all
+  select n, day, case when kind = 1 and not is_denied then list_transform(used, lambda u, i: case when i = slot then u + cost else u end) else used end,
+    case when kind = 1 and not is_denied and cap > 0 then tier_used + raw else tier_used end,
+    case when kind = 0 and verdict is not null then list_append(denied, request_id) when kind = 1 and is_denied then list_filter(denied, lambda d: d <> request_id) else denied end,
+    request_id, kind, verdict
+  from (select *, kind = 1 and list_contains(denied, request_id) as is_denied,
+      case when kind = 0 then case when used[slot] + weighted_estimate > {DAILY_LIMIT} then 'daily_key_limit'
+        when cap > 0 and tier_used + estimate > cap then concat('daily_tier_limit:', tier) end end as verdict
+    from (select m.*, w.used, w.tier_used, w.denied from walk w join moves m on m.day = w.day and m.n = w.n + 1) y) z)"""
+
+
+@query("e4_budget_replay", X.with_sql("""
+select w.request_id, concat('client-', a.slot - 1) as key, a.tier, a.start_us as start_ts, w.budget_type is null as admitted, w.budget_type,
+  w.used[a.slot] as key_used, case when a.cap > 0 then w.tier_used end as tier_used, a.weighted_estimate,
+  case when w.budget_type is null then a.cost else 0 end as charged_tokens
+from walk w join asked a using (request_id) where w.kind = 0 and w.n > 0""", _BUDGET_SQL))
 def e4(spark, sf):
     return B.replay_admissions(budget_requests(spark, sf), DAILY_LIMIT)
 

@@ -72,7 +72,7 @@ def main():
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("COMPARE_PARTITIONS", "8"))
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )

@@ -32,9 +32,8 @@ def test_plan_has_no_cross_join_and_no_stray_python(spark, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert sorted(set(entry.queries()) - set(SQL)) == [
-        "e2_limiter_replay", "e4_budget_replay", "e7_policy_chain", "g4_stream_limiter", "g5_stream_budget",
-    ]
+    """Checked against hand-made cases in test_replay.py; its parts have SQL of their own."""
+    assert sorted(set(entry.queries()) - set(SQL)) == ["e7_policy_chain"]
 
 
 def test_entry(spark):

@@ -51,9 +51,9 @@ def simulate_limits(rows, limits, rpm_of=lambda key: None):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_limiter_replay_is_exact(spark, seed):
-    rows = make_requests(seed)
+    rows = make_requests(seed, 600, 12 if seed == 3 else 30)
     want = simulate_limits(rows, LIMITS)
     df = spark.createDataFrame(rows, "key string, request_id string, start_ts timestamp").repartition(5)
     got = {
