@@ -18,7 +18,7 @@ from promptledger.plans.scan_tables import PII_EVENTS_SQL, SCANS_SQL, labelled_s
 
 # --- keys --------------------------------------------------------------------------------------
 
-_AUTH_SQL = f"""{X.KEYS_SQL}, {X.KEYED_SQL},
+AUTH_SQL = f"""{X.KEYS_SQL}, {X.KEYED_SQL},
 authenticated as (
   select q.request_id, epoch_us(q.request_ts) as request_ts, q.model, q.endpoint, s.key_id,
     case when q.api_key = '' then 'anonymous' when length(q.api_key) < 16 then 'invalid_api_key_format'
@@ -36,21 +36,21 @@ def authenticated(spark, sf):
     return keys.authenticate(X.keyed_requests(spark, sf), X.stored_keys(spark, sf), X.configured_keys(spark))
 
 
-@query("d1_authenticate", X.with_sql("select request_id, request_ts, auth_status, client_id, environment, rate_limit_rpm, target_endpoint from authenticated", _AUTH_SQL))
+@query("d1_authenticate", X.with_sql("select request_id, request_ts, auth_status, client_id, environment, rate_limit_rpm, target_endpoint from authenticated", AUTH_SQL))
 def d1(spark, sf):
     return authenticated(spark, sf).select(
         "request_id", "request_ts", "auth_status", "client_id", "environment", "rate_limit_rpm", "target_endpoint"
     )
 
 
-@query("d1_rejected", X.with_sql("select request_id, auth_status from authenticated where auth_status like 'invalid%'", _AUTH_SQL))
+@query("d1_rejected", X.with_sql("select request_id, auth_status from authenticated where auth_status like 'invalid%'", AUTH_SQL))
 def d1_rejected(spark, sf):
     return keys.rejected(authenticated(spark, sf)).select("request_id", "auth_status")
 
 
 @query("d2_last_used", X.with_sql("""
 select s.key_id, max(a.request_ts) as last_used_at from stored_keys s
-left join (select * from authenticated where auth_status = 'stored') a on a.key_id = s.key_id group by s.key_id""", _AUTH_SQL))
+left join (select * from authenticated where auth_status = 'stored') a on a.key_id = s.key_id group by s.key_id""", AUTH_SQL))
 def d2(spark, sf):
     uses = authenticated(spark, sf).filter("auth_status = 'stored'")
     return keys.touch_last_used(X.stored_keys(spark, sf), uses).select("key_id", "last_used_at")
@@ -69,7 +69,7 @@ select request_id,
     when key_id % 4 = 0 then model glob 'phi4:*' or model glob 'gpt-?o' else model glob '*embed*' end as model_allowed,
   case when auth_status <> 'stored' or key_id % 3 = 2 then true
     when key_id % 3 = 0 then endpoint = 'gpunode-ollama' else endpoint in ('dgxspark-ollama', 'local-vllm') end as endpoint_allowed
-from authenticated""", _AUTH_SQL))
+from authenticated""", AUTH_SQL))
 def d9(spark, sf):
     return keys.check_allowlists(authenticated(spark, sf)).select("request_id", "model_allowed", "endpoint_allowed")
 

@@ -11,7 +11,7 @@ from promptledger.operators import policy as P
 from promptledger.operators.ratelimit import RateLimits, demand, replay_limits
 from promptledger.plans import fixtures as X
 from promptledger.plans.aggregates import charged
-from promptledger.plans.joins import authenticated, task_policies
+from promptledger.plans.joins import AUTH_SQL, authenticated, task_policies
 from promptledger.plans.registry import query
 
 # Limits low enough for a sparse log to hit them.
@@ -36,21 +36,25 @@ def e1(spark, sf):
     return demand(limited_requests(spark, sf), LIMITS)
 
 
-# One request after the other per key, with the list of accepted times as state.
-LIMITER_SQL = f"""recursive {X.AUDIT_SQL},
-turns as (
-  select client_id as key, request_id, epoch_us(event_ts) as us, row_number() over (partition by client_id order by event_ts, request_id) as n from audit),
-walk as (
+def _limiter_walk(name: str, turns: str) -> str:
+    """One request after the other per key (turns: key, n, request_id, us, rpm); state is the accepted times."""
+    return f"""{name} as (
   select key, n, request_id, us, [us] as accepted, cast(null as varchar) as limit_hit, cast(null as bigint) as oldest, 0 as burst_count, 0 as minute_count, 0 as hour_count
-  from turns where n = 1
+  from {turns} where n = 1
   union all
   select key, n, request_id, us, case when hit is null then list_append(hours, us) else hours end, hit,
     case hit when 'burst' then bursts[1] + 10000000 when 'minute' then minutes[1] + 60000000 when 'hour' then hours[1] + 3600000000 end,
     len(bursts), len(minutes), len(hours)
-  from (select *, case when len(bursts) >= 2 then 'burst' when len(minutes) >= 3 then 'minute' when len(hours) >= 4 then 'hour' end as hit
+  from (select *, case when len(bursts) >= 2 then 'burst' when len(minutes) >= rpm then 'minute' when len(hours) >= 4 then 'hour' end as hit
     from (select t.*, list_filter(w.accepted, lambda a: t.us - a < 10000000) as bursts, list_filter(w.accepted, lambda a: t.us - a < 60000000) as minutes,
         list_filter(w.accepted, lambda a: t.us - a < 3600000000) as hours
-      from walk w join turns t on t.key = w.key and t.n = w.n + 1) x) y)"""
+      from {name} w join {turns} t on t.key = w.key and t.n = w.n + 1) x) y)"""
+
+
+LIMITER_SQL = f"""recursive {X.AUDIT_SQL},
+turns as (
+  select client_id as key, request_id, epoch_us(event_ts) as us, 3 as rpm, row_number() over (partition by client_id order by event_ts, request_id) as n from audit),
+{_limiter_walk('walk', 'turns')}"""
 
 
 @query("e2_limiter_replay", X.with_sql("""
@@ -91,19 +95,13 @@ def budget_requests(spark, sf):
     )
 
 
-# One check or charge of a day after the other; state is the use per client, that of the capped tier, and the
-# denied requests whose end is still to come.
-_BUDGET_SQL = f"""recursive {X.AUDIT_SQL}, {X.TIERS_SQL},
-asked as (
-  select a.request_id, cast(substr(a.client_id, 8) as int) + 1 as slot, r.tier, coalesce(r.tier_daily_limit, 0) as cap,
-    cast(trunc(a.total_tokens * r.cost_multiplier) as bigint) as cost, a.total_tokens as raw, event_id % 7 * 100 as estimate,
-    cast(trunc(event_id % 7 * 100 * r.cost_multiplier) as bigint) as weighted_estimate, epoch_us(a.event_ts) as end_us,
-    greatest(epoch_us(a.event_ts) - cast(round(coalesce(a.latency_ms, 0) * 1000 * 1000) as bigint), epoch_us(a.event_ts) // 86400000000 * 86400000000) as start_us
-  from audit a join resolved r on r.model = a.model),
-moves as (
+def _budget_walk(limit: int) -> str:
+    """One check or charge of a day after the other, from ``asked``; state is the use per client, that of
+    the capped tier, and the denied requests whose end is still to come."""
+    return f"""moves as (
   select *, at_us // 86400000000 as day, row_number() over (partition by at_us // 86400000000 order by at_us, request_id, kind) as n
   from (select *, start_us as at_us, 0 as kind from asked union all select *, end_us, 1 from asked) x),
-walk as (
+budget_walk as (
   select distinct 0::bigint as n, day, list_resize([0::bigint], 10, 0::bigint) as used, 0::bigint as tier_used, []::varchar[] as denied,
     null::varchar as request_id, 0 as kind, null::varchar as budget_type from moves
   union all
@@ -112,16 +110,30 @@ walk as (
     case when kind = 0 and verdict is not null then list_append(denied, request_id) when kind = 1 and is_denied then list_filter(denied, lambda d: d <> request_id) else denied end,
     request_id, kind, verdict
   from (select *, kind = 1 and list_contains(denied, request_id) as is_denied,
-      case when kind = 0 then case when used[slot] + weighted_estimate > {DAILY_LIMIT} then 'daily_key_limit'
+      case when kind = 0 then case when used[slot] + weighted_estimate > {limit} then 'daily_key_limit'
         when cap > 0 and tier_used + estimate > cap then concat('daily_tier_limit:', tier) end end as verdict
-    from (select m.*, w.used, w.tier_used, w.denied from walk w join moves m on m.day = w.day and m.n = w.n + 1) y) z)"""
+    from (select m.*, w.used, w.tier_used, w.denied from budget_walk w join moves m on m.day = w.day and m.n = w.n + 1) y) z)"""
+
+
+def _start_us(factor: int) -> str:
+    begin = f"epoch_us(a.event_ts) - cast(round(coalesce(a.latency_ms, 0) * {factor} * 1000) as bigint)"
+    return f"greatest({begin}, epoch_us(a.event_ts) // 86400000000 * 86400000000)"
+
+
+_BUDGET_SQL = f"""recursive {X.AUDIT_SQL}, {X.TIERS_SQL},
+asked as (
+  select a.request_id, cast(substr(a.client_id, 8) as int) + 1 as slot, r.tier, coalesce(r.tier_daily_limit, 0) as cap,
+    cast(trunc(a.total_tokens * r.cost_multiplier) as bigint) as cost, a.total_tokens as raw, event_id % 7 * 100 as estimate,
+    cast(trunc(event_id % 7 * 100 * r.cost_multiplier) as bigint) as weighted_estimate, epoch_us(a.event_ts) as end_us, {_start_us(1000)} as start_us
+  from audit a join resolved r on r.model = a.model),
+{_budget_walk(DAILY_LIMIT)}"""
 
 
 @query("e4_budget_replay", X.with_sql("""
 select w.request_id, concat('client-', a.slot - 1) as key, a.tier, a.start_us as start_ts, w.budget_type is null as admitted, w.budget_type,
   w.used[a.slot] as key_used, case when a.cap > 0 then w.tier_used end as tier_used, a.weighted_estimate,
   case when w.budget_type is null then a.cost else 0 end as charged_tokens
-from walk w join asked a using (request_id) where w.kind = 0 and w.n > 0""", _BUDGET_SQL))
+from budget_walk w join asked a using (request_id) where w.kind = 0 and w.n > 0""", _BUDGET_SQL))
 def e4(spark, sf):
     return B.replay_admissions(budget_requests(spark, sf), DAILY_LIMIT)
 
@@ -152,7 +164,43 @@ def e6_running(spark, sf):
     return B.tier_running(charged(spark, sf)).select("request_id", "tier", "usage_day", "running_raw_tokens")
 
 
-@query("e7_policy_chain")
+_CHAIN_LIMIT = 200_000
+
+_CHAIN_SQL = f"""recursive {X.AUDIT_SQL}, {X.TIERS_SQL}, {AUTH_SQL},
+base as (
+  select a.request_id, a.client_id as key, a.total_tokens, r.tier, coalesce(r.tier_daily_limit, 0) as cap, r.cost_multiplier,
+    epoch_us(a.event_ts) as end_us, {_start_us(1)} as start_us, a.event_id % 50 * 800 as max_tokens,
+    coalesce(nullif(case when u.auth_status = 'stored' then u.rate_limit_rpm end, 0), 3) as rpm,
+    case when u.auth_status <> 'stored' or u.key_id % 4 in (2, 3) then true when u.key_id % 4 = 0 then a.model glob 'phi4:*' or a.model glob 'gpt-?o'
+      else a.model glob '*embed*' end as model_ok,
+    case when u.auth_status <> 'stored' or u.key_id % 3 = 2 then true when u.key_id % 3 = 0 then a.endpoint = 'gpunode-ollama'
+      else a.endpoint in ('dgxspark-ollama', 'local-vllm') end as endpoint_ok,
+    case when a.task in ('chat', 'embeddings') and a.endpoint = 'local-vllm' then 'provider_denied_for_task'
+      when a.task = 'embeddings' and a.endpoint <> 'gpunode-ollama' then 'provider_not_allowed_for_task' end as provider_violation
+  from audit a join resolved r on r.model = a.model join authenticated u on u.request_id = a.request_id),
+turns as (select key, request_id, start_us as us, rpm, row_number() over (partition by key order by start_us, request_id) as n from base),
+{_limiter_walk('walk', 'turns')},
+checked as (
+  select b.*, w.limit_hit, round(greatest(0.1::double, (w.oldest - w.us) / 1000000.0), 6) as wait,
+    case when w.limit_hit is not null then 'rate_limit' when max_tokens > 32768 then 'token_limit' when not model_ok then 'model_not_allowed'
+      when not endpoint_ok then 'endpoint_not_allowed' end as early
+  from base b join walk w using (request_id)),
+asked as (
+  select request_id, cast(substr(key, 8) as int) + 1 as slot, tier, cap, case when provider_violation is null then total_tokens else 0 end as raw,
+    cast(trunc(case when provider_violation is null then total_tokens else 0 end * cost_multiplier) as bigint) as cost, max_tokens as estimate,
+    cast(trunc(max_tokens * cost_multiplier) as bigint) as weighted_estimate, end_us, start_us
+  from checked where early is null),
+{_budget_walk(_CHAIN_LIMIT)},
+judged as (
+  select c.*, coalesce(c.early, case when w.budget_type is not null then 'token_budget_exceeded' when c.provider_violation is not null then 'provider_task' end) as violation
+  from checked c left join (select * from budget_walk where kind = 0 and n > 0) w using (request_id))"""
+
+
+@query("e7_policy_chain", X.with_sql("""
+select request_id, key, start_us as start_ts, violation is null as allowed, violation,
+  case violation when 'rate_limit' then 'rate_limit_exceeded' when 'token_limit' then 'token_limit_exceeded' when 'provider_task' then provider_violation
+    else violation end as violation_code,
+  case when violation = 'rate_limit' then wait end as retry_after from judged""", _CHAIN_SQL))
 def e7(spark, sf):
     rights = authenticated(spark, sf).select("request_id", "allowed_models", "allowed_endpoints", F.col("rate_limit_rpm").alias("rpm_override"))
     rows = X.audit(spark, sf)
@@ -162,10 +210,10 @@ def e7(spark, sf):
         "cost_multiplier", "allowed_models", "allowed_endpoints", "rpm_override",
         F.col("total_tokens").alias("tokens"),
         (F.col("event_id") % 50 * 800).cast("int").alias("max_tokens"),
-        A.start_ts(F.col("event_ts"), F.col("latency_ms")).alias("start_ts"),
+        F.greatest(A.start_ts(F.col("event_ts"), F.col("latency_ms")), F.date_trunc("day", "event_ts")).alias("start_ts"),
         F.col("event_ts").alias("end_ts"),
     )
-    return P.enforce(requests, task_policies(spark), LIMITS, daily_limit=200_000)
+    return P.enforce(requests, task_policies(spark), LIMITS, daily_limit=_CHAIN_LIMIT)
 
 
 _HISTORY_SQL = """
