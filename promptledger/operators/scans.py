@@ -19,6 +19,8 @@ from promptledger.operators.audit import PAGE_CAP, since_hours
 
 ALERT_CAP = 1000
 EXPORT_CAP = 50_000
+# Fixed value: how exported rows name their origin.
+TRAINING_SOURCE = "gateway_production"
 
 
 # --- building ----------------------------------------------------------------------------------
@@ -244,7 +246,7 @@ def finetune_rows(scans: DataFrame, labeled_only: bool = True) -> DataFrame:
         target.alias("target"),
         F.struct(
             "request_id", "regex_threat_level", "guard_safe", "is_disagreement",
-            F.lit("gateway_production").alias("source"),
+            F.lit(TRAINING_SOURCE).alias("source"),
         ).alias("metadata"),
     )
 

@@ -49,29 +49,30 @@ def a3(spark, sf):
     return rows.select("request_id", F.sha2(R.content_text(F.col("v")), 256).alias("content_hash"))
 
 
-def _body(content, *fields):
-    """JSON text of a body; ``content`` is JSON text of an object with the field v."""
-    return F.concat(F.lit("{"), *[x for i, f in enumerate(fields) for x in ([F.lit(",")] if i else []) + [f]], F.lit("}"))
+def _body(*fields):
+    """JSON text of an object from its fields."""
+    separated = [x for i, f in enumerate(fields) for x in ([F.lit(",")] if i else []) + [f]]
+    return F.concat(F.lit("{"), *separated, F.lit("}"))
 
 
 def _field(name, value):
     return F.concat(F.lit(f'"{name}":'), value)
 
 
-def _v(json_object):
-    """The value of {"v": value} as JSON text."""
-    return F.expr("substring(_c, 6, length(_c) - 6)") if json_object is None else json_object
+def _value():
+    """The value inside the JSON text {"v": value} of column ``_c``."""
+    return F.expr("substring(_c, 6, length(_c) - 6)")
 
 
 def chat_bodies(spark, sf):
     rows = _turns(spark, sf).withColumn("_c", _content())
-    message = F.concat(F.lit('[{"role":"'), F.col("role"), F.lit('","content":'), _v(None), F.lit("}]"))
+    message = F.concat(F.lit('[{"role":"'), F.col("role"), F.lit('","content":'), _value(), F.lit("}]"))
     limit = F.expr("case turn % 3 when 0 then '0' when 1 then 'null' else '77' end")
     stop = F.expr("""case turn % 3 when 0 then '"END"' when 1 then '["a","b"]' else 'null' end""")
     return rows.select(
         "request_id", "client_id",
         _body(
-            None, _field("model", F.lit('"gpt-4o"')), _field("messages", message), _field("max_tokens", limit),
+            _field("model", F.lit('"gpt-4o"')), _field("messages", message), _field("max_tokens", limit),
             _field("temperature", F.expr("case when turn % 2 = 0 then '0' else 'null' end")), _field("stop", stop),
             _field("stream", F.expr("case when turn % 2 = 0 then 'true' else 'false' end")),
             _field("user", F.expr("""case when turn % 2 = 0 then '""' else '"u-1"' end""")),
@@ -98,8 +99,8 @@ def a4(spark, sf):
 def completion_bodies(spark, sf):
     text = F.to_json(F.struct(F.col("text").alias("v")))
     rows = _turns(spark, sf).withColumn("_c", text)
-    prompt = F.when(F.col("turn") % 2 == 0, _v(None)).otherwise(F.concat(F.lit("["), _v(None), F.lit(',"second"]')))
-    return rows.select("request_id", "client_id", _body(None, _field("model", F.lit('"davinci"')), _field("prompt", prompt), _field("top_p", F.lit("0.5"))).alias("body"))
+    prompt = F.when(F.col("turn") % 2 == 0, _value()).otherwise(F.concat(F.lit("["), _value(), F.lit(',"second"]')))
+    return rows.select("request_id", "client_id", _body(_field("model", F.lit('"davinci"')), _field("prompt", prompt), _field("top_p", F.lit("0.5"))).alias("body"))
 
 
 @query("a5_completion_requests", "select concat('conv-', conv_id, '-', turn) as request_id, 'completion' as task, 'davinci' as model, sha256(text) as prompt_hash, 1024::bigint as max_tokens, 0.5::double as top_p, false as stream from conversations")
@@ -111,8 +112,8 @@ def a5(spark, sf):
 
 def embedding_bodies(spark, sf):
     rows = _turns(spark, sf).withColumn("_c", F.to_json(F.struct(F.col("text").alias("v"))))
-    given = F.when(F.col("turn") % 2 == 0, _v(None)).otherwise(F.concat(F.lit("["), _v(None), F.lit(',"more"]')))
-    return rows.select("request_id", "client_id", _body(None, _field("model", F.lit('"nomic-embed-text"')), _field("input", given)).alias("body"))
+    given = F.when(F.col("turn") % 2 == 0, _value()).otherwise(F.concat(F.lit("["), _value(), F.lit(',"more"]')))
+    return rows.select("request_id", "client_id", _body(_field("model", F.lit('"nomic-embed-text"')), _field("input", given)).alias("body"))
 
 
 @query("a6_embedding_requests", "select concat('conv-', conv_id, '-', turn) as request_id, 'embeddings' as task, (turn % 2 + 1)::bigint as inputs, sha256(case when turn % 2 = 0 then text else concat(text, '|more') end) as input_hash, 0::bigint as max_tokens from conversations")
@@ -124,10 +125,10 @@ def a6(spark, sf):
 
 def options_bodies(spark, sf):
     rows = _turns(spark, sf).withColumn("_c", F.to_json(F.struct(F.col("text").alias("v"))))
-    chat = F.concat(F.lit('[{"role":"'), F.col("role"), F.lit('","content":'), _v(None), F.lit("}]"))
+    chat = F.concat(F.lit('[{"role":"'), F.col("role"), F.lit('","content":'), _value(), F.lit("}]"))
     asked = F.when(
         F.col("turn") % 2 == 0, _field("messages", chat)
-    ).otherwise(F.concat(_field("prompt", _v(None)), F.expr("""case when turn % 3 = 0 then ',"system":"be brief"' else '' end""")))
+    ).otherwise(F.concat(_field("prompt", _value()), F.expr("""case when turn % 3 = 0 then ',"system":"be brief"' else '' end""")))
     options = F.expr("""case when turn % 2 = 0 then '{"num_predict":5,"temperature":0.1}' else '{}' end""")
     stream = F.expr("""case when turn % 3 = 0 then ',"stream":false' else '' end""")
     return rows.select("request_id", "client_id", F.concat(F.lit('{"model":"phi4:14b",'), asked, F.lit(',"options":'), options, stream, F.lit("}")).alias("body"))
@@ -165,7 +166,7 @@ def response_bodies(spark, sf):
     rows = _turns(spark, sf).withColumn("_c", F.to_json(F.struct(F.col("text").alias("v"))))
     calls = F.expr(r"""case turn % 4 when 1 then ',"tool_calls":[{"id":"c1","function":{"name":"find","arguments":"{\\"q\\": 1}"}}]'
       when 2 then ',"tool_calls":[{"id":"c2","function":{"name":"find","arguments":"not json"}}]' else '' end""")
-    choice = F.concat(F.lit('[{"message":{"role":"assistant","content":'), _v(None), calls, F.lit('},"finish_reason":"length"}]'))
+    choice = F.concat(F.lit('[{"message":{"role":"assistant","content":'), _value(), calls, F.lit('},"finish_reason":"length"}]'))
     choices = F.when(F.col("turn") == 3, F.lit("[]")).otherwise(choice)
     usage = F.concat(F.lit(',"usage":{"prompt_tokens":'), F.col("turn"), F.lit(',"completion_tokens":9,"total_tokens":'), F.col("turn") + 9, F.lit("}}"))
     return rows.select("request_id", F.lit("asked-model").alias("model"), F.concat(F.lit('{"model":"gpt-4o-mini","choices":'), choices, usage).alias("body"))
@@ -188,7 +189,7 @@ def a9(spark, sf):
 
 def options_response_bodies(spark, sf):
     rows = _turns(spark, sf).withColumn("_c", F.to_json(F.struct(F.col("text").alias("v"))))
-    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"message":{"content":'), _v(None), F.lit("}"))).otherwise(_field("response", _v(None)))
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"message":{"content":'), _value(), F.lit("}"))).otherwise(_field("response", _value()))
     return rows.select(
         "request_id", F.lit("phi4:14b").alias("model"),
         F.concat(F.lit("{"), text, F.expr("case when turn % 3 = 0 then ',\"done\":true' else '' end"), F.lit(',"prompt_eval_count":'), F.col("turn"), F.lit(',"eval_count":4}')).alias("body"),
@@ -221,7 +222,7 @@ def data_line_rows(spark, sf):
     end = F.when(
         F.col("n") == 2, F.concat(F.lit(',"finish_reason":"stop"}],"usage":{"prompt_tokens":3,"completion_tokens":'), F.col("turn"), F.lit(',"total_tokens":'), F.col("turn") + 3, F.lit("}}"))
     ).otherwise(F.lit("}]}"))
-    line = F.concat(F.lit('data: {"choices":[{"delta":{"content":'), _v(None), F.lit("}"), end)
+    line = F.concat(F.lit('data: {"choices":[{"delta":{"content":'), _value(), F.lit("}"), end)
     at = F.timestamp_micros(F.lit(1704067200000000) + F.col("conv_id") * 60000000 + F.col("turn") * 1000000)
     chunk = p.select("request_id", (F.col("n") * 10).alias("line_no"), line.alias("line"), (at + F.make_interval(secs=F.col("n"))).alias("chunk_ts"))
     noise = F.array(
@@ -257,7 +258,7 @@ def a11_json(spark, sf):
     p = _pieces(spark, sf).withColumn("_c", F.to_json(F.struct(F.col("piece").alias("v"))))
     thinking = F.expr("""case when n = 0 then ',"thinking":"hm"' else '' end""")
     end = F.when(F.col("n") == 2, F.concat(F.lit(',"done":true,"prompt_eval_count":7,"eval_count":'), F.col("turn"))).otherwise(F.lit(""))
-    line = F.concat(F.lit('{"message":{"content":'), _v(None), thinking, F.lit("}"), end, F.lit("}"))
+    line = F.concat(F.lit('{"message":{"content":'), _value(), thinking, F.lit("}"), end, F.lit("}"))
     rows = p.select("request_id", F.col("n").alias("line_no"), line.alias("line"), F.lit(None).cast("timestamp").alias("chunk_ts"))
     return C.json_lines(rows).select("request_id", "idx", F.sha2("delta", 256).alias("delta_hash"), "thinking", "finish_reason", "total_tokens")
 

@@ -45,6 +45,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread CPU-heavy work over all cores when the input has fewer partitions than that.
 
     Large inputs have more splits than cores and pass unchanged, so no text is shuffled at scale.
+    For plain scans only: counting the partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
