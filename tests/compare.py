@@ -51,7 +51,7 @@ def compare(spark, con, sf_dir, name, fn, sql):
     names, mine = rows_of(cols, got)
     other, theirs = rows_of(want_cols, want)
     info = f"{spent:5.1f}s/{took:4.1f}s rows={len(mine)}"
-    odd = [t for t in want_types if t not in ("BIGINT", "DOUBLE", "VARCHAR", "BOOLEAN")]
+    odd = [t for t in want_types if t not in ("BIGINT", "INTEGER", "DOUBLE", "VARCHAR", "BOOLEAN")]
     if names != other:
         return False, f"{info} COLUMNS {names} vs {other}"
     if odd:
