@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptledger.llm import mixing, sharding
+from promptledger.llm import mixing, sentencepiece, sharding, toxicity
 from promptledger.llm.common import text_or_empty, word_count
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Pin the time zone, and let Python workers that start elsewhere import this package from the driver's path."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, *paths]))
+    return spark
+
+
 def query(name: str, oracle: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -107,3 +118,29 @@ def interleave(spark, sf_dir):
     )
     return sharding.interleave(docs, SHARDS, carry=("size", "text_crc32")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op1_sentencepiece")
+def encode_decode(spark, sf_dir):
+    """Piece ids of every whole text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece.decode(sentencepiece.encode(docs))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+#: Rows with this remainder of their id's checksum are held out of training.
+HELD_OUT_OF, HELD_OUT_REST = 3, 1
+TOXIC_FROM = 0.7
+
+
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF == HELD_OUT_REST, F.lit(False))
+
+
+@query("op9_toxicity")
+def score_toxicity(spark, sf_dir):
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
