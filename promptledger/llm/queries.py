@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptledger.llm import mixing, sentencepiece, sharding, toxicity
+from promptledger.llm import warc as warc_files
 from promptledger.llm.common import text_or_empty, word_count
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -144,3 +145,17 @@ def score_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
     return toxicity.score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query("op3_warc", """
+with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+q as (select *, max(page_id) over (partition by d) as last from p)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+  case when n >= 1000 and page_id is distinct from last then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id is distinct from last then last end as refers_to
+from q
+""")
+def warc(spark, sf_dir):
+    """Every page written to WARC archives and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_files.round_trip(pages, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

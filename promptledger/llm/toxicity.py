@@ -29,7 +29,7 @@ ORDERS, BITS = (3, 4, 5), 20
 #: Bounds of the training sample.
 TOXIC_ROWS, CLEAN_ROWS = 8_000, 16_000
 #: A kept bucket's log ratio, in standard errors and absolutely.
-LEAST_Z, LEAST_RATIO = 2.5, 0.7
+LEAST_Z, LEAST_RATIO = 4.0, 0.7
 #: Characters hashed at once; bounds memory for very long texts.
 PIECE = 1 << 20
 
