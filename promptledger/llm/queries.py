@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptledger.llm import mixing, sentencepiece, sharding, toxicity
+from promptledger.llm import line_dedup as lines
 from promptledger.llm import warc as warc_files
 from promptledger.llm.common import text_or_empty, word_count
 
@@ -159,3 +160,37 @@ def warc(spark, sf_dir):
     """Every page written to WARC archives and read back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc_files.round_trip(pages, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_line_dedup", r"""
+with l as (
+  select doc_id, no, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) as line from (
+    select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from documents)),
+n as (
+  select doc_id, no, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as w, row_number() over (partition by doc_id order by no) as pos
+  from l where line <> ''),
+c as (select *, sum(w) over (partition by doc_id order by pos) as e from n),
+runs as (
+  select a.doc_id, a.pos as a, min(b.pos) as b from c a join c b on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + 50 and b.e - (a.e - a.w) >= 50 group by all
+  union
+  select b.doc_id, max(a.pos) as a, b.pos as b from c a join c b on a.doc_id = b.doc_id and a.pos between b.pos - 50 and b.pos and b.e - (a.e - a.w) >= 50 group by b.doc_id, b.pos),
+filled as (
+  select r.doc_id, r.a, r.b, string_agg(c.line, chr(10) order by c.pos) as content
+  from runs r join c on c.doc_id = r.doc_id and c.pos between r.a and r.b group by all),
+later as (
+  select * from filled qualify row_number() over (partition by content order by doc_id, a) > 1),
+gone as (
+  select distinct c.doc_id, c.no from c join later r on c.doc_id = r.doc_id and c.pos between r.a and r.b),
+texts as (
+  select l0.doc_id, string_agg(l0.line, chr(10) order by l0.no) as text, count(*) as kept
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from documents) l0
+  anti join gone g on l0.doc_id = g.doc_id and l0.no = g.no group by l0.doc_id),
+counts as (select doc_id, count(*) as n_removed from gone group by doc_id)
+select d.doc_id, case when k.n_removed is null then d.text when regexp_matches(coalesce(t.text, ''), '[^\s]') then t.text else '' end as text,
+  coalesce(k.n_removed, 0) as n_removed
+from documents d left join texts t on d.doc_id = t.doc_id left join counts k on d.doc_id = k.doc_id
+""")
+def line_dedup(spark, sf_dir):
+    """Every text without its later copies of line runs of 50 words or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, removed="n_removed").select("doc_id", "text", "n_removed")
