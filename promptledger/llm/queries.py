@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptledger.llm import mixing, sentencepiece, sharding, toxicity
+from promptledger.llm import jaccard, mixing, sentencepiece, sharding, toxicity
 from promptledger.llm import line_dedup as lines
 from promptledger.llm import warc as warc_files
 from promptledger.llm.common import text_or_empty, word_count
@@ -194,3 +194,20 @@ def line_dedup(spark, sf_dir):
     """Every text without its later copies of line runs of 50 words or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs, removed="n_removed").select("doc_id", "text", "n_removed")
+
+
+@query("op5_near_duplicates", r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+t as (
+  select distinct doc_id, array_to_string(words[i:i + 3], ' ') as shingle from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from t group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from t a join t b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+links as (select p.a, p.b from pairs p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.k >= 85 * (x.n + y.n - p.k)),
+reach as (select doc_id as a, doc_id as b from w union select r.a, l.b from reach r join links l on r.b = l.a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from reach where a = w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id
+""")
+def near_duplicates(spark, sf_dir):
+    """Classes of documents whose sets of four-word shingles have a Jaccard similarity of at least 0.85."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, numerator=85, denominator=100)
