@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptledger.llm import jaccard, mixing, sentencepiece, sharding, toxicity
+from promptledger.llm import exact_topk, hashed_ann, jaccard, mixing, sentencepiece, sharding, toxicity, vectors
 from promptledger.llm import line_dedup as lines
 from promptledger.llm import warc as warc_files
 from promptledger.llm.common import text_or_empty, word_count
@@ -211,3 +211,27 @@ from w left join n on n.doc_id = w.doc_id
 def near_duplicates(spark, sf_dir):
     """Classes of documents whose sets of four-word shingles have a Jaccard similarity of at least 0.85."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, numerator=85, denominator=100)
+
+
+@query("op7_nearest")
+def nearest(spark, sf_dir):
+    """The 20 nearest found, by inner product, of every 20th vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hashed_ann.search(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op8_exact_topk", """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))),
+s as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.v::double[], b.v::double[])::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+""")
+def exact_topk_of_scaled(spark, sf_dir):
+    """The 5 highest integer inner products of every 50th vector, components scaled by 256."""
+    v = F.col("embedding")
+    scaled = F.when(vectors.finite(v), F.transform(v, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long")))
+    return exact_topk.search(table(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("v")), F.col("vec_id") % 50 == 0, k=5)
