@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptledger.llm import exact_topk, hashed_ann, jaccard, mixing, sentencepiece, sharding, toxicity, vectors
+from promptledger.llm import exact_topk, hashed_ann, html_main, jaccard, mixing, sentencepiece, sharding, toxicity, vectors
 from promptledger.llm import line_dedup as lines
 from promptledger.llm import warc as warc_files
 from promptledger.llm.common import text_or_empty, word_count
@@ -235,3 +235,10 @@ def exact_topk_of_scaled(spark, sf_dir):
     v = F.col("embedding")
     scaled = F.when(vectors.finite(v), F.transform(v, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long")))
     return exact_topk.search(table(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("v")), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op6_html_main_text")
+def html_main_text(spark, sf_dir):
+    """Main text of every page, by the templates of its host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_main.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
