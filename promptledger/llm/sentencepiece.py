@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKER = "▁"
 #: Words remembered per Python worker.
@@ -34,6 +36,15 @@ REMEMBERED = 1 << 18
 UNKNOWN_PENALTY = 10.0
 #: Steps of a score.
 SCALE = 1 << 24
+#: Words up to this length are encoded many at once, longer ones one by one.
+LONGEST_TOGETHER = 64
+#: Rows encoded together; bounds memory, never a result.
+ROWS_TOGETHER = 256
+#: Stands for a marker character in the text itself.
+LITERAL = "\0" + MARKER
+#: Private characters that stand for bytes while a text is decoded.
+BYTE_AT = 0x10F000
+BYTE_RUN = re.compile(f"[{chr(BYTE_AT)}-{chr(BYTE_AT + 255)}]+")
 
 
 @dataclass
@@ -41,9 +52,19 @@ class DoubleArray:
     """Trie over code points: from state ``s`` by symbol ``c`` to ``base[s] + c`` if ``check`` there is ``s``."""
 
     symbols: dict[str, int]
-    base: list[int]
-    check: list[int]
-    piece: list[int]
+    base: np.ndarray
+    check: np.ndarray
+    piece: np.ndarray
+
+    @property
+    def code_table(self) -> np.ndarray:
+        """Symbol of each code point, 0 for those in no piece."""
+        made = self.__dict__.get("_codes")
+        if made is None:
+            made = self.__dict__["_codes"] = np.zeros(max(map(ord, self.symbols), default=0) + 2, np.int64)
+            for c, symbol in self.symbols.items():
+                made[ord(c)] = symbol
+        return made
 
     @classmethod
     def build(cls, pieces: list[tuple[str, int]]) -> DoubleArray:
@@ -89,7 +110,7 @@ class DoubleArray:
             for c, start, end in children:
                 check[shift + c] = state
                 todo.append((shift + c, depth + 1, start, end))
-        return cls(symbols, base, check, piece)
+        return cls(symbols, *(np.array(x, np.int64) for x in (base, check, piece)))
 
 
 @dataclass
@@ -104,39 +125,41 @@ class UnigramModel:
     control: set[int]
     words: re.Pattern | None
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    surface: list[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.surface = self.surfaces()
 
     def _viterbi(self, word: str) -> tuple[int, ...]:
-        """Best path through one word."""
+        """Best path through one word, place by place."""
         symbols, base, check, piece, scores = self.trie.symbols, self.trie.base, self.trie.check, self.trie.piece, self.scores
         codes = [symbols.get(c, 0) for c in word]
-        n, size, lowest = len(codes), len(check), self.lowest
+        n, size = len(codes), len(check)
         best: list[float] = [-math.inf] * (n + 1)
         back, by = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0
         for start in range(n):
-            here = best[start]
-            state, end, single = 0, start, False
+            here, state, end, single = best[start], 0, start, False
             while end < n and (c := codes[end]):
                 to = base[state] + c
                 if to >= size or check[to] != state:
                     break
-                state, end = to, end + 1
-                if (p := piece[state]) >= 0:
+                state, end = int(to), end + 1
+                if (p := int(piece[state])) >= 0:
                     single = single or end == start + 1
-                    total = here + scores[p]
-                    if total > best[end]:
+                    if (total := here + scores[p]) > best[end]:
                         best[end], back[end], by[end] = total, start, p
-            if not single:
-                total, end = here + lowest, start + 1
-                if total > best[end]:
-                    best[end], back[end], by[end] = total, start, -1
+            if not single and (total := here + self.lowest) > best[start + 1]:
+                best[start + 1], back[start + 1], by[start + 1] = total, start, -1
         path, end = [], n
         while end:
-            start = back[end]
-            path.append((by[end], start, end))
-            end = start
+            path.append((by[end], back[end], end))
+            end = back[end]
+        return self._ids(word, reversed(path))
+
+    def _ids(self, word: str, path: Iterable[tuple[int, int, int]]) -> tuple[int, ...]:
         ids: list[int] = []
-        for p, start, end in reversed(path):
+        for p, start, end in path:
             if p >= 0:
                 ids.append(p)
             elif self.byte_ids:
@@ -145,57 +168,111 @@ class UnigramModel:
                 ids.append(self.unknown)
         return tuple(ids)
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            found = self._viterbi(word)
-            if len(word) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        # A marker in the text itself is written in bytes, for a piece would decode to a blank.
+    def _viterbi_all(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        """The same for many short words at once: all trie walks step together, then all words fill their next place together."""
+        base, check, piece, scores = self.trie.base, self.trie.check, self.trie.piece, np.asarray(self.scores)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = self.trie.code_table[np.minimum(chars, len(self.trie.code_table) - 1)]
+        last = np.cumsum(size + 1) - 1  # the place behind each word
+        word_start = last - size
+        offset = np.arange(len(chars)) - np.repeat(word_start, size + 1)
+        starts, ends, pieces = [], [], []
+        begin = np.delete(np.arange(len(chars)), last)
+        state, at, origin = np.zeros(len(begin), np.int64), begin, begin
+        covered = np.zeros(len(chars), bool)
+        while len(origin):
+            code = codes[at]
+            to = base[state] + code
+            ok = (code > 0) & (check[np.minimum(to, len(check) - 1)] == state) & (to < len(check))
+            state, at, origin = to[ok], at[ok] + 1, origin[ok]
+            found = piece[state] >= 0
+            starts.append(origin[found])
+            ends.append(at[found])
+            pieces.append(piece[state[found]])
+            covered[origin[found & (at == origin + 1)]] = True
+        bare = begin[~covered[begin]]
+        start, end = np.concatenate([*starts, bare]), np.concatenate([*ends, bare + 1])
+        by = np.concatenate([*pieces, np.full(len(bare), -1)])
+        gain = np.where(by >= 0, scores[by], self.lowest)
+        order = np.lexsort((start, end, offset[end]))
+        start, end, by, gain = start[order], end[order], by[order], gain[order]
+        best, via = np.zeros(len(chars), np.int64), np.zeros(len(chars), np.int64)
+        steps = np.searchsorted(offset[end], np.arange(1, size.max(initial=0) + 2))
+        for lo, hi in zip(steps, steps[1:], strict=False):
+            total, places = best[start[lo:hi]] + gain[lo:hi], end[lo:hi]
+            first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+            top = np.maximum.reduceat(total, first)
+            hit = np.flatnonzero(total == np.repeat(top, np.diff(np.r_[first, hi - lo])))
+            hit = hit[np.r_[True, places[hit][1:] != places[hit][:-1]]]  # of equal ones the earliest start
+            best[places[hit]], via[places[hit]] = top, hit + lo
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        number, here = np.flatnonzero(size > 0), last[size > 0]
+        while len(number):
+            out.append((number, via[here]))
+            here = start[via[here]]
+            more = offset[here] > 0
+            number, here = number[more], here[more]
+        if not out:
+            yield from (() for _ in words)
+            return
+        number, taken = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(number[::-1], kind="stable")
+        number, taken = number[::-1][order], taken[::-1][order]
+        cut = np.searchsorted(number, np.arange(len(words) + 1)).tolist()
+        chosen, froms, tos = by[taken], (start[taken] - word_start[number]).tolist(), offset[end[taken]].tolist()
+        odd = np.zeros(len(words), bool)
+        odd[number[chosen < 0]] = True
+        chosen = chosen.tolist()
+        for i, word in enumerate(words):
+            lo, hi = cut[i], cut[i + 1]
+            yield self._ids(word, zip(chosen[lo:hi], froms[lo:hi], tos[lo:hi], strict=True)) if odd[i] else tuple(chosen[lo:hi])
+
+    def _split(self, text: str) -> list[str]:
+        """Words with their markers; a marker character of the text itself is a word of its own kind."""
+        out: list[str] = []
         for i, part in enumerate(text.split(MARKER)):
             if i:
-                out += [self.byte_ids[b] for b in MARKER.encode()] if self.byte_ids else [self.unknown]
+                out.append(LITERAL)
             marked = part.replace(" ", MARKER) if i else MARKER + part.replace(" ", MARKER)
             if self.words:
-                get, slow = self.known.get, self._word
-                for word in self.words.findall(marked):
-                    out += get(word) or slow(word)
+                out += self.words.findall(marked)
             elif marked:
-                out += self._viterbi(marked)
+                out.append(marked)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. New words of all texts are encoded together and remembered."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        if LITERAL not in known:
+            known[LITERAL] = tuple(self.byte_ids[b] for b in MARKER.encode()) if self.byte_ids else (self.unknown,)
+        split = [self._split(t) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)).difference(known)
+        short = [w for w in new if len(w) <= LONGEST_TOGETHER]
+        known.update(zip(short, self._viterbi_all(short), strict=True))
+        known.update((w, self._viterbi(w)) for w in new if len(w) > LONGEST_TOGETHER)
+        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        for w in new:
+            if len(w) > LONGEST_TOGETHER:
+                del known[w]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
-        pieces, bytes_of = self.surface, self.bytes_of
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in bytes_of:
-                raw.append(bytes_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+        """Bytes stand as private characters, which no piece holds, until their runs are read as UTF-8."""
+        text = BYTE_RUN.sub(lambda m: bytes(ord(c) - BYTE_AT for c in m[0]).decode("utf-8", "replace"), "".join(map(self.surface.__getitem__, ids)))
         return text[1:] if text.startswith(" ") else text
 
-    @property
-    def surface(self) -> list[str]:
-        """Text of each piece."""
-        made = self.__dict__.get("_surface")
-        if made is None:
-            made = ["" if i in self.control else " ⁇ " if i == self.unknown else p.replace(MARKER, " ") for i, p in enumerate(self.pieces)]
-            self.__dict__["_surface"] = made
-        return made
+    def surfaces(self) -> list[str]:
+        """Text of each piece as ``decode`` joins it."""
+        return [
+            "" if i in self.control else " ⁇ " if i == self.unknown else chr(BYTE_AT + self.bytes_of[i]) if i in self.bytes_of else p.replace(MARKER, " ")
+            for i, p in enumerate(self.pieces)
+        ]
 
 
 def default_model_path() -> str:
@@ -241,21 +318,34 @@ def is_unigram(proto: bytes) -> bool:
 
 def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of each whole text in the column ``ids`` (replaced if present)."""
-    return _mapped(docs, model_path, text, ids, "array<int>", pa.list_(pa.int32()), lambda m, v: m.encode(v))
+
+    def ids_of(model: UnigramModel, texts: pa.Array) -> pa.Array:
+        lists = model.encode_all([t or "" for t in texts.to_pylist()])
+        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+        values = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=texts.is_null())
+
+    return _mapped(docs, model_path, text, ids, T.ArrayType(T.IntegerType()), ids_of)
 
 
 def decode(docs: DataFrame, model_path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text that the column ``ids`` stands for."""
-    return _mapped(docs, model_path, ids, text, "string", pa.string(), lambda m, v: m.decode(v))
+
+    def text_of(model: UnigramModel, lists: pa.Array) -> pa.Array:
+        return pa.array((None if x is None else model.decode(x) for x in lists.to_pylist()), pa.string())
+
+    return _mapped(docs, model_path, ids, text, T.StringType(), text_of)
 
 
-def _mapped(docs: DataFrame, model_path: str | None, source: str, target: str, kind: str, arrow: pa.DataType, apply) -> DataFrame:
+def _mapped(docs: DataFrame, model_path: str | None, source: str, target: str, kind: T.DataType, apply: Callable[[UnigramModel, pa.Array], pa.Array]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path or default_model_path()))
+    kept = [c for c in docs.columns if c != target]
 
-    @F.arrow_udf(kind)
-    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
-        for values in batches:
-            yield pa.array((None if v is None else apply(model, v) for v in values.to_pylist()), arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_TOGETHER):
+                part = batch.slice(start, ROWS_TOGETHER)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), apply(shared.value, part.column(source))], [*kept, target])
 
-    return docs.withColumn(target, column(F.col(source)))
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(target, kind)])
+    return docs.mapInArrow(run, schema)
