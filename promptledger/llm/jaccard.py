@@ -62,6 +62,8 @@ def shared_filter(docs: DataFrame, size: int, range_bits: int) -> np.ndarray:
         for batch in batches:
             found = [tokens for *_, tokens in shingle_sets(batch.column(0), size, hasher)]
             tokens = np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
+            if not len(tokens):
+                continue
             third = np.r_[False, False, tokens[2:] == tokens[:-2]][: len(tokens)]
             of, low = _parts(tokens[~third], range_bits)
             low = low.astype(np.uint32)

@@ -101,8 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, orders: Sequence[int
     if not positive or not negative:
         return empty
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / positive)).otherwise(min(1.0, clean_rows / negative))
+    # At most about toxic_rows + clean_rows ids, so it may be broadcast; texts are never shuffled.
     sample = known.withColumn("weight", 1 / share).filter(spread_hash("sample", F.col("doc_id")) < share * float(1 << HASH_BITS))
-    rows = stored(_with_buckets(sample.join(docs.select("doc_id", "text"), "doc_id"), orders, bits), "toxicity-grams")
+    rows = stored(_with_buckets(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), orders, bits), "toxicity-grams")
     n = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     if not n["p"] or n["p"] == n["n"]:
         return empty

@@ -1,0 +1,260 @@
+"""Piece ids, toxicity, line dedup, near duplicates and page texts against brute force."""
+
+import random
+import re
+
+import pytest
+from helpers import DOCS, LONG, awkward_docs, empty_docs, sentence
+from pyspark.sql import functions as F
+
+from promptledger.llm import html_main, jaccard, line_dedup, sentencepiece, toxicity
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece.load_model(sentencepiece.default_model_path())
+
+
+def texts_of(sf="/root/testdata/sf0.001"):
+    import duckdb
+
+    return [r[0] for r in duckdb.sql(f"select text from '{sf}/documents.parquet' order by doc_id").fetchall()]
+
+
+def test_pieces_score_as_well_as_the_library(model):
+    import sentencepiece as library
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(sentencepiece.default_model_path(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    for i, p in enumerate(proto.pieces):
+        p.score = model.scores[i] / sentencepiece.SCALE
+    other = library.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    same = 0
+    samples = [line for t in texts_of() for line in t.split("\n")][:1500] + ["日本語 \U0001f600 é", "  two  blanks ", "x" * 3000, "1234567"]
+    for text, ids in zip(samples, model.encode_all(samples), strict=True):
+        theirs = other.encode(text)
+        same += ids == theirs
+        if ids != theirs:  # equal or nearly equal paths only
+            assert sum(model.scores[i] for i in ids) / sentencepiece.SCALE == pytest.approx(sum(model.scores[i] for i in theirs) / sentencepiece.SCALE, abs=1e-2)
+    assert same >= 0.98 * len(samples)
+
+
+def test_many_words_at_once_equal_one_by_one(model):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("▁abcthe日é\U0001f6009\n") for _ in range(rng.randrange(1, 30))) for _ in range(2000)] + [""]
+    assert list(model._viterbi_all(words)) == [model._viterbi(w) for w in words]
+
+
+def test_pieces_round_trip(spark, model):
+    docs = awkward_docs(spark)
+    out = sentencepiece.decode(sentencepiece.encode(docs)).collect()
+    assert len(out) == 11 and all(r["decoded"] == r["text"] for r in out)
+    assert [r["ids"] for r in out if r["text"] is None] == [None, None] and [r["ids"] for r in out if r["text"] == ""] == [[]]
+    assert sentencepiece.encode(empty_docs(spark)).columns[-1] == "ids"
+    assert all(model.decode(model.encode(t)) == t for t in [*texts_of(), "▁", "a▁▁b", " ", "  x", "\x00", LONG])
+
+
+TOXIC = ["idiot", "scumlike", "vequ", "veju"]
+
+
+def toxic_rows(n, seed):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        words = sentence(rng, rng.randrange(5, 120), 400)
+        toxic = int(rng.random() < 0.2)
+        if toxic:
+            words.insert(rng.randrange(len(words)), rng.choice(TOXIC) + rng.choice(["", "a", "eux"]))
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, toxic))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels = toxic_rows(1500, 5)
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = F.col("doc_id") % 3 == 1
+    model = toxicity.fit(docs, marks, ~held)
+    out = toxicity.score(docs.filter(held), model).join(marks, "doc_id").collect()
+    right = sum((r["score"] >= 0.7) == bool(r["toxic"]) for r in out)
+    assert right >= 0.98 * len(out) and all(0 <= r["score"] <= 1 for r in out)
+    # A held-out label changes nothing.
+    flipped = marks.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(docs, flipped, ~held)
+    assert again.intercept == pytest.approx(model.intercept) and list(again.buckets) == list(model.buckets)
+
+
+def test_toxicity_awkward(spark):
+    docs = awkward_docs(spark)
+    marks = spark.createDataFrame([(1, 1), (1, None), (3, 0), (6, 0), (None, 1), (99, 0)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, marks, F.lit(True))).collect()
+    assert len(out) == 11 and all(0 <= r["score"] <= 1 for r in out)
+    nothing = toxicity.fit(docs, marks.limit(0), F.lit(True))
+    assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.5}
+    assert toxicity.score(empty_docs(spark), nothing).count() == 0
+
+
+def test_very_long_texts_are_hashed_whole(monkeypatch):
+    text = "abc déf " * 50
+    whole = toxicity.gram_buckets(text, (3, 4, 5), 18)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    assert list(toxicity.gram_buckets(text, (3, 4, 5), 18)) == list(whole)
+
+
+def brute_line_dedup(rows, least):
+    """Delete a line if it lies in a run of at least ``least`` words that occurs earlier."""
+    docs = {}
+    for i, text in rows:
+        docs[i] = [(n, line.strip(" \t\r\x0b\x0c")) for n, line in enumerate(text.split("\n"))]
+    kept = {i: [(n, line, len(re.findall(r"[^\x20\x09-\x0D]+", line))) for n, line in d if line] for i, d in docs.items()}
+    seen, gone = {}, {i: set() for i in docs}
+    for i in sorted(docs):
+        d = kept[i]
+        for a in range(len(d)):
+            words = 0
+            for b in range(a, len(d)):
+                words += d[b][2]
+                if words >= least:
+                    content = tuple(x[1] for x in d[a : b + 1])
+                    if content in seen:
+                        gone[i].update(x[0] for x in d[a : b + 1])
+                    else:
+                        seen[content] = (i, a)
+    out = {}
+    for i, text in rows:
+        left = "\n".join(line for n, line in enumerate(text.split("\n")) if n not in gone[i])
+        out[i] = text if not gone[i] else left if re.search(r"[^\s]", left) else ""
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(11)
+    pool = [" ".join(sentence(rng, rng.randrange(1, 9))) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        lines = [rng.choice(pool) if rng.random() < 0.8 else " ".join(sentence(rng, 4)) for _ in range(rng.randrange(1, 30))]
+        if rng.random() < 0.3:
+            lines.insert(rng.randrange(len(lines)), rng.choice(["", "  ", "\t"]))
+        rows.append((i, "\n".join(lines)))
+    rows += [(200 + i, rows[5][1]) for i in range(30)] + [(300, "\n".join([pool[0]] * 64)), (301, "\n".join([pool[0]] * 64) + "\r\nend")]
+    got = {r[0]: r[1] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+    assert got == brute_line_dedup(rows, 20)
+
+
+def test_line_dedup_awkward(spark):
+    docs = awkward_docs(spark)
+    out = line_dedup.dedup_lines(docs, 5, removed="removed").collect()
+    assert len(out) == 11 and {c for c in out[0].asDict()} == {*docs.columns, "removed"}
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append((r["text"], r["removed"]))
+    assert by[1] == [("a b c d e f g", 0)] and by[2] == [("", 1), ("", 1)]
+    assert by[3] == [(None, 0)] and by[4] == [("", 0)] and by[5] == [(" \n\t ", 0)] and by[6] == [(LONG, 0)]
+    assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
+
+
+def shingle_set(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_components(rows, k, numerator, denominator):
+    sets = [shingle_set(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and denominator * len(sets[a] & sets[b]) >= numerator * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(a)] = min(i, least.get(find(a), i))
+    return [(i, len(sets[a]), i if not sets[a] else least.get(find(a))) for a, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("k", "numerator", "denominator"), [(4, 85, 100), (5, 80, 100), (2, 50, 100)])
+def test_near_duplicates_equal_brute_force(spark, k, numerator, denominator):
+    rng = random.Random(k)
+    base = sentence(rng, 150)
+    chains = [sentence(rng, rng.randrange(3, 90)) for _ in range(15)]
+    rows = []
+    for _ in range(130):  # one large group of near copies, some too far from others
+        words = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        rows.append(" ".join(words))
+    for words in chains:
+        for _ in range(rng.randrange(1, 9)):
+            words = words[:]  # each step edits the copy before it
+            for _ in range(rng.randrange(0, 3)):
+                at = rng.randrange(len(words))
+                rng.choice([lambda w=words, a=at: w.insert(a, "ins"), lambda w=words, a=at: w.pop(a) if len(w) > 1 else None, lambda w=words, a=at: w.append("end")])()
+            rows.append(" ".join(words))
+    rows += ["a b", "A B", "a", "", " ", base[0], *[" ".join(sentence(rng, 40)) for _ in range(40)]] + [" ".join(base[:60] + sentence(rng, 60)) for _ in range(25)]
+    rows += rows[:20]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows, 1))
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, numerator, denominator).collect())
+    assert got == sorted(brute_components(rows, k, numerator, denominator))
+
+
+def test_near_duplicates_awkward(spark):
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(awkward_docs(spark)).collect()), key=repr)
+    rows = [(r["doc_id"], r["text"]) for r in awkward_docs(spark).collect()]
+    assert got == sorted(brute_components(rows, 5, 80, 100), key=repr)
+    assert jaccard.near_duplicates(empty_docs(spark)).count() == 0
+    none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(none).collect()) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_long_texts_hash_as_whole(monkeypatch):
+    import pyarrow as pa
+
+    from promptledger.llm import shingles
+
+    texts = pa.array(["one two three four five six seven " * 40, None, "a b", "", "X" * 300])
+    whole = [(r, n, o.tolist(), t.tolist()) for r, n, o, t in shingles.shingle_sets(texts, 4, shingles.WordHasher())]
+    monkeypatch.setattr(shingles, "PIECE", 50)
+    parts = [(r + o, t) for r, n, own, tok in shingles.shingle_sets(texts, 4, shingles.WordHasher()) for o, t in zip(own.tolist(), tok.tolist(), strict=True)]
+    assert parts == [(r + o, t) for r, n, own, tok in whole for o, t in zip(own, tok, strict=True)]
+
+
+PAGES = "page_id long, url string, html string, text string, fixed string"
+
+
+def page(i, body, extra=""):
+    return (f"<html><head><title>t{i}</title></head><body><div class='top'><a href=/>Home</a></div><div class='wrap'><div class='story'><h2>Title {i}</h2>{body}"
+            f"<p>Posted on our site</p></div><div class='rail'>short {i}</div></div>{extra}<footer>foot</footer></body></html>")
+
+
+def test_slots_of_unmarked_pages(spark):
+    rng = random.Random(2)
+    rows = [(i, f"http://h.example/{i}", page(i, "".join(f"<p>{' '.join(sentence(rng, 40))}</p>" for _ in range(rng.randrange(1, 4)))), "x", None) for i in range(30)]
+    rows += [(100, "http://h.example/100", rows[0][2], None, None), (101, None, None, None, None), (102, "odd url", "", None, None), (103, "http://solo/", "<p>only<p>two", None, None)]
+    out = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert len(out) == 34
+    for i in range(30):
+        want = [f"Title {i}", *re.findall(r"<p>(.*?)</p>", rows[i][2])]
+        assert out[i] == "\n".join(w for w in want if w != "Posted on our site"), i
+    assert out[100] == out[0] and out[101] == out[102] == "" and out[103] == "only\ntwo"
+    assert html_main.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<article><h1>A &amp; B</h1><p>x\n <b>y</b>&nbsp;z<br>w<p>next<script>var t='</p>';</script> part</article><footer>no</footer>", "A & B\nx y z w\nnext part"),
+    ("<main><header><h1>Head</h1><p>by me</p></header><p class='ad'>buy<p>real<ul><li>one<li>two</ul><section class='comments'><article>no</article></section></main>", "Head\nreal\none\ntwo"),
+    ("<nav>a</nav><div id='cookie-notice'>b</div><form>c</form><aside>d</aside><p>text", "text"),
+    ("plain < text > & more <", "plain < text > & more <"), ("", ""), ("<", "<"), ("<!-- x", ""), ("<p>&#x41;&eacute;&notacode;", "Aé¬acode;"),
+])
+def test_main_text(html, text):
+    assert html_main.main_text(html) == text
