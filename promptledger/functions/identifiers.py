@@ -13,9 +13,6 @@ SAFE_ID = r"\A[a-zA-Z0-9][a-zA-Z0-9_.-]{0,127}\n?\z"
 SAFE_LOG_VALUE = r"\A[a-zA-Z0-9][a-zA-Z0-9_\-.:]{0,127}\n?\z"
 SAFE_IDENTIFIER = r"\A[a-zA-Z][a-zA-Z0-9_-]{0,63}\n?\z"
 SAFE_API_KEY = r"\A[a-zA-Z0-9_-]{16,128}\n?\z"
-METRIC_LABEL_CUT = 64
-LOG_VALUE_CUT = 128
-ID_CUT = 128
 
 _STRIP = unicode_regex(r"\A\s+|\s+\z")
 
@@ -30,23 +27,23 @@ def limiter_key(explicit: Column, client_id: Column, user_id: Column) -> Column:
 
 
 def clean_limiter_key(key: Column) -> Column:
-    digest = F.substring(F.sha2(key, 256), 1, 16)
-    return F.when(F.rlike(key, F.lit(SAFE_KEY)), key).otherwise(F.concat(F.lit("hashed_"), digest))
+    """Safe keys stay; others become their whole digest, so that no two keys share a limit."""
+    return F.when(F.rlike(key, F.lit(SAFE_KEY)), key).otherwise(F.concat(F.lit("hashed_"), F.sha2(key, 256)))
 
 
 def clean_log_value(value: Column) -> Column:
     replaced = F.regexp_replace(value, F.lit(r"[^\p{L}\p{N}\-_.:@]"), F.lit("_"))
-    return F.when(F.rlike(value, F.lit(SAFE_LOG_VALUE)), value).otherwise(F.substring(replaced, 1, LOG_VALUE_CUT))
+    return F.when(F.rlike(value, F.lit(SAFE_LOG_VALUE)), value).otherwise(replaced)
 
 
 def clean_metric_label(value: Column) -> Column:
     replaced = F.regexp_replace(value, F.lit(r"[^\p{L}\p{N}\-_.]"), F.lit("_"))
-    return F.coalesce(_filled(F.substring(replaced, 1, METRIC_LABEL_CUT)), F.lit("unknown"))
+    return F.coalesce(_filled(replaced), F.lit("unknown"))
 
 
 def clean_id(value: Column) -> Column:
     """Missing becomes ``anonymous``; unsafe characters become underscores, a bad first one gets a prefix."""
-    cut = F.substring(F.regexp_replace(value, F.lit(_STRIP), F.lit("")), 1, ID_CUT)
+    cut = F.regexp_replace(value, F.lit(_STRIP), F.lit(""))
     replaced = F.regexp_replace(cut, F.lit(r"[^a-zA-Z0-9_.\-]"), F.lit("_"))
     fixed = F.when(F.rlike(replaced, F.lit(r"\A[a-zA-Z0-9]")), replaced).otherwise(F.concat(F.lit("user_"), replaced))
     safe = F.when(F.rlike(cut, F.lit(SAFE_ID)), cut).otherwise(fixed)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions.once import evaluate_once
-from promptledger.functions.spans import match_spans, unicode_regex
+from promptledger.functions.spans import let, match_pieces, spans_of, unicode_regex
 from promptledger.functions.threats import threat_name, threat_order
 
 MATCH_ARRAY = "array<struct<pattern:string,category:string,text:string,position:int,level:string>>"
@@ -77,25 +78,6 @@ def select_patterns(
 EMBEDDING_PATTERNS = select_patterns(without=("delimiter_attack",))
 
 
-def _table(patterns: Sequence[InjectionPattern], case_sensitive: bool) -> Column:
-    """The patterns as one constant array."""
-    rows = [
-        F.struct(
-            F.lit(p.name).alias("pattern"),
-            F.lit(p.category).alias("category"),
-            F.lit(p.level).alias("level"),
-            F.lit(unicode_regex(p.regex, not case_sensitive)).alias("regex"),
-            F.array(*[F.lit(n) for n in p.needles]).cast("array<string>").alias("needles"),
-            F.lit(p.long_run).alias("long_run"),
-        )
-        for p in patterns
-    ]
-    return F.array(*rows) if rows else F.array().cast(_TABLE)
-
-
-_TABLE = "array<struct<pattern:string,category:string,level:string,regex:string,needles:array<string>,long_run:boolean>>"
-
-
 def injection_matches(
     text: Column,
     patterns: Sequence[InjectionPattern] = PATTERNS,
@@ -104,44 +86,38 @@ def injection_matches(
 ) -> Column:
     """All matches in pattern order, each pattern left to right.
 
-    Patterns are data, not expressions, so the plan stays small however many there are. A regex is
-    only run where one of its needles stands in the text.
+    Every pattern is a literal, so it is compiled once; its regex is only run where one of its needles stands in the text.
     """
     # What the needle tests share is worked out once per text.
-    facts = F.array(
-        F.struct(
-            text.alias("text"),
-            F.lower(text).alias("folded"),
-            F.rlike(text, F.lit(_ODD_FOLDS)).alias("odd"),
-            F.rlike(text, F.lit(_LONG_RUN)).alias("long_run"),
-        )
+    fact = F.struct(
+        text.alias("text"),
+        F.lower(text).alias("folded"),
+        F.rlike(text, F.lit(_ODD_FOLDS)).alias("odd"),
+        F.rlike(text, F.lit(_LONG_RUN)).alias("long_run"),
     )
 
-    def hit(p: Column, fact: Column) -> Column:
-        needle = F.exists(p["needles"], lambda n: F.contains(fact["folded"], n))
-        likely = (F.size(p["needles"]) == 0) | needle | fact["odd"]
-        found = likely & (~p["long_run"] | fact["long_run"]) & F.rlike(fact["text"], p["regex"])
-        if without_delimiters is None:
-            return found
-        return ~(without_delimiters & (p["category"] == "delimiter_attack")) & found
-
-    def spans(p: Column, fact: Column) -> Column:
+    def found(p: InjectionPattern, fact: Column) -> Column:
+        regex = unicode_regex(p.regex, not case_sensitive)
+        hit = F.rlike(fact["text"], F.lit(regex))
+        if p.long_run:
+            hit = fact["long_run"] & hit
+        if p.needles:
+            hit = (reduce(Column.__or__, [F.contains(fact["folded"], F.lit(n)) for n in p.needles]) | fact["odd"]) & hit
+        if without_delimiters is not None and p.category == "delimiter_attack":
+            hit = ~without_delimiters & hit
+        about = [F.lit(v).alias(k) for k, v in (("pattern", p.name), ("category", p.category), ("level", p.level))]
+        return F.when(hit, F.struct(*about, match_pieces(fact["text"], regex).alias("pieces")))
+
+    def matches(hit: Column) -> Column:
         return F.transform(
-            match_spans(fact["text"], p["regex"]),
-            lambda span: F.struct(
-                p["pattern"].alias("pattern"),
-                p["category"].alias("category"),
-                span["text"].alias("text"),
-                span["start"].alias("position"),
-                p["level"].alias("level"),
-            ),
+            spans_of(hit["pieces"]),
+            lambda span: F.struct(hit["pattern"], hit["category"], span["text"].alias("text"), span["start"].alias("position"), hit["level"]),
         )
 
-    def matches(fact: Column) -> Column:
-        hits = F.filter(_table(patterns, case_sensitive), lambda p: hit(p, fact))
-        return F.flatten(F.transform(hits, lambda p: spans(p, fact)))
-
-    return F.flatten(F.transform(facts, matches))
+    if not patterns:
+        return F.array().cast(MATCH_ARRAY)
+    hits = let(fact, lambda fact: F.array_compact(F.array(*[found(p, fact) for p in patterns])))
+    return F.flatten(F.transform(hits, matches))
 
 
 def max_threat(matches: Column) -> Column:
@@ -160,15 +136,13 @@ def scan_injection(
     text: str,
     patterns: Sequence[InjectionPattern] = PATTERNS,
     case_sensitive: bool = False,
-    max_input_length: int | None = None,
     embedding_task: Column | None = None,
 ) -> DataFrame:
-    """Add ``matches``, ``threat_level``, ``match_count``; whole texts unless a length is asked for.
+    """Add ``matches``, ``threat_level``, ``match_count``; over whole texts.
 
     Where ``embedding_task`` is true, delimiter patterns are left out.
     """
-    source = F.col(text) if max_input_length is None else F.substring(F.col(text), 1, max_input_length)
-    return _with_verdict(df, injection_matches(source, patterns, case_sensitive, embedding_task))
+    return _with_verdict(df, injection_matches(F.col(text), patterns, case_sensitive, embedding_task))
 
 
 def scan_injection_messages(
@@ -184,11 +158,6 @@ def scan_injection_messages(
     return _with_verdict(df, F.flatten(found))
 
 
-def serialized_matches(matches: Column, cut: int = 100) -> Column:
-    """Matches with the text cut for storage."""
-    return F.transform(matches, lambda m: m.withField("text", F.substring(m["text"], 1, cut)))
-
-
 def scan_json(matches: Column, threat_level: Column) -> Column:
     """The stored form of one scan."""
     return F.to_json(
@@ -197,6 +166,6 @@ def scan_json(matches: Column, threat_level: Column) -> Column:
             threat_level.alias("threat_level"),
             (threat_level != "none").alias("is_suspicious"),
             F.size(matches).alias("match_count"),
-            serialized_matches(matches).alias("matches"),
+            matches.alias("matches"),
         )
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions.once import evaluate_once
-from promptledger.functions.spans import match_spans, unicode_regex
+from promptledger.functions.spans import fold_kept, let, match_pieces, spans_of, unicode_regex
 
 # Type names and patterns, in priority order.
 PII_PATTERNS: tuple[tuple[str, str], ...] = (
@@ -31,35 +31,30 @@ def _worth_trying(text: Column, pii_type: str) -> Column:
     return F.rlike(text, F.lit(_DOTTED_DIGITS if pii_type == "IP_ADDRESS" else _TWO_DIGITS))
 
 
-def _as_detection(rank: int, pii_type: str):
-    return lambda span: F.struct(
-        span["start"].alias("start"),
-        F.lit(rank).alias("rank"),
-        span["end"].alias("end"),
-        F.lit(pii_type).alias("pii_type"),
-        span["text"].alias("value"),
-    )
-
-
 def all_matches(text: Column) -> Column:
     """Every match of every pattern, in order of start and then of pattern priority."""
     found = []
     for rank, (pii_type, written) in enumerate(PII_PATTERNS):
         pattern = unicode_regex(written)
-        spans = F.transform(match_spans(text, pattern), _as_detection(rank, pii_type))
         hit = _worth_trying(text, pii_type) & F.rlike(text, F.lit(pattern))
-        found.append(F.when(hit, spans).otherwise(F.array().cast(DETECTION_ARRAY)))
-    return F.array_sort(F.concat(*found))
+        about = F.struct(F.lit(rank).alias("rank"), F.lit(pii_type).alias("pii_type"), match_pieces(text, pattern).alias("pieces"))
+        found.append(F.when(hit, about))
 
+    def matches(p: Column) -> Column:
+        return F.transform(
+            spans_of(p["pieces"]),
+            lambda span: F.struct(span["start"].alias("start"), p["rank"], span["end"].alias("end"), p["pii_type"], span["text"].alias("value")),
+        )
 
-def _without_overlaps(matches: Column) -> Column:
-    start = F.struct(F.lit(-1).alias("last_end"), F.array().cast(DETECTION_ARRAY).alias("kept"))
+    return F.array_sort(F.flatten(F.transform(F.array_compact(F.array(*found)), matches)))
 
-    def step(acc: Column, m: Column) -> Column:
-        grown = F.struct(m["end"].alias("last_end"), F.concat(acc["kept"], F.array(m)).alias("kept"))
-        return F.when(m["start"] >= acc["last_end"], grown).otherwise(acc)
 
-    return F.aggregate(matches, start, step, lambda acc: acc["kept"])
+def _without_overlaps(matches: Column) -> Column:
+    def step(last_end: Column, m: Column) -> tuple[Column, Column, Column]:
+        keep = m["start"] >= last_end
+        return F.when(keep, m["end"]).otherwise(last_end), keep, m
+
+    return fold_kept(matches, DETECTION_ARRAY, F.lit(-1), step)
 
 
 def detections(text: Column) -> Column:
@@ -69,35 +64,29 @@ def detections(text: Column) -> Column:
 
 
 def scrubbed(text: Column, found: Column) -> Column:
-    """Text with each detection replaced by its type in brackets; null when there is none."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    """Text with each detection replaced by its type in brackets; null when there is none.
 
-    def step(acc: Column, d: Column) -> Column:
-        before = F.substring(text, acc["pos"] + 1, d["start"] - acc["pos"])
-        out = F.concat(acc["out"], before, F.lit("["), d["pii_type"], F.lit("]"))
-        return F.struct(d["end"].alias("pos"), out.alias("out"))
+    The text is cut into characters once; what stands between two detections is a slice of them.
+    """
 
-    built = F.aggregate(
-        found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    )
-    return F.when(F.size(found) > 0, built)
+    def built(chars: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda d: d["end"]))
+        ends = F.concat(F.transform(found, lambda d: d["start"]), F.array(F.size(chars)))
+        names = F.concat(F.transform(found, lambda d: F.concat(F.lit("["), d["pii_type"], F.lit("]"))), F.array(F.lit("")))
+        pieces = F.arrays_zip(starts.alias("a"), ends.alias("b"), names.alias("name"))
+        return F.array_join(F.transform(pieces, lambda p: F.concat(F.array_join(F.slice(chars, p["a"] + 1, p["b"] - p["a"]), ""), p["name"])), "")
 
+    return F.when(F.size(found) > 0, let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), built))
 
-def scan_pii(df: DataFrame, text: str, max_input_length: int | None = None) -> DataFrame:
-    """Add ``detections`` and ``truncated``. Whole texts are scanned unless a length is asked for."""
-    source = F.col(text)
-    if max_input_length is None:
-        return evaluate_once(df, "detections", detections(source)).withColumn("truncated", F.lit(False))
-    window = F.substring(source, 1, max_input_length)
-    return evaluate_once(df, "detections", detections(window)).withColumn(
-        "truncated", F.coalesce(F.length(source) > max_input_length, F.lit(False))
-    )
+
+def scan_pii(df: DataFrame, text: str) -> DataFrame:
+    """Add ``detections`` of the whole text."""
+    return evaluate_once(df, "detections", detections(F.col(text)))
 
 
-def scrub_pii(df: DataFrame, text: str, max_input_length: int | None = None) -> DataFrame:
-    """Add ``scrubbed_text``: null when clean. With a length limit the tail is dropped, never leaked."""
-    source = F.col(text) if max_input_length is None else F.substring(F.col(text), 1, max_input_length)
-    return df.withColumn("scrubbed_text", scrubbed(source, F.col("detections")))
+def scrub_pii(df: DataFrame, text: str) -> DataFrame:
+    """Add ``scrubbed_text``: null when clean."""
+    return df.withColumn("scrubbed_text", scrubbed(F.col(text), F.col("detections")))
 
 
 def summary(found: Column) -> tuple[Column, Column, Column]:

@@ -101,10 +101,6 @@ def tokens_per_second(completion_tokens: Column, latency_ms: Column) -> Column:
     return F.when((completion_tokens > 0) & (latency_ms > 0), completion_tokens / (latency_ms / F.lit(1000.0)))
 
 
-def cut_error(message: Column, length: int) -> Column:
-    return F.substring(filled(message), 1, length)
-
-
 def total_tokens(prompt: Column, completion: Column) -> Column:
     return F.coalesce(prompt, F.lit(0)) + F.coalesce(completion, F.lit(0))
 

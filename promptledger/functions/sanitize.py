@@ -17,8 +17,13 @@ DIRECTIONAL = r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
 CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]"
 TAGS = r"[\x{E0000}-\x{E007F}]"
 
-# No code point below U+0300 changes under NFC, so only texts with a higher one go to Python.
-_MAY_CHANGE_UNDER_NFC = r"[\x{0300}-\x{10FFFF}]"
+# Only these can change under NFC or compose with what stands before them: marks, conjoining vowels and finals, and the blocks
+# that hold characters with another canonical form. Other scripts, emoji and typographic signs don't go to Python.
+_MAY_CHANGE_UNDER_NFC = (
+    r"[\p{M}\x{0374}\x{037E}\x{0387}\x{0958}-\x{095F}\x{09DC}-\x{09DF}\x{0A33}-\x{0A5E}\x{0B5C}\x{0B5D}\x{0F43}-\x{0FB9}"
+    r"\x{1161}-\x{1175}\x{11A8}-\x{11C2}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}"
+    r"\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+)
 
 
 @F.pandas_udf(T.StringType())

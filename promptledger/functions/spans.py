@@ -6,6 +6,8 @@ the total length of what stands before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,20 +42,55 @@ def unicode_regex(pattern: str, ignore_case: bool = False) -> str:
 SPAN_ARRAY = "array<struct<start:int,end:int,text:string>>"
 
 
-def match_spans(text: Column, pattern: str | Column) -> Column:
-    """``array<struct<start,end,text>>`` of all matches of a pattern that never matches empty."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # One gap more than matches: the text after the last match comes without a hit.
-    pieces = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_ARRAY).alias("spans"))
+#: Items folded at once. An array that grows by one is copied each time, so it only grows to this length.
+BLOCK = 128
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def fold_kept(items: Column, kind: str, first: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Walk over ``items`` with a running value; ``step(value, item)`` gives the next value, whether to keep something, and what.
+
+    ``kind`` is the type of the kept array. Items are walked in blocks, so the time grows with their number.
+    """
+
+    def one(acc: Column, item: Column) -> Column:
+        value, keep, made = step(acc["value"], item)
+        grown = F.struct(value.alias("value"), F.concat(acc["kept"], F.array(made).cast(kind)).alias("kept"))
+        return F.when(keep, grown).otherwise(F.struct(value.alias("value"), acc["kept"].alias("kept")))
+
+    def block(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["value"].alias("value"), F.array().cast(kind).alias("kept"))
+        return let(
+            F.aggregate(part, start, one),
+            lambda done: F.struct(done["value"].alias("value"), F.concat(acc["blocks"], F.array(done["kept"])).alias("blocks")),
+        )
+
+    def walk(every: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(every) - 1) / BLOCK)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(every, b * BLOCK + 1, BLOCK))
+        start = F.struct(first.alias("value"), F.array().cast(f"array<{kind}>").alias("blocks"))
+        return F.flatten(F.aggregate(parts, start, block, lambda acc: acc["blocks"]))
+
+    return let(items, walk)
+
+
+def match_pieces(text: Column, pattern: str) -> Column:
+    """``array<struct<gap,hit>>``: what stands before each match, and the match; the last gap has no hit."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("gap"), found.alias("hit"))
+
+
+def spans_of(pieces: Column) -> Column:
+    """``array<struct<start,end,text>>`` of the matches in pieces."""
 
-    def step(acc: Column, piece: Column) -> Column:
-        begin = acc["pos"] + F.length(piece["gap"])
-        stop = begin + F.length(piece["hit"])
+    def step(pos: Column, piece: Column) -> tuple[Column, Column, Column]:
+        begin = pos + F.length(piece["gap"])
+        stop = begin + F.coalesce(F.length(piece["hit"]), F.lit(0))
         span = F.struct(begin.alias("start"), stop.alias("end"), piece["hit"].alias("text"))
-        grown = F.struct(stop.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-        return F.when(piece["hit"].isNotNull(), grown).otherwise(acc)
+        return stop, piece["hit"].isNotNull(), span
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+    return fold_kept(pieces, SPAN_ARRAY, F.lit(0), step)

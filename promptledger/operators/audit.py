@@ -8,10 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptledger.functions.requests import cut_error, tokens_per_second, total_tokens
+from promptledger.functions.requests import filled, tokens_per_second, total_tokens
 from promptledger.operators.ordered import _join_on, exact_percentiles
 
-PAGE_CAP = 500
 RETENTION_DAYS = 90
 
 
@@ -45,13 +44,13 @@ def _where(df: DataFrame, **equal: str | None) -> DataFrame:
 def audit_rows(
     requests: DataFrame, store_request_body: bool = False, store_response_body: bool = False
 ) -> DataFrame:
-    """Complete audit rows: token total, speed, cut error text, event date, bodies only when allowed."""
+    """Complete audit rows: token total, speed, error text (empty counts as none), event date, bodies only when allowed."""
     out = (
         requests.withColumn("total_tokens", total_tokens(F.col("prompt_tokens"), F.col("completion_tokens")))
         .withColumn("event_date", F.to_date("event_ts"))
     )
     if "error_message" in out.columns:
-        out = out.withColumn("error_message", cut_error(F.col("error_message"), 1000))
+        out = out.withColumn("error_message", filled(F.col("error_message")))
     if "tokens_per_second" not in out.columns:
         out = out.withColumn("tokens_per_second", tokens_per_second(F.col("completion_tokens"), F.col("latency_ms")))
     return keep_bodies(out, store_request_body, store_response_body)
@@ -94,7 +93,7 @@ def request_page(
 ) -> DataFrame:
     """One page of summaries, newest first, with the number of all matching rows."""
     rows = _where(audit, client_id=client_id, environment=environment, status=status)
-    page = rows.orderBy(F.desc("event_ts"), "request_id").offset(offset).limit(min(limit, PAGE_CAP))
+    page = rows.orderBy(F.desc("event_ts"), "request_id").offset(offset).limit(limit)
     return page.select(
         "request_id", "event_ts", "client_id", "user_id", "environment", "task", "model", "endpoint", "status",
         "latency_ms", "prompt_tokens", "completion_tokens", "total_tokens", "error_code",

@@ -40,25 +40,29 @@ class RateLimits:
 def _demand_counts(rows: DataFrame, limits: RateLimits) -> DataFrame:
     """Requests of the key in each window up to now, the current one included.
 
-    Keys are cut into stretches of four long windows; the last window of a stretch is copied
-    to the next one, so counts are complete and no key has to fit into one task.
+    Requests of one moment are counted first. A running count over these moments and over one probe at the lower end of each
+    window gives the requests in the window as a difference, so the time grows with the rows however dense they are. Keys are
+    cut into stretches of four long windows; the last window of a stretch is copied to the next one, so counts are complete
+    and no key has to fit into one task.
     """
     reach = limits.hour_window * MICROS
     stretch = 4 * reach
     own = F.floor(F.col("_us") / F.lit(stretch))
     late = F.col("_us") % F.lit(stretch) >= stretch - reach
     copies = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = rows.withColumn("_own", own).withColumn("_stretch", F.explode(copies))
-    ordered = Window.partitionBy("key", "_stretch").orderBy("_us")
-    for name, seconds, _ in limits.windows:
-        frame = ordered.rangeBetween(-(seconds * MICROS - 1), Window.currentRow)
-        spread = spread.withColumn(f"{name}_demand", F.count(F.lit(1)).over(frame))
-    # Requests of the same moment count for each other; in a replay only those with a smaller id came first.
-    same = Window.partitionBy("key", "_stretch", "_us")
-    spread = spread.withColumn(
-        "_later", F.count(F.lit(1)).over(same) - F.row_number().over(same.orderBy("request_id"))
+    moments = rows.groupBy("key", "_us").agg(F.count(F.lit(1)).alias("_n"))
+    spread = moments.withColumn("_own", own).withColumn("_stretch", F.explode(copies))
+    points = [F.struct(F.lit("own").alias("kind"), F.col("_us").alias("at"), F.col("_n").alias("n"))] + [
+        F.struct(F.lit(name).alias("kind"), (F.col("_us") - seconds * MICROS).alias("at"), F.lit(0).cast("bigint").alias("n")) for name, seconds, _ in limits.windows
+    ]
+    upto = F.sum("p.n").over(Window.partitionBy("key", "_stretch").orderBy("p.at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = spread.withColumn("p", F.explode(F.array(*points))).withColumn("_upto", upto).filter("_stretch = _own").groupBy("key", "_us", "_n").agg(
+        *[F.max(F.when(F.col("p.kind") == kind, F.col("_upto"))).alias(f"_{kind}") for kind in ("own", *[w[0] for w in limits.windows])]
     )
-    return spread.filter("_stretch = _own").drop("_own", "_stretch")
+    demands = counted.select("key", "_us", "_n", *[(F.col("_own") - F.col(f"_{name}")).alias(f"{name}_demand") for name, _, _ in limits.windows])
+    # Requests of the same moment count for each other; in a replay only those with a smaller id came first.
+    place = F.row_number().over(Window.partitionBy("key", "_us").orderBy("request_id"))
+    return _join_on(rows, demands, ["key", "_us"]).withColumn("_later", F.col("_n") - place).drop("_n")
 
 
 def demand(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataFrame:
@@ -158,7 +162,7 @@ def replay_limits(requests: DataFrame, limits: RateLimits = RateLimits()) -> Dat
         .drop("_jump")
     )
 
-    placed = _left_on(counted, stretches, ["key", "_hour"])
+    placed = counted.join(stretches, ["key", "_hour"], "left")
     quiet = placed.filter(F.coalesce("_history", F.lit(True))).select(
         "key", "request_id", "start_ts",
         F.lit(True).alias("allowed"),
@@ -179,10 +183,6 @@ def replay_limits(requests: DataFrame, limits: RateLimits = RateLimits()) -> Dat
     return quiet.unionByName(contended)
 
 
-def _left_on(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    return left.join(right, names, "left")
-
-
 def remaining(limit: Column | int, count: Column) -> Column:
     """What an accepted request leaves of a limit."""
     return (limit if isinstance(limit, Column) else F.lit(limit)) - count - 1

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from promptledger.functions.globs import glob_match
 from promptledger.functions.identifiers import SAFE_IDENTIFIER
 
-# Fixed values.
+# Fixed value.
 PREFIXED_MODEL = r"\A([a-zA-Z][a-zA-Z0-9_-]*)/(.+)\n?\z"
-MAX_ATTEMPTS = 10
 
 
 
@@ -157,8 +156,10 @@ def with_resolution(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     return requests.join(right, on, "left").drop("_rm", "_env")
 
 
-def fallback_order(requests: DataFrame, catalog: DataFrame, health: DataFrame, providers: DataFrame) -> DataFrame:
-    """Attempts per distinct (provider, model_name, fallback_allowed), first ten.
+def fallback_order(
+    requests: DataFrame, catalog: DataFrame, health: DataFrame, providers: DataFrame, max_attempts: int | None = None
+) -> DataFrame:
+    """All attempts per distinct (provider, model_name, fallback_allowed), or the first ``max_attempts``.
 
     Healthy endpoints that have the model, other endpoints that have it, the provider itself,
     then the remaining enabled providers in declared order.
@@ -184,7 +185,9 @@ def fallback_order(requests: DataFrame, catalog: DataFrame, health: DataFrame, p
     rest = F.when(F.col("fallback_allowed"), F.transform("_chain", lambda c: c["endpoint"])).otherwise(
         F.array().cast("array<string>")
     )
-    attempts = F.slice(F.array_distinct(F.concat(first, F.array("provider"), rest)), 1, MAX_ATTEMPTS)
+    attempts = F.array_distinct(F.concat(first, F.array("provider"), rest))
+    if max_attempts is not None:
+        attempts = F.slice(attempts, 1, max_attempts)
     return rows.select("provider", "model_name", "fallback_allowed", attempts.alias("attempts"))
 
 

@@ -9,16 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.functions.guard import has_guard, is_disagreement
-from promptledger.functions.injection import scan_injection_messages, serialized_matches
+from promptledger.functions.injection import scan_injection_messages
 from promptledger.functions.once import evaluate_once
 from promptledger.functions.pii import detections
 from promptledger.functions.sanitize import sanitize
 from promptledger.functions.spans import unicode_regex
 from promptledger.functions.threats import at_least
-from promptledger.operators.audit import PAGE_CAP, since_hours
+from promptledger.operators.audit import since_hours
 
-ALERT_CAP = 1000
-EXPORT_CAP = 50_000
 # Fixed value: how exported rows name their origin.
 TRAINING_SOURCE = "gateway_production"
 
@@ -75,7 +73,7 @@ def scan_rows(analyzed: DataFrame, guard: DataFrame | None = None) -> DataFrame:
         "request_id", "event_ts", "client_id", "model", "task", "messages",
         F.col("threat_level").alias("regex_threat_level"),
         F.col("match_count").alias("regex_match_count"),
-        F.when(F.size("matches") > 0, serialized_matches(F.col("matches"))).alias("regex_matches"),
+        F.when(F.size("matches") > 0, F.col("matches")).alias("regex_matches"),
     )
     if guard is None:
         verdict = F.lit(None).cast("struct<safe:boolean,skipped:boolean,category_code:string,category_name:string,confidence:string,error:string>")
@@ -139,7 +137,7 @@ def list_scans(
         rows = rows.filter("is_disagreement")
     if unlabeled_only:
         rows = rows.filter(F.col("label").isNull())
-    page = rows.orderBy(F.desc("event_ts"), "request_id").offset(offset).limit(min(limit, PAGE_CAP))
+    page = rows.orderBy(F.desc("event_ts"), "request_id").offset(offset).limit(limit)
     return page.select("*", rows.agg(F.count(F.lit(1))).scalar().alias("total_matches"))
 
 
@@ -148,7 +146,7 @@ def scan_by_id(scans: DataFrame, request_id: str) -> DataFrame:
 
 
 def recent_alerts(alert_rows: DataFrame, limit: int = 100) -> DataFrame:
-    return alert_rows.orderBy(F.desc("event_ts"), "request_id", "alert_type").limit(min(limit, ALERT_CAP))
+    return alert_rows.orderBy(F.desc("event_ts"), "request_id", "alert_type").limit(limit)
 
 
 def recent_results(
@@ -263,9 +261,10 @@ def raw_rows(scans: DataFrame, labeled_only: bool = True) -> DataFrame:
     return rows.select(*RAW_COLUMNS)
 
 
-def oldest_first(scans: DataFrame, limit: int = 10_000) -> DataFrame:
-    """The export page of the service: oldest rows first, at most 50,000."""
-    return scans.orderBy("event_ts", "request_id").limit(min(limit, EXPORT_CAP))
+def oldest_first(scans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Oldest rows first: all, or as many as asked for."""
+    ordered = scans.orderBy("event_ts", "request_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def export_training(rows: DataFrame, path: str) -> None:

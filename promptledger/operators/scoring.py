@@ -29,7 +29,7 @@ def score(requests: DataFrame, scorer: Callable[[list[dict]], str]) -> DataFrame
                     try:
                         raw = scorer([{"role": m["role"], "content": m["content"]} for m in messages])
                     except Exception as e:  # noqa: BLE001 - one bad row must not fail the task
-                        error = str(e)[:128]
+                        error = str(e)
                 rows.append((request_id, raw, error, round((time.perf_counter() - begin) * 1000, 2)))
             yield pd.DataFrame(rows, columns=["request_id", "guard_raw_response", "guard_error", "guard_inference_ms"])
 

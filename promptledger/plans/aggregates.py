@@ -23,7 +23,7 @@ from promptledger.plans.scan_tables import (
 
 
 @query("a1_audit_append", X.with_sql("""
-select request_id, epoch_us(event_ts) as event_ts, client_id, model, endpoint, status, substr(error_message, 1, 1000) as error_message,
+select request_id, epoch_us(event_ts) as event_ts, client_id, model, endpoint, status, error_message,
   prompt_tokens::bigint as prompt_tokens, completion_tokens::bigint as completion_tokens, total_tokens::bigint as total_tokens,
   round(tokens_per_second, 6) as tokens_per_second, event_date::varchar as event_date from audit""", X.AUDIT_SQL))
 def a1(spark, sf):
@@ -42,7 +42,9 @@ def a2(spark, sf):
     return A.keep_bodies(rows, store_request_body=True, store_response_body=False)
 
 
-_COUNTED = ("events", "conversations", "documents", "labels", "customer", "pages")
+_COUNTED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query("a18_table_counts", " union all ".join(f"select '{t}' as table_name, count(*) as row_count from {t}" for t in _COUNTED))

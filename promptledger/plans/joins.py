@@ -279,7 +279,7 @@ options as (
   select p.provider, p.model_name, p.fallback_allowed, e.name, 3, e.ord
   from (select distinct provider, model_name, fallback_allowed from provided where fallback_allowed) p, endpoints e where e.enabled),
 ranked as (select provider, model_name, fallback_allowed, endpoint, min(class * 100 + ord) as rnk from options group by all),
-fallbacks as (select provider, model_name, fallback_allowed, list(endpoint order by rnk)[1:10] as attempts from ranked group by all)"""
+fallbacks as (select provider, model_name, fallback_allowed, list(endpoint order by rnk) as attempts from ranked group by all)"""
 
 
 @query("d16_fallback_order", X.with_sql("select provider, model_name, fallback_allowed, array_to_string(attempts, ',') as attempts from fallbacks", _PROVIDER_SQL, X.CATALOG_SQL, X.ENDPOINTS_SQL, X.HEALTH_SQL, _FALLBACK))

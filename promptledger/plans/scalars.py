@@ -25,7 +25,6 @@ from promptledger.plans.scan_tables import (
     labelled_scans,
     pii_hits_sql,
 )
-from promptledger.session import spread
 
 # Characters placed into the documents by arithmetic, so that every kind occurs: zero width,
 # directional, control, tag, and a letter followed by a combining accent.
@@ -36,7 +35,7 @@ DIRTY = (
 
 
 def dirty_documents(spark, sf):
-    return spread(X._table(spark, sf, "documents").selectExpr("doc_id", f"{DIRTY} as text"))
+    return X._table(spark, sf, "documents").selectExpr("doc_id", f"{DIRTY} as text")
 
 
 _ZERO = r"[\x{200B}\x{200C}\x{200D}\x{2060}-\x{2064}\x{FEFF}]"
@@ -94,7 +93,7 @@ _PII_DOCS = "recursive docs as (select doc_id, text from documents), " + pii_hit
 
 
 def pii_documents(spark, sf):
-    return pii.scan_pii(spread(X._table(spark, sf, "documents").select("doc_id", "text")), "text")
+    return pii.scan_pii(X._table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
 @query("f4_pii_scan", X.with_sql("select doc_id, name as pii_type, start_pos, end_pos, value from pii_kept", _PII_DOCS))
@@ -108,7 +107,7 @@ def f4(spark, sf):
 @query("f4_pii_pages", X.with_sql("select page_id, name as pii_type, start_pos, end_pos, value from pii_kept",
     "recursive " + pii_hits_sql("pages", "page_id", "html")))
 def f4_pages(spark, sf):
-    hits = pii.scan_pii(spread(X._table(spark, sf, "pages").select("page_id", "html")), "html")
+    hits = pii.scan_pii(X._table(spark, sf, "pages").select("page_id", "html"), "html")
     return hits.select("page_id", F.explode("detections").alias("d")).select(
         "page_id", "d.pii_type", F.col("d.start").alias("start_pos"), F.col("d.end").alias("end_pos"), "d.value"
     )
@@ -192,15 +191,15 @@ _SEEDED_SQL = f"docs as (select doc_id, {_SEEDED} as text from documents)"
 
 
 def seeded_documents(spark, sf):
-    return spread(X._table(spark, sf, "documents").selectExpr("doc_id", f"{_SEEDED} as text"))
+    return X._table(spark, sf, "documents").selectExpr("doc_id", f"{_SEEDED} as text")
 
 
 @query("f9_injection_scan", X.with_sql(f"""
-select doc_id, name as pattern, category, substr(value, 1, 100) as matched, start_pos as position, {_LEVEL.format('level_ord')} as level from hits""", _SEEDED_SQL, _HITS))
+select doc_id, name as pattern, category, value as matched, start_pos as position, {_LEVEL.format('level_ord')} as level from hits""", _SEEDED_SQL, _HITS))
 def f9(spark, sf):
     out = J.scan_injection(seeded_documents(spark, sf), "text")
     return out.select("doc_id", F.explode("matches").alias("m")).select(
-        "doc_id", "m.pattern", "m.category", F.substring("m.text", 1, 100).alias("matched"), "m.position", "m.level"
+        "doc_id", "m.pattern", "m.category", F.col("m.text").alias("matched"), "m.position", "m.level"
     )
 
 
@@ -247,7 +246,7 @@ select doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\s+(\\w+ing)\\b')) as ma
   case when len(regexp_extract_all(text, '(?i)\\bthe\\s+(\\w+ing)\\b')) > 0 then 'medium' else 'none' end as threat_level from documents""")
 def h3(spark, sf):
     own = [J.InjectionPattern("the_ing", "house_rules", "medium", r"\bthe\s+(\w+ing)\b", ("the",))]
-    return J.scan_injection(spread(X._table(spark, sf, "documents").select("doc_id", "text")), "text", own).select("doc_id", "match_count", "threat_level")
+    return J.scan_injection(X._table(spark, sf, "documents").select("doc_id", "text"), "text", own).select("doc_id", "match_count", "threat_level")
 
 
 @query("f12_threat_order", X.with_sql("select request_id, regex_threat_level, threat_ord::bigint as threat_order from scans", SCANS_SQL))
@@ -258,7 +257,7 @@ def f12(spark, sf):
 @query("f13_scan_json", X.with_sql(f"""
 select d.doc_id, concat('{{"scanned":true,"threat_level":"', lvl, '","is_suspicious":', lvl <> 'none', ',"match_count":', n, ',"matches":[', js, ']}}') as scan_json
 from (select d.doc_id, {_LEVEL.format('coalesce(max(level_ord), 0)')} as lvl, count(h.doc_id) as n,
-  coalesce(string_agg(concat('{{"pattern":"', name, '","category":"', category, '","text":"', substr(value, 1, 100), '","position":', start_pos, ',"level":"', {_LEVEL.format('level_ord')}, '"}}'), ',' order by rank, start_pos) filter (where h.doc_id is not null), '') as js
+  coalesce(string_agg(concat('{{"pattern":"', name, '","category":"', category, '","text":', cast(to_json(value) as varchar), ',"position":', start_pos, ',"level":"', {_LEVEL.format('level_ord')}, '"}}'), ',' order by rank, start_pos) filter (where h.doc_id is not null), '') as js
   from docs d left join hits h using (doc_id) group by d.doc_id) d""", _SEEDED_SQL, _HITS))
 def f13(spark, sf):
     out = J.scan_injection(seeded_documents(spark, sf), "text")
@@ -393,7 +392,7 @@ def f22_all(spark, sf):
 
 @query("f23_raw_rows", X.with_sql("""
 select request_id, label, label_category, regex_threat_level, regex_match_count, guard_safe, guard_category_code, is_disagreement, client_id, model, event_us as event_ts
-from scans where label is not null order by event_us, request_id limit 10000""", SCANS_SQL))
+from scans where label is not null order by event_us, request_id""", SCANS_SQL))
 def f23(spark, sf):
     rows = scans.oldest_first(labelled_scans(spark, sf).filter("label is not null").withColumn("label_notes", F.lit(None).cast("string")))
     return scans.raw_rows(rows).select(
@@ -425,7 +424,7 @@ _KEYISH = "case event_id % 5 when 0 then 'good-key_1' when 1 then 'bad key\n' wh
 
 
 @query("f25_limiter_key", f"""
-select event_id, case when k ~ '^[a-zA-Z0-9][a-zA-Z0-9_-]*$' and not contains(k, chr(10)) then k else concat('hashed_', substr(sha256(k), 1, 16)) end as limiter_key
+select event_id, case when k ~ '^[a-zA-Z0-9][a-zA-Z0-9_-]*$' and not contains(k, chr(10)) then k else concat('hashed_', sha256(k)) end as limiter_key
 from (select event_id, coalesce(nullif({_KEYISH}, ''), nullif(case when event_id % 2 = 0 then 'client-7' else '' end, ''),
   case when event_id % 3 = 0 then 'user-8' end, 'anonymous') as k from events) x""")
 def f25(spark, sf):
@@ -496,14 +495,14 @@ def f29(spark, sf):
 
 @query("f30_timing", X.with_sql("""
 select request_id, round((epoch_us(event_ts) - start_us) / 1000.0, 6) as latency_ms, round(case when completion_tokens > 0 and epoch_us(event_ts) > start_us
-  then completion_tokens / ((epoch_us(event_ts) - start_us) / 1000000.0) end, 6) as tokens_per_second, substr(error_message, 1, 12) as error_text
+  then completion_tokens / ((epoch_us(event_ts) - start_us) / 1000000.0) end, 6) as tokens_per_second, error_message as error_text
 from (select *, epoch_us(event_ts) - cast(round(coalesce(latency_ms, 0) * 1000) as bigint) as start_us from audit) x""", X.AUDIT_SQL))
 def f30(spark, sf):
     rows = X.audit(spark, sf).withColumn("start_ts", A.start_ts(F.col("event_ts"), F.col("latency_ms")))
     latency = Q.millis_between(F.col("event_ts"), F.col("start_ts"))
     return rows.select(
         "request_id", latency.alias("latency_ms"), Q.tokens_per_second(F.col("completion_tokens"), latency).alias("tokens_per_second"),
-        Q.cut_error(F.col("error_message"), 12).alias("error_text"),
+        Q.filled(F.col("error_message")).alias("error_text"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptledger.operators import audit as A
@@ -19,11 +22,23 @@ from promptledger.streaming import usage as U
 from promptledger.streaming.sinks import run_available
 
 
+CLOSING = "closing-row"
+
+
 def event_stream(spark, sf):
-    """The events table as a stream of audit rows."""
+    """The events table as a stream of audit rows, with a last row that moves the watermark past all others."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return A.audit_rows(raw.selectExpr(*X.AUDIT))
+    rows = A.audit_rows(raw.selectExpr(*X.AUDIT))
+    return rows.unionByName(table_stream(spark, closing_row(X.audit(spark, sf), "event_ts").select(rows.columns), "closing"))
+
+
+def closing_row(rows, time, **values):
+    """One row of the same columns, two days after the newest one; its own window never closes."""
+    late = rows.agg(F.max(time) + F.expr("interval 2 days")).scalar()
+    one = rows.sparkSession.range(1).select(*(
+        (late if f.name == time else F.lit(values.get(f.name, CLOSING if f.dataType.typeName() == "string" else None))).cast(f.dataType).alias(f.name) for f in rows.schema))
+    return one
 
 
 def table_stream(spark, rows, name):
@@ -33,19 +48,23 @@ def table_stream(spark, rows, name):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def collected(spark, stream, name):
-    """Run a stream to its end and read what it wrote.
+def out_of_order(spark, rows, time, name, files=4, late="9 minutes"):
+    """A table as a stream of a few files, one per trigger; rows near a file's end come up to ``late`` too late, the last row closes."""
+    path = scratch_path(spark, name)
+    seen = F.unix_micros(time) + F.pmod(F.xxhash64("request_id"), F.lit(1000)) * F.expr(f"unix_micros(timestamp '1970-01-01' + interval {late})") / 1000
+    ends = rows.agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
+    part = F.floor((seen - ends.select("first").scalar()) / (ends.select(F.col("last") - F.col("first")).scalar() + 1) * files)
+    parts = rows.withColumn("_part", part)
+    for k in range(files):
+        parts.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    closing_row(rows, time).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
 
-    Every shuffle partition of a stateful stream is a state store of its own, so a short run should
-    not have many more of them than cores.
-    """
+def collected(spark, stream, name):
+    """Run a stream to its end and read what it wrote."""
     path = scratch_path(spark, name)
-    partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), spark.sparkContext.defaultParallelism))
-    try:
-        run_available(stream.writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/checkpoint")
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    run_available(stream.writeStream.format("parquet").option("path", f"{path}/out"), f"{path}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -71,19 +90,28 @@ def g1_pii(spark, sf):
     return spark.read.parquet(f"{_screened(spark, sf)}/pii_events").select("request_id", "pii_type", "position_start", "value_hash")
 
 
-@query("g2_stream_first_writes", "select concat('user-', cast(user_id as varchar)) as request_id, count(distinct user_id) as copies from events group by user_id")
+@query("g2_stream_first_writes", X.with_sql("""
+select request_id, seq, epoch_us(event_ts) as event_ts from copies qualify row_number() over (partition by request_id order by event_ts, seq) = 1""",
+    X.AUDIT_SQL, """copies as (
+  select request_id, event_ts, 1::bigint as seq from audit
+  union all select request_id, event_ts, 0 from audit where event_id % 3 = 0
+  union all select request_id, event_ts - interval 5 minute, 2 from audit where event_id % 4 = 0
+  union all select request_id, event_ts + interval 5 minute, 3 from audit where event_id % 5 = 0)"""))
 def g2(spark, sf):
-    rows = event_stream(spark, sf).withColumn("request_id", F.col("user_id"))
-    return collected(spark, U.first_writes(rows), "first-writes").groupBy("request_id").agg(F.count("*").alias("copies"))
+    """Up to four copies of a request, some earlier than the first to come and in later files."""
+    rows = X.audit(spark, sf).select("event_id", "request_id", "event_ts")
+    copies = [("1", "true", "0"), ("0", "event_id % 3 = 0", "0"), ("2", "event_id % 4 = 0", "-5"), ("3", "event_id % 5 = 0", "5")]
+    every = reduce(DataFrame.union, [
+        rows.filter(where).selectExpr("request_id", f"event_ts + interval {minutes} minutes as event_ts", f"cast({seq} as bigint) as seq") for seq, where, minutes in copies])
+    return collected(spark, U.first_writes(out_of_order(spark, every, "event_ts", "copies")), "first-writes").select("request_id", "seq", "event_ts")
 
 
 @query("g3_stream_daily_usage", X.with_sql("""
 select event_date::varchar as usage_date, client_id, endpoint, model, count(*) as request_count,
   count(*) filter (where status = 'success') as success_count, sum(total_tokens)::bigint as total_tokens,
   round(coalesce(sum(estimated_cost_usd), 0), 6) as total_cost_usd, round(avg(latency_ms), 6) as avg_latency_ms
-from audit where event_date < (select cast(max(event_ts) - interval 10 minute as date) from audit) group by all""", X.AUDIT_SQL))
+from audit group by all""", X.AUDIT_SQL))
 def g3(spark, sf):
-    """Closed days only: the last day stays open in a stream."""
     return collected(spark, U.daily_usage(event_stream(spark, sf)), "daily-usage")
 
 
@@ -91,8 +119,8 @@ def g3(spark, sf):
 select key, request_id, us as start_us, limit_hit is null as allowed, limit_hit,
   case when limit_hit is not null then round(greatest(0.1::double, (oldest - us) / 1000000.0), 6) end as retry_after from walk""", LIMITER_SQL))
 def g4(spark, sf):
-    rows = event_stream(spark, sf).select(F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"))
-    return collected(spark, L.limit_stream(rows, LIMITS), "limiter")
+    rows = X.audit(spark, sf).select(F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"))
+    return collected(spark, L.limit_stream(out_of_order(spark, rows, "start_ts", "requests"), LIMITS), "limiter")
 
 
 @query("g5_stream_budget", X.with_sql("""
@@ -108,9 +136,9 @@ walk as (
   select t.*, case when t.day = w.day then case when w.used_before <= 40000 then w.used_before + w.cost else w.used_before end else 0 end
   from walk w join turns t on t.key = w.key and t.n = w.n + 1)"""))
 def g5(spark, sf):
-    rows = event_stream(spark, sf)
     batch = X.audit(spark, sf)
     tiers = B.resolve_tiers(batch, X.assignments(spark), X.tiers(spark))
+    rows = out_of_order(spark, batch.select("client_id", "request_id", "event_ts", "model", "total_tokens"), "event_ts", "spent")
     priced = B.with_tiers(rows, tiers).select(
         F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"), "tier",
         B.weighted(F.col("total_tokens"), F.col("cost_multiplier")).alias("cost"), F.lit(0).cast("bigint").alias("estimate"),
@@ -119,13 +147,11 @@ def g5(spark, sf):
 
 
 @query("g6_stream_assembly", X.with_sql("""
-select request_id, content_hash, chunk_count, finish_reason, total_tokens from assembled join timed using (request_id)
-where last_us + 30000000 <= (select max(last_us) - 60000000 from timed)""",
-    f"assembled as ({_ASSEMBLED_SQL})",
-    "timed as (select concat('conv-', conv_id, '-', turn) as request_id, 1704067200000000 + conv_id * 60000000 + turn * 1000000 + 2000000 as last_us from conversations)"))
+select request_id, content_hash, chunk_count, finish_reason, total_tokens from assembled""",
+    f"assembled as ({_ASSEMBLED_SQL})"))
 def g6(spark, sf):
-    """Closed sessions only; the last ones stay open in a stream."""
-    chunks = table_stream(spark, data_lines(data_line_rows(spark, sf)), "chunks")
+    rows = data_lines(data_line_rows(spark, sf))
+    chunks = table_stream(spark, rows.unionByName(closing_row(rows, "chunk_ts")), "chunks")
     return collected(spark, U.assemble_chunks(chunks), "assembled").select(
         "request_id", F.sha2("content", 256).alias("content_hash"), "chunk_count", "finish_reason", "total_tokens"
     )
@@ -133,17 +159,17 @@ def g6(spark, sf):
 
 @query("g7_stream_request_rate", X.with_sql("""
 select client_id, start_us as window_start, start_us + 60000000 as window_end, count(*) as request_count from (
-  select client_id, event_ts, (epoch_us(event_ts) // 10000000 - k) * 10000000 as start_us from audit, range(6) r(k)) x
-where start_us + 60000000 <= (select (epoch_us(max(event_ts)) // 1000) * 1000 - 600000000 from audit) group by client_id, start_us""", X.AUDIT_SQL))
+  select client_id, event_ts, (epoch_us(event_ts) // 10000000 - k) * 10000000 as start_us from audit, range(6) r(k)) x group by client_id, start_us""", X.AUDIT_SQL))
 def g7(spark, sf):
-    """Closed windows only."""
     return collected(spark, U.request_rate(event_stream(spark, sf)), "request-rate")
 
 
 @query("g8_stream_late_rows", X.with_sql("""
 select 'late' as kind, count(*) as row_count from waves where wave = 2 and event_ts < (select max(event_ts) - interval 10 minute from waves where wave = 1)
 union all
-select 'on_time', count(*) from waves where not (wave = 2 and event_ts < (select max(event_ts) - interval 10 minute from waves where wave = 1))""",
+select 'on_time', count(*) from waves where not (wave = 2 and event_ts < (select max(event_ts) - interval 10 minute from waves where wave = 1))
+union all
+select 'groups', count(distinct (event_date, client_id, endpoint, model)) from waves where not (wave = 2 and event_ts < (select max(event_ts) - interval 10 minute from waves where wave = 1))""",
     X.AUDIT_SQL, "waves as (select *, case when event_ts < timestamp '2024-01-21' and event_id % 50 <> 0 then 1 else 2 end as wave from audit)"))
 def g8(spark, sf):
     """Two waves; every fiftieth early row comes with the second one."""
@@ -156,5 +182,6 @@ def g8(spark, sf):
         stream = spark.readStream.schema(rows.drop("wave").schema).parquet(f"{path}/in")
         run_available(U.split_late(stream, path), f"{path}/checkpoint")
     late = spark.read.parquet(f"{path}/late").agg(F.count("*").alias("row_count")).select(F.lit("late").alias("kind"), "row_count")
-    rollup = spark.read.parquet(f"{path}/rollup").agg(F.sum("request_count").alias("row_count"))
-    return late.unionByName(rollup.select(F.lit("on_time").alias("kind"), "row_count"))
+    rollup = U.on_time_rollup(spark, path)
+    groups = rollup.agg(F.count("*").alias("row_count")).select(F.lit("groups").alias("kind"), "row_count")
+    return late.unionByName(rollup.agg(F.sum("request_count").alias("row_count")).select(F.lit("on_time").alias("kind"), "row_count")).unionByName(groups)

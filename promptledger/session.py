@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +17,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the cluster.
 
-    Only where the setting is missing (tests, local mode) a temporary folder is made
-    and registered as the checkpoint folder.
+    Where the setting is missing, a folder of the warehouse, which executors share as well, is registered instead.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="promptledger-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{warehouse}/_scratch")
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
@@ -40,12 +39,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy work over all cores when the input has fewer partitions than that.
-
-    Large inputs have more splits than cores and pass unchanged, so no text is shuffled at scale.
-    For plain scans only: counting the partitions of a plan with shuffles would run them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -11,8 +11,17 @@ from promptledger.streaming.sinks import write_batch
 
 
 def first_writes(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One row per request id among rows that arrive within the watermark."""
-    return rows.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["request_id"])
+    """The earliest row (event_ts, seq) per request id among copies at most ``delay`` apart.
+
+    A row is emitted when the watermark has passed its last copy by ``delay``.
+    """
+    everything = F.struct(*[F.col(c) for c in rows.columns])
+    kept = (
+        rows.withWatermark("event_ts", delay)
+        .groupBy(F.session_window("event_ts", delay).alias("_copies"), "request_id")
+        .agg(F.min_by(everything, F.struct("event_ts", "seq")).alias("_row"))
+    )
+    return kept.select("_row.*")
 
 
 def daily_usage(audit: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -68,23 +77,26 @@ def assemble_chunks(chunks: DataFrame, gap: str = "30 seconds", delay: str = "1
 
 
 def split_late(audit: DataFrame, path: str, delay: str = "10 minutes") -> DataStreamWriter:
-    """On-time rows go to the rollup, late ones to a side table for a later rollup run.
+    """On-time rows and late ones go to two tables, one folder per batch; ``on_time_rollup`` sums up the first.
 
-    A row is late when it is older than the newest row of all earlier batches minus ``delay``.
-    The newest times are kept next to the data, so a restart continues with them.
+    A row is late when it is older than the newest row of all earlier batches minus ``delay``. Each batch leaves the newest
+    time so far next to the data, so a batch reads one mark and a restart continues with it.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        limit = None
+        before = None
         if batch_id > 0:
-            marks = spark.read.schema("newest timestamp, batch_id bigint").parquet(f"{path}/high_water")
-            limit = marks.filter(F.col("batch_id") < batch_id).agg(
-                (F.max("newest") - F.expr(f"interval {delay}")).alias("limit")
-            ).first()["limit"]
-        late = F.lit(False) if limit is None else F.col("event_ts") < F.lit(limit)
-        write_batch(daily_rollup(batch.filter(~late)), f"{path}/rollup", batch_id)
+            before = spark.read.schema("newest timestamp").parquet(f"{path}/high_water/batch_id={batch_id - 1}").first()["newest"]
+        late = F.lit(False) if before is None else F.col("event_ts") < F.lit(before) - F.expr(f"interval {delay}")
+        write_batch(batch.filter(~late), f"{path}/on_time", batch_id)
         write_batch(batch.filter(late), f"{path}/late", batch_id)
-        write_batch(batch.agg(F.max("event_ts").alias("newest")), f"{path}/high_water", batch_id)
+        newest = F.greatest(F.max("event_ts"), F.lit(before).cast("timestamp"))
+        write_batch(batch.agg(newest.alias("newest")), f"{path}/high_water", batch_id)
 
     return audit.writeStream.foreachBatch(handle)
+
+
+def on_time_rollup(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The daily rollup over the on-time rows of all batches: one row per day and group, however many batches brought it."""
+    return daily_rollup(spark.read.parquet(f"{path}/on_time"), day)
