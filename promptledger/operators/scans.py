@@ -37,17 +37,24 @@ def analyze(requests: DataFrame) -> DataFrame:
     return scanned.drop("_combined", "sanitized")
 
 
-def _alert(kind: str, severity: str, text: Column) -> Column:
-    return F.struct(F.lit(kind).alias("alert_type"), F.lit(severity).alias("severity"), text.alias("description"))
+def _alert(kind: str, severity: str, text: Column, details: Column) -> Column:
+    return F.struct(F.lit(kind).alias("alert_type"), F.lit(severity).alias("severity"), text.alias("description"), details.alias("details"))
 
 
 def alerts(analyzed: DataFrame) -> DataFrame:
     """One row per alert: altered Unicode, and at most one injection alert named after the first match."""
+    return detailed_alerts(analyzed).drop("details")
+
+
+def detailed_alerts(analyzed: DataFrame) -> DataFrame:
+    """Alerts with ``details`` as JSON: removals per kind, or all matches. The sentences are fixed values."""
     first = F.coalesce(F.get("matches", F.lit(0))["pattern"], F.lit("unknown"))
 
     def injection(level: str, severity: str, head: str) -> Column:
         text = F.concat(F.lit(head), first)
-        return F.when(F.col("threat_level") == level, _alert(f"injection_{level}", severity, text))
+        return F.when(F.col("threat_level") == level, _alert(f"injection_{level}", severity, text, F.to_json(F.col("matches"))))
+
+    removed = F.to_json(F.struct(*[F.col(f"removed_{kind}").alias(kind) for kind in ("zero_width", "directional", "control_char")]))
 
     found = F.array_compact(
         F.array(
@@ -57,6 +64,7 @@ def alerts(analyzed: DataFrame) -> DataFrame:
                     "unicode_manipulation",
                     "warning",
                     F.concat(F.lit("Found "), F.col("total_removals"), F.lit(" suspicious Unicode characters")),
+                    removed,
                 ),
             ),
             injection("critical", "critical", "Critical injection pattern detected: "),
@@ -78,9 +86,11 @@ def scan_rows(analyzed: DataFrame, guard: DataFrame | None = None) -> DataFrame:
     if guard is None:
         verdict = F.lit(None).cast("struct<safe:boolean,skipped:boolean,category_code:string,category_name:string,confidence:string,error:string>")
         out = out.withColumn("_v", verdict).withColumn("guard_raw_response", F.lit(None).cast("string"))
+        out = out.withColumn("guard_inference_ms", F.lit(None).cast("double"))
     else:
+        spent = F.col("guard_inference_ms") if "guard_inference_ms" in guard.columns else F.lit(None).cast("double")
         out = out.join(
-            guard.select("request_id", F.col("verdict").alias("_v"), "guard_raw_response"), "request_id", "left"
+            guard.select("request_id", F.col("verdict").alias("_v"), "guard_raw_response", spent.alias("guard_inference_ms")), "request_id", "left"
         )
     return (
         out.withColumn("guard_safe", F.col("_v.safe"))
@@ -203,6 +213,20 @@ def alerts_by_severity(alert_rows: DataFrame) -> DataFrame:
 # --- labels ------------------------------------------------------------------------------------
 
 
+#: What a label may be.
+LABELS = ("safe", "unsafe")
+
+
+def valid_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter(F.coalesce(F.col("label").isin(*LABELS), F.lit(False)))
+
+
+def rejected_labels(labels: DataFrame) -> DataFrame:
+    """Label rows that name no known label, with the ``reason``."""
+    reason = F.when(F.coalesce("label", F.lit("")) == "", F.lit("label_missing")).otherwise(F.lit("label_unknown"))
+    return labels.filter(~F.coalesce(F.col("label").isin(*LABELS), F.lit(False))).withColumn("reason", reason)
+
+
 def latest_labels(labels: DataFrame, order: Sequence[str] = ("labeled_at", "seq")) -> DataFrame:
     """The label table is append-only; the last label of a request counts."""
     everything = F.struct(*[F.col(c) for c in labels.columns])
@@ -210,7 +234,8 @@ def latest_labels(labels: DataFrame, order: Sequence[str] = ("labeled_at", "seq"
 
 
 def apply_labels(scans: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scans with their current label columns."""
+    """Scans with their current label columns; rows of ``rejected_labels`` change nothing."""
+    labels = valid_labels(labels)
     kept = [c for c in ("label", "label_category", "labeled_by", "labeled_at", "label_notes") if c in labels.columns]
     current = latest_labels(labels).select("request_id", *kept)
     return scans.drop(*kept).join(current, "request_id", "left")
@@ -297,6 +322,22 @@ def pii_events(requests: DataFrame, was_scrubbed: bool = False) -> DataFrame:
     )
 
 
+def part_pii_events(requests: DataFrame, was_scrubbed: bool = False) -> DataFrame:
+    """The same for messages whose content is an array of parts: ``messages array<struct<role,parts array<struct<type,text>>>>``.
+
+    Positions count inside the part ``part_index``.
+    """
+    about = ["request_id", "event_ts", "client_id", "model", "task"]
+    turns = requests.select(*about, F.posexplode("messages").alias("message_index", "_m"))
+    parts = turns.select(*about, "message_index", F.col("_m.role").alias("message_role"), F.posexplode("_m.parts").alias("part_index", "_p"))
+    found = evaluate_once(parts.filter(F.col("_p.type") == "text"), "_d", detections(F.col("_p.text")))
+    return found.select(*about, "message_index", "message_role", "part_index", F.explode("_d").alias("_hit")).select(
+        *about, F.col("_hit.pii_type").alias("pii_type"), "message_index", "message_role", "part_index",
+        F.col("_hit.start").alias("position_start"), F.col("_hit.end").alias("position_end"),
+        F.sha2("_hit.value", 256).alias("value_hash"), F.lit(was_scrubbed).alias("was_scrubbed"),
+    )
+
+
 def list_pii_events(
     events: DataFrame, limit: int = 50, pii_type: str | None = None, client_id: str | None = None
 ) -> DataFrame:

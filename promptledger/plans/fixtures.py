@@ -20,7 +20,10 @@ AUDIT = [
     "case user_id % 3 when 0 then 'prod' when 1 then 'staging' else 'dev' end as environment",
     "case event_type when 'purchase' then 'embeddings' when 'click' then 'completion' else 'chat' end as task",
     "case event_id % 6 when 0 then 'phi4:14b' when 1 then 'llama3.1:8b' when 2 then 'llama3.1:70b' when 3 then 'nomic-embed-text' when 4 then 'mistral:7b' else 'gpt-4o' end as model",
-    "case event_id % 3 when 0 then 'gpunode-ollama' when 1 then 'dgxspark-ollama' else 'local-vllm' end as endpoint",
+    "case event_id % 3 when 0 then 'north-gpu' when 1 then 'south-gpu' else 'lab-vllm' end as endpoint",
+    "case event_id % 3 when 2 then 'vllm' else 'ollama' end as provider_type",
+    "cast(event_id % 7 * 128 as int) as max_tokens",
+    "cast(event_id % 10 as double) / 10 as temperature",
     "event_id % 2 = 0 as stream",
     "case when event_type = 'error' then 'error' else 'success' end as status",
     "case when event_type = 'error' then case event_id % 4 when 0 then 'provider_error' when 1 then 'provider_timeout' when 2 then 'no_provider' else 'token_limit_exceeded' end end as error_code",
@@ -137,7 +140,7 @@ def keys_with_plaintext(spark: SparkSession, sf: str) -> DataFrame:
         "case when c_custkey % 7 = 0 then timestamp_seconds(1705276800) end as expires_at",
         "cast(null as timestamp) as last_used_at",
         "case c_custkey % 4 when 0 then array('phi4:*', 'gpt-?o') when 1 then array('*embed*') when 2 then array() end as allowed_models",
-        "case c_custkey % 3 when 0 then array('gpunode-ollama') when 1 then array('dgxspark-ollama', 'local-vllm') end as allowed_endpoints",
+        "case c_custkey % 3 when 0 then array('north-gpu') when 1 then array('south-gpu', 'lab-vllm') end as allowed_endpoints",
     )
     return rows.withColumn("key_hash", F.sha2("api_key", 256)).withColumn("key_prefix", F.substring("api_key", 1, 12))
 
@@ -160,7 +163,7 @@ KEYED = [
     "case event_id % 8 when 0 then '' when 1 then 'short' when 2 then 'configured-key-0001' when 3 then 'unknown-key-000000001' "
     "else concat('gw-Customer_', lpad(cast(user_id as string), 9, '0')) end as api_key",
     "case event_id % 6 when 0 then 'phi4:14b' when 1 then 'llama3.1:8b' when 2 then 'llama3.1:70b' when 3 then 'nomic-embed-text' when 4 then '' else 'gpt-4o' end as model",
-    "case event_id % 3 when 0 then 'gpunode-ollama' when 1 then 'dgxspark-ollama' else 'local-vllm' end as endpoint",
+    "case event_id % 3 when 0 then 'north-gpu' when 1 then 'south-gpu' else 'lab-vllm' end as endpoint",
 ]
 KEYED_SQL = f"keyed as (select {', '.join(KEYED)} from events)"
 
@@ -171,7 +174,7 @@ def keyed_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 def configured_keys(spark: SparkSession) -> DataFrame:
     return spark.sql(
-        "select * from values ('configured-key-0001', 'ops-team', 'prod', 'gpunode-ollama') "
+        "select * from values ('configured-key-0001', 'ops-team', 'prod', 'north-gpu') "
         "as t(api_key, client_id, environment, target_endpoint)"
     )
 
@@ -179,8 +182,8 @@ def configured_keys(spark: SparkSession) -> DataFrame:
 # --- tiers -------------------------------------------------------------------------------------
 
 TIERS_VALUES = (
-    "('frontier', cast(15.0 as double), cast(50000 as bigint)), ('midrange', cast(3.0 as double), null), "
-    "('standard', cast(1.0 as double), null), ('embedding', cast(0.1 as double), null)"
+    "('frontier', cast(12.0 as double), cast(60000 as bigint)), ('midrange', cast(4.0 as double), null), "
+    "('standard', cast(1.0 as double), null), ('embedding', cast(0.2 as double), null)"
 )
 ASSIGNMENT_VALUES = (
     "(1, 'llama*', 'midrange'), (2, 'GPT-4o', 'frontier'), (3, 'phi4:14b', 'standard'), (4, '*embed*', 'embedding'), "
@@ -222,8 +225,8 @@ charged as (
 
 CATALOG_PAIR = [
     "case event_id % 6 when 0 then 'phi4:14b' when 1 then 'llama3.1:8b' when 2 then 'llama3.1:70b' when 3 then 'nomic-embed-text' when 4 then 'mistral:7b' else 'gpt-4o' end as name",
-    "case cast(((event_id % 6) * (floor(event_id / 6.0) % 2 + 1)) % 4 as int) when 0 then 'gpunode-ollama' when 1 then 'dgxspark-ollama' "
-    "when 2 then 'local-vllm' else 'retired-box' end as endpoint",
+    "case cast(((event_id % 6) * (floor(event_id / 6.0) % 2 + 1)) % 4 as int) when 0 then 'north-gpu' when 1 then 'south-gpu' "
+    "when 2 then 'lab-vllm' else 'retired-box' end as endpoint",
 ]
 CATALOG_TRAITS = [
     "case when name like '%:%' then length(name) * 1000000 end as size_bytes",
@@ -242,19 +245,19 @@ CATALOG_SQL = f"""catalog_pairs as (select distinct {', '.join(CATALOG_PAIR)} fr
 catalog as (select *, {', '.join(CATALOG_TRAITS)} from catalog_pairs)"""
 
 ENDPOINT_VALUES = (
-    "(1, 'gpunode-ollama', 'ollama', 'http://gpunode:11434', true), (2, 'dgxspark-ollama', 'ollama', 'http://dgxspark:11434', true), "
-    "(3, 'local-vllm', 'vllm', 'http://localhost:8000', true), (4, 'spare-box', 'ollama', 'http://spare:11434', false)"
+    "(1, 'north-gpu', 'ollama', 'http://north.example:9001', true), (2, 'south-gpu', 'ollama', 'http://south.example:9002', true), "
+    "(3, 'lab-vllm', 'vllm', 'http://lab.example:9003', true), (4, 'spare-box', 'ollama', 'http://spare.example:9004', false)"
 )
 ENDPOINTS_SQL = f"""endpoints as (
-  select *, case name when 'gpunode-ollama' then map {{'tier': 'prod', 'zone': 'a'}} when 'dgxspark-ollama' then map {{'tier': 'dev'}}
-    when 'local-vllm' then map {{'tier': 'prod', 'zone': 'b'}} else map {{}} end as labels
+  select *, case name when 'north-gpu' then map {{'tier': 'prod', 'zone': 'a'}} when 'south-gpu' then map {{'tier': 'dev'}}
+    when 'lab-vllm' then map {{'tier': 'prod', 'zone': 'b'}} else map {{}} end as labels
   from (values {ENDPOINT_VALUES}) t(ord, name, type, url, enabled))"""
 
 
 def endpoints(spark: SparkSession) -> DataFrame:
     return spark.sql(
-        "select *, case name when 'gpunode-ollama' then map('tier', 'prod', 'zone', 'a') when 'dgxspark-ollama' then map('tier', 'dev') "
-        "when 'local-vllm' then map('tier', 'prod', 'zone', 'b') else cast(map() as map<string,string>) end as labels "
+        "select *, case name when 'north-gpu' then map('tier', 'prod', 'zone', 'a') when 'south-gpu' then map('tier', 'dev') "
+        "when 'lab-vllm' then map('tier', 'prod', 'zone', 'b') else cast(map() as map<string,string>) end as labels "
         f"from values {ENDPOINT_VALUES} as t(ord, name, type, url, enabled)"
     )
 
@@ -265,30 +268,30 @@ def environments(spark: SparkSession) -> DataFrame:
         select 1 as ord, 'prod' as name, map('tier', 'prod') as endpoint_filter, cast(array() as array<string>) as allowed_endpoints,
           array('phi4:14b', 'llama*') as approved_models, false as allow_all_discovered
         union all select 2, 'dev', cast(map() as map<string,string>), cast(array() as array<string>), cast(array() as array<string>), true
-        union all select 3, 'staging', cast(map() as map<string,string>), array('gpunode-ollama', 'dgxspark-ollama'), array('*:?b'), false
+        union all select 3, 'staging', cast(map() as map<string,string>), array('north-gpu', 'south-gpu'), array('*:?b'), false
         """
     )
 
 
 def model_defaults(spark: SparkSession) -> DataFrame:
     return spark.sql(
-        "select * from values (1, 'llama3.1:*', 'dgxspark-ollama'), (2, 'gpt-4o', 'local-vllm'), (3, 'ghost*', 'ghost-box') as t(ord, model, endpoint)"
+        "select * from values (1, 'llama3.1:*', 'south-gpu'), (2, 'gpt-4o', 'lab-vllm'), (3, 'ghost*', 'ghost-box') as t(ord, model, endpoint)"
     )
 
 
 def priorities(spark: SparkSession) -> DataFrame:
-    return spark.sql("select * from values (1, 'local-vllm'), (2, 'phantom') as t(ord, endpoint)")
+    return spark.sql("select * from values (1, 'lab-vllm'), (2, 'phantom') as t(ord, endpoint)")
 
 
 # Requests as they ask for models: some with a prefix, some for an unknown endpoint or environment.
 ROUTED = [
     "concat('req-', cast(event_id as string)) as request_id",
     "cast(ts as timestamp) as event_ts",
-    "case event_id % 16 when 0 then 'gpunode-ollama/phi4:14b' when 1 then 'no-such-box/phi4:14b' when 2 then 'meta-llama/Llama-3' "
+    "case event_id % 16 when 0 then 'north-gpu/phi4:14b' when 1 then 'no-such-box/phi4:14b' when 2 then 'meta-llama/Llama-3' "
     "when 3 then '9bad/x' when 4 then 'brand-new' else case event_id % 6 when 0 then 'phi4:14b' when 1 then 'llama3.1:8b' "
     "when 2 then 'llama3.1:70b' when 3 then 'nomic-embed-text' when 4 then 'mistral:7b' else 'gpt-4o' end end as requested_model",
     "case user_id % 5 when 0 then 'prod' when 1 then 'staging' when 2 then 'dev' when 3 then 'qa' end as environment",
-    "case event_id % 4 when 0 then 'dgxspark-ollama' when 1 then '' end as preferred_provider",
+    "case event_id % 4 when 0 then 'south-gpu' when 1 then '' end as preferred_provider",
     "event_id % 3 <> 0 as fallback_allowed",
     "case event_id % 5 when 0 then 'prod' when 1 then 'qa' when 2 then '' end as header_environment",
     "case user_id % 4 when 0 then 'staging' when 1 then '' end as key_environment",
@@ -303,7 +306,7 @@ def routed_requests(spark: SparkSession, sf: str) -> DataFrame:
 # --- health ------------------------------------------------------------------------------------
 
 CHECKS = [
-    "case event_id % 3 when 0 then 'gpunode-ollama' when 1 then 'dgxspark-ollama' else 'local-vllm' end as provider",
+    "case event_id % 3 when 0 then 'north-gpu' when 1 then 'south-gpu' else 'lab-vllm' end as provider",
     "cast(ts as timestamp) as check_ts",
     "event_id as seq",
     "event_type <> 'error' as healthy",

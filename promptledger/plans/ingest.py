@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptledger.functions.guard import parse_hazard_verdict
+from promptledger.functions.guard import combine_risk_verdicts, parse_hazard_verdict
 from promptledger.operators import scans
-from promptledger.operators.scoring import score
+from promptledger.operators.scoring import score, score_categories
 from promptledger.plans import fixtures as X
 from promptledger.plans.registry import query
 from promptledger.plans.scan_tables import SCANS_SQL, labelled_scans
@@ -344,6 +344,47 @@ def a16(spark, sf):
     )
 
 
+@query("a16_rejects", X.with_sql("""
+select line, reason from (
+  select concat('not a json line of ', endpoint) as line, 'not_json' as reason from audit
+  union all select concat('["', endpoint, '"]'), 'not_an_object' from audit where event_id % 2 = 0
+  union all select '  ', 'empty' from audit where event_id % 5 = 0) x""", X.AUDIT_SQL))
+def a16_rejects(spark, sf):
+    """Broken lines of three kinds among good ones."""
+    rows = X.audit(spark, sf)
+    good = rows.select(F.to_json(F.struct("request_id", "model")).alias("line"))
+    broken = rows.select(F.concat(F.lit("not a json line of "), "endpoint").alias("line"))
+    lists = rows.filter("event_id % 2 = 0").select(F.concat(F.lit('["'), "endpoint", F.lit('"]')).alias("line"))
+    blank = rows.filter("event_id % 5 = 0").select(F.lit("  ").alias("line"))
+    return logs.rejected_log_lines(good.unionByName(broken).unionByName(lists).unionByName(blank))
+
+
+@query("a4_tool_messages", """
+select request_id, case kind when 3 then 'not_json' end as parse_error, case kind when 3 then null else role end as role,
+  case kind when 0 then 'call-7' end as call_id, case kind when 0 then 'look_up' end as call_name, case kind when 0 then '{"id":1}' end as call_arguments,
+  case kind when 1 then 'call-7' end as tool_call_id, case kind when 2 then 2 end as part_count, case kind when 3 then null else 1 end as tool_count,
+  case kind when 0 then '"auto"' end as tool_choice, case kind when 1 then '{"type":"json_object"}' end as response_format
+from (select concat('conv-', conv_id, '-', turn) as request_id, role, (conv_id + turn) % 4 as kind from conversations) x""")
+def a4_tools(spark, sf):
+    """Bodies with tool calls, tool answers, content parts, and broken ones, one for each turn."""
+    rows = X._table(spark, sf, "conversations").selectExpr("concat('conv-', conv_id, '-', turn) as request_id", "role", "cast((conv_id + turn) % 4 as int) as kind")
+    role = F.to_json(F.struct("role"))
+    head = F.substring(role, F.lit(1), F.length(role) - 1)
+    tools = F.lit(', "tools": [{"type": "function", "function": {"name": "look_up"}}]')
+    body = (
+        F.when(F.col("kind") == 0, F.concat(F.lit('{"messages": ['), head, F.lit(', "tool_calls": [{"id": "call-7", "type": "function", "function": {"name": "look_up", "arguments": "{\\"id\\":1}"}}]}]'), tools, F.lit(', "tool_choice": "auto"}')))
+        .when(F.col("kind") == 1, F.concat(F.lit('{"messages": ['), head, F.lit(', "content": "x", "tool_call_id": "call-7"}]'), tools, F.lit(', "response_format": {"type": "json_object"}}')))
+        .when(F.col("kind") == 2, F.concat(F.lit('{"messages": ['), head, F.lit(', "content": [{"type": "text", "text": "a"}, {"type": "image_url", "image_url": {"url": "u"}}]}]'), tools, F.lit("}")))
+        .otherwise(F.lit('{"messages": ['))
+    )
+    out = R.chat_details(rows.select("request_id", body.alias("body")))
+    m = F.get("messages", F.lit(0))
+    call = F.get(m["tool_calls"], F.lit(0))
+    return out.select(
+        "request_id", "parse_error", m["role"].alias("role"), call["id"].alias("call_id"), call["name"].alias("call_name"), call["arguments"].alias("call_arguments"),
+        m["tool_call_id"].alias("tool_call_id"), F.size(m["parts"]).alias("part_count"), F.size("tools").alias("tool_count"), "tool_choice", "response_format")
+
+
 @query("a17_training_export", X.with_sql("""
 select request_id, case when label = 'unsafe' and label_category is not null then concat('unsafe', chr(10), label_category) when label = 'unsafe' then 'unsafe' else 'safe' end as target
 from scans where label is not null""", SCANS_SQL))
@@ -358,12 +399,27 @@ def a17(spark, sf):
 # --- guard scoring -----------------------------------------------------------------------------
 
 
-def keyword_scorer(messages):
+def keyword_scorer(conversations):
     """Stand-in for a guard model: flags card numbers, fails on tags."""
-    text = " ".join(m["content"] for m in messages)
-    if "[SYSTEM]" in text:
+    texts = [" ".join(m["content"] for m in messages) for messages in conversations]
+    if any("[SYSTEM]" in text for text in texts):
         raise RuntimeError("guard model timeout")
-    return "unsafe\nS7" if "Card " in text else "safe"
+    return ["unsafe\nS7" if "Card " in text else "safe" for text in texts]
+
+
+def category_scorer(category, conversations):
+    """Stand-in for a model that is asked about one risk at a time."""
+    word = {"violence": "Card ", "jailbreak": "the"}.get(category)
+    return ["Yes" if word and any(word in m["content"] for m in messages) else "No" for messages in conversations]
+
+
+@query("h1_category_scoring", X.with_sql("""
+select request_id, case when contains(combined, 'Card ') then 'violence' when contains(combined, 'the') then 'jailbreak' end as category_code,
+  case when contains(combined, 'Card ') then 2 else 3 end as asked, not (contains(combined, 'Card ') or contains(combined, 'the')) as safe from requests""", X.REQUESTS_SQL))
+def h1_categories(spark, sf):
+    """Three categories in order; the first flagged one ends the questions."""
+    scored = score_categories(X.requests(spark, sf), category_scorer, ("harm", "violence", "jailbreak"), lambda raw: raw == "Yes")
+    return scored.withColumn("v", combine_risk_verdicts(F.col("answers"))).select("request_id", "v.category_code", F.size("answers").alias("asked"), "v.safe")
 
 
 @query("h1_guard_scoring", X.with_sql("""

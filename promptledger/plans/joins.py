@@ -26,7 +26,7 @@ authenticated as (
     case when q.api_key = '' then 'default' when q.api_key = 'configured-key-0001' then 'ops-team' else s.client_id end as client_id,
     case when q.api_key = 'configured-key-0001' then 'prod' else s.environment end as environment,
     s.rate_limit_rpm::bigint as rate_limit_rpm,
-    case when q.api_key = 'configured-key-0001' then 'gpunode-ollama' end as target_endpoint,
+    case when q.api_key = 'configured-key-0001' then 'north-gpu' end as target_endpoint,
     sha256(q.api_key) as key_hash
   from keyed q left join stored_keys s
     on s.api_key = q.api_key and s.is_active and (s.expires_us is null or s.expires_us > epoch_us(q.request_ts)))"""
@@ -68,7 +68,7 @@ select request_id,
   case when auth_status <> 'stored' or key_id % 4 in (2, 3) or model = '' then true
     when key_id % 4 = 0 then model glob 'phi4:*' or model glob 'gpt-?o' else model glob '*embed*' end as model_allowed,
   case when auth_status <> 'stored' or key_id % 3 = 2 then true
-    when key_id % 3 = 0 then endpoint = 'gpunode-ollama' else endpoint in ('dgxspark-ollama', 'local-vllm') end as endpoint_allowed
+    when key_id % 3 = 0 then endpoint = 'north-gpu' else endpoint in ('south-gpu', 'lab-vllm') end as endpoint_allowed
 from authenticated""", AUTH_SQL))
 def d9(spark, sf):
     return keys.check_allowlists(authenticated(spark, sf)).select("request_id", "model_allowed", "endpoint_allowed")
@@ -113,6 +113,17 @@ def d6(spark, sf):
     return pii_events(spark, sf)
 
 
+@query("d6_part_events", X.with_sql("""
+select request_id, pii_type, message_index::bigint as message_index, message_role, 1::bigint as part_index, position_start, position_end, value_hash from pii_events""", PII_EVENTS_SQL))
+def d6_parts(spark, sf):
+    """Messages whose text is the second of three content parts."""
+    image = "named_struct('type', 'image_url', 'text', cast(null as string))"
+    rows = X.requests(spark, sf).withColumn(
+        "messages", F.expr(f"transform(messages, m -> named_struct('role', m.role, 'parts', array({image}, named_struct('type', 'text', 'text', m.content), {image})))"))
+    return scans.part_pii_events(rows).select(
+        "request_id", "pii_type", "message_index", "message_role", "part_index", "position_start", "position_end", "value_hash")
+
+
 @query("b7_pii_event_list", X.with_sql(_PII_SQL + " where pii_type = 'SSN' and client_id = 'client-2' order by event_us desc, request_id, message_index, position_start limit 5", PII_EVENTS_SQL))
 def b7(spark, sf):
     return scans.list_pii_events(pii_events(spark, sf), 5, "SSN", "client-2")
@@ -123,6 +134,18 @@ def d7(spark, sf):
     return labelled_scans(spark, sf).select("request_id", "label", "label_category", "labeled_at", "regex_threat_level")
 
 
+_MISLABELED = "case when request_id like '%7' then 'harmful' when request_id like '%3' then '' when request_id like '%1' then null else label end as label"
+
+
+@query("d7_label_rejects", X.with_sql(f"""
+select request_id, seq, label, case when label = 'harmful' then 'label_unknown' else 'label_missing' end as reason
+from (select request_id, seq::bigint as seq, {_MISLABELED} from label_events) x where label is null or label in ('harmful', '')""", X.LABELS_SQL))
+def d7_rejects(spark, sf):
+    """Labels nobody knows, and missing ones."""
+    wrong = X.label_events(spark, sf).withColumn("label", F.expr(_MISLABELED.removesuffix(" as label")))
+    return scans.rejected_labels(wrong).select("request_id", "seq", "label", "reason")
+
+
 @query("d8_bulk_label", X.with_sql("select request_id, request_id in (select request_id from scans) as labeled from latest_labels", SCANS_SQL))
 def d8(spark, sf):
     return scans.bulk_label_report(scan_rows(spark, sf), X.label_events(spark, sf))
@@ -152,16 +175,16 @@ def d20(spark, sf):
 def task_policies(spark):
     return spark.sql(
         """
-        select 'chat' as task, cast(array() as array<string>) as allowed_providers, array('local-vllm') as denied_providers
-        union all select 'embeddings', array('gpunode-ollama', 'local-vllm'), array('local-vllm')
+        select 'chat' as task, cast(array() as array<string>) as allowed_providers, array('lab-vllm') as denied_providers
+        union all select 'embeddings', array('north-gpu', 'lab-vllm'), array('lab-vllm')
         """
     )
 
 
 @query("d10_provider_policy", X.with_sql("""
-select request_id, case when task = 'chat' and endpoint = 'local-vllm' then 'provider_denied_for_task'
-  when task = 'embeddings' and endpoint = 'local-vllm' then 'provider_denied_for_task'
-  when task = 'embeddings' and endpoint <> 'gpunode-ollama' then 'provider_not_allowed_for_task' end as provider_violation from audit""", X.AUDIT_SQL))
+select request_id, case when task = 'chat' and endpoint = 'lab-vllm' then 'provider_denied_for_task'
+  when task = 'embeddings' and endpoint = 'lab-vllm' then 'provider_denied_for_task'
+  when task = 'embeddings' and endpoint <> 'north-gpu' then 'provider_not_allowed_for_task' end as provider_violation from audit""", X.AUDIT_SQL))
 def d10(spark, sf):
     return P.check_providers(X.audit(spark, sf), task_policies(spark)).select("request_id", "provider_violation")
 
@@ -170,8 +193,8 @@ def d10(spark, sf):
 
 _EFFECTIVE = """
 select e.environment, c.name, c.endpoint from catalog c, (values ('prod'), ('dev'), ('staging')) e(environment)
-where (e.environment = 'prod' and c.endpoint in ('gpunode-ollama', 'local-vllm') and (c.name glob 'phi4:14b' or c.name glob 'llama*'))
-  or e.environment = 'dev' or (e.environment = 'staging' and c.endpoint in ('gpunode-ollama', 'dgxspark-ollama') and c.name glob '*:?b')"""
+where (e.environment = 'prod' and c.endpoint in ('north-gpu', 'lab-vllm') and (c.name glob 'phi4:14b' or c.name glob 'llama*'))
+  or e.environment = 'dev' or (e.environment = 'staging' and c.endpoint in ('north-gpu', 'south-gpu') and c.name glob '*:?b')"""
 
 
 @query("d11_effective_models", X.with_sql(_EFFECTIVE, X.CATALOG_SQL))
@@ -189,7 +212,7 @@ def d12(spark, sf):
 _RESOLVE_SQL = f"""{X.CATALOG_SQL}, {X.ENDPOINTS_SQL}, {X.ROUTED_SQL},
 pairs as (
   select distinct requested_model, environment,
-    case when requested_model like 'gpunode-ollama/%' then 'gpunode-ollama' when requested_model like 'no-such-box/%' then 'no-such-box'
+    case when requested_model like 'north-gpu/%' then 'north-gpu' when requested_model like 'no-such-box/%' then 'no-such-box'
       when requested_model like 'meta-llama/%' then 'meta-llama' end as hint
   from routed),
 named as (select *, case when hint is null then requested_model else split_part(requested_model, '/', 2) end as model_name from pairs),
@@ -201,21 +224,21 @@ cand0 as (
 cand as (
   select requested_model, environment, ord, endpoint from cand0
   where (has_it or not some_has) and case coalesce(environment, '') when 'prod' then labels['tier'] = 'prod'
-    when 'staging' then endpoint in ('gpunode-ollama', 'dgxspark-ollama') else true end),
+    when 'staging' then endpoint in ('north-gpu', 'south-gpu') else true end),
 lists as (
   select n.*, coalesce(list(c.endpoint order by c.ord) filter (where c.endpoint is not null), []) as eps
   from named n left join cand c on c.requested_model = n.requested_model and c.environment is not distinct from n.environment
   group by all),
 steps as (
   select *, len(eps) as candidate_count,
-    case when model_name glob 'llama3.1:*' then 'dgxspark-ollama' when model_name = 'gpt-4o' then 'local-vllm' end as dflt from lists),
+    case when model_name glob 'llama3.1:*' then 'south-gpu' when model_name = 'gpt-4o' then 'lab-vllm' end as dflt from lists),
 staged as (
-  select *, case when hint = 'gpunode-ollama' then 'explicit' when hint is not null then 'error' when candidate_count = 0 then 'error'
+  select *, case when hint = 'north-gpu' then 'explicit' when hint is not null then 'error' when candidate_count = 0 then 'error'
     when candidate_count = 1 then 'single' when list_contains(eps, dflt) then 'model_default'
-    when list_contains(eps, 'local-vllm') then 'priority' else 'error' end as step from steps),
+    when list_contains(eps, 'lab-vllm') then 'priority' else 'error' end as step from steps),
 resolved_endpoints as (
   select requested_model, environment, model_name, step,
-    case step when 'explicit' then hint when 'single' then eps[1] when 'model_default' then dflt when 'priority' then 'local-vllm' end as resolved_endpoint,
+    case step when 'explicit' then hint when 'single' then eps[1] when 'model_default' then dflt when 'priority' then 'lab-vllm' end as resolved_endpoint,
     case when step = 'error' then case when hint is not null then 'endpoint_not_found' when candidate_count = 0 then 'no_provider' else 'ambiguous_model' end end as resolution_error,
     candidate_count from staged)"""
 
@@ -254,7 +277,7 @@ def d14(spark, sf):
 
 _PROVIDER_SQL = f"""{X.ROUTED_SQL},
 provided as (
-  select request_id, fallback_allowed, coalesce(hint, nullif(preferred_provider, ''), 'gpunode-ollama') as provider,
+  select request_id, fallback_allowed, coalesce(hint, nullif(preferred_provider, ''), 'north-gpu') as provider,
     case when hint is not null then model_name else requested_model end as model_name
   from (select *, {_PREFIX} from routed) x)"""
 
@@ -294,9 +317,9 @@ def d17(spark, sf):
     return K.endpoints_for_model(X.catalog(spark, sf), "llama3.1:70b", X.endpoints(spark), {"tier": "prod"})
 
 
-@query("d17_models_for_endpoint", X.with_sql("select name from catalog where endpoint = 'local-vllm'", X.CATALOG_SQL))
+@query("d17_models_for_endpoint", X.with_sql("select name from catalog where endpoint = 'lab-vllm'", X.CATALOG_SQL))
 def d17_models(spark, sf):
-    return K.models_for_endpoint(X.catalog(spark, sf), "local-vllm")
+    return K.models_for_endpoint(X.catalog(spark, sf), "lab-vllm")
 
 
 @query("d17_distinct_models", X.with_sql("select distinct name from catalog", X.CATALOG_SQL))
@@ -345,7 +368,7 @@ def d21(spark, sf):
     """Violations of the configuration, the routing rules taken from the environments of the log."""
     audit = X.audit(spark, sf)
     rules = audit.select(F.col("environment").alias("task")).distinct().select(
-        "task", F.lit("retired-box").alias("provider"), F.array(F.lit("local-vllm")).alias("fallback_providers")
+        "task", F.lit("retired-box").alias("provider"), F.array(F.lit("lab-vllm")).alias("fallback_providers")
     )
     bad = R.config_violations(X.endpoints(spark), X.model_defaults(spark), X.priorities(spark), X.environments(spark), rules)
     used = audit.groupBy(F.col("environment").alias("owner")).agg(F.count("*").alias("request_count"))

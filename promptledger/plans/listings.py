@@ -34,6 +34,22 @@ def b3(spark, sf):
     return A.request_by_id(X.audit(spark, sf), "req-77").select("request_id", "event_ts", "client_id", "environment", "status", "model")
 
 
+_DETAIL = (
+    "request_id, client_id, user_id, environment, task, model, endpoint, provider_type, stream, max_tokens, temperature, status, error_code, error_message, "
+    "latency_ms, time_to_first_token_ms, prompt_tokens, completion_tokens, total_tokens, estimated_cost_usd"
+).split(", ")
+_DETAIL_SQL = ", ".join(
+    f"round({c}, 6) as {c}" if c in ("latency_ms", "time_to_first_token_ms", "temperature", "estimated_cost_usd")
+    else f"cast({c} as bigint) as {c}" if c in ("max_tokens", "prompt_tokens", "completion_tokens", "total_tokens") else c for c in _DETAIL)
+
+
+@query("b3_request_detail", X.with_sql(f"select {_DETAIL_SQL}, concat('body of ', request_id) as request_body, cast(null as varchar) as response_body from audit where request_id = 'req-77'", X.AUDIT_SQL))
+def b3_detail(spark, sf):
+    """The whole row, with the bodies that may be stored."""
+    raw = X.raw_audit(spark, sf).withColumn("request_body", F.concat(F.lit("body of "), "request_id")).withColumn("response_body", F.lit("secret"))
+    return A.request_by_id(A.audit_rows(raw, store_request_body=True), "req-77").select(*_DETAIL, "request_body", "response_body")
+
+
 _SCAN = ["request_id", "event_ts", "regex_threat_level", "regex_match_count", "guard_safe", "label", "is_disagreement"]
 _SCAN_SQL = "request_id, event_us as event_ts, regex_threat_level, regex_match_count, guard_safe, label, is_disagreement"
 

@@ -20,6 +20,7 @@ from promptledger.plans.scan_tables import (
     INVISIBLE_SQL,
     SCANS_SQL,
     alert_rows,
+    analyzed,
     guard_verdicts,
     injection_hits_sql,
     labelled_scans,
@@ -372,6 +373,25 @@ def f21(spark, sf):
     return alert_rows(spark, sf)
 
 
+def _removed(css: str) -> str:
+    return f"length(combined) - length(regexp_replace(combined, '{css}', '', 'g'))"
+
+
+@query("f21_alert_details", X.with_sql(f"""
+select request_id, 'unicode_manipulation' as alert_type, concat('{{"zero_width":', {_removed(r"[\x{200B}\x{200C}\x{200D}\x{2060}-\x{2064}\x{FEFF}]")},
+  ',"directional":', {_removed(r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]")},
+  ',"control_char":', {_removed(r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{E0000}-\x{E007F}]")}, '}}') as details
+from scan_base where request_id in (select request_id from alerts where alert_type = 'unicode_manipulation')
+union all
+select b.request_id, concat('injection_', b.regex_threat_level), h.js from scan_base b join (
+  select request_id, concat('[', string_agg(concat('{{"pattern":"', name, '","category":"', category, '","text":', cast(to_json(value) as varchar), ',"position":', start_pos,
+    ',"level":"', {_LEVEL.format('level_ord')}, '"}}'), ',' order by message_index, rank, start_pos), ']') as js from used_hits group by request_id) h using (request_id)
+where b.threat_ord >= 2""", SCANS_SQL))
+def f21_details(spark, sf):
+    """Removal counts of altered Unicode, and all matches of an injection alert."""
+    return scans.detailed_alerts(analyzed(spark, sf)).select("request_id", "alert_type", "details")
+
+
 _TARGET = "case when label = 'unsafe' and label_category is not null then concat('unsafe', chr(10), label_category) when label = 'unsafe' then 'unsafe' else 'safe' end"
 
 

@@ -173,10 +173,10 @@ base as (
     coalesce(nullif(case when u.auth_status = 'stored' then u.rate_limit_rpm end, 0), 3) as rpm,
     case when u.auth_status <> 'stored' or u.key_id % 4 in (2, 3) then true when u.key_id % 4 = 0 then a.model glob 'phi4:*' or a.model glob 'gpt-?o'
       else a.model glob '*embed*' end as model_ok,
-    case when u.auth_status <> 'stored' or u.key_id % 3 = 2 then true when u.key_id % 3 = 0 then a.endpoint = 'gpunode-ollama'
-      else a.endpoint in ('dgxspark-ollama', 'local-vllm') end as endpoint_ok,
-    case when a.task in ('chat', 'embeddings') and a.endpoint = 'local-vllm' then 'provider_denied_for_task'
-      when a.task = 'embeddings' and a.endpoint <> 'gpunode-ollama' then 'provider_not_allowed_for_task' end as provider_violation
+    case when u.auth_status <> 'stored' or u.key_id % 3 = 2 then true when u.key_id % 3 = 0 then a.endpoint = 'north-gpu'
+      else a.endpoint in ('south-gpu', 'lab-vllm') end as endpoint_ok,
+    case when a.task in ('chat', 'embeddings') and a.endpoint = 'lab-vllm' then 'provider_denied_for_task'
+      when a.task = 'embeddings' and a.endpoint <> 'north-gpu' then 'provider_not_allowed_for_task' end as provider_violation
   from audit a join resolved r on r.model = a.model join authenticated u on u.request_id = a.request_id),
 turns as (select key, request_id, start_us as us, rpm, row_number() over (partition by key order by start_us, request_id) as n from base),
 {_limiter_walk('walk', 'turns')},

@@ -89,6 +89,34 @@ def chat_requests(raw: DataFrame) -> DataFrame:
     )
 
 
+_FULL_MESSAGES = "array<struct<role:string,content:variant,name:string,tool_call_id:string,tool_calls:array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>>>"
+
+
+def chat_details(raw: DataFrame) -> DataFrame:
+    """What ``chat_requests`` leaves out: content parts and tool calls of the messages, tools, tool choice, response format.
+
+    Free-form values are JSON text. ``parse_error`` names a body that is no JSON object; its other columns are null.
+    """
+    b = F.col("_b")
+
+    def message(m: Column) -> Column:
+        calls = F.transform(
+            m["tool_calls"], lambda c: F.struct(c["id"].alias("id"), c["type"].alias("type"), c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments")))
+        parts = _get(m["content"], "$", "array<variant>")
+        return F.struct(
+            m["role"].alias("role"), F.transform(parts, lambda p: F.to_json(p)).alias("parts"), m["tool_call_id"].alias("tool_call_id"), calls.alias("tool_calls"))
+
+    tools = _get(b, "$.tools", "array<variant>")
+    return _parsed(raw).select(
+        "request_id",
+        F.when(F.col("body").isNull(), F.lit("empty")).when(b.isNull(), F.lit("not_json")).when(~F.rlike("body", F.lit(r"\A\s*\{")), F.lit("not_an_object")).alias("parse_error"),
+        F.transform(_get(b, "$.messages", _FULL_MESSAGES), message).alias("messages"),
+        F.transform(tools, lambda t: F.to_json(t)).alias("tools"),
+        F.to_json(_get(b, "$.tool_choice", "variant")).alias("tool_choice"),
+        F.to_json(_get(b, "$.response_format", "variant")).alias("response_format"),
+    )
+
+
 def completion_requests(raw: DataFrame) -> DataFrame:
     """Completion dialect; of a prompt list the first element counts."""
     b = F.col("_b")

@@ -4,11 +4,12 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from promptledger.operators.budget import replay_admissions
 from promptledger.operators.policy import enforce
 from promptledger.operators.ratelimit import RateLimits, demand, replay_limits
-from promptledger.plans.streams import collected, table_stream
+from promptledger.plans.streams import collected, out_of_order
 from promptledger.streaming.limits import budget_stream, limit_stream
 
 START = datetime(2024, 3, 1)
@@ -199,7 +200,7 @@ def test_policy_chain_order(spark):
 def test_stream_limiter_equals_batch(spark):
     rows = make_requests(8, 250)
     df = spark.createDataFrame(rows, "key string, request_id string, start_ts timestamp")
-    got = collected(spark, limit_stream(table_stream(spark, df, "limits"), LIMITS), "limits-out")
+    got = collected(spark, limit_stream(out_of_order(spark, df, "start_ts", "limits"), LIMITS), "limits-out")
     want = simulate_limits(rows, LIMITS)
     assert {r.request_id: (r.allowed, r.limit_hit) for r in got.collect()} == {k: v[:2] for k, v in want.items()}
 
@@ -211,7 +212,7 @@ def test_stream_budget_resets_at_midnight(spark):
         for i in range(300)
     ]
     df = spark.createDataFrame(rows, "key string, request_id string, start_ts timestamp, tier string, cost bigint, estimate bigint")
-    got = collected(spark, budget_stream(table_stream(spark, df, "budget"), 300), "budget-out")
+    got = collected(spark, budget_stream(out_of_order(spark, df, "start_ts", "budget"), 300), "budget-out")
     used, want = {}, {}
     for key, rid, at, _, cost, estimate in rows:
         slot = (key, at.date())
@@ -219,3 +220,36 @@ def test_stream_budget_resets_at_midnight(spark):
         if want[rid]:
             used[slot] = used.get(slot, 0) + cost
     assert {r.request_id: r.admitted for r in got.collect()} == want
+
+
+def test_stream_limiter_decides_late_rows_in_their_place(spark):
+    """Three batches, the second brings rows from before the first: each is decided by what came before it in time."""
+    import time
+
+    from promptledger.plans.streams import closing_row
+    from promptledger.session import scratch_path
+
+    limits = RateLimits(burst=2, per_minute=1000, per_hour=1000)
+    path, schema = scratch_path(spark, "waves"), "key string, request_id string, start_ts timestamp"
+    waves = [[100], [95, 96], [106]]
+    for wave in waves:
+        spark.createDataFrame([("k", f"r{s}", START + timedelta(seconds=s)) for s in wave], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.1)
+    closing_row(spark.read.parquet(path), "start_ts").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r.request_id: r.allowed for r in collected(spark, limit_stream(stream, limits), "waves-out").collect()}
+    assert got == {"r95": True, "r96": True, "r100": False, "r106": True}
+
+
+def test_dense_demand_is_linear(spark):
+    """All requests of one key in one hour: four times the rows take about four times as long."""
+    import time
+
+    spent = []
+    for n in (20_000, 80_000):
+        df = spark.range(n).selectExpr("'k' as key", "cast(id as string) as request_id", f"timestamp_micros(1704067200000000 + id * {3_599_000_000 // n}) as start_ts")
+        begin = time.perf_counter()
+        top = demand(df, LIMITS).agg(F.max("hour_demand"), F.max("minute_demand")).first()
+        spent.append(time.perf_counter() - begin)
+        assert top[0] == n and abs(top[1] - n / 60) < n / 600
+    assert spent[1] < 10 * max(spent[0], 1) and spent[1] < 40

@@ -216,10 +216,10 @@ def test_pii_events_index_travels_with_its_message(spark):
 def test_scorer_failures_stay_with_their_row(spark):
     df = spark.createDataFrame([("a", [("user", "ok")]), ("b", [("user", "boom")]), ("c", [])], "request_id string, messages array<struct<role:string,content:string>>")
 
-    def scorer(messages):
-        if messages[0]["content"] == "boom":
+    def scorer(conversations):
+        if any(messages[0]["content"] == "boom" for messages in conversations):
             raise RuntimeError("timeout")
-        return "safe"
+        return ["safe"] * len(conversations)
 
     got = {r.request_id: (r.guard_raw_response, r.guard_error) for r in score(df, scorer).collect()}
     assert got == {"a": ("safe", None), "b": (None, "timeout"), "c": (None, "no_content")}
@@ -236,14 +236,14 @@ def test_expired_and_revoked_keys_do_not_authenticate(spark):
 
 
 def test_resolution_first_priority_and_unknown_environment(spark):
-    asked = spark.createDataFrame([("brand-new", "nowhere"), ("local-vllm/x", None), ("spare-box/x", None)], "requested_model string, environment string")
+    asked = spark.createDataFrame([("brand-new", "nowhere"), ("lab-vllm/x", None), ("spare-box/x", None)], "requested_model string, environment string")
     args = (X.catalog(spark, "/root/testdata/sf0.001"), X.endpoints(spark), X.environments(spark), X.model_defaults(spark).limit(0), X.priorities(spark).limit(0))
     got = {r.requested_model: (r.step, r.resolved_endpoint, r.resolution_error) for r in routing.resolve_endpoints(asked, *args).collect()}
     assert got["brand-new"] == ("error", None, "ambiguous_model")
-    assert got["local-vllm/x"] == ("explicit", "local-vllm", None)
+    assert got["lab-vllm/x"] == ("explicit", "lab-vllm", None)
     assert got["spare-box/x"] == ("error", None, "endpoint_not_found")
     first = {r.requested_model: r.resolved_endpoint for r in routing.resolve_endpoints(asked, *args, ambiguous="first_priority").collect()}
-    assert first["brand-new"] == "gpunode-ollama"
+    assert first["brand-new"] == "north-gpu"
 
 
 def test_catalog_refresh_replaces_an_endpoint(spark):
@@ -266,9 +266,10 @@ def test_screen_stream_survives_a_failing_callback(spark):
     assert fan_out(df, 0, lambda rows, batch_id: None) and not fan_out(df, 0, callback)
 
 
-def test_stream_first_writes_drops_copies(spark):
-    df = spark.createDataFrame([("a", NOW, 1), ("a", NOW + timedelta(seconds=5), 2), ("b", NOW, 3)], "request_id string, event_ts timestamp, v int")
-    from promptledger.plans.streams import collected
+def test_stream_first_writes_keeps_the_earliest_copy(spark):
+    from promptledger.plans.streams import closing_row, collected
 
-    got = collected(spark, first_writes(table_stream(spark, df, "copies")), "copies-out")
-    assert sorted(r.request_id for r in got.collect()) == ["a", "b"]
+    late = [("a", NOW + timedelta(seconds=5), 2), ("b", NOW, 3), ("a", NOW, 1), ("a", NOW, 0)]
+    df = spark.createDataFrame(late, "request_id string, event_ts timestamp, seq long")
+    got = collected(spark, first_writes(table_stream(spark, df.unionByName(closing_row(df, "event_ts")), "copies")), "copies-out")
+    assert sorted((r.request_id, r.seq) for r in got.collect()) == [("a", 0), ("b", 3)]
