@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptledger.functions.globs import matches_any
 from promptledger.functions.identifiers import api_key_problem, key_hash
+from promptledger.operators.ordered import _join_on
 
 
 def authenticate(requests: DataFrame, stored: DataFrame, configured: DataFrame) -> DataFrame:
@@ -16,15 +17,18 @@ def authenticate(requests: DataFrame, stored: DataFrame, configured: DataFrame)
     keys must be active and not expired at ``request_ts``. No key means client ``default``.
     Both key tables have one row per key; Spark broadcasts them when they are small enough.
     """
-    rows = requests.withColumn("key_hash", key_hash(F.col("api_key")))
+    no_key = F.coalesce(F.col("api_key"), F.lit("")) == ""
+    # Requests without a key, perhaps most of all, match nothing; their own hashes spread them over the join's tasks.
+    spread = F.concat(F.lit("none:"), F.xxhash64("request_ts"))
+    rows = requests.withColumn("_hash", F.when(no_key, spread).otherwise(key_hash(F.col("api_key"))))
     own = configured.select(
-        key_hash(F.col("api_key")).alias("key_hash"),
+        key_hash(F.col("api_key")).alias("_hash"),
         F.col("client_id").alias("_c_client"),
         F.col("environment").alias("_c_env"),
         "target_endpoint",
     )
     kept = stored.filter("is_active").select(
-        "key_hash",
+        F.col("key_hash").alias("_hash"),
         F.col("client_id").alias("_s_client"),
         F.col("environment").alias("_s_env"),
         F.col("expires_at").alias("_s_expires"),
@@ -33,7 +37,6 @@ def authenticate(requests: DataFrame, stored: DataFrame, configured: DataFrame)
     alive = F.col("_s_client").isNotNull() & (
         F.col("_s_expires").isNull() | (F.col("_s_expires") > F.col("request_ts"))
     )
-    no_key = F.coalesce(F.col("api_key"), F.lit("")) == ""
     bad_format = api_key_problem(F.col("api_key")).isNotNull()
     status = (
         F.when(no_key, F.lit("anonymous"))
@@ -42,7 +45,8 @@ def authenticate(requests: DataFrame, stored: DataFrame, configured: DataFrame)
         .when(alive, F.lit("stored"))
         .otherwise(F.lit("invalid_api_key"))
     )
-    out = rows.join(own, "key_hash", "left").join(kept, "key_hash", "left").withColumn("auth_status", status)
+    out = rows.join(own, "_hash", "left").join(kept, "_hash", "left").withColumn("auth_status", status)
+    out = out.withColumn("key_hash", key_hash(F.col("api_key")))
     is_stored = F.col("auth_status") == "stored"
     is_configured = F.col("auth_status") == "configured"
     out = out.withColumn(
@@ -52,7 +56,7 @@ def authenticate(requests: DataFrame, stored: DataFrame, configured: DataFrame)
     for name in ("allowed_models", "allowed_endpoints", "rate_limit_rpm"):
         out = out.withColumn(name, F.when(is_stored, F.col(name)))
     out = out.withColumn("target_endpoint", F.when(is_configured, F.col("target_endpoint")))
-    return out.drop("_c_client", "_c_env", "_s_client", "_s_env", "_s_expires", "api_key")
+    return out.drop("_hash", "_c_client", "_c_env", "_s_client", "_s_env", "_s_expires", "api_key")
 
 
 def rejected(authenticated: DataFrame) -> DataFrame:
@@ -95,7 +99,11 @@ def endpoint_allowed(endpoint: Column, allowed_endpoints: Column) -> Column:
 
 
 def check_allowlists(requests: DataFrame) -> DataFrame:
-    """Add ``model_allowed`` / ``endpoint_allowed`` from the permissions of the key."""
-    return requests.withColumn("model_allowed", model_allowed(F.col("model"), F.col("allowed_models"))).withColumn(
+    """Add ``model_allowed`` / ``endpoint_allowed`` from the permissions of the key.
+
+    Globs are tried once per distinct pair of model and allow list, not per request.
+    """
+    pairs = requests.select("model", "allowed_models").distinct().withColumn("model_allowed", model_allowed(F.col("model"), F.col("allowed_models")))
+    return _join_on(requests, pairs, ["model", "allowed_models"], "left").withColumn(
         "endpoint_allowed", endpoint_allowed(F.col("endpoint"), F.col("allowed_endpoints"))
     )

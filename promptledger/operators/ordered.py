@@ -1,8 +1,8 @@
 """Ordered aggregates that do not pull a whole key into one task.
 
 A running total over a key is split in two: totals per (key, bucket) give the offset of each
-bucket, and rows are only ordered inside their bucket. A key that holds a third of all rows is
-spread over as many tasks as it has buckets.
+group of buckets, and rows are only ordered inside their group. A key that holds a third of all rows is
+spread over as many tasks as it has groups.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
+#: Rows of a key that are put in order together; it decides the number of groups only.
+ROWS_TOGETHER = 100_000
 
 
-def time_bucket(ts: Column, width_us: int = HOUR_US) -> Column:
+def time_bucket(ts: Column, width_us: int = MINUTE_US) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(width_us))
 
 
@@ -37,25 +39,31 @@ def running(
 ) -> DataFrame:
     """Add running sums and maxima per key, the current row included.
 
-    ``bucket`` must grow with the order; rows with equal order share a bucket.
+    ``bucket`` must grow with the order; rows with equal order share a bucket. Neighbouring buckets are put together up to
+    ``ROWS_TOGETHER`` rows, so a task's share is set by the number of rows and not by how dense they are in time.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     rows = df.withColumn("_bucket", bucket)
     for name, value in {**sums, **maxes}.items():
         rows = rows.withColumn(f"_v_{name}", value)
     totals = rows.groupBy(*keys, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"),
         *[F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums],
         *[F.max(f"_v_{n}").alias(f"_o_{n}") for n in maxes],
     )
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    group = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / ROWS_TOGETHER)
+    started = totals.select(
         *keys,
         "_bucket",
+        group.alias("_group"),
         *[F.sum(f"_o_{n}").over(before).alias(f"_o_{n}") for n in sums],
         *[F.max(f"_o_{n}").over(before).alias(f"_o_{n}") for n in maxes],
     )
+    first = Window.partitionBy(*keys, "_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = started.select(*keys, "_bucket", "_group", *[F.first(f"_o_{n}").over(first).alias(f"_o_{n}") for n in [*sums, *maxes]])
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*keys, "_group")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -65,7 +73,7 @@ def running(
         out = out.withColumn(n, F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + own)
     for n in maxes:
         out = out.withColumn(n, F.greatest(F.col(f"_o_{n}"), F.max(f"_v_{n}").over(inside)))
-    helpers = ["_bucket", *[f"_v_{n}" for n in [*sums, *maxes]], *[f"_o_{n}" for n in [*sums, *maxes]]]
+    helpers = ["_bucket", "_group", *[f"_v_{n}" for n in [*sums, *maxes]], *[f"_o_{n}" for n in [*sums, *maxes]]]
     return out.drop(*helpers)
 
 
