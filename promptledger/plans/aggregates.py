@@ -66,29 +66,29 @@ select count(*) as total_requests, count(*) filter (where status = 'success') as
   round(sum(estimated_cost_usd), 4) as total_cost_usd
 from audit where {_SINCE.format(168)}""", X.AUDIT_SQL))
 def c1(spark, sf):
-    return A.period_stats(X.audit(spark, sf), hours=168)
+    return A.period_stats(X.audit(spark, sf), hours=168, as_of=X.newest(spark, sf))
 
 
 @query("c2_requests_by_endpoint", X.with_sql(f"""
 select endpoint, count(*) as request_count, round(count(*) * 100.0::double / sum(count(*)) over (), 6) as share_pct
 from audit where {_SINCE.format(24)} group by endpoint""", X.AUDIT_SQL))
 def c2(spark, sf):
-    return A.requests_by_endpoint(X.audit(spark, sf))
+    return A.requests_by_endpoint(X.audit(spark, sf), as_of=X.newest(spark, sf))
 
 
 @query("c3_top_models", X.with_sql(f"select model, count(*) as request_count from audit where {_SINCE.format(24)} group by model order by 2 desc, 1 limit 10", X.AUDIT_SQL))
 def c3(spark, sf):
-    return A.top_models(X.audit(spark, sf))
+    return A.top_models(X.audit(spark, sf), as_of=X.newest(spark, sf))
 
 
 @query("c4_model_usage", X.with_sql(f"select model, {_MEASURES} from audit where {_SINCE.format(720)} group by model", X.AUDIT_SQL))
 def c4(spark, sf):
-    return A.usage_by(X.audit(spark, sf), "model", hours=720)
+    return A.usage_by(X.audit(spark, sf), "model", hours=720, as_of=X.newest(spark, sf))
 
 
 @query("c5_endpoint_usage", X.with_sql(f"select endpoint, {_MEASURES} from audit where {_SINCE.format(720)} group by endpoint", X.AUDIT_SQL))
 def c5(spark, sf):
-    return A.usage_by(X.audit(spark, sf), "endpoint", hours=720)
+    return A.usage_by(X.audit(spark, sf), "endpoint", hours=720, as_of=X.newest(spark, sf))
 
 
 _ROLLUP_SQL = """rollup_daily as (

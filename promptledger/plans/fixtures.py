@@ -41,6 +41,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def newest(spark: SparkSession, sf: str):
+    """Latest event, read from its own column only."""
+    return _table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+
+
 def raw_audit(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "events").selectExpr(*AUDIT)
 

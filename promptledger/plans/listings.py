@@ -84,13 +84,13 @@ def b8(spark, sf):
 select count(*) filter (where event_ts < cutoff) as deleted_count, count(*) filter (where event_ts >= cutoff) as kept_count
 from audit, (select max(event_ts) - interval 10 day as cutoff from audit) c""", X.AUDIT_SQL))
 def b9_report(spark, sf):
-    return A.purge_report(X.audit(spark, sf), days=10)
+    return A.purge_report(X.audit(spark, sf), days=10, as_of=X.newest(spark, sf))
 
 
 @query("b9_retained_rows", X.with_sql("""
 select request_id, epoch_us(event_ts) as event_ts from audit where event_ts >= (select max(event_ts) - interval 10 day from audit)""", X.AUDIT_SQL))
 def b9_rows(spark, sf):
-    return A.retained(X.audit(spark, sf), days=10).select("request_id", "event_ts")
+    return A.retained(X.audit(spark, sf), days=10, as_of=X.newest(spark, sf)).select("request_id", "event_ts")
 
 
 def _sources(spark, sf):

@@ -2,7 +2,10 @@
 
 from datetime import datetime
 
+import pytest
+
 from promptledger.operators import audit
+from promptledger.plans import QUERIES
 from promptledger.plans import fixtures as X
 from promptledger.session import scratch_path
 
@@ -23,3 +26,9 @@ def test_retention_drops_whole_days_unread(spark):
     stored = spark.read.parquet(path)
     plan = audit.retained(stored, 5, datetime(2024, 1, 30))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+@pytest.mark.parametrize("name", ["c1_period_stats", "c2_requests_by_endpoint", "c3_top_models", "c4_model_usage", "c5_endpoint_usage", "b9_retained_rows"])
+def test_period_queries_push_their_filter_and_scan_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and plan.count("FileScan parquet") == (2 if name == "c2_requests_by_endpoint" else 1)
