@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptledger.llm.common import HASH_BITS, spread_hash, stored
 
@@ -32,6 +33,8 @@ TOXIC_ROWS, CLEAN_ROWS = 8_000, 16_000
 LEAST_Z, LEAST_RATIO = 4.0, 0.7
 #: Characters hashed at once; bounds memory for very long texts.
 PIECE = 1 << 20
+#: Rows whose features are held at once.
+ROWS_TOGETHER = 256
 
 
 @dataclass(frozen=True)
@@ -70,9 +73,11 @@ def _with_buckets(rows: DataFrame, orders: Sequence[int], bits: int) -> DataFram
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [gram_buckets(t, orders, bits).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), batch.column("weight"), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "weight", "buckets"])
+            for start in range(0, batch.num_rows, ROWS_TOGETHER):
+                part = batch.slice(start, ROWS_TOGETHER)
+                lists = [gram_buckets(t, orders, bits).astype(np.int32) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("toxic"), part.column("weight"), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "weight", "buckets"])
 
     return rows.select("toxic", "weight", "text").mapInArrow(features, "toxic int, weight double, buckets array<int>")
 
@@ -122,8 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, orders: Sequence[int
         place = np.full(1 << bits, -1, np.int32)
         place[buckets] = np.arange(len(buckets))
         for batch in batches:
-            lists = [(p := place[np.asarray(b, np.int64)])[p >= 0] for b in batch.column("buckets").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "weight", "places"])
+            column = batch.column("buckets")
+            kept = place[column.flatten().to_numpy()]
+            ends = np.cumsum(np.r_[0, kept >= 0])[np.cumsum(np.r_[0, column.value_lengths().to_numpy()])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(kept[kept >= 0]))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), lists], ["toxic", "weight", "places"])
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(k=[tuple(p) for p in pdf["places"]]).sort_values(["toxic", "weight", "k"], ignore_index=True)
@@ -142,16 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, orders: Sequence[int
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` with the score of each whole text; an older column of the name ``out`` gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c != out]
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         mask = np.zeros(1 << m.bits, bool)
-        value = np.zeros(1 << m.bits)
+        value = np.zeros(1 << m.bits, np.float32)
         mask[m.buckets] = True
         value[m.buckets] = m.values
-        for texts in batches:
-            z = np.array([value[gram_buckets(t, m.orders, m.bits, mask)].sum() for t in texts]) + m.intercept
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_TOGETHER):
+                part = batch.slice(start, ROWS_TOGETHER)
+                sums = [value[gram_buckets(t, m.orders, m.bits, mask)].sum(dtype=float) for t in part.column(text).to_pylist()]
+                score = 1 / (1 + np.exp(-np.clip(np.array(sums) + m.intercept, -60, 60)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(score)], [*kept, out])
 
-    return docs.withColumn(out, scores(F.coalesce(F.col(text), F.lit(""))))
+    return docs.mapInArrow(scores, T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.DoubleType())]))
