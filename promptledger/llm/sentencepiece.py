@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 MARKER = "▁"
 #: Words remembered per Python worker.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: A character that no piece covers scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Steps of a score.
@@ -342,10 +342,13 @@ def _mapped(docs: DataFrame, model_path: str | None, source: str, target: str, k
     kept = [c for c in docs.columns if c != target]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_TOGETHER):
-                part = batch.slice(start, ROWS_TOGETHER)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), apply(shared.value, part.column(source))], [*kept, target])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS_TOGETHER):
+                    part = batch.slice(start, ROWS_TOGETHER)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), apply(shared.value, part.column(source))], [*kept, target])
+        finally:
+            shared.value.known.clear()  # a worker lives on after its task
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(target, kind)])
     return docs.mapInArrow(run, schema)
