@@ -12,8 +12,8 @@ the documents reachable by links; no link between different texts is lost and no
 4. *Groups.* Sets of one size with one prefix are one group. Groups meet by prefix shingle and are filtered by the bound that
    size and place of the common shingle put on the overlap.
 5. *Verification.* First every member is compared with one representative of its group, and that with the group that
-   shares most of its prefix: this joins most classes with one comparison a set. Then all pairs of groups whose members are in
-   different classes are expanded and verified, except those inside the most frequent class of a shingle.
+   is nearest to it: this joins most classes with one comparison a set. What missed its class meets the groups that share most
+   of its prefix. Then all pairs of groups whose members are still in different classes are expanded and verified.
 
 Cases: null texts, and texts without words, have the size 0 and link with nothing; rows that repeat a text are one class; a
 class with known ids has the smallest as its id, one of null ids only has null. Shingles and sets are 64-bit hashes.
@@ -21,12 +21,14 @@ class with known ids has the smallest as its id, one of null ids only has null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptledger.llm.common import stored
@@ -35,9 +37,13 @@ from promptledger.llm.shingles import WordHasher, mix, shingle_sets
 
 #: Shingles in a range on average; decides the number of ranges only.
 RANGE_SIZE = 1 << 21
-#: Bits of the Bloom filter (16 MB), whatever the size of the input. A full filter lets more sets through; none is lost.
-BLOOM_BITS = 27
+#: Bits of the Bloom filter (8 MB), whatever the size of the input. A full filter lets more sets through; none is lost.
+BLOOM_BITS = 26
 BYTES_PER_WORD = 4
+#: Groups that a member without class meets before all others; it decides the order of the work only.
+PROBES = 16
+#: Texts whose shingles are held at once.
+ROWS_TOGETHER = 2048
 
 
 def _bloom_places(low: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -59,8 +65,8 @@ def shared_filter(docs: DataFrame, size: int, range_bits: int) -> np.ndarray:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in batches:
-            found = [tokens for *_, tokens in shingle_sets(batch.column(0), size, hasher)]
+        for part in (batch.slice(start, ROWS_TOGETHER) for batch in batches for start in range(0, batch.num_rows, ROWS_TOGETHER)):
+            found = [tokens for *_, tokens in shingle_sets(part.column(0), size, hasher)]
             tokens = np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
             if not len(tokens):
                 continue
@@ -145,38 +151,77 @@ def links(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
         .withColumn("gid", F.xxhash64("n", "prefix"))
     )
     prefixed = stored(prefixed, "prefixes")
-    groups = prefixed.groupBy("gid").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.first("prefix").alias("prefix"), F.min("sid").alias("rep"))
+    groups = stored(
+        prefixed.groupBy("gid").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.first("prefix").alias("prefix"), F.min("sid").alias("rep")), "groups")
     postings = stored(groups.select("gid", "n", "e", "rep", F.posexplode("prefix").alias("pos", "token")), "postings")
     fits = F.least(F.col("a.e") - F.col("a.pos"), F.col("b.e") - F.col("b.pos")) >= _needed("a.n", "b.n", numerator, denominator)
 
-    hub = postings.groupBy("token").agg(F.max(F.struct("e", "n", "gid", "rep", "pos")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("token", "hub.*")
+    # Of the sets of about one size that share a shingle, the one with the fewest unshared ones is the nearest to the others.
+    width = F.floor(F.log("n") / math.log(denominator / numerator)) if numerator < denominator else F.col("n")
+    sized = postings.withColumn("width", width.cast("long"))
+    hub = (
+        sized.groupBy("token", "width").agg(F.max(F.struct((F.col("e") - F.col("n")).alias("less"), "e", "n", "gid", "rep", "pos")).alias("hub"))
+        .select("token", F.explode(F.array(*(F.col("width") + d for d in (-1, 0, 1)))).alias("width"), "hub.*")
+    )
     near = (
-        postings.alias("a").join(hub.alias("b"), "token").filter((F.col("a.gid") != F.col("b.gid")) & fits)
-        .groupBy(F.col("a.gid").alias("gid"), F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("k"))
-        .groupBy("gid", "a").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select("a", "b")
+        sized.alias("a").join(hub.alias("b"), ["token", "width"]).filter((F.col("a.gid") != F.col("b.gid")) & fits)
+        .groupBy(F.col("a.gid").alias("gid"), F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "b.less").agg(F.count("*").alias("k"))
+        .groupBy("gid", "a").agg(F.max_by("b", F.struct("less", "k", "b")).alias("b")).select("a", "b")
     )
     own = prefixed.join(groups.select("gid", "rep"), "gid").filter("sid != rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     first = components(_verified(near.union(own), sets, numerator, denominator))
     first = stored(first, "first-classes")
 
-    classed = stored(prefixed.select("sid", "gid").join(first, F.col("sid") == F.col("node"), "left").select(
-        "sid", "gid", F.coalesce("component", "sid").alias("class")), "classed")
+    # Members that missed their class are compared with the groups that share most of their prefix.
+    classed = _classed(prefixed, first)
+    near_units = _open_pairs(postings, groups, classed, fits)
+    reps = classed.groupBy("gid", "class").agg(F.min("sid").alias("rep"))
+    rank = F.row_number().over(W.partitionBy("gid_a", "class_a").orderBy(F.desc("k"), F.xxhash64("gid_a", "gid_b"), "class_b"))
+    probes = (
+        near_units.withColumn("rank", rank).filter(F.col("rank") <= PROBES)
+        .join(reps.select(F.col("gid").alias("gid_a"), F.col("class").alias("class_a"), F.col("rep").alias("a")), ["gid_a", "class_a"])
+        .join(reps.select(F.col("gid").alias("gid_b"), F.col("class").alias("class_b"), F.col("rep").alias("b")), ["gid_b", "class_b"]).select("a", "b")
+    )
+    second = stored(_joined(first, _verified(probes, sets, numerator, denominator)), "second-classes")
+
+    # All that is left is compared, member by member.
+    classed = _classed(prefixed, second)
+    in_a = classed.select(F.col("sid").alias("a"), F.col("gid").alias("gid_a"), F.col("class").alias("class_a"))
+    in_b = classed.select(F.col("sid").alias("b"), F.col("gid").alias("gid_b"), F.col("class").alias("class_b"))
+    rest = _open_pairs(postings, groups, classed, fits).join(in_a, ["gid_a", "class_a"]).join(in_b, ["gid_b", "class_b"]).select("a", "b")
+    return _joined(second, _verified(rest, sets, numerator, denominator))
+
+
+def _joined(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """Classes (node, component) with further links between them."""
+    return components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def _classed(prefixed: DataFrame, classes: DataFrame) -> DataFrame:
+    return stored(
+        prefixed.select("sid", "gid").join(classes, F.col("sid") == F.col("node"), "left").select("sid", "gid", F.coalesce("component", "sid").alias("class")), "classed")
+
+
+def _open_pairs(postings: DataFrame, groups: DataFrame, classed: DataFrame, fits: Column) -> DataFrame:
+    """Pairs of units (the members of one group in one class) of different classes that may link, with the number of shared prefix shingles.
+
+    Of the units of a shingle, those of its most frequent class are only met by the others. Two units meet at the first shingle
+    that their prefixes share.
+    """
     units = postings.select("token", "gid", "n", "e", "pos").join(classed.select("gid", "class").distinct(), "gid").withColumn("unit", F.xxhash64("gid", "class"))
     major = (
         units.groupBy("token", "class").agg(F.count("*").alias("k")).groupBy("token")
         .agg(F.count("*").alias("classes"), F.max_by("class", F.struct("k", "class")).alias("major")).filter("classes > 1").select("token", "major")
     )
-    open_units = stored(units.join(major, "token"), "open-units")
+    open_units = stored(units.join(major, "token").join(groups.select("gid", "prefix"), "gid"), "open-units")
+    shared = F.array_intersect("a.prefix", "b.prefix")
     once = (F.col("b.class") == F.col("b.major")) | (F.col("a.unit") < F.col("b.unit"))
-    unit_pairs = (
-        open_units.filter("class != major").alias("a").join(open_units.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.class") != F.col("b.class")) & once & fits)
-        .select(F.col("a.gid").alias("gid_a"), F.col("a.class").alias("class_a"), F.col("b.gid").alias("gid_b"), F.col("b.class").alias("class_b")).distinct()
-    )
-    in_a = classed.select(F.col("sid").alias("a"), F.col("gid").alias("gid_a"), F.col("class").alias("class_a"))
-    in_b = classed.select(F.col("sid").alias("b"), F.col("gid").alias("gid_b"), F.col("class").alias("class_b"))
-    rest = unit_pairs.join(in_a, ["gid_a", "class_a"]).join(in_b, ["gid_b", "class_b"]).select("a", "b")
-    more = _verified(rest, sets, numerator, denominator)
-    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    met = open_units.filter("class != major").alias("a").join(
+        open_units.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.class") != F.col("b.class")) & once & fits & (F.get(shared, F.lit(0)) == F.col("a.token")))
+    return stored(
+        met.select(
+            F.col("a.gid").alias("gid_a"), F.col("a.class").alias("class_a"), F.col("b.gid").alias("gid_b"), F.col("b.class").alias("class_b"), F.size(shared).alias("k")),
+        "open-pairs")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
