@@ -221,25 +221,25 @@ def page_tokens(html: str) -> list[tuple[int, bool, bool, int, int, int, int, in
 
 def _with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return pages.withColumn("__host", host)
+    return pages.withColumns({"__host": host, "__page": F.when(F.col("html").isNotNull(), F.xxhash64("html"))})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host: ``slots`` (token, score), best first, and ``fixed``, the text tokens of the template inside them."""
+    """Per distinct page (``host``, ``page``): ``slot``, the token of its host's best slot that it shows with text, and ``fixed``,
+    its own text tokens that belong to the template. No row holds more than one page shows."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 rows: list[list] = [[] for _ in _ROWS]
-                for host, html in zip(part.column("__host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) - (1 << 63)
+                for host, page, html in zip(*(part.column(c).to_pylist() for c in ("__host", "__page", "html")), strict=True):
                     for token in page_tokens(html):
                         for column, value in zip(rows, (host, page, *token), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ROWS, strict=True)], schema=_ROWS)
 
-    rows = stored(_with_host(pages.filter("html is not null")).select("__host", "html").mapInArrow(tokens, _ROWS_SQL).dropDuplicates(["host", "page", "token"]), "page-tokens")
+    rows = stored(_with_host(pages.filter("html is not null")).select("__host", "__page", "html").mapInArrow(tokens, _ROWS_SQL).dropDuplicates(["host", "page", "token"]), "page-tokens")
     vectors = rows.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.first("depth").alias("depth"),
         F.bool_or("article").alias("article"), F.first("text_token").alias("text_token"), (F.min("content") != F.max("content")).alias("varies"))
@@ -258,16 +258,18 @@ def templates(pages: DataFrame) -> DataFrame:
         .withColumn("score", F.when(F.col("article"), F.col("chars")).otherwise(F.col("depth").cast("long")))
     )
     fixed = (
-        vectors.filter("text_token").select("host", "vector", F.col("token").alias("text"))
+        vectors.filter("text_token").select("host", "vector", "token")
         .join(slots.filter(f"varies and pages >= {TEMPLATE_PAGES}").select("host", "vector").distinct(), ["host", "vector"])
-        .groupBy("host").agg(F.collect_list("text").alias("fixed"))
+        .select("host", "token", F.lit(None).cast("long").alias("score"))
     )
-    listed = slots.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("score", "token")), asc=False)["token"].alias("slots"))
-    return listed.join(fixed, "host", "left")
+    verdicts = slots.select("host", "token", "score").unionByName(fixed)
+    shown = rows.filter("text_token or chars > 0").select("host", "page", "token").join(verdicts, ["host", "token"])
+    best = F.max_by(F.when(F.col("score").isNotNull(), F.col("token")), F.when(F.col("score").isNotNull(), F.struct("score", "token")))
+    return shown.groupBy("host", "page").agg(best.alias("slot"), F.collect_list(F.when(F.col("score").isNull(), F.col("token"))).alias("fixed"))
 
 
-def _slot(places: list[Place], blocks: list[Block], slots: list[int]) -> Place | None:
-    """The page's slot: the host's best one that the page shows with text, else what the page alone suggests."""
+def _slot(places: list[Place], blocks: list[Block], wanted: int | None) -> Place | None:
+    """The page's slot: the one that its host wants, else what the page alone suggests."""
     below: dict[int, int] = {}
     by_path: dict[str, int] = {}
     for b in blocks:
@@ -275,9 +277,8 @@ def _slot(places: list[Place], blocks: list[Block], slots: list[int]) -> Place |
             by_path[p.path] = by_path.get(p.path, 0) + len(b.text)
             below[id(p)] = below.get(id(p), 0) + len(b.text)
     tokens = {_token(path): path for path in by_path}
-    for token in slots:
-        if token in tokens:
-            return next(p for p in places if p.path == tokens[token])
+    if wanted in tokens:
+        return next(p for p in places if p.path == tokens[wanted])
     marked = [p for p in places if p.article is p and below.get(id(p))]
     if marked:
         return max(marked, key=lambda p: below[id(p)])
@@ -285,12 +286,12 @@ def _slot(places: list[Place], blocks: list[Block], slots: list[int]) -> Place |
     return max((p for p in places if total and p.tag not in _TEXT and by_path.get(p.path, 0) >= MOST * total), key=lambda p: p.path.count("/"), default=None)
 
 
-def main_text(html: str | None, slots: list[int] | None = None, fixed: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, wanted: int | None = None, fixed: frozenset[int] = frozenset()) -> str:
     """Blocks of a page's slot, one a line."""
     if not html:
         return ""
     places, blocks = blocks_of(html)
-    slot = _slot(places, blocks, slots or [])
+    slot = _slot(places, blocks, wanted)
     if slot is not None:
         blocks = [b for b in blocks if any(p.path == slot.path for p in _holders(b.place))]
     return "\n".join(b.text for b in blocks if not fixed or _token(b.place.path, b.text) not in fixed)
@@ -298,17 +299,17 @@ def main_text(html: str | None, slots: list[int] | None = None, fixed: frozenset
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     """``pages`` (page_id, url, html) without html, with the main text of every row."""
-    found = stored(templates(pages).select(F.col("host").alias("__of"), "slots", "fixed"), "templates")
+    found = stored(templates(pages).select(F.col("host").alias("__of"), F.col("page").alias("__as"), F.col("slot").alias("__slot"), F.col("fixed").alias("__fixed")), "templates")
     kept = [c for c in pages.columns if c not in ("html", text)]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                columns = (part.column(c).to_pylist() for c in ("html", "__slots", "__fixed"))
+                columns = (part.column(c).to_pylist() for c in ("html", "__slot", "__fixed"))
                 out = [main_text(h, s, frozenset(f or ())) for h, s, f in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept), f"`{text}` string"])
-    joined = _with_host(pages).join(found.withColumnsRenamed({"slots": "__slots", "fixed": "__fixed"}), F.col("__host") == F.col("__of"), "left")
-    return joined.select(*kept, "html", "__slots", "__fixed").mapInArrow(texts, schema)
+    joined = _with_host(pages).join(found, (F.col("__host") == F.col("__of")) & (F.col("__page") == F.col("__as")), "left")
+    return joined.select(*kept, "html", "__slot", "__fixed").mapInArrow(texts, schema)

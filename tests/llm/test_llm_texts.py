@@ -250,6 +250,16 @@ def test_slots_of_unmarked_pages(spark):
     assert html_main.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_slots_of_per_page_classes(spark):
+    """No row of the templates grows with its host where every page names its own places."""
+    rows = [(i, "http://wp.example/", f"<body class='postid-{i}'><div class=top>Home</div><article class='post-{i}'><p>text {i} {'w ' * i}</p></article></body>", None, None)
+            for i in range(40)]
+    pages = spark.createDataFrame(rows, PAGES)
+    for r in html_main.templates(pages).collect():
+        assert max((len(v) for v in r.asDict().values() if isinstance(v, list)), default=0) <= 3
+    assert {r["page_id"]: r["text"] for r in html_main.extract(pages).collect()} == {i: f"text {i} {'w ' * i}".strip() for i in range(40)}
+
+
 @pytest.mark.parametrize(("html", "text"), [
     ("<article><h1>A &amp; B</h1><p>x\n <b>y</b>&nbsp;z<br>w<p>next<script>var t='</p>';</script> part</article><footer>no</footer>", "A & B\nx y z w\nnext part"),
     ("<main><header><h1>Head</h1><p>by me</p></header><p class='ad'>buy<p>real<ul><li>one<li>two</ul><section class='comments'><article>no</article></section></main>", "Head\nreal\none\ntwo"),
