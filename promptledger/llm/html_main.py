@@ -5,8 +5,13 @@ block of text in its place; its occurrence vector is how often each page of the
 a class; a class is valid if its tokens come in the same order on all its pages, and classes nest as their paths do. Together they
 are the template; the text between their tags is what the slots hold. The slot of the article is the outermost ``article`` or
 ``main`` of a valid class, or else the deepest place that holds most text of the host's pages. Blocks below that slot are
-the main text, except text that belongs to the template (same class as the slot) and places whose tag, class, id or role
-marks a menu, header, footer, sidebar, notice, advert, form or comments.
+the main text, except text that belongs to the template and places whose tag, class, id or role marks a menu, header, footer,
+sidebar, notice, advert, form or comments.
+
+A text token nests in the class of its place. It belongs to the template if it is on two distinct pages at least and on half of
+the pages that have its place, however many these are, and if its own class is valid. So a block on part of the pages counts in
+a place of its own, and a block may come more than once a page. A page of whose slot more than half is such text is taken for a
+near copy of others rather than a filled template, and keeps it.
 
 Vectors are never collected: a token's vector is the exclusive or of a hash per page and count, so a host with a third of all
 pages is summed up before the shuffle like any other. Equal pages of a host count once, so that copies do not look
@@ -32,8 +37,8 @@ from promptledger.llm.common import stored
 
 #: Share of a host's text that the deepest place must hold where no article is marked.
 MOST = 0.8
-#: Distinct pages a host needs before equal text counts as part of its template.
-TEMPLATE_PAGES = 10
+#: Template text is on this share of the pages with its place, and fills no more than this share of a slot.
+HALF = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -188,35 +193,34 @@ def _holders(place: Place | None) -> Iterator[Place]:
 
 _ROWS = pa.schema([
     ("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("text_token", pa.bool_()), ("article", pa.bool_()), ("depth", pa.int32()),
-    ("count", pa.int32()), ("pos", pa.int32()), ("chars", pa.int64()), ("content", pa.int64()),
+    ("count", pa.int32()), ("pos", pa.int32()), ("chars", pa.int64()), ("within", pa.int64()),
 ])
-_ROWS_SQL = "host string, page long, token long, text_token boolean, article boolean, depth int, count int, pos int, chars long, content long"
+_ROWS_SQL = "host string, page long, token long, text_token boolean, article boolean, depth int, count int, pos int, chars long, within long"
 
 
-def page_tokens(html: str) -> list[tuple[int, bool, bool, int, int, int, int, int]]:
-    """(token, is text, is an outermost article, depth, count, first place, characters below, hash of the text below) of a page.
+def page_tokens(html: str) -> list[tuple[int, bool, bool, int, int, int, int, int | None]]:
+    """(token, is text, is an outermost article, depth, count, first place, characters below, token of a text's place) of a page.
 
-    The depth is -1 where a place can't be a slot.
+    The depth is -1 where a place can't be a slot. The path of text without a place is empty.
     """
     places, blocks = blocks_of(html)
-    seen: dict[str, list] = {}
+    seen: dict[str, list] = {"": [False, -1, 1, -1, _chars(blocks)]}
     for pos, p in enumerate(places):
         if p.tag not in _INLINE:
             row = seen.get(p.path)
             if row is None:
-                seen[p.path] = [p.article is p, -1 if p.tag in _TEXT else p.path.count("/"), 1, pos, 0, xxhash.xxh64()]
+                seen[p.path] = [p.article is p, -1 if p.tag in _TEXT else p.path.count("/"), 1, pos, 0]
             else:
                 row[2] += 1
+    tokens = {path: _token(path) for path in seen}
     texts: dict[int, list[int]] = {}
     for pos, b in enumerate(blocks):
-        raw = b.text.encode("utf-8", "surrogatepass")
         for p in _holders(b.place):
-            if (row := seen.get(p.path)) is not None:
+            if p.path and (row := seen.get(p.path)) is not None:
                 row[4] += len(b.text)
-                row[5].update(raw)
-        texts.setdefault(_token(b.place.path, b.text), [0, len(places) + pos])[0] += 1
-    out = [(_token(path), False, r[0], r[1], r[2], r[3], r[4], r[5].intdigest() - (1 << 63)) for path, r in seen.items()]
-    return out + [(t, True, False, 0, n, pos, 0, 0) for t, (n, pos) in texts.items()]
+        texts.setdefault(_token(b.place.path, b.text), [0, len(places) + pos, tokens[b.place.path]])[0] += 1
+    out = [(tokens[path], False, *r, None) for path, r in seen.items()]
+    return out + [(t, True, False, 0, n, pos, 0, within) for t, (n, pos, within) in texts.items()]
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -240,34 +244,40 @@ def templates(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ROWS, strict=True)], schema=_ROWS)
 
     rows = stored(_with_host(pages.filter("html is not null")).select("__host", "__page", "html").mapInArrow(tokens, _ROWS_SQL).dropDuplicates(["host", "page", "token"]), "page-tokens")
-    vectors = rows.groupBy("host", "token").agg(
+    vectors = stored(rows.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.first("depth").alias("depth"),
-        F.bool_or("article").alias("article"), F.first("text_token").alias("text_token"), (F.min("content") != F.max("content")).alias("varies"))
-    vectors = stored(vectors, "vectors")
-    # A class is valid if its tokens come in one order on all its pages.
-    orders = (
-        rows.filter("not text_token").select("host", "page", "token", "pos").join(vectors.select("host", "token", "vector"), ["host", "token"])
-        .groupBy("host", "vector", "page").agg(F.hash(F.sort_array(F.collect_list(F.struct("pos", "token")))["token"]).alias("order"))
-        .groupBy("host", "vector").agg((F.min("order") == F.max("order")).alias("valid"))
-    )
-    known = vectors.join(orders, ["host", "vector"], "left")
-    whole = vectors.filter("not text_token").groupBy("host").agg(F.max("chars").alias("all_chars"), F.max("pages").alias("all_pages"), F.bool_or("article").alias("marked"))
+        F.bool_or("article").alias("article"), F.first("text_token").alias("text_token"), F.first("within").alias("within")
+    ).filter("not text_token or pages > 1"), "vectors")
+    places = vectors.filter("not text_token")
+    whole = places.groupBy("host").agg(F.max("chars").alias("all_chars"), F.bool_or("article").alias("marked"))
     slots = (
-        known.filter("not text_token and valid and chars > 0").join(whole, "host")
+        places.filter("chars > 0").join(whole, "host")
         .filter(F.col("article") | ~F.col("marked") & (F.col("depth") >= 0) & (F.col("chars") >= MOST * F.col("all_chars")))
         .withColumn("score", F.when(F.col("article"), F.col("chars")).otherwise(F.col("depth").cast("long")))
     )
-    fixed = (
-        vectors.filter("text_token").select("host", "vector", "token")
-        .join(slots.filter(f"varies and pages >= {TEMPLATE_PAGES}").select("host", "vector").distinct(), ["host", "vector"])
-        .select("host", "token", F.lit(None).cast("long").alias("score"))
+    supported = (
+        vectors.filter("text_token").join(places.select("host", F.col("token").alias("within"), F.col("pages").alias("around")), ["host", "within"])
+        .filter(F.col("pages") >= HALF * F.col("around")).withColumn("score", F.lit(None).cast("long"))
     )
-    verdicts = slots.select("host", "token", "score").unionByName(fixed)
+    of_class = ["host", "vector", "text_token"]
+    wanted = slots.select(*of_class, "token", "score").unionByName(supported.select(*of_class, "token", "score"))
+    # A class is valid if its tokens come in one order on all its pages.
+    members = vectors.join(wanted.select(of_class).distinct(), of_class, "left_semi").select(*of_class, "token")
+    orders = (
+        rows.select("host", "page", "token", "pos").join(members, ["host", "token"])
+        .groupBy(*of_class, "page").agg(F.hash(F.sort_array(F.collect_list(F.struct("pos", "token")))["token"]).alias("order"))
+        .groupBy(of_class).agg((F.min("order") == F.max("order")).alias("valid"))
+    )
+    verdicts = wanted.join(orders.filter("valid"), of_class).select("host", "token", "score")
     shown = rows.filter("text_token or chars > 0").select("host", "page", "token").join(verdicts, ["host", "token"])
     best = F.max_by(F.when(F.col("score").isNotNull(), F.col("token")), F.when(F.col("score").isNotNull(), F.struct("score", "token")))
     return shown.groupBy("host", "page").agg(best.alias("slot"), F.collect_list(F.when(F.col("score").isNull(), F.col("token"))).alias("fixed"))
 
 
+def _chars(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
 def _slot(places: list[Place], blocks: list[Block], wanted: int | None) -> Place | None:
     """The page's slot: the one that its host wants, else what the page alone suggests."""
     below: dict[int, int] = {}
@@ -282,7 +292,7 @@ def _slot(places: list[Place], blocks: list[Block], wanted: int | None) -> Place
     marked = [p for p in places if p.article is p and below.get(id(p))]
     if marked:
         return max(marked, key=lambda p: below[id(p)])
-    total = sum(len(b.text) for b in blocks)
+    total = _chars(blocks)
     return max((p for p in places if total and p.tag not in _TEXT and by_path.get(p.path, 0) >= MOST * total), key=lambda p: p.path.count("/"), default=None)
 
 
@@ -294,7 +304,10 @@ def main_text(html: str | None, wanted: int | None = None, fixed: frozenset[int]
     slot = _slot(places, blocks, wanted)
     if slot is not None:
         blocks = [b for b in blocks if any(p.path == slot.path for p in _holders(b.place))]
-    return "\n".join(b.text for b in blocks if not fixed or _token(b.place.path, b.text) not in fixed)
+    own = [b for b in blocks if not fixed or _token(b.place.path, b.text) not in fixed]
+    if _chars(own) >= HALF * _chars(blocks):
+        blocks = own
+    return "\n".join(b.text for b in blocks)
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:

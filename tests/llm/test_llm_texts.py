@@ -260,6 +260,20 @@ def test_slots_of_per_page_classes(spark):
     assert {r["page_id"]: r["text"] for r in html_main.extract(pages).collect()} == {i: f"text {i} {'w ' * i}".strip() for i in range(40)}
 
 
+@pytest.mark.parametrize("n", [2, 4, 9, 10, 20])
+def test_template_text_at_any_page_count(spark, n):
+    """Blocks that repeat on all pages, twice a page or in a place of some pages go; what near copies share stays."""
+    rng = random.Random(n)
+    own = [[" ".join(sentence(rng, 30)) for _ in range(3)] for _ in range(n)]
+    rows = [(i, "http://few.example/", f"<article><p>Read this first</p><p>{a}</p><p>Go on</p><p>{b}</p><p>Go on</p>{'<div class=offer>Only today</div>' if i < max(2, n // 4) else ''}<p>{c}</p></article>", None, None)
+            for i, (a, b, c) in enumerate(own)]
+    copied = [" ".join(sentence(rng, 30)) for _ in range(9)]
+    rows += [(100 + i, "http://copies.example/", f"<article><p>{'<p>'.join([*copied[:i % 9], f'changed {i}', *copied[i % 9:]])}</article>", None, None) for i in range(n)]
+    out = {r["page_id"]: r["text"].split("\n") for r in html_main.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [out[i] for i in range(n)] == own
+    assert all(out[100 + i] == [*copied[:i % 9], f"changed {i}", *copied[i % 9:]] for i in range(n))
+
+
 @pytest.mark.parametrize(("html", "text"), [
     ("<article><h1>A &amp; B</h1><p>x\n <b>y</b>&nbsp;z<br>w<p>next<script>var t='</p>';</script> part</article><footer>no</footer>", "A & B\nx y z w\nnext part"),
     ("<main><header><h1>Head</h1><p>by me</p></header><p class='ad'>buy<p>real<ul><li>one<li>two</ul><section class='comments'><article>no</article></section></main>", "Head\nreal\none\ntwo"),
