@@ -13,6 +13,10 @@ the pages that have its place, however many these are, and if its own class is v
 a place of its own, and a block may come more than once a page. A page of whose slot more than half is such text is taken for a
 near copy of others rather than a filled template, and keeps it.
 
+A name is no mark where it stands on a wrapper: on a place that is or holds a ``main``, on one that is or holds an outermost
+article if all articles of the page are marked, and on one that holds more than half of the text of its article, or of the page
+if it holds an article or none is unmarked. There the classes of the host decide. Unmarked articles come first as slots.
+
 Vectors are never collected: a token's vector is the exclusive or of a hash per page and count, so a host with a third of all
 pages is summed up before the shuffle like any other. Equal pages of a host count once, so that copies do not look
 like a template. Pages that do not show the host's slot (another template, a single page) are judged by themselves in the same way.
@@ -70,6 +74,12 @@ class Place:
     out: bool
     header: bool
     article: Place | None
+    #: Names of its own mark it: as a header, or as any other thing that is left out.
+    by_header: bool = False
+    by_name: bool = False
+    main: bool = False
+    slot: bool = False
+    chars: int = 0
 
 
 @dataclass(slots=True)
@@ -85,37 +95,57 @@ def _enter(tag: str, attributes: str, above: Place | None) -> Place:
     names = {w.lower() for v in found.values() for w in _NAME.findall(v)}
     inside = above.article if above else None
     marks = names & _MARKED if tag not in ("html", "body") else frozenset()
-    header = tag == "header" or bool(names & _HEADERS or "header" in names) and tag not in ("html", "body", "article", "main")
-    out = bool(above and above.out) or tag in _LEFT_OUT or bool(marks - _HEADERS)
-    place = Place(tag, path, above, out, bool(above and above.header) or header, inside)
+    by_header = bool(names & _HEADERS or "header" in names) and tag not in ("html", "body", "article", "main")
+    out, header = bool(above and above.out) or tag in _LEFT_OUT, bool(above and above.header) or tag == "header"
+    place = Place(tag, path, above, out, header, inside, by_header, bool(marks - _HEADERS))
     if inside is None and not place.out and (tag in ("article", "main") or found.get("role") in ("main", "article")):
         place.article = place
+        place.main = tag == "main" or found.get("role") == "main"
     return place
 
 
+def _spread_marks(places: list[Place], pieces: list[tuple[Place | None, str]]) -> None:
+    """Let the names that mark no wrapper hold for all places below them, and say which articles can be slots."""
+    for place, text in pieces:
+        size = len(text.strip())
+        for p in _holders(place) if size else ():
+            p.chars += size
+    tops = [p for p in places if p.article is p]
+    free = [p for p in tops if not any(q.by_name or q.by_header for q in _holders(p))]
+    for p in tops:
+        p.slot = p.main or not free or not any(q.by_name or q.by_header for q in _holders(p))
+    holding = {id(q) for p in tops for q in _holders(p)}
+    wrapping = {id(q) for p in tops if p.main or not free for q in _holders(p)}
+    total = sum(len(text.strip()) for _, text in pieces)
+    for p in places:
+        if p.by_name or p.by_header:
+            around = p.article.chars if p.article not in (None, p) else total if not free or id(p) in holding else None
+            if id(p) in wrapping or around and p.chars > HALF * around:
+                p.by_name = p.by_header = False
+        p.out = p.out or p.by_name or bool(p.above and p.above.out)
+        p.header = p.header or p.by_header or bool(p.above and p.above.header)
+
+
+def _left_out(place: Place | None) -> bool:
+    return place is not None and (place.out or place.header and not (place.article and _heading(place)))
+
+
 def blocks_of(html: str) -> tuple[list[Place], list[Block]]:
     """Places of a page in order, and its blocks of text that are not left out by their marks."""
     places: list[Place] = []
     blocks: list[Block] = []
     top: Place | None = None
-    text: list[str] = []
-    at_block: Place | None = None
+    text: list[tuple[Place | None, str]] = []
+    found: list[list[tuple[Place | None, str]]] = []
 
     def flush() -> None:
-        nonlocal at_block
         if text:
-            words = entities.unescape("".join(text)).split()
+            found.append(text.copy())
             text.clear()
-            if words and at_block is not None:
-                blocks.append(Block(at_block, " ".join(words)))
-        at_block = None
 
     def hold(piece: str) -> None:
-        nonlocal at_block
-        if piece and not (top and (top.out or top.header and not (top.article and _heading(top)))):
-            if at_block is None and not piece.isspace():
-                at_block = _block_place(top)
-            text.append(piece)
+        if piece and not _left_out(top):
+            text.append((top, piece))
 
     at, size = 0, len(html)
     while at < size:
@@ -142,7 +172,7 @@ def blocks_of(html: str) -> tuple[list[Place], list[Block]]:
             if tag == "hr":
                 flush()
             else:
-                text.append(" ")
+                text.append((None, " "))
             continue
         if tag not in _INLINE and tag not in _SILENT:
             flush()
@@ -156,6 +186,12 @@ def blocks_of(html: str) -> tuple[list[Place], list[Block]]:
         top = _enter(tag, m[3], top)
         places.append(top)
     flush()
+    _spread_marks(places, [piece for pieces in found for piece in pieces])
+    for pieces in found:
+        kept = [piece for piece in pieces if not _left_out(piece[0])]
+        words = entities.unescape("".join(t for _, t in kept)).split()
+        if words:
+            blocks.append(Block(_block_place(next(p for p, t in kept if not t.isspace())), " ".join(words)))
     return places, blocks
 
 
@@ -209,7 +245,7 @@ def page_tokens(html: str) -> list[tuple[int, bool, bool, int, int, int, int, in
         if p.tag not in _INLINE:
             row = seen.get(p.path)
             if row is None:
-                seen[p.path] = [p.article is p, -1 if p.tag in _TEXT else p.path.count("/"), 1, pos, 0]
+                seen[p.path] = [p.slot and not p.out, -1 if p.tag in _TEXT else p.path.count("/"), 1, pos, 0]
             else:
                 row[2] += 1
     tokens = {path: _token(path) for path in seen}
@@ -289,7 +325,7 @@ def _slot(places: list[Place], blocks: list[Block], wanted: int | None) -> Place
     tokens = {_token(path): path for path in by_path}
     if wanted in tokens:
         return next(p for p in places if p.path == tokens[wanted])
-    marked = [p for p in places if p.article is p and below.get(id(p))]
+    marked = [p for p in places if p.slot and below.get(id(p))]
     if marked:
         return max(marked, key=lambda p: below[id(p)])
     total = _chars(blocks)

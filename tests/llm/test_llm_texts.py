@@ -274,6 +274,19 @@ def test_template_text_at_any_page_count(spark, n):
     assert all(out[100 + i] == [*copied[:i % 9], f"changed {i}", *copied[i % 9:]] for i in range(n))
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<div class='content-sidebar-wrap'><main class='no-sidebar'><p>the whole text</main></div><div class=sidebar>side</div>", "the whole text"),
+    ("<article class='post comments-open'><p>the whole text<div class=comments>bad</div></article>", "the whole text"),
+    ("<div id='search-results'><article><p>the whole text</article></div><div class=ads>buy</div>", "the whole text"),
+    ("<div class='has-sidebar'><h1>The</h1><p>whole text</div><div class=sidebar>side</div>", "The\nwhole text"),
+    ("<div class='header-wrap'><p>the whole text</div><div class=header>side</div>", "the whole text"),
+    ("<div class=ad>a long advert before it</div><article>short</article><div class=comments><article>no</article></div>", "short"),
+    ("<p>the <span class=share>share</span> text", "the text"), ("<main><div class='has-sidebar'><p>the text</div><div class=widget>w</div></main>", "the text"),
+])
+def test_names_on_wrappers(html, text):
+    assert html_main.main_text(html) == text
+
+
 @pytest.mark.parametrize(("html", "text"), [
     ("<article><h1>A &amp; B</h1><p>x\n <b>y</b>&nbsp;z<br>w<p>next<script>var t='</p>';</script> part</article><footer>no</footer>", "A & B\nx y z w\nnext part"),
     ("<main><header><h1>Head</h1><p>by me</p></header><p class='ad'>buy<p>real<ul><li>one<li>two</ul><section class='comments'><article>no</article></section></main>", "Head\nreal\none\ntwo"),
