@@ -4,14 +4,15 @@ Pages of one host are made from few templates. A token is a tag in its place (th
 block of text in its place; its occurrence vector is how often each page of the host holds it. Tokens with equal vectors form
 a class; a class is valid if its tokens come in the same order on all its pages, and classes nest as their paths do. Together they
 are the template; the text between their tags is what the slots hold. The slot of the article is the outermost ``article`` or
-``main`` of a valid class, or else the deepest place that holds most text of the host's pages. Blocks below that slot are
-the main text, except text that belongs to the template and places whose tag, class, id or role marks a menu, header, footer,
-sidebar, notice, advert, form or comments.
+``main`` of a valid class, on pages where it holds more than half of the text outside the template. Everywhere else the whole page
+is the slot. The main text are the slot's blocks, except text that belongs to the template and places whose tag, class, id or
+role marks a menu, header, footer, sidebar, notice, advert, form or comments.
 
 A text token nests in the class of its place. It belongs to the template if it is on two distinct pages at least and on half of
 the pages that have its place, however many these are, and if its own class is valid. So a block on part of the pages counts in
 a place of its own, and a block may come more than once a page. A page of whose slot more than half is such text is taken for a
-near copy of others rather than a filled template, and keeps it.
+near copy of others rather than a filled template, and keeps it. Without an article this is asked of the core, the deepest place with
+most of the text outside the template; around the core, blocks but headings that differ only in numbers ("3 comments") are template too.
 
 A name is no mark where it stands on a wrapper: on a place that is or holds a ``main``, on one that is or holds an outermost
 article if all articles of the page are marked, and on one that holds more than half of the text of its article, or of the page
@@ -39,13 +40,14 @@ from pyspark.sql import functions as F
 
 from promptledger.llm.common import stored
 
-#: Share of a host's text that the deepest place must hold where no article is marked.
+#: Share of a page's text outside the template that its core holds.
 MOST = 0.8
-#: Template text is on this share of the pages with its place, and fills no more than this share of a slot.
+#: Template text is on this share of the pages with its place, and fills no more than this share of a slot; an article holds more than it.
 HALF = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_NUMBER = re.compile(r"\b\d+\b")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: These do not break a block.
@@ -221,6 +223,12 @@ def _token(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _open_token(block: Block) -> int | None:
+    """The token of a block whose numbers may be any; none for headings and for blocks without numbers."""
+    text, numbers = _NUMBER.subn("0", block.text)
+    return _token(block.place.path, f"\0{text}") if numbers and not _heading(block.place) else None
+
+
 def _holders(place: Place | None) -> Iterator[Place]:
     while place is not None:
         yield place
@@ -228,35 +236,37 @@ def _holders(place: Place | None) -> Iterator[Place]:
 
 
 _ROWS = pa.schema([
-    ("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("text_token", pa.bool_()), ("article", pa.bool_()), ("depth", pa.int32()),
+    ("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("text_token", pa.bool_()), ("article", pa.bool_()),
     ("count", pa.int32()), ("pos", pa.int32()), ("chars", pa.int64()), ("within", pa.int64()),
 ])
-_ROWS_SQL = "host string, page long, token long, text_token boolean, article boolean, depth int, count int, pos int, chars long, within long"
+_ROWS_SQL = "host string, page long, token long, text_token boolean, article boolean, count int, pos int, chars long, within long"
 
 
-def page_tokens(html: str) -> list[tuple[int, bool, bool, int, int, int, int, int | None]]:
-    """(token, is text, is an outermost article, depth, count, first place, characters below, token of a text's place) of a page.
+def page_tokens(html: str) -> list[tuple[int, bool, bool, int, int, int, int | None]]:
+    """(token, is text, is an outermost article, count, first place, characters below, token of a text's place) of a page.
 
-    The depth is -1 where a place can't be a slot. The path of text without a place is empty.
+    The path of text without a place is empty. Text with numbers has a second token, which leaves them open.
     """
     places, blocks = blocks_of(html)
-    seen: dict[str, list] = {"": [False, -1, 1, -1, _chars(blocks)]}
+    seen: dict[str, list] = {"": [False, 1, -1, _chars(blocks)]}
     for pos, p in enumerate(places):
         if p.tag not in _INLINE:
             row = seen.get(p.path)
             if row is None:
-                seen[p.path] = [p.slot and not p.out, -1 if p.tag in _TEXT else p.path.count("/"), 1, pos, 0]
+                seen[p.path] = [p.slot and not p.out, 1, pos, 0]
             else:
-                row[2] += 1
+                row[1] += 1
     tokens = {path: _token(path) for path in seen}
     texts: dict[int, list[int]] = {}
     for pos, b in enumerate(blocks):
         for p in _holders(b.place):
             if p.path and (row := seen.get(p.path)) is not None:
-                row[4] += len(b.text)
-        texts.setdefault(_token(b.place.path, b.text), [0, len(places) + pos, tokens[b.place.path]])[0] += 1
+                row[3] += len(b.text)
+        for token in (_token(b.place.path, b.text), _open_token(b)):
+            if token is not None:
+                texts.setdefault(token, [0, len(places) + pos, tokens[b.place.path]])[0] += 1
     out = [(tokens[path], False, *r, None) for path, r in seen.items()]
-    return out + [(t, True, False, 0, n, pos, 0, within) for t, (n, pos, within) in texts.items()]
+    return out + [(t, True, False, n, pos, 0, within) for t, (n, pos, within) in texts.items()]
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -281,16 +291,11 @@ def templates(pages: DataFrame) -> DataFrame:
 
     rows = stored(_with_host(pages.filter("html is not null")).select("__host", "__page", "html").mapInArrow(tokens, _ROWS_SQL).dropDuplicates(["host", "page", "token"]), "page-tokens")
     vectors = stored(rows.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.first("depth").alias("depth"),
+        F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"),
         F.bool_or("article").alias("article"), F.first("text_token").alias("text_token"), F.first("within").alias("within")
     ).filter("not text_token or pages > 1"), "vectors")
     places = vectors.filter("not text_token")
-    whole = places.groupBy("host").agg(F.max("chars").alias("all_chars"), F.bool_or("article").alias("marked"))
-    slots = (
-        places.filter("chars > 0").join(whole, "host")
-        .filter(F.col("article") | ~F.col("marked") & (F.col("depth") >= 0) & (F.col("chars") >= MOST * F.col("all_chars")))
-        .withColumn("score", F.when(F.col("article"), F.col("chars")).otherwise(F.col("depth").cast("long")))
-    )
+    slots = places.filter("article and chars > 0").withColumn("score", F.col("chars"))
     supported = (
         vectors.filter("text_token").join(places.select("host", F.col("token").alias("within"), F.col("pages").alias("around")), ["host", "within"])
         .filter(F.col("pages") >= HALF * F.col("around")).withColumn("score", F.lit(None).cast("long"))
@@ -314,22 +319,23 @@ def _chars(blocks: list[Block]) -> int:
     return sum(len(b.text) for b in blocks)
 
 
-def _slot(places: list[Place], blocks: list[Block], wanted: int | None) -> Place | None:
-    """The page's slot: the one that its host wants, else what the page alone suggests."""
-    below: dict[int, int] = {}
-    by_path: dict[str, int] = {}
+def _below(blocks: list[Block]) -> dict[str, int]:
+    """Characters of the blocks below each path."""
+    below: dict[str, int] = {}
     for b in blocks:
         for p in _holders(b.place):
-            by_path[p.path] = by_path.get(p.path, 0) + len(b.text)
-            below[id(p)] = below.get(id(p), 0) + len(b.text)
-    tokens = {_token(path): path for path in by_path}
-    if wanted in tokens:
-        return next(p for p in places if p.path == tokens[wanted])
-    marked = [p for p in places if p.slot and below.get(id(p))]
-    if marked:
-        return max(marked, key=lambda p: below[id(p)])
-    total = _chars(blocks)
-    return max((p for p in places if total and p.tag not in _TEXT and by_path.get(p.path, 0) >= MOST * total), key=lambda p: p.path.count("/"), default=None)
+            below[p.path] = below.get(p.path, 0) + len(b.text)
+    return below
+
+
+def _inside(path: str, block: Block) -> bool:
+    return any(p.path == path for p in _holders(block.place))
+
+
+def _article(places: list[Place], below: dict[str, int], wanted: int | None) -> str | None:
+    """Path of the page's article: the one that its host wants, else its largest."""
+    marked = {p.path for p in places if p.slot and below.get(p.path)}
+    return next((path for path in marked if wanted is not None and _token(path) == wanted), max(sorted(marked), key=lambda path: below[path], default=None))
 
 
 def main_text(html: str | None, wanted: int | None = None, fixed: frozenset[int] = frozenset()) -> str:
@@ -337,15 +343,29 @@ def main_text(html: str | None, wanted: int | None = None, fixed: frozenset[int]
     if not html:
         return ""
     places, blocks = blocks_of(html)
-    slot = _slot(places, blocks, wanted)
-    if slot is not None:
-        blocks = [b for b in blocks if any(p.path == slot.path for p in _holders(b.place))]
-    own = [b for b in blocks if not fixed or _token(b.place.path, b.text) not in fixed]
-    if _chars(own) >= HALF * _chars(blocks):
-        blocks = own
+    own = [b for b in blocks if _token(b.place.path, b.text) not in fixed] if fixed else blocks
+    if own:
+        below, total = _below(own), _chars(own)
+        path = _article(places, below, wanted)
+        if path is not None and below[path] > HALF * total:
+            blocks = _filled([b for b in blocks if _inside(path, b)], own)
+        elif fixed:
+            core = max((p.path for p in places if p.tag not in _TEXT and below.get(p.path, 0) >= MOST * total), key=lambda path: path.count("/"), default=None)
+            inside = blocks if core is None else [b for b in blocks if _inside(core, b)]
+            kept = {id(b) for b in _filled(inside, own)}
+            within = {id(b) for b in inside}
+            kept |= {id(b) for b in own if id(b) not in within and _open_token(b) not in fixed}
+            blocks = [b for b in blocks if id(b) in kept]
     return "\n".join(b.text for b in blocks)
 
 
+def _filled(blocks: list[Block], own: list[Block]) -> list[Block]:
+    """Blocks without those of the template, or all of them where these are no small part."""
+    kept = {id(b) for b in own}
+    out = [b for b in blocks if id(b) in kept]
+    return out if _chars(out) >= HALF * _chars(blocks) else blocks
+
+
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     """``pages`` (page_id, url, html) without html, with the main text of every row."""
     found = stored(templates(pages).select(F.col("host").alias("__of"), F.col("page").alias("__as"), F.col("slot").alias("__slot"), F.col("fixed").alias("__fixed")), "templates")
@@ -360,5 +380,6 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept), f"`{text}` string"])
-    joined = _with_host(pages).join(found, (F.col("__host") == F.col("__of")) & (F.col("__page") == F.col("__as")), "left")
+    # As many rows as distinct pages: never a broadcast, so that small inputs cost what large ones do.
+    joined = _with_host(pages).join(found.hint("merge"), (F.col("__host") == F.col("__of")) & (F.col("__page") == F.col("__as")), "left")
     return joined.select(*kept, "html", "__slot", "__fixed").mapInArrow(texts, schema)

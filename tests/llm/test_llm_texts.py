@@ -274,6 +274,20 @@ def test_template_text_at_any_page_count(spark, n):
     assert all(out[100 + i] == [*copied[:i % 9], f"changed {i}", *copied[i % 9:]] for i in range(n))
 
 
+def test_text_around_the_slot_stays(spark):
+    rng = random.Random(5)
+    own = [[" ".join(sentence(rng, n)) for n in (3, 12, 80)] for _ in range(8)]
+    rows = [(i, "http://entry.example/", f"<body><div class=top>Home</div><div class=post><h1>{a}</h1><p>{b}</p><div class=entry>{c}</div></div><div class=views>{i} views</div>", None, None)
+            for i, (a, b, c) in enumerate(own)]
+    many = " ".join(sentence(rng, 500))
+    rows += [(50, "http://entry.example/", f"<body><div class=top>Home</div><div class=post><div class=entry>One line</div></div><div class=gallery>{many}</div>", None, None),
+             (51, "http://solo.example/", rows[0][2], None, None), (52, "http://solo2.example/", f"<article>One line</article><div class=gallery>{many}</div>", None, None)]
+    out = {r["page_id"]: r["text"].split("\n") for r in html_main.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [out[i] for i in range(8)] == own
+    assert out[50] == out[52] == ["One line", many]
+    assert out[51] == ["Home", *own[0], "0 views"]
+
+
 @pytest.mark.parametrize(("html", "text"), [
     ("<div class='content-sidebar-wrap'><main class='no-sidebar'><p>the whole text</main></div><div class=sidebar>side</div>", "the whole text"),
     ("<article class='post comments-open'><p>the whole text<div class=comments>bad</div></article>", "the whole text"),
