@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns a DataFrame that is
 written as Parquet and read again as the next one's input. All but the last return the columns of ``documents``. Rows of null
-id are documents like any other; only the choice of one document of a class needs ids, so copies without id all stay.
+id are documents like any other; of a class of near duplicates they are the last choice.
 """
 
 from __future__ import annotations
@@ -38,16 +38,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates; rows that repeat an id and a text are one.
+    """One row of each class of near duplicates: the one of the smallest id, nulls last, then of the smallest hash of its text.
 
-    Rows of one id but different texts go only if all of them are later members of their classes.
+    Each row is decided by itself, also where an id is null or repeated. Texts without words are in no class; of these, rows that
+    repeat an id and a text are one.
     """
     prepared(spark)
     rows = docs.select(*COLUMNS)
-    classes = jaccard.near_duplicates(rows, SHINGLE_WORDS, *SIMILAR).filter("doc_id is not null")
-    odd = classes.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.bool_and(F.col("doc_id") != F.col("component_id")).alias("__later"), (F.count("*") > 1).alias("__twice")).filter("__later or __twice")
-    kept = rows.join(odd, F.col("doc_id") == F.col("__id"), "left").filter("__later is null or not __later")
+    of_text = F.xxhash64("text")
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), of_text.alias("of_text"))
+    classes = jaccard.near_duplicates(rows.select(key.alias("doc_id"), "text"), SHINGLE_WORDS, *SIMILAR)
+    odd = (
+        classes.groupBy(F.col("doc_id.id").alias("__id"), F.col("doc_id.of_text").alias("__of_text"))
+        .agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("__later"),
+             (F.count(F.when((F.col("n_shingles") > 0) | ~F.col("doc_id.unknown"), 1)) > 1).alias("__twice")).filter("__later or __twice")
+    )
+    kept = rows.join(odd, F.col("doc_id").eqNullSafe(F.col("__id")) & (of_text == F.col("__of_text")), "left").filter("__later is null or not __later")
     return kept.filter("__twice is null or not __twice").select(*COLUMNS).unionByName(
         kept.filter("__twice").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 

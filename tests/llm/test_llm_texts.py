@@ -229,6 +229,21 @@ def test_long_texts_hash_as_whole(monkeypatch):
     assert parts == [(r + o, t) for r, n, own, tok in whole for o, t in zip(own, tok, strict=True)]
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Null and repeated ids keep no near duplicates."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(sentence(rng, 60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (7, b), (7, b + " more"), (3, c), (3, d), (1, c), (9, d + " more"), (9, "short"), (9, "short"), (None, "short"), (None, "short"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()), key=repr)
+    of_a = [t for i, t in out if i is None and t in (a, a + " more")]
+    of_b = [t for i, t in out if i == 7]
+    assert len(of_a) == 1 and len(of_b) == 1 and of_b[0] in (b, b + " more")
+    assert out == sorted([(None, of_a[0]), (7, of_b[0]), (1, c), (3, d), (9, "short"), (None, None)], key=repr)
+
+
 PAGES = "page_id long, url string, html string, text string, fixed string"
 
 
