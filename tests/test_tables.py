@@ -136,8 +136,8 @@ def test_tier_resolution_order(spark):
     models = spark.createDataFrame([("GPT-4o",), ("llama3.1:8b",), ("mistral:7b",), ("my-embed",), ("other",), ("",)], "model string")
     got = {r.model: (r.tier, r.cost_multiplier) for r in budget.resolve_tiers(models, X.assignments(spark), X.tiers(spark)).collect()}
     assert got == {
-        "GPT-4o": ("frontier", 15.0), "llama3.1:8b": ("standard", 1.0), "mistral:7b": (None, 5.0),
-        "my-embed": ("embedding", 0.1), "other": (None, 5.0),
+        "GPT-4o": ("frontier", 12.0), "llama3.1:8b": ("standard", 1.0), "mistral:7b": (None, 5.0),
+        "my-embed": ("embedding", 0.2), "other": (None, 5.0),
     }
 
 
