@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptledger.llm import exact_topk, hashed_ann, html_main, jaccard, mixing, sentencepiece, sharding, toxicity, vectors
+from promptledger.llm import exact_topk, hashed_ann, html_main, jaccard, merkle, mixing, phrases, sentencepiece, sharding, token_counts, toxicity, vectors
 from promptledger.llm import line_dedup as lines
 from promptledger.llm import warc as warc_files
 from promptledger.llm.common import text_or_empty, word_count
@@ -242,3 +242,111 @@ def html_main_text(spark, sf_dir):
     """Main text of every page, by the templates of its host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_main.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: Rows whose id's checksum this divides are found changed when the manifest is checked.
+CHANGED_OF = 5
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op11_merkle_manifest", r"""
+with recursive bits as (
+  select i::ubigint as i, i::ubigint as c, 0 as k from range(256) t(i)
+  union all
+  select i, xor(c >> 1, (c & 1) * 3988292384::ubigint), k + 1 from bits where k < 8),
+crc_table as (select list(c order by i) as t from bits where k = 8),
+x as (
+  select doc_id, source, lang, n_chars, text, case when crc % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as seen
+  from (
+    select *, xor(4294967295::ubigint, list_reduce(
+      list_prepend(4294967295::ubigint, list_transform(range(length(doc_id::varchar)), lambda k: ascii(substr(doc_id::varchar, (k + 1)::bigint, 1))::ubigint)),
+      lambda a, b: xor(a >> 8, t[cast(xor(a, b) & 255 as bigint) + 1]))) as crc
+    from documents, crc_table) y),
+head as (
+  select *, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') as fields from x),
+hashed as (
+  select doc_id, source, sha256(fields || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    sha256(fields || coalesce(octet_length(encode(seen)) || ':' || seen, '-')) as found from head),
+sources as (select source, row_number() over (order by source nulls first) - 1 as tree, count(*) as n from hashed group by source),
+leaves as (
+  select h.*, s.tree, s.n, row_number() over (partition by s.tree order by doc_id nulls first, leaf) - 1 as pos
+  from hashed h join sources s on h.source is not distinct from s.source),
+low as (
+  select 0 as level, tree, n, pos, leaf as digest from leaves
+  union all
+  select level + 1, tree, (n + 15) // 16, pos // 16, sha256(string_agg(digest, '' order by pos)) from low where n > 1 group by level, tree, n, pos // 16),
+subroots as (select tree, digest as subroot from low where n = 1),
+high as (
+  select 0 as level, (select count(*) from sources) as n, tree as pos, subroot as digest from subroots
+  union all
+  select level + 1, (n + 15) // 16, pos // 16, sha256(string_agg(digest, '' order by pos)) from high where n > 1 group by level, n, pos // 16),
+way as (
+  select l.tree, l.pos as leaf_at, k.level, k.pos, k.digest, k.pos < l.pos // (16::bigint ** k.level)::bigint as before, k.pos = l.pos // (16::bigint ** k.level)::bigint as self
+  from leaves l join low k on k.tree = l.tree and k.n > 1 and k.pos // 16 = l.pos // (16::bigint ** (k.level + 1))::bigint
+  union all
+  select l.tree, l.pos, 100 + k.level, k.pos, k.digest, k.pos < l.tree // (16::bigint ** k.level)::bigint, k.pos = l.tree // (16::bigint ** k.level)::bigint
+  from leaves l join high k on k.n > 1 and k.pos // 16 = l.tree // (16::bigint ** (k.level + 1))::bigint),
+steps as (
+  select tree, leaf_at, row_number() over (partition by tree, leaf_at order by level) as step,
+    coalesce(string_agg(digest, '' order by pos) filter (not self and before), '') as lefts, coalesce(string_agg(digest, '' order by pos) filter (not self and not before), '') as rights
+  from way group by tree, leaf_at, level),
+proofs as (select tree, leaf_at, sha256(string_agg(lefts || rights, '' order by step)) as proof, max(step) as last from steps group by all),
+folds as (
+  select tree, pos, 0 as step, found as digest from leaves
+  union all
+  select f.tree, f.pos, f.step + 1, sha256(s.lefts || f.digest || s.rights) from folds f join steps s on s.tree = f.tree and s.leaf_at = f.pos and s.step = f.step + 1)
+select l.doc_id, l.leaf, u.subroot, h.digest as root, coalesce(p.proof, sha256('')) as proof_sha256, f.digest as folded_root, f.digest = h.digest as verified
+from leaves l join subroots u on u.tree = l.tree join high h on h.n = 1
+left join proofs p on p.tree = l.tree and p.leaf_at = l.pos
+join folds f on f.tree = l.tree and f.pos = l.pos and f.step = coalesce(p.last, 0)
+""")
+def merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and whether the text as found still leads to the root."""
+    text = F.col("text")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % CHANGED_OF == 0
+    found = F.when(changed, F.translate(text, _UPPER, _LOWER)).otherwise(text)
+    return merkle.manifest(table(spark, sf_dir, "documents"), found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_collocations", r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^ 	]+') as ws from p),
+sizes as (select lang, sum(len(ws))::hugeint as n from w group by lang),
+f as (
+  select lang, k, ws[i:i + k - 1] as words, count(*)::hugeint as f
+  from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (select unnest(range(1, 6)) as k) ks) x group by all),
+c as (select * from f where k > 1 and f >= 100),
+cuts as (
+  select c.lang, c.words, c.k, c.f as a, x.f as l, y.f as r, c.j, 1000 * c.f * s.n // (x.f * y.f) as score
+  from (select *, unnest(range(1, k)) as j from c) c join sizes s on s.lang = c.lang
+  join f x on x.lang = c.lang and x.words = c.words[1:c.j] join f y on y.lang = c.lang and y.words = c.words[c.j + 1:c.k]),
+worst as (select * from cuts qualify row_number() over (partition by lang, words order by score, j) = 1),
+inner_parts as (
+  select lang, words[i:i + m - 1] as words, max(f) as f
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c) a) b group by all),
+kept as (select w.* from worst w anti join inner_parts i on i.lang = w.lang and i.words = w.words and 100 * i.f >= 100 * w.a),
+ranked as (
+  select k.lang, row_number() over (partition by k.lang order by score desc, a desc, array_to_string(words, ' ')) as rank, array_to_string(words, ' ') as phrase, a, l, r, s.n, score
+  from kept k join sizes s on s.lang = k.lang)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+""")
+def collocations(spark, sf_dir):
+    """The 2,000 strongest phrases of two to five words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+#: Documents of more tokens don't fit into one window.
+TOKEN_LIMIT = 1024
+
+
+@query("op13_token_counts")
+def count_tokens(spark, sf_dir):
+    """Bytes and tokens of every whole text. ``spark.promptledger.tokenCache`` may name a lasting cache folder; else one is made for the run."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, spark.conf.get("spark.promptledger.tokenCache", None), token_counts.default_tokenizer("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
