@@ -232,8 +232,8 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 """)
 def exact_topk_of_scaled(spark, sf_dir):
     """The 5 highest integer inner products of every 50th vector, components scaled by 256."""
-    v = F.col("embedding")
-    scaled = F.when(vectors.finite(v), F.transform(v, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long")))
+    # Whole numbers as doubles, which no component overflows; floor() itself would give a long.
+    scaled = F.transform("embedding", lambda x: vectors.whole(F.lit(256.0) * x.cast("double")))
     return exact_topk.search(table(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("v")), F.col("vec_id") % 50 == 0, k=5)
 
 

@@ -26,6 +26,11 @@ def finite(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & good, F.lit(False))
 
 
+def whole(x: Column) -> Column:
+    """The largest whole number up to ``x``, as a double; from 2 ** 53 on every double is whole."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+
+
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     """``vid`` (smallest id), ``v`` and ``members`` (its ``keep`` smallest ids) of the distinct vectors of (vec_id, v)."""
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS))
@@ -48,7 +53,7 @@ def block_pairs(queries: DataFrame, data: DataFrame, search: Callable[[pd.DataFr
     return left.cogroup(right).applyInPandas(search, schema)
 
 
-def matrix(column: pd.Series) -> np.ndarray:
+def matrix(column: pd.Series | list) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in column]) if len(column) else np.empty((0, 0))
 
 
@@ -62,13 +67,15 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def ranked(hits: DataFrame, queries: DataFrame, distinct: DataFrame, k: int) -> DataFrame:
+def ranked(hits: DataFrame, queries: DataFrame, distinct: DataFrame, k: int, finer: str | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` from hits (qid, vid, score) of distinct vectors.
 
-    ``queries`` has ``query_id`` and ``qid``, the distinct vector it is a copy of.
+    ``queries`` has ``query_id`` and ``qid``, the distinct vector it is a copy of. ``finer`` names a column that orders equal scores.
     """
-    top = hits.withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vid"))).filter(F.col("k") <= k + 1).drop("k")
-    members = top.join(distinct.select("vid", "members"), "vid").select("qid", "score", F.explode("members").alias("vec_id"))
+    more = [finer] if finer else []
+    by = [F.desc("score"), *map(F.desc, more)]
+    top = hits.withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy(*by, "vid"))).filter(F.col("k") <= k + 1).drop("k")
+    members = top.join(distinct.select("vid", "members"), "vid").select("qid", "score", *more, F.explode("members").alias("vec_id"))
     out = queries.join(members, "qid").filter(F.col("vec_id") != F.col("query_id"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*by, "vec_id"))
     return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

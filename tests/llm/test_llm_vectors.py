@@ -24,12 +24,34 @@ def test_exact_topk_equals_brute_force(spark, spread):
     rng = random.Random(4)
     rows = [(i, [rng.randrange(-spread, spread + 1) * (1 + i % 7) for _ in range(24)]) for i in range(900)]
     rows += [(1000 + i, rows[10][1]) for i in range(300)] + [(2000 + i, [rng.randrange(5) for _ in range(3)]) for i in range(40)] + [(3000, [0] * 24)]
-    bad = [(None, [1] * 24), (4000, None), (4050, []), (4100, [None] * 24), (4150, [2**40] * 24)]
+    rows += [(4050, []), (4060, [])]
+    bad = [(None, [1] * 24), (4000, None), (4100, [None] * 24)]
     df = spark.createDataFrame([(i, v, "x", 1.0, 7) for i, v in rows + bad + rows[:3]], "vec_id long, v array<long>, label string, score double, vid long")
     got = sorted(tuple(r) for r in exact_topk.search(df, F.col("vec_id") % 50 == 0, 5).collect())
     assert got == brute(rows, lambda i: i % 50 == 0, 5)
 
 
+LARGEST = 2**63 - 1
+
+
+@pytest.mark.parametrize("most", [2**33, 2**62, 2.0**60, 2.0**120, 2.0**1020])
+def test_scores_beyond_a_long_are_ranked_exactly(spark, most):
+    rng = random.Random(6)
+    small = [(i, [rng.randrange(-900, 900) for _ in range(20)]) for i in range(300)]
+    large = [(300 + i, [int(rng.uniform(-most, most)) for _ in range(20)]) for i in range(40)] + [(400, [int(most)] * 20), (450, [int(most)] * 20), (500, [-int(most)] * 20)]
+    kind = "long" if isinstance(most, int) else "double"
+    rows = [(i, [float(x) if kind == "double" else x for x in v]) for i, v in small + large]
+    want = [(q, n, i, max(-LARGEST - 1, min(LARGEST, s))) for q, n, i, s in brute([(i, list(map(int, v))) for i, v in rows], lambda i: i % 50 == 0, 5)]
+    got = sorted(tuple(r) for r in exact_topk.search(spark.createDataFrame(rows, f"vec_id long, v array<{kind}>"), F.col("vec_id") % 50 == 0, 5).collect())
+    assert got == want
+
+
+def test_sums_never_wrap(spark):
+    rows = spark.createDataFrame([(50, [2**31 - 1] * 4), (51, [2**31 - 1] * 4), (52, [1] * 4)], "vec_id long, v array<long>")
+    got = [tuple(r) for r in exact_topk.search(rows, F.col("vec_id") % 50 == 0, 5).collect()]
+    assert got == [(50, 1, 51, LARGEST), (50, 2, 52, 4 * (2**31 - 1))]
+
+
 def test_exact_topk_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(exact_topk.vectors, "DATA_BLOCK", 100)
     monkeypatch.setattr(exact_topk.vectors, "QUERY_BLOCK", 8)
