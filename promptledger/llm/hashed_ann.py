@@ -11,8 +11,8 @@ within r in a block takes the next nearest codes there, so the result has k rows
 wanted share of its neighbours (``target_recall``).
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without id, take no part; vectors are
-compared with those of their own dimension; a query's own row is every row with its id; repeated rows count once; an empty
-table gives an empty result.
+compared with those of their own dimension; a query's own row is every row with its id; repeated rows count once; ties go to smaller
+ids; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from promptledger.llm import vectors
@@ -178,9 +179,12 @@ def calibrated_radius(index: DataFrame, queries: DataFrame, codes: Codes, k: int
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["q", "score", "vid", "distance"])
 
-    nearest = index.select("vid", "v", "code").mapInArrow(exact, "q long, score double, vid long, distance long").toPandas()
+    nearest = index.select("vid", "v", "code").mapInArrow(exact, "q long, score double, vid long, distance long")
+    # At most CALIBRATION_QUERIES times k rows reach the driver, however many tasks there are.
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vid"))
+    nearest = nearest.withColumn("place", place).filter(F.col("place") <= k).toPandas()
     nearest = nearest[nearest["vid"].to_numpy() != own[nearest["q"].to_numpy()]]
-    nearest = nearest.sort_values(["q", "score", "vid"], ascending=[True, False, True]).groupby("q").head(k - 1)
+    nearest = nearest.sort_values(["q", "place"]).groupby("q").head(k - 1)
     if not len(nearest):
         return BITS
     return int(np.quantile(nearest["distance"], target_recall, method="higher"))

@@ -8,8 +8,10 @@ The fit uses a bounded sample of labelled rows (``toxic_rows`` and ``clean_rows`
 the class balance stays that of all labels). N-gram counts of the sample are Spark aggregates; the regression runs in one
 task on the kept buckets only, whose size the same bounds limit. Scoring reads every whole text.
 
-Cases: null and empty texts score as a text without n-grams; null labels and ids do not train; of several labels of one
-document the highest counts; with no labels or one class only, scores are the smoothed share of toxic labels.
+Cases: null and empty texts score as a text without n-grams; very long texts are hashed whole, piece by piece; null labels and ids do
+not train; of several labels of one id the highest counts, and of several rows of one id one trains (the least hash of a text), so the
+bounds hold for rows; equal scores are no ties to break; with no labels or one class only, scores are the smoothed share of toxic
+labels; an empty table gives no rows; other columns are kept, but for an older one of the score's name.
 """
 
 from __future__ import annotations
@@ -106,9 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, orders: Sequence[int
     if not positive or not negative:
         return empty
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / positive)).otherwise(min(1.0, clean_rows / negative))
-    # At most about toxic_rows + clean_rows ids, so it may be broadcast; texts are never shuffled.
+    # At most about toxic_rows + clean_rows ids, so it may be broadcast; copies of an id are reduced before the shuffle of its one text.
     sample = known.withColumn("weight", 1 / share).filter(spread_hash("sample", F.col("doc_id")) < share * float(1 << HASH_BITS))
-    rows = stored(_with_buckets(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), orders, bits), "toxicity-grams")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "weight").agg(
+        F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
+    rows = stored(_with_buckets(texts, orders, bits), "toxicity-grams")
     n = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     if not n["p"] or n["p"] == n["n"]:
         return empty

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from compare import compare, duck
-from helpers import DOCS, awkward_docs, empty_docs
+from helpers import DOCS, EXTRA, awkward_docs, empty_docs
 from pyspark.sql import functions as F
 
 from promptledger.llm import mixing, sharding, warc
@@ -77,6 +77,10 @@ def test_shards_awkward(spark, tmp_path):
     out = sharding.interleave(awkward_docs(spark), 16).collect()
     assert len(out) == 11 and all(r["slot"] == 0 for r in out)
     assert sharding.interleave(empty_docs(spark), 16).count() == 0
+    odd = awkward_docs(spark, EXTRA + ", range long, before long, fraction double, rank int, s string, r long, slot long")
+    sharding.write_shards(odd, str(tmp_path / "odd"), 3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert back.count() == 11 and set(odd.columns) <= set(back.columns) and sorted(Counter(r["shard"] for r in back.collect()).values()) == [3, 4, 4]
     sharding.write_shards(spark.createDataFrame([(i, "t", "en", "s", 1) for i in range(40)], DOCS), str(tmp_path / "x"), 4)
     assert Counter(r["shard"] for r in spark.read.parquet(str(tmp_path / "x")).collect()) == {0: 10, 1: 10, 2: 10, 3: 10}
 

@@ -1,5 +1,6 @@
 """Piece ids, toxicity, line dedup, near duplicates and page texts against brute force."""
 
+import math
 import random
 import re
 
@@ -87,6 +88,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert again.intercept == pytest.approx(model.intercept) and list(again.buckets) == list(model.buckets)
 
 
+def test_toxicity_ratios_and_scores_computed_again(spark):
+    rows, labels = toxic_rows(400, 8)
+    mark = dict(labels)
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert model.bits == 20
+
+    def bucket(gram):  # one n-gram, one step of 32-bit arithmetic after another
+        h = len(gram)
+        for c in gram:
+            h = (h * 16777619 % 2**32) ^ (ord(" " if ord(c) <= 32 else c) * 2654435761 % 2**32)
+        return (((h ^ (h >> 15)) * 2246822519) % 2**32) >> 12
+
+    seen = {i: {bucket(t[a:a + n]) for n in (3, 4, 5) for t in [f" {text.lower()} "] for a in range(len(t) - n + 1)} for i, text, *_ in rows}
+    toxic = [i for i, y in labels if y]
+    kept = {}
+    for b in set().union(*seen.values()):
+        df = sum(b in s for s in seen.values())
+        pos = sum(b in seen[i] for i in toxic)
+        ratio = math.log((pos + 1) / (len(toxic) + 2)) - math.log((df - pos + 1) / (len(rows) - len(toxic) + 2))
+        if df >= 3 and abs(ratio) >= 0.7 and abs(ratio) >= 4 * math.sqrt(1 / (pos + 1) + 1 / (df - pos + 1)):
+            kept[b] = ratio
+    assert sorted(kept) == list(model.buckets)
+    # The weights are at the minimum of the penalised loss over features that are the ratios.
+    weight = {b: v / kept[b] for b, v in zip(model.buckets, model.values, strict=True)}
+    score = {i: 1 / (1 + math.exp(-model.intercept - sum(weight[b] * kept[b] for b in s if b in kept))) for i, s in seen.items()}
+    for b in list(kept)[:50]:
+        assert abs(sum((score[i] - mark[i]) * kept[b] for i in seen if b in seen[i]) / len(rows) + 1e-4 * weight[b]) < 2e-2
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert all(got[i] == pytest.approx(score[i], abs=1e-5) for i in got)
+
+
+def test_one_labelled_id_on_many_rows_trains_once(spark, monkeypatch):
+    rows, labels = toxic_rows(300, 9)
+    rows += [(labels[0][0], f"copy number {i % 50}", "en", "s", 0) for i in range(4000)]
+    held = []
+    stored = toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, name: held.append(stored(df, name)) or held[-1])
+    toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), toxic_rows=100, clean_rows=100)
+    assert held[0].count() < 260
+
+
 def test_toxicity_awkward(spark):
     docs = awkward_docs(spark)
     marks = spark.createDataFrame([(1, 1), (1, None), (3, 0), (6, 0), (None, 1), (99, 0)], "doc_id long, toxic int")
