@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import time
+import tracemalloc
 
 import pytest
 from helpers import DOCS, LONG, awkward_docs, empty_docs, sentence
@@ -317,12 +319,12 @@ def test_slots_of_per_page_classes(spark):
     assert {r["page_id"]: r["text"] for r in html_main.extract(pages).collect()} == {i: f"text {i} {'w ' * i}".strip() for i in range(40)}
 
 
-@pytest.mark.parametrize("n", [2, 4, 9, 10, 20])
+@pytest.mark.parametrize("n", [5, 9, 10, 20])
 def test_template_text_at_any_page_count(spark, n):
     """Blocks that repeat on all pages, twice a page or in a place of some pages go; what near copies share stays."""
     rng = random.Random(n)
     own = [[" ".join(sentence(rng, 30)) for _ in range(3)] for _ in range(n)]
-    rows = [(i, "http://few.example/", f"<article><p>Read this first</p><p>{a}</p><p>Go on</p><p>{b}</p><p>Go on</p>{'<div class=offer>Only today</div>' if i < max(2, n // 4) else ''}<p>{c}</p></article>", None, None)
+    rows = [(i, "http://few.example/", f"<article><p>Read this first</p><p>{a}</p><p>Go on</p><p>{b}</p><p>Go on</p>{'<div class=offer>Only today</div>' if i < max(5, n // 4) else ''}<p>{c}</p></article>", None, None)
             for i, (a, b, c) in enumerate(own)]
     copied = [" ".join(sentence(rng, 30)) for _ in range(9)]
     rows += [(100 + i, "http://copies.example/", f"<article><p>{'<p>'.join([*copied[:i % 9], f'changed {i}', *copied[i % 9:]])}</article>", None, None) for i in range(n)]
@@ -331,6 +333,86 @@ def test_template_text_at_any_page_count(spark, n):
     assert all(out[100 + i] == [*copied[:i % 9], f"changed {i}", *copied[i % 9:]] for i in range(n))
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 12])
+def test_articles_that_share_a_paragraph_keep_it(spark, n):
+    rng = random.Random(n)
+    shared = " ".join(sentence(rng, 30))
+    own = [[" ".join(sentence(rng, 30)), *([shared] if i < 4 else []), " ".join(sentence(rng, 30))] for i in range(n)]
+    rows = [(i, "http://share.example/", f"<nav>Home</nav><article><p>{'<p>'.join(o)}</article>", None, None) for i, o in enumerate(own)]
+    out = {r["page_id"]: r["text"].split("\n") for r in html_main.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [out[i] for i in range(n)] == own
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<form id=aspnetForm><nav><a>Home</a><a>More</a></nav><div><h1>T</h1><p>the whole long text of it</div></form>", "T\nthe whole long text of it"),
+    ("<form><nav>menu</nav><article><p>the text</article><footer>no</footer></form>", "the text"),
+    ("<nav><a>Home</a><article><p>the text</article>", "the text"), ("<nav><a>Home</a><a>Other</a></nav><p>short", "short"),
+    ("<article><form><p>the whole long text</p></form><form>mail</form></article>", "the whole long text"), ("<aside>side side side side</aside><article>text</article>", "text"),
+])
+def test_tags_on_wrappers(html, text):
+    assert html_main.main_text(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<p>a" + "<span>x" * 50_000, "<div>x" * 50_000, "<span>x" * 40_000 + "</b>" * 40_000, "<span>" * 30_000 + "<div>x</div>" * 30_000, "<a '" * 250_000, "<a" * 400_000,
+    "<a '\"<b \">" * 80_000, "<i>x</i>" * 50_000, "<!-- " * 50_000, "<p x='" * 50_000 + '"<p y="' * 50_000,
+])
+def test_long_and_odd_pages_take_linear_time(html):
+    begin = time.process_time()
+    tracemalloc.start()
+    html_main.page_tokens(html[: len(html) // 8])
+    small = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    html_main.page_tokens(html)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and most < 14 * small + (4 << 20)
+    begin = time.process_time()
+    html_main.page_tokens(html)
+    assert time.process_time() - begin < 4
+
+
+def test_page_texts_against_a_second_parser():
+    """Every given page has one article of paragraphs: the standard library's parser must find the same blocks there."""
+    import duckdb
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out, self.blocks = 0, 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.out += tag in ("script", "style")
+            if tag in ("h1", "h2", "p", "li", "ul", "article", "section", "div", "blockquote"):
+                self.blocks.append("")
+            if tag == "br" and self.inside:
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.out -= tag in ("script", "style")
+            if tag in ("h1", "h2", "p", "li", "ul", "article", "section", "div", "blockquote"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.out:
+                self.blocks[-1] += data
+
+    pages = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' where html is not null").fetchall()
+    checked = 0
+    for (page,) in pages:
+        if page.count("<article") != 1 or page.count("</article>") != 1:
+            continue
+        parser = Article()
+        parser.feed(page)
+        want = "\n".join(b for b in (" ".join(b.split()) for b in parser.blocks) if b)
+        assert html_main.main_text(page) == want
+        checked += 1
+    assert checked > 0.8 * len(pages)
+
+
 def test_text_around_the_slot_stays(spark):
     rng = random.Random(5)
     own = [[" ".join(sentence(rng, n)) for n in (3, 12, 80)] for _ in range(8)]
