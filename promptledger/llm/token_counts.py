@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib.metadata
+import json
 import os
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -37,6 +38,12 @@ CACHE_SCHEMA = "version string, content binary, n_tokens long"
 BATCH_BYTES = 1 << 20
 #: A digest of more than this share of all rows is joined by broadcast; there are fewer than this many.
 HOT_SHARE = 1000
+#: Words remembered per Python worker.
+REMEMBERED = 1 << 18
+#: Fixed value: how byte-level merge tokenizers cut a text into the words that they merge inside.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters whose classes two libraries agree on (a test asks for each); texts with others are encoded whole.
+PLAIN_UPTO = 0x36F
 #: Library of each kind of tokenizer file.
 LIBRARIES = {".json": "tokenizers", ".model": "sentencepiece", ".tiktoken": "tiktoken"}
 
@@ -69,8 +76,12 @@ def counter(kind: str, content: bytes) -> Callable[[list[str]], list[int]]:
         tokenizer = Tokenizer.from_str(content.decode())
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        return lambda texts: [len(e.ids) for e in encode(texts, add_special_tokens=False)]
+
+
+        def count(texts: list[str]) -> list[int]:
+            return list(map(len, tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+
+        return _by_words(count, list(tokenizer.get_added_tokens_decoder().values())) if _cuts_at_words(content) else count
     if kind == ".model":
         from sentencepiece import SentencePieceProcessor
 
@@ -86,6 +97,37 @@ def counter(kind: str, content: bytes) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(coding.encode_ordinary(t)) for t in texts]
 
 
+def _cuts_at_words(content: bytes) -> bool:
+    """Whether a tokenizer only merges inside the words of ``BYTE_LEVEL``."""
+    file = json.loads(content)
+    cut = file.get("pre_tokenizer") or {}
+    return (
+        file.get("normalizer") is None and file["model"].get("type") == "BPE" and not file["model"].get("dropout")
+        and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    )
+
+
+def _by_words(count: Callable[[list[str]], list[int]], added: list[Any]) -> Callable[[list[str]], list[int]]:
+    """Counts as sums over words, each encoded once by ``count`` and remembered. Texts with rarer characters or with the string of an
+    ``added`` token are encoded whole."""
+    import regex
+
+    words = regex.compile(BYTE_LEVEL)
+    whole = regex.compile("|".join([f"[^\0-{chr(PLAIN_UPTO)}]", *(regex.escape(t.content) for t in added)]))
+    known: dict[str, int] = {}
+
+    def counts(texts: list[str]) -> list[int]:
+        if len(known) > REMEMBERED:
+            known.clear()
+        cut = [None if whole.search(t) else words.findall(t) for t in texts]
+        new = list({w for c in cut if c for w in c}.difference(known))
+        known.update(zip(new, count(new), strict=True))
+        rest = iter(count([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        return [next(rest) if c is None else sum(map(known.__getitem__, c)) for c in cut]
+
+    return counts
+
+
 def normalised(text: Column) -> Column:
     return F.make_valid_utf8(text_or_empty(text))
 
@@ -100,13 +142,19 @@ def cached(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache).groupBy("version", "content").agg(F.min("n_tokens").alias("n_tokens"))
 
 
+#: The counter that a Python worker made last; it and the words it remembers serve the worker's next tasks.
+_COUNTERS: dict[str, Callable[[list[str]], list[int]]] = {}
+
+
 def _encoded(texts: DataFrame, kind: str, file: Any, version: str) -> DataFrame:
     """(version, content, n_tokens) of (content, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = None
+        if version not in _COUNTERS:
+            _COUNTERS.clear()
+            _COUNTERS[version] = counter(kind, file.value)
+        count = _COUNTERS[version]
         for batch in batches:
-            count = count or counter(kind, file.value)
             counts: list[int] = []
             part: list[str] = []
             room = BATCH_BYTES
