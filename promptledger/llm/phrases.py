@@ -9,8 +9,9 @@ its count over all shards reaches ``min_count``:
   stored (both Burrows-Wheeler transforms, for either direction). Levels 3, 5, ... extend intervals to the right, 4, 6, ... to the left.
 
 A part of a frequent phrase is at least as frequent, so nothing frequent is lost, and per level only extensions of frequent phrases are
-shuffled. A (shard, phrase) pair is one row, so a phrase has at most one row a shard however often it occurs. Ids are 64-bit numbers of
-the first shard that holds a word or phrase and the place there, never hashes. A longer phrase that contains a shorter one is at most as
+shuffled, one count a shard and phrase however often it occurs. A shard's counts travel packed, one block for each bucket of phrases;
+there are so many buckets that one holds ``BUCKET_WORDS`` counts at most on average, and a bucket's blocks are summed in one task. Ids
+are numbers given to words and phrases, never hashes. A longer phrase that contains a shorter one is at most as
 frequent as the extension by one word on its way, so the extensions alone tell which phrases a longer one covers.
 
 Cases: a null text has no words; a null language is ``NO_LANG``; texts are whole, of any length (a shard is closed behind the text that
@@ -36,8 +37,10 @@ from promptledger.llm.common import stored
 NO_LANG = "und"
 #: Words of a shard; bounds a task's memory.
 SHARD_WORDS = 3 << 20
-#: Bits of a place in a shard, and of a shard's number in its task.
-PLACE_BITS, NUMBER_BITS = 30, 13
+#: Words of the corpus for each bucket of phrases; decides the number of tasks that sum counts.
+BUCKET_WORDS = 1 << 21
+#: Bits of a place in a shard, of a shard's number in its task, and of a phrase's number in its bucket.
+PLACE_BITS, NUMBER_BITS, IN_BUCKET_BITS = 30, 13, 32
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _CLASS = np.zeros(256, np.uint8)
@@ -47,7 +50,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 _SHARDS = "shard long, size int, ids binary, dictionaries array<struct<lang:string, start:int, words:array<string>, counts:array<int>>>"
-_LEVEL = "shard long, place int, base long, ext long, n int, lo int, mirrored int"
+_BLOCKS = "bucket int, shard long, size int, base binary, ext binary, n binary, lo binary, mirrored binary"
+_PHRASES = "shard long, id long, base long, ext long, n int, lo int, mirrored int, total long, first boolean"
 _INDEX = "shard long, size int, symbols binary, forward binary, backward binary"
 
 
@@ -172,9 +176,10 @@ class Index:
         self.sizes = np.bincount(last, minlength=1)
 
     def words(self) -> Intervals:
-        """The interval of every symbol; a symbol's is the same in both directions."""
-        starts = np.cumsum(self.sizes) - self.sizes
-        return Intervals(starts, starts.copy(), self.sizes)
+        """The interval of every symbol, the same in both directions; that of a break is taken for empty."""
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes.copy()
+        sizes[0] = 0
+        return Intervals(starts, starts.copy(), sizes)
 
     def extend(self, of: Intervals) -> tuple[np.ndarray, np.ndarray, Intervals]:
         """All extensions by one symbol in front: number of the extended interval, symbol, interval. A break extends nothing."""
@@ -195,11 +200,65 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def _level(shard: int, base: np.ndarray, ext: np.ndarray, found: Intervals) -> pa.Table:
-    n = len(base)
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes first, so that equal high bytes vanish in the compression."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=width * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, size).T).view(kind).ravel()
+
+
+def _bucket(base: np.ndarray, ext: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = base.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ext.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(buckets)).astype(np.int64)
+
+
+def _blocks(shard: int, base: np.ndarray, ext: np.ndarray, found: Intervals, buckets: int, placed: bool = True) -> pa.Table:
+    """Counts of a shard's phrases (with their intervals, if ``placed``), one row for each bucket."""
+    bucket = _bucket(base, ext, buckets)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    cuts = np.split(order, first[1:]) if len(used) else []
+    packed = [[_planes(values[cut].astype(kind)) for cut in cuts] for values, kind in (
+        (base, np.int64), (ext, np.int64), (found.size, np.int32), *(((found.lo, np.int32), (found.mirrored, np.int32)) if placed else ()))]
+    nothing = [None] * len(cuts)
     return pa.table({
-        "shard": pa.array(np.full(n, shard, np.int64)), "place": pa.array(np.arange(n, dtype=np.int32)), "base": pa.array(base), "ext": pa.array(ext),
-        "n": pa.array(found.size.astype(np.int32)), "lo": pa.array(found.lo.astype(np.int32)), "mirrored": pa.array(found.mirrored.astype(np.int32))})
+        "bucket": pa.array(used.astype(np.int32)), "shard": pa.array(np.full(len(cuts), shard, np.int64)), "size": pa.array(list(map(len, cuts)), pa.int32()),
+        **{name: pa.array(column, pa.binary()) for name, column in zip(("base", "ext", "n", "lo", "mirrored"), [*packed, nothing, nothing])}})
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _no_blocks() -> pa.Table:
+    return _blocks(0, _NONE, _NONE, Intervals(_NONE, _NONE, _NONE), 1)
+
+
+def _summed(min_count: int):
+    def total(blocks: pa.Table) -> pa.Table:
+        """Rows of the phrases of one bucket that reach ``min_count`` over all shards."""
+        rows = blocks.to_pylist()
+        size = [r["size"] for r in rows]
+        base, ext, n, lo, mirrored = (
+            np.concatenate([_numbers(r[name], r["size"], kind) if r[name] is not None else np.zeros(r["size"], kind) for r in rows])
+            for name, kind in (("base", np.int64), ("ext", np.int64), ("n", np.int32), ("lo", np.int32), ("mirrored", np.int32)))
+        shard = np.repeat(np.array([r["shard"] for r in rows], np.int64), size)
+        order = np.lexsort((shard, ext, base))
+        new = np.ones(len(order), bool)
+        new[1:] = (base[order[1:]] != base[order[:-1]]) | (ext[order[1:]] != ext[order[:-1]])
+        totals = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        number = np.cumsum(new) - 1
+        keep = totals[number] >= min_count
+        order, number, new = order[keep], number[keep], new[keep]
+        return pa.table({
+            "shard": shard[order], "id": (np.int64(rows[0]["bucket"]) << IN_BUCKET_BITS) + number, "base": base[order], "ext": ext[order], "n": n[order],
+            "lo": lo[order], "mirrored": mirrored[order], "total": totals[number], "first": pa.array(new)})
+
+    return total
 
 
 def _frequent_text(shards: pa.Table, words: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
@@ -215,17 +274,17 @@ def _frequent_text(shards: pa.Table, words: pa.Table) -> tuple[int, np.ndarray,
     return shards.column("shard")[0].as_py(), text[keep], ids[order]
 
 
-def _pairs(shards: pa.Table, words: pa.Table) -> pa.Table:
-    """Level 2: what stands before each frequent word."""
-    if not (shards.num_rows and words.num_rows):
-        return pa.table({f.name: pa.array([], f.type) for f in _level(0, *[np.zeros(0, np.int64)] * 2, Intervals(*[np.zeros(0, np.int64)] * 3)).schema})
-    shard, text, ids = _frequent_text(shards, words)
-    index = Index(transform(text, 1))
-    known = index.words()
-    known.size = known.size.copy()
-    known.size[0] = 0
-    number, symbol, found = index.extend(known)
-    return _level(shard, ids[number - 1], ids[symbol - 1], found)
+def _pairs(buckets: int):
+    def pairs(shards: pa.Table, words: pa.Table) -> pa.Table:
+        """Level 2: what stands before each frequent word."""
+        if not (shards.num_rows and words.num_rows):
+            return _no_blocks()
+        shard, text, ids = _frequent_text(shards, words)
+        index = Index(transform(text, 1))
+        number, symbol, found = index.extend(index.words())
+        return _blocks(shard, ids[number - 1], ids[symbol - 1], found, buckets, placed=False)
+
+    return pairs
 
 
 def _index_of(depth: int):
@@ -253,21 +312,18 @@ def _index_of(depth: int):
     return build
 
 
-def _extensions(level: int):
+def _extensions(level: int, buckets: int):
     def extend(stored_index: pa.Table, phrases: pa.Table) -> pa.Table:
         """A level's phrases from the frequent ones of the level below."""
         if not (stored_index.num_rows and phrases.num_rows):
-            return _level(0, *[np.zeros(0, np.int64)] * 2, Intervals(*[np.zeros(0, np.int64)] * 3))
+            return _no_blocks()
         row = {name: stored_index.column(name)[0].as_py() for name in stored_index.column_names}
         ids = np.frombuffer(row["symbols"], np.int64)
         ways = [Index(_unpacked(row[name], row["size"])) for name in ("forward", "backward")]
         named = _column(phrases, "id")
         if level == 3:
             # The pairs' intervals in this index: extensions of its words that are frequent pairs.
-            known = ways[0].words()
-            known.size = known.size.copy()
-            known.size[0] = 0
-            number, symbol, found = ways[0].extend(known)
+            number, symbol, found = ways[0].extend(ways[0].words())
             wide = len(ids) + 1
             pair = (np.searchsorted(ids, _column(phrases, "ext")) + 1) * wide + np.searchsorted(ids, _column(phrases, "base")) + 1
             order = np.argsort(pair)
@@ -279,7 +335,7 @@ def _extensions(level: int):
             of = Intervals(*(_column(phrases, c).astype(np.int64) for c in ("lo", "mirrored", "n")))
         to_the_right = level % 2 == 1
         number, symbol, found = ways[1].extend(of.turned()) if to_the_right else ways[0].extend(of)
-        return _level(row["shard"], named[number], ids[symbol - 1], found.turned() if to_the_right else found)
+        return _blocks(row["shard"], named[number], ids[symbol - 1], found.turned() if to_the_right else found, buckets)
 
     return extend
 
@@ -291,9 +347,9 @@ def _id(place: str) -> Column:
     return F.shiftleft(F.col("shard"), PLACE_BITS) + F.col(place)
 
 
-def _frequent(rows: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """Rows whose ``keys`` reach ``min_count`` over all shards, with that ``total`` and one ``id`` for all shards."""
-    same = W.partitionBy(*keys)
+def _frequent_words(rows: DataFrame, min_count: int) -> DataFrame:
+    """Rows of the words that reach ``min_count`` over all shards, with that ``total`` and one ``id`` for all shards."""
+    same = W.partitionBy("lang", "word")
     return rows.withColumn("total", F.sum("n").over(same)).filter(F.col("total") >= min_count).withColumn("id", F.min(_id("place")).over(same))
 
 
@@ -307,29 +363,30 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, min_count: int = 100) ->
     all words of each language. ``docs`` has lang and text. Starts jobs: each level is stored."""
     spark = docs.sparkSession
     shards = stored(docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text").mapInArrow(_to_shards, _SHARDS), "phrase-shards")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards.count() // 4))
+    count, size = shards.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks, buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count), -(-size // BUCKET_WORDS) or 1
     each = shards.select("shard", F.explode("dictionaries").alias("d"))
     sizes = each.groupBy(F.col("d.lang").alias("lang")).agg(F.sum(F.aggregate("d.counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     words = each.select("shard", F.col("d.lang").alias("lang"), F.col("d.start").alias("start"), F.posexplode(F.arrays_zip("d.words", "d.counts")).alias("at", "w")).select(
         "shard", (F.col("start") + F.col("at") + 1).alias("place"), "lang", F.col("w.words").alias("word"), F.col("w.counts").cast("long").alias("n"))
-    words = stored(_frequent(words, ["lang", "word"], min_count), "phrase-words")
+    words = stored(_frequent_words(words, min_count), "phrase-words")
     named = [stored(words.filter(F.col("id") == _id("place")).select("id", "lang", F.array("word").alias("words"), F.lit(1).alias("k"), F.col("total").alias("n")), "phrase-names-1")]
 
     texts, index, rows = shards.select("shard", "size", "ids"), None, None
     for level in range(2, longest + 1):
         if level == 2:
-            found = _by_shard(texts, words.select("shard", "place", "id"), tasks, _pairs, _LEVEL)
+            found = _by_shard(texts, words.select("shard", "place", "id"), tasks, _pairs(buckets), _BLOCKS)
         else:
             if level == 3:
                 depth = 1 << (longest - 2).bit_length()
                 none = F.lit(None).cast("long")
                 marks = words.select("shard", "place", "id", none.alias("base")).unionByName(rows.select("shard", F.lit(0).alias("place"), F.col("ext").alias("id"), "base"))
                 index = stored(_by_shard(texts, marks, tasks, _index_of(depth), _INDEX), "phrase-index")
-            found = _by_shard(index, rows.select("shard", "id", "base", "ext", "n", "lo", "mirrored"), tasks, _extensions(level), _LEVEL)
-        rows = stored(_frequent(found, ["base", "ext"], min_count), f"phrase-level-{level}")
+            found = _by_shard(index, rows.select("shard", "id", "base", "ext", "n", "lo", "mirrored"), tasks, _extensions(level, buckets), _BLOCKS)
+        rows = stored(found.repartition(max(tasks, buckets), "bucket").groupBy("bucket").applyInArrow(_summed(min_count), _PHRASES), f"phrase-level-{level}")
         base, ext = named[-1].select(F.col("id").alias("base"), "lang", "words"), named[0].select(F.col("id").alias("ext"), F.col("words").alias("more"))
         both = F.concat("words", "more") if level % 2 else F.concat("more", "words")
-        heads = rows.filter(F.col("id") == _id("place")).select("id", "base", "ext", "total")
+        heads = rows.filter("first").select("id", "base", "ext", "total")
         named.append(stored(heads.join(base, "base").join(ext, "ext").select("id", "lang", both.alias("words"), F.lit(level).alias("k"), F.col("total").alias("n")), f"phrase-names-{level}"))
     return reduce(DataFrame.unionByName, named).drop("id"), sizes
 
