@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from datetime import date
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptledger.functions.globs import glob_match
 from promptledger.functions.requests import or_default
-from promptledger.operators.ordered import running
+from promptledger.operators.ordered import running, time_bucket
 from promptledger.session import cut_lineage
 
 # Fixed values.
@@ -93,17 +96,13 @@ def charges(requests: DataFrame, include_stream: bool = True) -> DataFrame:
     )
 
 
-def _hour(ts: str = "event_ts") -> Column:
-    return F.hour(ts)
-
-
 def ledger(charged: DataFrame) -> DataFrame:
     """Running weighted total and request count per key and UTC day."""
     return running(
         charged,
         ["key", "usage_day"],
         [F.col("event_ts"), F.col("request_id")],
-        _hour(),
+        time_bucket(F.col("event_ts")),
         sums={"running_tokens": F.col("weighted_tokens"), "running_requests": F.lit(1)},
     )
 
@@ -156,7 +155,7 @@ def tier_running(charged: DataFrame) -> DataFrame:
         charged.filter("classified"),
         ["tier", "usage_day"],
         [F.col("event_ts"), F.col("request_id")],
-        _hour(),
+        time_bucket(F.col("event_ts")),
         sums={"running_raw_tokens": F.col("tokens")},
     )
 
@@ -187,19 +186,29 @@ def usage_by_key(charged: DataFrame, daily_limit: int = DEFAULT_DAILY_LIMIT) ->
 
 # --- admission replay --------------------------------------------------------------------------
 
+_REPLAY = ("request_id", "key", "tier", "tier_daily_limit", "start_ts", "end_ts", "raw", "cost", "raw_estimate", "estimate", "state")
+_SEEN = ("key_low", "key_high", "tier_low", "tier_high")
+#: Rounds that bracket what is used before the rest is folded. It decides how much is folded, never a result.
+ROUNDS = 2
+
+
+def _capped() -> Column:
+    return F.coalesce(F.col("tier_daily_limit") > 0, F.lit(False))
+
 
 def _used_at_start(rows: DataFrame, checks: Column) -> DataFrame:
-    """Least and most the key and the tier can have used when each checked request starts.
+    """The checked rows, with the least and most that the key and the tier can have used when each starts.
 
     Every request gives up to four entries, its charge and its check in the account of its key and
-    in that of its capped tier, so all accounts of all days are summed in one pass.
+    in that of its capped tier, so all accounts of all days are summed in one pass. The row travels with its key's check.
     """
-    capped = F.coalesce(F.col("tier_daily_limit") > 0, F.lit(False))
 
     def entry(kind: str, owner: str, at: str, is_check: bool, low: Column, high: Column) -> Column:
+        row = F.struct(*_REPLAY)
         return F.struct(
             F.lit(kind).alias("kind"), F.col(owner).alias("owner"), F.to_date(at).alias("day"), F.col(at).alias("at"),
             F.lit(is_check).alias("is_check"), low.alias("low"), high.alias("high"),
+            F.when(F.lit(is_check and kind == "key"), row).alias("row"),
         )
 
     def entries(kind: str, owner: str, amount: str, counted: Column) -> list[Column]:
@@ -211,22 +220,110 @@ def _used_at_start(rows: DataFrame, checks: Column) -> DataFrame:
             F.when(counted & checks, entry(kind, owner, "start_ts", True, none, none)),
         ]
 
-    moves = F.array_compact(F.array(*entries("key", "key", "cost", F.lit(True)), *entries("tier", "tier", "raw", capped)))
+    moves = F.array_compact(F.array(*entries("key", "key", "cost", F.lit(True)), *entries("tier", "tier", "raw", _capped())))
     totals = running(
         rows.select("request_id", F.inline(moves)),
         ["kind", "owner", "day"],
         [F.col("at"), F.col("request_id"), (~F.col("is_check")).cast("int")],
-        F.floor(F.unix_micros("at") / F.lit(900_000_000)),
+        time_bucket(F.col("at")),
         sums={"least": F.col("low"), "most": F.col("high")},
     )
     seen = totals.filter("is_check").groupBy("request_id").agg(
+        F.first("row", ignorenulls=True).alias("row"),
+        F.count_if(F.col("kind") == "key").alias("copies"),
         *[
             F.max(F.when(F.col("kind") == kind, F.col(source))).alias(f"{kind}_{name}")
             for kind in ("key", "tier")
             for source, name in (("least", "low"), ("most", "high"))
-        ]
+        ],
+    )
+    return seen.select("row.*", "copies", *_SEEN)
+
+
+def _components(open_rows: DataFrame) -> DataFrame:
+    """``open_rows`` with ``component``: rows whose decisions can depend on each other have the same one.
+
+    An account (a key or a capped tier on a day) is live if one of its checks is undecided by it. Rows that check or charge the
+    same live account belong together. Live days of one account that a row spans are one run; runs of tiers, at most
+    tiers times days, are joined where a run of a key or a row touches several, by one small task.
+    """
+    days = {"checked": F.to_date("start_ts"), "charged": F.to_date("end_ts")}
+
+    def runs(kind: str, undecided: str, used: Column) -> tuple[DataFrame, Column]:
+        owner = F.concat(F.lit(f"{kind}:"), F.coalesce(F.concat(F.lit("="), F.col(kind)), F.lit("")))
+        mine = open_rows.filter(used).select("request_id", owner.alias("_owner"), F.col(undecided).alias("_undecided"), *[d.alias(n) for n, d in days.items()])
+        live = mine.filter("_undecided").select(F.col("_owner").alias("_o"), F.col("checked").alias("_day")).distinct()
+        touched = mine.select("request_id", "_owner", F.explode(F.array_distinct(F.array("checked", "charged"))).alias("_at"))
+        touched = touched.join(live, (F.col("_owner") == F.col("_o")) & (F.col("_at") == F.col("_day")))
+        spans = touched.groupBy("request_id", "_owner").agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+        by_day = spans.groupBy("_owner", "_first").agg(F.max("_last").alias("_upto"))
+        before = Window.partitionBy("_owner").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+        upto_now = Window.partitionBy("_owner").orderBy("_first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        starts = F.when(F.coalesce(F.max("_upto").over(before) < F.col("_first"), F.lit(True)), F.col("_first"))
+        named = by_day.withColumn("_start", starts).select("_owner", "_first", F.concat("_owner", F.lit("|"), F.max("_start").over(upto_now)).alias(f"{kind}_run"))
+        return spans.join(named, ["_owner", "_first"]).select("request_id", f"{kind}_run")
+
+    keys = runs("key", "key_undecided", F.lit(True))
+    tiers = runs("tier", "tier_undecided", _capped())
+    placed = cut_lineage(open_rows.join(keys, "request_id", "left").join(tiers, "request_id", "left"))
+    pairs = placed.filter("key_run is not null and tier_run is not null").select("key_run", "tier_run").distinct()
+    joined = pairs.groupBy("key_run").agg(F.min("tier_run").alias("a"), F.collect_set("tier_run").alias("b"))
+    links = joined.select("a", F.explode("b").alias("b")).distinct()
+
+    def roots(edges: pd.DataFrame) -> pd.DataFrame:
+        above: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for a, b in zip(edges["a"], edges["b"], strict=True):
+            one, two = sorted((root(a), root(b)))
+            above[two] = one
+        return pd.DataFrame({"tier_run": list(above), "root": [root(x) for x in above]})
+
+    found = links.groupBy().applyInPandas(roots, "tier_run string, root string")
+    of_keys = pairs.join(found, "tier_run").groupBy("key_run").agg(F.min("root").alias("key_root"))
+    return (
+        placed.join(found, "tier_run", "left").join(of_keys, "key_run", "left")
+        .withColumn("component", F.coalesce("key_root", "root", "tier_run", "key_run", "request_id"))
+        .drop("key_run", "tier_run", "root", "key_root")
     )
-    return rows.join(seen, "request_id", "left")
+
+
+def _fold(daily_limit: int):
+    """Decide the rows of one component after the other, in order of their checks.
+
+    ``key_low`` and ``tier_low`` hold what all others have used for sure. State is what admitted rows of the component add to it on
+    the current day, and those that have not ended yet.
+    """
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, day, used, running_now = None, 0, {}, []
+        names = ("component", "_start", "request_id", "key", "tier", "_capped", "_day", "_end", "_end_day", "key_low", "tier_low", "estimate", "raw_estimate", "cost", "raw", "tier_daily_limit")
+        for batch in batches:
+            states = []
+            for c, start, rid, key, tier, capped, on, end, end_day, key_low, tier_low, estimate, raw_estimate, cost, raw, cap in zip(
+                *(batch.column(n).to_pylist() for n in names), strict=True
+            ):
+                if c != component:
+                    component, day, used, running_now = c, on, {}, []
+                while running_now and running_now[0][:2] < (start, rid):
+                    for account, amount in heapq.heappop(running_now)[2]:
+                        used[account] = used.get(account, 0) + amount
+                if on != day:
+                    day, used = on, {a: n for a, n in used.items() if a[2] >= on}
+                over = daily_limit > 0 and estimate is not None and key_low + used.get(("key", key, on), 0) + estimate > daily_limit
+                over = over or capped and tier_low + used.get(("tier", tier, on), 0) + raw_estimate > cap
+                states.append("denied" if over else "admitted")
+                if not over:
+                    charges = [(("key", key, end_day), cost or 0)] + ([(("tier", tier, end_day), raw)] if capped else [])
+                    heapq.heappush(running_now, (end, rid, charges))
+            columns = [batch.column(n) if n != "state" else pa.array(states, pa.string()) for n in _REPLAY]
+            yield pa.RecordBatch.from_arrays(columns, list(_REPLAY))
+
+    return decide
 
 
 def replay_admissions(
@@ -237,14 +334,13 @@ def replay_admissions(
     Input: request_id (unique), key, tier, tier_daily_limit, cost_multiplier, tokens,
     estimated_tokens, start_ts, end_ts. A request is checked at its start against what had been
     charged by then and is charged at its end, only if admitted: weighted tokens against the key
-    limit, raw tokens against the tier cap, which is shared by all keys.
-
-    Whether a request is admitted depends on earlier decisions, but nothing is folded one row at
-    a time. Each round brackets the use seen by every open request between sure charges and
-    possible charges; requests on which both bounds agree are decided, which tightens the bounds
-    of the next round. Moments that coincide are ordered by request id, so the earliest open
-    request only depends on decided ones and every round makes progress until the answer is exact.
-    All days, keys and tiers advance together and hot keys are spread by time.
+    limit, raw tokens against the tier cap, which is shared by all keys. Moments that coincide are ordered by request id.
+
+    Whether a request is admitted depends on earlier decisions, but only where an account is contested. ``ROUNDS`` rounds
+    bracket the use that every open request can see between sure and possible charges, over all days, keys and tiers together; requests on
+    which both bounds agree are decided. The first admits all outside of contested stretches, the second denies those that
+    exceed a limit in any case. What is still open then are the requests near a limit: those that share a contested account, directly or
+    through others, are folded in order of time with bounded state. The number of jobs does not depend on the data.
     """
     rows = requests.select(
         "request_id", "key", "tier", "tier_daily_limit", "start_ts", "end_ts",
@@ -254,40 +350,34 @@ def replay_admissions(
         weighted(F.coalesce("estimated_tokens", F.lit(0)), F.col("cost_multiplier")).alias("estimate"),
         F.lit("open").alias("state"),
     )
-    capped = F.coalesce(F.col("tier_daily_limit") > 0, F.lit(False))
-    limited = F.lit(daily_limit > 0 and enforce_pre_request)
+    limit = daily_limit if enforce_pre_request else 0
+    limited = F.lit(limit > 0)
 
-    def over(key_used: str, tier_used: str) -> tuple[Column, Column]:
-        key_over = limited & (F.col(key_used) + F.col("estimate") > F.lit(daily_limit))
-        tier_over = capped & (F.col(tier_used) + F.col("raw_estimate") > F.col("tier_daily_limit"))
+    def over(side: str) -> tuple[Column, Column]:
+        key_over = limited & (F.col(f"key_{side}") + F.col("estimate") > F.lit(limit))
+        tier_over = _capped() & (F.col(f"tier_{side}") + F.col("raw_estimate") > F.col("tier_daily_limit"))
         return F.coalesce(key_over, F.lit(False)), F.coalesce(tier_over, F.lit(False))
 
+    is_open = F.col("state") == "open"
+    low, high = over("low"), over("high")
     current = cut_lineage(rows)
-    settled: list[DataFrame] = []
-    last_open = None
-    while True:
-        open_rows = F.col("state") == "open"
-        seen = _used_at_start(current, open_rows)
-        low, high = over("key_low", "tier_low"), over("key_high", "tier_high")
+    for number in range(ROUNDS):
         decided = F.when(low[0] | low[1], "denied").when(~high[0] & ~high[1], "admitted").otherwise("open")
-        current = cut_lineage(
-            seen.withColumn("state", F.when(open_rows, decided).otherwise(F.col("state"))).select(*rows.columns)
-        )
-        # A day is finished when none of its requests is open and none of the day before, whose
-        # charges may still land in it.
-        left = current.filter(open_rows).agg(F.count(F.lit(1)), F.min(F.to_date("start_ts"))).first()
-        if left[0] == 0:
-            break
-        if left[0] == last_open:
+        seen = cut_lineage(_used_at_start(current, is_open).withColumn("state", decided))
+        if number == 0 and not seen.filter((F.col("copies") > 1) | (F.col("end_ts") < F.col("start_ts"))).isEmpty():
             raise ValueError("request_id must be unique and end_ts must not be before start_ts")
-        last_open = left[0]
-        done = F.to_date("end_ts") < F.lit(left[1])
-        settled.append(current.filter(done))
-        current = current.filter(~done)
-    current = reduce(DataFrame.unionByName, [current, *settled])
+        current = seen.select(*_REPLAY).unionByName(current.filter(~is_open))
+
+    near = _used_at_start(current, is_open).withColumns({"key_undecided": high[0] & ~low[0], "tier_undecided": high[1] & ~low[1]})
+    placed = _components(cut_lineage(near)).withColumns({
+        "_start": F.unix_micros("start_ts"), "_end": F.unix_micros("end_ts"), "_capped": _capped(),
+        "_day": F.unix_date(F.to_date("start_ts")), "_end_day": F.unix_date(F.to_date("end_ts")),
+    })
+    folded = placed.repartition("component").sortWithinPartitions("component", "_start", "request_id").mapInArrow(_fold(limit), current.schema)
+    current = cut_lineage(folded).unionByName(current.filter(~is_open))
 
     final = _used_at_start(current, F.lit(True))
-    key_over, tier_over = over("key_low", "tier_low")
+    key_over, tier_over = low
     kind = F.when(key_over, F.lit("daily_key_limit")).when(
         tier_over, F.concat(F.lit("daily_tier_limit:"), F.col("tier"))
     )

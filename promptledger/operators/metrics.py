@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promptledger.functions.errors import error_category
 from promptledger.functions.identifiers import clean_metric_label
-from promptledger.operators.ordered import running
+from promptledger.operators.ordered import running, time_bucket
 
 # Upper bounds of the histogram buckets.
 LATENCY_BOUNDS = (5, 10, 25, 50, 75, 100, 150, 200, 300, 400, 500, 750, 1000, 1500, 2000, 3000, 5000, 7500, 10000, 15000, 30000, 60000)
@@ -75,8 +75,7 @@ def concurrency(requests: DataFrame, provider: str = "endpoint") -> DataFrame:
         ),
     )
     net = moves.groupBy(provider, "moment").agg(F.sum("delta").alias("delta"))
-    hours = F.floor(F.unix_micros("moment") / F.lit(3_600_000_000))
-    return running(net, [provider], [F.col("moment")], hours, sums={"in_flight": F.col("delta")}).drop("delta")
+    return running(net, [provider], [F.col("moment")], time_bucket(F.col("moment")), sums={"in_flight": F.col("delta")}).drop("delta")
 
 
 def peak_concurrency(requests: DataFrame, provider: str = "endpoint") -> DataFrame:

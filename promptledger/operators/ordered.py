@@ -1,8 +1,9 @@
 """Ordered aggregates that do not pull a whole key into one task.
 
-A running total over a key is split in two: totals per (key, bucket) give the offset of each
-group of buckets, and rows are only ordered inside their group. A key that holds a third of all rows is
-spread over as many tasks as it has groups.
+A running total over a key is split in two: totals per (key, bucket of time) give the offset of each group of buckets, and rows
+are only ordered inside their group. A bucket that alone holds more rows than a group is split further, at rows drawn by the
+hash of their order, wherever these lie: in a second, a moment, or among the ids of one moment. So a key that holds a third of all
+rows, even within one second, is spread over as many tasks as it has groups.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from pyspark.sql import functions as F
 MINUTE_US = 60_000_000
 #: Rows of a key that are put in order together; it decides the number of groups only.
 ROWS_TOGETHER = 100_000
+#: A dense bucket is cut into pieces of a group's rows divided by this on average, so that hardly one exceeds a group.
+PIECES = 8
+#: Cuts that are compared one by one; more are found by comparing every such one first.
+_STRIDE = 32
 
 
-def time_bucket(ts: Column, width_us: int = MINUTE_US) -> Column:
+def time_bucket(ts: Column, width_us: int = 5 * MINUTE_US) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(width_us))
 
 
@@ -29,6 +34,59 @@ def _join_on(left: DataFrame, right: DataFrame, names: Sequence[str], how: str =
     return left.join(right, on, how).drop(*[f"_r_{n}" for n in names])
 
 
+def _piece(cuts: Column, place: Column) -> Column:
+    """How many of the sorted ``cuts`` are not above ``place``."""
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= place))
+    heads = F.transform(F.sequence(F.lit(0), F.size(cuts) - 1, F.lit(_STRIDE)), lambda i: F.get(cuts, i))
+    before = F.greatest(upto(heads) - 1, F.lit(0)) * _STRIDE
+    return before + upto(F.slice(cuts, before + 1, F.lit(_STRIDE)))
+
+
+def grouped(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Sequence[str] = (), maxes: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of sparse and of dense buckets, with the group that each is ordered in and the totals before that group.
+
+    ``rows`` has ``_bucket`` and a value ``_v_<name>`` for each sum and maximum. Sparse rows get ``_group``, dense ones ``_group`` and
+    ``_piece``; ``_o_<name>`` is the sum or maximum of all groups of the key before.
+    """
+    names = [*sums, *maxes]
+
+    def reduced(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums], *[F.max(f"_v_{n}").alias(f"_o_{n}") for n in maxes])
+
+    def before(totals: DataFrame, by: list[str], upto: str, *more: Column) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(upto).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(
+            *by, upto, "_n", F.coalesce(F.sum("_n").over(window), F.lit(0)).alias("_rows"), *more,
+            *[F.sum(f"_o_{n}").over(window).alias(f"_o_{n}") for n in sums], *[F.max(f"_o_{n}").over(window).alias(f"_o_{n}") for n in maxes])
+
+    totals = reduced(rows, [*keys, "_bucket"])
+    place = F.struct(*[o.alias(f"c{i}") for i, o in enumerate(order)])
+    drawn = rows.filter(F.pmod(F.xxhash64(*order), F.lit(max(1, ROWS_TOGETHER // PIECES))) == 0).select(*keys, "_bucket", place.alias("_cut"))
+    dense = totals.filter(F.col("_n") > ROWS_TOGETHER).select(*keys, "_bucket")
+    cuts = _join_on(drawn, dense, [*keys, "_bucket"]).groupBy(*keys, "_bucket").agg(F.array_sort(F.collect_set("_cut")).alias("_cuts"))
+
+    started = before(totals, list(keys), "_bucket").withColumn("_group", F.floor(F.col("_rows") / ROWS_TOGETHER))
+    first = Window.partitionBy(*keys, "_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = started.select(
+        *keys, "_bucket", "_group", "_n", *[F.first(f"_o_{n}").over(first).alias(f"_o_{n}") for n in names], *[F.col(f"_o_{n}").alias(f"_d_{n}") for n in names])
+    placed = _join_on(rows, _join_on(offsets, cuts, [*keys, "_bucket"], "left"), [*keys, "_bucket"])
+    # Behind a dense bucket a new group starts, so its group holds none but itself and sparse ones before it.
+    own = [f"_d_{n}" for n in names]
+    sparse = placed.filter(F.col("_cuts").isNull()).drop("_cuts", "_n", *own)
+    piece = _piece(F.col("_cuts"), place).alias("_piece")
+    dense_rows = placed.filter((F.col("_n") > ROWS_TOGETHER) & F.col("_cuts").isNotNull()).select("*", piece).drop("_cuts", "_n", *[f"_o_{n}" for n in names])
+    inside = before(reduced(dense_rows, [*keys, "_bucket", "_piece"]), [*keys, "_bucket"], "_piece").drop("_n", "_rows")
+    dense_rows = _join_on(dense_rows, inside, [*keys, "_bucket", "_piece"])
+    for n in sums:
+        dense_rows = dense_rows.withColumn(f"_o_{n}", F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.coalesce(F.col(f"_d_{n}"), F.lit(0)))
+    for n in maxes:
+        dense_rows = dense_rows.withColumn(f"_o_{n}", F.greatest(f"_o_{n}", f"_d_{n}"))
+    return sparse, dense_rows.drop(*own)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,41 +98,24 @@ def running(
     """Add running sums and maxima per key, the current row included.
 
     ``bucket`` must grow with the order; rows with equal order share a bucket. Neighbouring buckets are put together up to
-    ``ROWS_TOGETHER`` rows, so a task's share is set by the number of rows and not by how dense they are in time.
+    ``ROWS_TOGETHER`` rows and larger ones are cut, so a task's share is set by the number of rows and not by how dense they are in time;
+    only rows that are equal in all of ``order`` cannot be parted.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     rows = df.withColumn("_bucket", bucket)
     for name, value in {**sums, **maxes}.items():
         rows = rows.withColumn(f"_v_{name}", value)
-    totals = rows.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums],
-        *[F.max(f"_v_{n}").alias(f"_o_{n}") for n in maxes],
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    group = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / ROWS_TOGETHER)
-    started = totals.select(
-        *keys,
-        "_bucket",
-        group.alias("_group"),
-        *[F.sum(f"_o_{n}").over(before).alias(f"_o_{n}") for n in sums],
-        *[F.max(f"_o_{n}").over(before).alias(f"_o_{n}") for n in maxes],
-    )
-    first = Window.partitionBy(*keys, "_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = started.select(*keys, "_bucket", "_group", *[F.first(f"_o_{n}").over(first).alias(f"_o_{n}") for n in [*sums, *maxes]])
-    inside = (
-        Window.partitionBy(*keys, "_group")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = _join_on(rows, offsets, [*keys, "_bucket"])
-    for n in sums:
-        own = F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))
-        out = out.withColumn(n, F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + own)
-    for n in maxes:
-        out = out.withColumn(n, F.greatest(F.col(f"_o_{n}"), F.max(f"_v_{n}").over(inside)))
-    helpers = ["_bucket", "_group", *[f"_v_{n}" for n in [*sums, *maxes]], *[f"_o_{n}" for n in [*sums, *maxes]]]
-    return out.drop(*helpers)
+
+    def summed(part: DataFrame, by: list[str]) -> DataFrame:
+        inside = Window.partitionBy(*keys, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for n in sums:
+            part = part.withColumn(n, F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)))
+        for n in maxes:
+            part = part.withColumn(n, F.greatest(F.col(f"_o_{n}"), F.max(f"_v_{n}").over(inside)))
+        return part.drop("_bucket", "_group", "_piece", *[f"_{kind}_{n}" for n in [*sums, *maxes] for kind in "vo"])
+
+    sparse, dense = grouped(rows, keys, order, list(sums), list(maxes))
+    return summed(sparse, ["_group"]).unionByName(summed(dense, ["_bucket", "_piece"]))
 
 
 def exact_percentiles(

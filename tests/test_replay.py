@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from promptledger.operators import budget
 from promptledger.operators.budget import replay_admissions
 from promptledger.operators.policy import enforce
 from promptledger.operators.ratelimit import RateLimits, demand, replay_limits
@@ -142,6 +143,23 @@ def test_budget_replay_is_exact(spark, seed, limit):
     assert any(v and v.startswith("daily_tier") for v in want.values())
 
 
+def test_budget_replay_over_midnights_and_long_requests(spark, monkeypatch):
+    """Open requests that are charged days later join the accounts of several days; the number of passes never changes."""
+    passes = []
+    used = budget._used_at_start
+    monkeypatch.setattr(budget, "_used_at_start", lambda *a: passes.append(1) or used(*a))
+    for seed, n in ((8, 60), (9, 700)):
+        rng = random.Random(seed)
+        rows = []
+        for r in make_budget(seed, n):
+            start = r[7].replace(hour=23, minute=50) + timedelta(minutes=rng.randrange(30), days=rng.randrange(4)) if rng.random() < 0.5 else r[7]
+            rows.append((*r[:7], start, start + timedelta(hours=rng.choice([0, 0, 1, 30, 70]), seconds=rng.randrange(9))))
+        df = spark.createDataFrame(rows, BUDGET_SCHEMA)
+        for limit in (900, 12_000):
+            assert {r.request_id: r.budget_type for r in replay_admissions(df, limit).collect()} == simulate_budget(rows, limit)
+    assert len(passes) == 4 * (budget.ROUNDS + 2)
+
+
 def test_budget_key_check_can_be_off(spark):
     rows = make_budget(7, 150)
     df = spark.createDataFrame(rows, BUDGET_SCHEMA)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptledger.operators import audit, budget, catalog, health, keys, metrics, routing, scans
+from promptledger.operators import ordered
 from promptledger.operators.ordered import exact_percentiles, running
 from promptledger.operators.scoring import score
 from promptledger.plans import fixtures as X
@@ -113,6 +114,32 @@ def test_running_equals_single_window(spark):
             assert (s, m) == (total, top)
 
 
+@pytest.mark.parametrize("together", [8, 40])
+def test_running_cuts_dense_buckets(spark, monkeypatch, together):
+    monkeypatch.setattr(ordered, "ROWS_TOGETHER", together)
+    rng = random.Random(together)
+    rows = [(rng.choice(["a", "a", None, "b"]), rng.choice([3, 3, 3, rng.randrange(500)]), i, rng.randrange(-3, 9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v int")
+    out = running(df, ["k"], [F.col("t"), F.col("i")], F.floor(F.col("t") / 50), {"s": F.col("v")}, {"m": F.col("v")}).collect()
+    assert len(out) == 900
+    for key in ("a", "b", None):
+        total, top = 0, None
+        for _, _, v, s, m in sorted((r.t, r.i, r.v, r.s, r.m) for r in out if r.k == key):
+            total, top = total + v, v if top is None else max(top, v)
+            assert (s, m) == (total, top)
+
+
+def test_one_second_of_one_key_is_many_groups(spark):
+    """A million requests of one key in one second, most of them in one moment."""
+    moment = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.when(F.col("id") % 5 == 0, F.col("id") % 900_000).otherwise(7))
+    df = spark.range(1_000_000).select(F.lit("k").alias("key"), moment.alias("ts"), F.concat(F.lit("req-"), "id").alias("rid"), (F.col("id") % 3).alias("_v_n"))
+    sparse, dense = ordered.grouped(df.withColumn("_bucket", ordered.time_bucket(F.col("ts"))), ["key"], [F.col("ts"), F.col("rid")], ["n"])
+    sizes = [r["count"] for r in dense.groupBy("_bucket", "_piece").count().collect()]
+    assert sparse.isEmpty() and sum(sizes) == 1_000_000 and len(sizes) >= 10 and max(sizes) <= ordered.ROWS_TOGETHER
+    done = running(df, ["key"], [F.col("ts"), F.col("rid")], ordered.time_bucket(F.col("ts")), {"n": F.lit(1)})
+    assert tuple(done.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()) == (1, 1_000_000, 1_000_000)
+
+
 def test_histogram_counts_values_on_the_bound(spark):
     df = spark.createDataFrame([("p", 5.0), ("p", 5.1), ("p", 70_000.0), ("p", None)], "l string, v double")
     got = {r.le: r.cumulative_count for r in metrics.histogram(df, ["l"], "v", metrics.LATENCY_BOUNDS).collect()}
