@@ -36,7 +36,7 @@ from promptledger.llm.common import stored
 
 NO_LANG = "und"
 #: Words of a shard; bounds a task's memory.
-SHARD_WORDS = 3 << 20
+SHARD_WORDS = 2 << 20
 #: Words of the corpus for each bucket of phrases; decides the number of tasks that sum counts.
 BUCKET_WORDS = 1 << 21
 #: Bits of a place in a shard, of a shard's number in its task, and of a phrase's number in its bucket.
@@ -51,7 +51,8 @@ _LOWER[ord("A"):ord("Z") + 1] += 32
 
 _SHARDS = "shard long, size int, ids binary, dictionaries array<struct<lang:string, start:int, words:array<string>, counts:array<int>>>"
 _BLOCKS = "bucket int, shard long, size int, base binary, ext binary, n binary, lo binary, mirrored binary"
-_PHRASES = "shard long, id long, base long, ext long, n int, lo int, mirrored int, total long, first boolean"
+#: Frequent phrases: packed, those of a shard for its task, and each once with its total (no shard).
+_PHRASES = "shard long, size int, id binary, base binary, ext binary, n binary, lo binary, mirrored binary, phrases array<struct<id:long,base:long,ext:long,total:long>>"
 _INDEX = "shard long, size int, symbols binary, forward binary, backward binary"
 
 
@@ -238,25 +239,40 @@ def _no_blocks() -> pa.Table:
     return _blocks(0, _NONE, _NONE, Intervals(_NONE, _NONE, _NONE), 1)
 
 
+_KINDS = {"id": np.int64, "base": np.int64, "ext": np.int64, "n": np.int32, "lo": np.int32, "mirrored": np.int32}
+
+
+def _opened(blocks: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The packed columns of some blocks, one block after another; zeros where nothing was packed."""
+    size = blocks.column("size").to_pylist()
+    return {name: np.concatenate([np.zeros(0, _KINDS[name]), *(
+        np.zeros(n, _KINDS[name]) if data is None else _numbers(data, n, _KINDS[name]) for data, n in zip(blocks.column(name).to_pylist(), size, strict=True))]) for name in names}
+
+
 def _summed(min_count: int):
     def total(blocks: pa.Table) -> pa.Table:
-        """Rows of the phrases of one bucket that reach ``min_count`` over all shards."""
-        rows = blocks.to_pylist()
-        size = [r["size"] for r in rows]
-        base, ext, n, lo, mirrored = (
-            np.concatenate([_numbers(r[name], r["size"], kind) if r[name] is not None else np.zeros(r["size"], kind) for r in rows])
-            for name, kind in (("base", np.int64), ("ext", np.int64), ("n", np.int32), ("lo", np.int32), ("mirrored", np.int32)))
-        shard = np.repeat(np.array([r["shard"] for r in rows], np.int64), size)
-        order = np.lexsort((shard, ext, base))
+        """The phrases of one bucket that reach ``min_count`` over all shards."""
+        rows = _opened(blocks, ("base", "ext", "n", "lo", "mirrored"))
+        shard = np.repeat(blocks.column("shard").to_numpy(), blocks.column("size").to_numpy())
+        order = np.lexsort((rows["ext"], rows["base"]))
         new = np.ones(len(order), bool)
-        new[1:] = (base[order[1:]] != base[order[:-1]]) | (ext[order[1:]] != ext[order[:-1]])
-        totals = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        new[1:] = (rows["base"][order[1:]] != rows["base"][order[:-1]]) | (rows["ext"][order[1:]] != rows["ext"][order[:-1]])
+        totals = np.add.reduceat(rows["n"][order].astype(np.int64), np.flatnonzero(new))
         number = np.cumsum(new) - 1
         keep = totals[number] >= min_count
         order, number, new = order[keep], number[keep], new[keep]
+        ids = (np.int64(blocks.column("bucket")[0].as_py()) << IN_BUCKET_BITS) + number
+        once = {"id": ids[new], "base": rows["base"][order[new]], "ext": rows["ext"][order[new]], "total": totals[number[new]]}
+        each = pa.StructArray.from_arrays([pa.array(x) for x in once.values()], list(once))
+        by_shard = np.argsort(shard[order], kind="stable")
+        order, ids = order[by_shard], ids[by_shard]
+        used, first = np.unique(shard[order], return_index=True)
+        cuts = np.split(np.arange(len(order)), first[1:]) if len(used) else []
+        packed = {name: [_planes((ids if name == "id" else rows[name][order])[cut]) for cut in cuts] + [None] for name in _KINDS}
         return pa.table({
-            "shard": shard[order], "id": (np.int64(rows[0]["bucket"]) << IN_BUCKET_BITS) + number, "base": base[order], "ext": ext[order], "n": n[order],
-            "lo": lo[order], "mirrored": mirrored[order], "total": totals[number], "first": pa.array(new)})
+            "shard": pa.array([*used.tolist(), None], pa.int64()), "size": pa.array([*map(len, cuts), 0], pa.int32()),
+            **{name: pa.array(column, pa.binary()) for name, column in packed.items()},
+            "phrases": pa.ListArray.from_arrays(pa.array([0] * len(used) + [0, len(each)], pa.int32()), each)})
 
     return total
 
@@ -290,14 +306,14 @@ def _pairs(buckets: int):
 def _index_of(depth: int):
     def build(shards: pa.Table, marks: pa.Table) -> pa.Table:
         """The stored index of a shard: its text broken between words that are no frequent pair."""
-        words = marks.filter(pc.is_null(marks.column("base")))
-        pairs = marks.filter(pc.is_valid(marks.column("base")))
+        words = marks.filter(pc.is_valid(marks.column("place")))
+        pairs = marks.filter(pc.is_null(marks.column("place")))
         empty = not (shards.num_rows and pairs.num_rows)
         if empty:
             return pa.table({"shard": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), **{n: pa.array([], pa.binary()) for n in ("symbols", "forward", "backward")}})
         shard, text, ids = _frequent_text(shards, words)
-        wide = len(ids) + 1
-        frequent = (np.searchsorted(ids, _column(pairs, "id")) + 1) * wide + np.searchsorted(ids, _column(pairs, "base")) + 1
+        wide, pair = len(ids) + 1, _opened(pairs, ("base", "ext"))
+        frequent = (np.searchsorted(ids, pair["ext"]) + 1) * wide + np.searchsorted(ids, pair["base"]) + 1
         linked = np.isin(text[:-1].astype(np.int64) * wide + text[1:], frequent)
         before, behind = np.r_[False, linked], np.r_[linked, False]
         kept = before | behind
@@ -320,19 +336,20 @@ def _extensions(level: int, buckets: int):
         row = {name: stored_index.column(name)[0].as_py() for name in stored_index.column_names}
         ids = np.frombuffer(row["symbols"], np.int64)
         ways = [Index(_unpacked(row[name], row["size"])) for name in ("forward", "backward")]
-        named = _column(phrases, "id")
+        known = _opened(phrases, tuple(_KINDS))
+        named = known["id"]
         if level == 3:
             # The pairs' intervals in this index: extensions of its words that are frequent pairs.
             number, symbol, found = ways[0].extend(ways[0].words())
             wide = len(ids) + 1
-            pair = (np.searchsorted(ids, _column(phrases, "ext")) + 1) * wide + np.searchsorted(ids, _column(phrases, "base")) + 1
+            pair = (np.searchsorted(ids, known["ext"]) + 1) * wide + np.searchsorted(ids, known["base"]) + 1
             order = np.argsort(pair)
             mine = symbol * wide + number
             at = np.minimum(np.searchsorted(pair[order], mine), len(pair) - 1)
             hit = pair[order][at] == mine
             of, named = found.take(hit), named[order][at[hit]]
         else:
-            of = Intervals(*(_column(phrases, c).astype(np.int64) for c in ("lo", "mirrored", "n")))
+            of = Intervals(*(known[c].astype(np.int64) for c in ("lo", "mirrored", "n")))
         to_the_right = level % 2 == 1
         number, symbol, found = ways[1].extend(of.turned()) if to_the_right else ways[0].extend(of)
         return _blocks(row["shard"], named[number], ids[symbol - 1], found.turned() if to_the_right else found, buckets)
@@ -372,21 +389,21 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, min_count: int = 100) ->
     words = stored(_frequent_words(words, min_count), "phrase-words")
     named = [stored(words.filter(F.col("id") == _id("place")).select("id", "lang", F.array("word").alias("words"), F.lit(1).alias("k"), F.col("total").alias("n")), "phrase-names-1")]
 
-    texts, index, rows = shards.select("shard", "size", "ids"), None, None
+    texts, index, here = shards.select("shard", "size", "ids"), None, None
     for level in range(2, longest + 1):
         if level == 2:
             found = _by_shard(texts, words.select("shard", "place", "id"), tasks, _pairs(buckets), _BLOCKS)
         else:
             if level == 3:
                 depth = 1 << (longest - 2).bit_length()
-                none = F.lit(None).cast("long")
-                marks = words.select("shard", "place", "id", none.alias("base")).unionByName(rows.select("shard", F.lit(0).alias("place"), F.col("ext").alias("id"), "base"))
+                marks = words.select("shard", "place", "id").unionByName(here.select("shard", "size", "base", "ext"), allowMissingColumns=True)
                 index = stored(_by_shard(texts, marks, tasks, _index_of(depth), _INDEX), "phrase-index")
-            found = _by_shard(index, rows.select("shard", "id", "base", "ext", "n", "lo", "mirrored"), tasks, _extensions(level, buckets), _BLOCKS)
+            found = _by_shard(index, here.drop("phrases"), tasks, _extensions(level, buckets), _BLOCKS)
         rows = stored(found.repartition(max(tasks, buckets), "bucket").groupBy("bucket").applyInArrow(_summed(min_count), _PHRASES), f"phrase-level-{level}")
+        here = rows.filter("shard is not null")
         base, ext = named[-1].select(F.col("id").alias("base"), "lang", "words"), named[0].select(F.col("id").alias("ext"), F.col("words").alias("more"))
         both = F.concat("words", "more") if level % 2 else F.concat("more", "words")
-        heads = rows.filter("first").select("id", "base", "ext", "total")
+        heads = rows.filter("shard is null").select(F.inline("phrases"))
         named.append(stored(heads.join(base, "base").join(ext, "ext").select("id", "lang", both.alias("words"), F.lit(level).alias("k"), F.col("total").alias("n")), f"phrase-names-{level}"))
     return reduce(DataFrame.unionByName, named).drop("id"), sizes
 
