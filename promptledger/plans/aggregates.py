@@ -10,16 +10,10 @@ from promptledger.operators import budget as B
 from promptledger.operators import catalog as K
 from promptledger.operators import health as H
 from promptledger.operators import metrics as M
-from promptledger.operators import scans
+from promptledger.operators import scan_store, scans
 from promptledger.plans import fixtures as X
 from promptledger.plans.registry import query
-from promptledger.plans.scan_tables import (
-    PII_EVENTS_SQL,
-    SCANS_SQL,
-    alert_rows,
-    labelled_scans,
-    pii_events,
-)
+from promptledger.plans.scan_tables import PII_EVENTS_SQL, SCANS_SQL, store, stored_alerts, stored_scans
 
 
 @query("a1_audit_append", X.with_sql("""
@@ -141,12 +135,12 @@ select count(*) as total_detections, count(*) filter (where was_scrubbed) as scr
   count(distinct value_hash) as unique_values from pii_events
 where event_us >= (select max(event_us) - 3600000000 from pii_events)""", PII_EVENTS_SQL))
 def c9(spark, sf):
-    return scans.pii_stats(pii_events(spark, sf), hours=1)
+    return scans.pii_stats(scan_store.pii_events(spark, store(spark, sf)), hours=1)
 
 
 @query("c9_pii_by_type", X.with_sql("select pii_type, count(*) as detections from pii_events where event_us >= (select max(event_us) - 86400000000 from pii_events) group by 1", PII_EVENTS_SQL))
 def c9_type(spark, sf):
-    return scans.pii_by_type(pii_events(spark, sf))
+    return scans.pii_by_type(scan_store.pii_events(spark, store(spark, sf)))
 
 
 @query("c10_label_stats", X.with_sql("""
@@ -156,7 +150,7 @@ select count(*) as total_scans, count(label) as labeled, count(*) - count(label)
   count(*) filter (where is_disagreement and label is null) as unlabeled_disagreements,
   round(count(label) * 100.0::double / count(*), 1) as label_progress_pct from scans""", SCANS_SQL))
 def c10(spark, sf):
-    return scans.label_stats(labelled_scans(spark, sf))
+    return scans.label_stats(stored_scans(spark, sf, store(spark, sf)))
 
 
 @query("c11_run_stats", X.with_sql("""
@@ -165,12 +159,13 @@ select count(*) as requests_analyzed, count(guard_safe) as guard_scans, count(*)
   (select count(*) from requests where client_id = 'client-1') as requests_allowlisted from scans""", SCANS_SQL))
 def c11(spark, sf):
     skipped = X.requests(spark, sf).filter("client_id = 'client-1'")
-    return scans.run_stats(labelled_scans(spark, sf), alert_rows(spark, sf), skipped)
+    path = store(spark, sf)
+    return scans.run_stats(stored_scans(spark, sf, path), stored_alerts(spark, path), skipped)
 
 
 @query("c12_alerts_by_severity", X.with_sql("select severity, count(*) as alert_count from alerts group by 1", SCANS_SQL))
 def c12(spark, sf):
-    return scans.alerts_by_severity(alert_rows(spark, sf))
+    return scans.alerts_by_severity(stored_alerts(spark, store(spark, sf)))
 
 
 @query("c13_counters", X.with_sql("""

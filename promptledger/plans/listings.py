@@ -8,7 +8,7 @@ from promptledger.operators import catalog as K
 from promptledger.operators import keys, scans
 from promptledger.plans import fixtures as X
 from promptledger.plans.registry import query
-from promptledger.plans.scan_tables import SCANS_SQL, alert_rows, labelled_scans
+from promptledger.plans.scan_tables import SCANS_SQL, store, stored_alerts, stored_scans
 from pyspark.sql import functions as F
 
 _LIST = "request_id, epoch_us(event_ts) as event_ts, client_id, environment, status, model"
@@ -58,18 +58,18 @@ _SCAN_SQL = "request_id, event_us as event_ts, regex_threat_level, regex_match_c
 select {_SCAN_SQL}, (select count(*) from scans where is_disagreement and threat_ord >= 2 and label is null) as total_matches from scans
 where is_disagreement and threat_ord >= 2 and label is null order by event_us desc, request_id limit 50 offset 3""", SCANS_SQL))
 def b4(spark, sf):
-    page = scans.list_scans(labelled_scans(spark, sf), 50, 3, None, True, True, "medium")
+    page = scans.list_scans(stored_scans(spark, sf, store(spark, sf)), 50, 3, None, True, True, "medium")
     return page.select(*_SCAN, "total_matches")
 
 
 @query("b5_threat_filter", X.with_sql(f"select {_SCAN_SQL} from scans where regex_threat_level in ('high', 'critical')", SCANS_SQL))
 def b5(spark, sf):
-    return labelled_scans(spark, sf).filter(at_least(F.col("regex_threat_level"), "HIGH")).select(*_SCAN)
+    return stored_scans(spark, sf, store(spark, sf)).filter(at_least(F.col("regex_threat_level"), "HIGH")).select(*_SCAN)
 
 
 @query("b6_scan_by_id", X.with_sql(f"select {_SCAN_SQL} from scans where request_id = 'conv-3'", SCANS_SQL))
 def b6(spark, sf):
-    return scans.scan_by_id(labelled_scans(spark, sf), "conv-3").select(*_SCAN)
+    return scans.scan_by_id(stored_scans(spark, sf, store(spark, sf)), "conv-3").select(*_SCAN)
 
 
 @query("b8_key_inventory", X.with_sql("""
@@ -120,14 +120,14 @@ def b10_report(spark, sf):
 select request_id, event_us as event_ts, client_id, alert_type, severity, description from alerts
 order by event_us desc, request_id, alert_type limit 40""", SCANS_SQL))
 def b11(spark, sf):
-    return scans.recent_alerts(alert_rows(spark, sf), 40)
+    return scans.recent_alerts(stored_alerts(spark, store(spark, sf)), 40)
 
 
 @query("b12_recent_results", X.with_sql(f"""
 select {_SCAN_SQL} from scans where guard_safe is not null and not guard_skipped and (regex_threat_level <> 'none') <> (not guard_safe)
 order by event_us desc, request_id limit 20""", SCANS_SQL))
 def b12(spark, sf):
-    return scans.recent_results(labelled_scans(spark, sf), 20, guard_only=True, disagreements_only=True).select(*_SCAN)
+    return scans.recent_results(stored_scans(spark, sf, store(spark, sf)), 20, guard_only=True, disagreements_only=True).select(*_SCAN)
 
 
 @query("b13_catalog_search", X.with_sql("select name, endpoint, family from catalog where name glob 'llama3.[0-9]:*'", X.CATALOG_SQL))

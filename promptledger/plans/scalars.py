@@ -10,6 +10,7 @@ from promptledger.functions import injection as J
 from promptledger.functions import requests as Q
 from promptledger.functions import sanitize as S
 from promptledger.functions.globs import glob_match
+from promptledger.functions.once import dealt
 from promptledger.operators import audit as A
 from promptledger.operators import budget as B
 from promptledger.operators import scans
@@ -25,6 +26,7 @@ from promptledger.plans.scan_tables import (
     injection_hits_sql,
     labelled_scans,
     pii_hits_sql,
+    tasks,
 )
 
 # Characters placed into the documents by arithmetic, so that every kind occurs: zero width,
@@ -35,8 +37,13 @@ DIRTY = (
 )
 
 
+def documents(spark, sf):
+    """Texts dealt over tasks: a small table holds all of them in one file."""
+    return dealt(X._table(spark, sf, "documents").select("doc_id", "text"), "doc_id", tasks(spark))
+
+
 def dirty_documents(spark, sf):
-    return X._table(spark, sf, "documents").selectExpr("doc_id", f"{DIRTY} as text")
+    return documents(spark, sf).selectExpr("doc_id", f"{DIRTY} as text")
 
 
 _ZERO = r"[\x{200B}\x{200C}\x{200D}\x{2060}-\x{2064}\x{FEFF}]"
@@ -94,7 +101,7 @@ _PII_DOCS = "recursive docs as (select doc_id, text from documents), " + pii_hit
 
 
 def pii_documents(spark, sf):
-    return pii.scan_pii(X._table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return pii.scan_pii(documents(spark, sf), "text")
 
 
 @query("f4_pii_scan", X.with_sql("select doc_id, name as pii_type, start_pos, end_pos, value from pii_kept", _PII_DOCS))
@@ -108,7 +115,7 @@ def f4(spark, sf):
 @query("f4_pii_pages", X.with_sql("select page_id, name as pii_type, start_pos, end_pos, value from pii_kept",
     "recursive " + pii_hits_sql("pages", "page_id", "html")))
 def f4_pages(spark, sf):
-    hits = pii.scan_pii(X._table(spark, sf, "pages").select("page_id", "html"), "html")
+    hits = pii.scan_pii(dealt(X._table(spark, sf, "pages").select("page_id", "html"), "page_id", tasks(spark)), "html")
     return hits.select("page_id", F.explode("detections").alias("d")).select(
         "page_id", "d.pii_type", F.col("d.start").alias("start_pos"), F.col("d.end").alias("end_pos"), "d.value"
     )
@@ -192,7 +199,7 @@ _SEEDED_SQL = f"docs as (select doc_id, {_SEEDED} as text from documents)"
 
 
 def seeded_documents(spark, sf):
-    return X._table(spark, sf, "documents").selectExpr("doc_id", f"{_SEEDED} as text")
+    return documents(spark, sf).selectExpr("doc_id", f"{_SEEDED} as text")
 
 
 @query("f9_injection_scan", X.with_sql(f"""
@@ -228,10 +235,10 @@ def f11(spark, sf):
 
 
 @query("f11_case_sensitive", X.with_sql("""
-select doc_id, count(*) filter (where regexp_matches(text, 'enable\\s+(developer|debug|admin|god)\\s+mode')) as match_count from docs group by doc_id""", _SEEDED_SQL))
+select d.doc_id, count(h.doc_id) as match_count from docs d left join hits h using (doc_id) group by d.doc_id""",
+    _SEEDED_SQL, injection_hits_sql("docs", "doc_id", "text", flags="")))
 def f11_case(spark, sf):
-    only = [p for p in J.PATTERNS if p.name in ("enable_mode", "ignore_previous")]
-    return J.scan_injection(seeded_documents(spark, sf), "text", only, case_sensitive=True).select("doc_id", "match_count")
+    return J.scan_injection(seeded_documents(spark, sf), "text", case_sensitive=True).select("doc_id", "match_count")
 
 
 @query("f11_embedding_profile", X.with_sql("""
@@ -247,7 +254,7 @@ select doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\s+(\\w+ing)\\b')) as ma
   case when len(regexp_extract_all(text, '(?i)\\bthe\\s+(\\w+ing)\\b')) > 0 then 'medium' else 'none' end as threat_level from documents""")
 def h3(spark, sf):
     own = [J.InjectionPattern("the_ing", "house_rules", "medium", r"\bthe\s+(\w+ing)\b", ("the",))]
-    return J.scan_injection(X._table(spark, sf, "documents").select("doc_id", "text"), "text", own).select("doc_id", "match_count", "threat_level")
+    return J.scan_injection(documents(spark, sf), "text", own).select("doc_id", "match_count", "threat_level")
 
 
 @query("f12_threat_order", X.with_sql("select request_id, regex_threat_level, threat_ord::bigint as threat_order from scans", SCANS_SQL))

@@ -7,14 +7,37 @@ from pyspark.sql import functions as F
 
 from promptledger.functions.guard import parse_hazard_verdict
 from promptledger.functions.injection import PATTERNS
+from promptledger.functions.once import dealt
 from promptledger.functions.pii import PII_PATTERNS
 from promptledger.functions.threats import THREAT_LEVELS
-from promptledger.operators import scans
+from promptledger.operators import scan_store, scans
 from promptledger.plans import fixtures as X
+from promptledger.session import scratch_path
+
+
+def tasks(spark: SparkSession) -> int:
+    """Tasks that texts are dealt over: the small tables hold all their texts in one file."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def analyzed(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.analyze(X.requests(spark, sf))
+    return scans.analyze(dealt(X.requests(spark, sf), "request_id", tasks(spark)))
+
+
+def store(spark: SparkSession, sf: str) -> str:
+    """A new scan store over all requests."""
+    path = scratch_path(spark, "scan-store")
+    scan_store.update(X.requests(spark, sf), path, was_scrubbed=True, partitions=tasks(spark))
+    return path
+
+
+def stored_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return scans.alerts(scan_store.analyzed(spark, path))
+
+
+def stored_scans(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    rows = scans.scan_rows(scan_store.analyzed(spark, path), guard_verdicts(spark, sf))
+    return scans.apply_labels(rows, X.label_events(spark, sf))
 
 
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,7 +57,7 @@ def labelled_scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pii_events(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.pii_events(X.requests(spark, sf), was_scrubbed=True)
+    return scans.pii_events(dealt(X.requests(spark, sf), "request_id", tasks(spark)), was_scrubbed=True)
 
 
 # The same pattern texts for the SQL engine.
@@ -72,11 +95,11 @@ pii_kept as (
   from pii_all a join pii_walk w on a.{key} = w.{key} and a.pos = w.pos where w.kept)"""
 
 
-def injection_hits_sql(source: str, key: str, text: str, extra: str = "") -> str:
+def injection_hits_sql(source: str, key: str, text: str, extra: str = "", flags: str = "(?i)") -> str:
     """CTE ``hits``: one row per match. ``extra`` adds key columns."""
     keys = key + extra
     union = " union all ".join(
-        f"select *, '{category}' as category, {level} as level_ord from ({spans_sql(source, keys, text, '(?i)' + regex, rank, name)})"
+        f"select *, '{category}' as category, {level} as level_ord from ({spans_sql(source, keys, text, flags + regex, rank, name)})"
         for rank, (name, category, level, regex) in enumerate(INJECTION_SQL_PATTERNS)
     )
     return f"hits as ({union})"
