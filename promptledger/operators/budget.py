@@ -186,7 +186,8 @@ def usage_by_key(charged: DataFrame, daily_limit: int = DEFAULT_DAILY_LIMIT) ->
 
 # --- admission replay --------------------------------------------------------------------------
 
-_REPLAY = ("request_id", "key", "tier", "tier_daily_limit", "start_ts", "end_ts", "raw", "cost", "raw_estimate", "estimate", "state")
+#: ``asked``: a request to be decided; the others are charges that are known to be admitted.
+_REPLAY = ("request_id", "key", "tier", "tier_daily_limit", "start_ts", "end_ts", "raw", "cost", "raw_estimate", "estimate", "state", "asked")
 _SEEN = ("key_low", "key_high", "tier_low", "tier_high")
 #: Rounds that bracket what is used before the rest is folded. It decides how much is folded, never a result.
 ROUNDS = 2
@@ -342,24 +343,35 @@ def replay_admissions(
     exceed a limit in any case. What is still open then are the requests near a limit: those that share a contested account, directly or
     through others, are folded in order of time with bounded state. The number of jobs does not depend on the data.
     """
-    rows = requests.select(
+    return decisions(replay(open_requests(requests), daily_limit if enforce_pre_request else 0), daily_limit if enforce_pre_request else 0)
+
+
+def open_requests(requests: DataFrame) -> DataFrame:
+    """Requests as rows of a replay."""
+    return requests.select(
         "request_id", "key", "tier", "tier_daily_limit", "start_ts", "end_ts",
         F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("raw"),
         weighted(F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)), F.col("cost_multiplier")).alias("cost"),
         F.coalesce("estimated_tokens", F.lit(0)).cast("bigint").alias("raw_estimate"),
         weighted(F.coalesce("estimated_tokens", F.lit(0)), F.col("cost_multiplier")).alias("estimate"),
-        F.lit("open").alias("state"),
+        F.lit("open").alias("state"), F.lit(True).alias("asked"),
     )
-    limit = daily_limit if enforce_pre_request else 0
-    limited = F.lit(limit > 0)
 
-    def over(side: str) -> tuple[Column, Column]:
-        key_over = limited & (F.col(f"key_{side}") + F.col("estimate") > F.lit(limit))
-        tier_over = _capped() & (F.col(f"tier_{side}") + F.col("raw_estimate") > F.col("tier_daily_limit"))
-        return F.coalesce(key_over, F.lit(False)), F.coalesce(tier_over, F.lit(False))
 
+def _over(side: str, limit: int) -> tuple[Column, Column]:
+    """Whether the key's limit and the tier's cap would be exceeded."""
+    key_over = F.lit(limit > 0) & (F.col(f"key_{side}") + F.col("estimate") > F.lit(limit))
+    tier_over = _capped() & (F.col(f"tier_{side}") + F.col("raw_estimate") > F.col("tier_daily_limit"))
+    return F.coalesce(key_over, F.lit(False)), F.coalesce(tier_over, F.lit(False))
+
+
+def replay(rows: DataFrame, limit: int) -> DataFrame:
+    """The asked ones of ``rows``, each admitted or denied, with what key and tier had used before (``key_low``, ``tier_low``).
+
+    A ``limit`` of 0 leaves keys without one.
+    """
     is_open = F.col("state") == "open"
-    low, high = over("low"), over("high")
+    low, high = _over("low", limit), _over("high", limit)
     current = cut_lineage(rows)
     for number in range(ROUNDS):
         decided = F.when(low[0] | low[1], "denied").when(~high[0] & ~high[1], "admitted").otherwise("open")
@@ -376,8 +388,12 @@ def replay_admissions(
     folded = placed.repartition("component").sortWithinPartitions("component", "_start", "request_id").mapInArrow(_fold(limit), current.schema)
     current = cut_lineage(folded).unionByName(current.filter(~is_open))
 
-    final = _used_at_start(current, F.lit(True))
-    key_over, tier_over = low
+    return _used_at_start(current, F.col("asked"))
+
+
+def decisions(final: DataFrame, limit: int) -> DataFrame:
+    """Result columns of a replay."""
+    key_over, tier_over = _over("low", limit)
     kind = F.when(key_over, F.lit("daily_key_limit")).when(
         tier_over, F.concat(F.lit("daily_tier_limit:"), F.col("tier"))
     )

@@ -11,14 +11,15 @@ from promptledger.operators import audit as A
 from promptledger.operators import budget as B
 from promptledger.plans import fixtures as X
 from promptledger.plans.ingest import _ASSEMBLED_SQL, data_line_rows
-from promptledger.plans.registry import query
+from promptledger.plans.registry import ORACLES, query
 from promptledger.plans.scan_tables import PII_EVENTS_SQL, SCANS_SQL
-from promptledger.plans.windows import DAILY_LIMIT, LIMITER_SQL, LIMITS
+from promptledger.plans.windows import DAILY_LIMIT, LIMITER_SQL, LIMITS, budget_requests
 from promptledger.session import scratch_path
 from promptledger.sources.chunks import data_lines
 from promptledger.streaming import limits as L
 from promptledger.streaming import scan as S
 from promptledger.streaming import usage as U
+from promptledger.streaming.budgets import replay_budget_stream
 from promptledger.streaming.sinks import run_available
 
 
@@ -48,17 +49,39 @@ def table_stream(spark, rows, name):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def out_of_order(spark, rows, time, name, files=4, late="9 minutes"):
-    """A table as a stream of a few files, one per trigger; rows near a file's end come up to ``late`` too late, the last row closes."""
-    path = scratch_path(spark, name)
+#: Rows of a wave on average.
+WAVE_ROWS = 250_000
+
+
+def out_of_order(rows, time, late="9 minutes"):
+    """A table in waves, four at least and more with more rows; rows near a wave's end come up to ``late`` too late, a last row closes."""
     seen = F.unix_micros(time) + F.pmod(F.xxhash64("request_id"), F.lit(1000)) * F.expr(f"unix_micros(timestamp '1970-01-01' + interval {late})") / 1000
-    ends = rows.agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
-    part = F.floor((seen - ends.select("first").scalar()) / (ends.select(F.col("last") - F.col("first")).scalar() + 1) * files)
-    parts = rows.withColumn("_part", part)
-    for k in range(files):
-        parts.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    closing_row(rows, time).write.mode("append").parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    count, first, last = rows.agg(F.count(F.lit(1)), F.min(seen), F.max(seen)).first()
+    waves = max(4, -(-count // WAVE_ROWS))
+    part = F.floor((seen - F.lit(first)) / F.lit(last - first + 1) * waves)
+    return [*(rows.filter(part == k) for k in range(waves)), closing_row(rows, time)]
+
+
+def fed(spark, waves, name, started):
+    """Write one wave after the other and let the stream that ``started`` makes of their folder take each in; returns its checkpoint."""
+    path = scratch_path(spark, name)
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{path}/in")
+        run_available(started(spark.readStream.schema(wave.schema).parquet(f"{path}/in"), path), f"{path}/checkpoint")
+    return path
+
+
+def collected_in_waves(spark, waves, name, made):
+    """What the stream ``made`` of the waves' stream writes."""
+    schema = []
+
+    def started(stream, path):
+        out = made(stream)
+        schema[:] = [out.schema]
+        return out.writeStream.format("parquet").option("path", f"{path}/out")
+
+    path = fed(spark, waves, name, started)
+    return spark.read.schema(schema[0]).parquet(f"{path}/out")
 
 
 def collected(spark, stream, name):
@@ -103,7 +126,7 @@ def g2(spark, sf):
     copies = [("1", "true", "0"), ("0", "event_id % 3 = 0", "0"), ("2", "event_id % 4 = 0", "-5"), ("3", "event_id % 5 = 0", "5")]
     every = reduce(DataFrame.union, [
         rows.filter(where).selectExpr("request_id", f"event_ts + interval {minutes} minutes as event_ts", f"cast({seq} as bigint) as seq") for seq, where, minutes in copies])
-    return collected(spark, U.first_writes(out_of_order(spark, every, "event_ts", "copies")), "first-writes").select("request_id", "seq", "event_ts")
+    return collected_in_waves(spark, out_of_order(every, "event_ts"), "first-writes", U.first_writes).select("request_id", "seq", "event_ts")
 
 
 @query("g3_stream_daily_usage", X.with_sql("""
@@ -120,7 +143,7 @@ select key, request_id, us as start_us, limit_hit is null as allowed, limit_hit,
   case when limit_hit is not null then round(greatest(0.1::double, (oldest - us) / 1000000.0), 6) end as retry_after from walk""", LIMITER_SQL))
 def g4(spark, sf):
     rows = X.audit(spark, sf).select(F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"))
-    return collected(spark, L.limit_stream(out_of_order(spark, rows, "start_ts", "requests"), LIMITS), "limiter")
+    return collected_in_waves(spark, out_of_order(rows, "start_ts"), "limiter", lambda stream: L.limit_stream(stream, LIMITS))
 
 
 @query("g5_stream_budget", X.with_sql("""
@@ -138,12 +161,24 @@ walk as (
 def g5(spark, sf):
     batch = X.audit(spark, sf)
     tiers = B.resolve_tiers(batch, X.assignments(spark), X.tiers(spark))
-    rows = out_of_order(spark, batch.select("client_id", "request_id", "event_ts", "model", "total_tokens"), "event_ts", "spent")
-    priced = B.with_tiers(rows, tiers).select(
-        F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"), "tier",
-        B.weighted(F.col("total_tokens"), F.col("cost_multiplier")).alias("cost"), F.lit(0).cast("bigint").alias("estimate"),
-    )
-    return collected(spark, L.budget_stream(priced, DAILY_LIMIT), "budget").drop("tier_tokens")
+    waves = out_of_order(batch.select("client_id", "request_id", "event_ts", "model", "total_tokens"), "event_ts")
+
+    def budget(rows):
+        priced = B.with_tiers(rows, tiers).select(
+            F.col("client_id").alias("key"), "request_id", F.col("event_ts").alias("start_ts"), "tier",
+            B.weighted(F.col("total_tokens"), F.col("cost_multiplier")).alias("cost"), F.lit(0).cast("bigint").alias("estimate"),
+        )
+        return L.budget_stream(priced, DAILY_LIMIT)
+
+    return collected_in_waves(spark, waves, "budget", budget).drop("tier_tokens")
+
+
+@query("g5_stream_tier_caps", ORACLES["e4_budget_replay"])
+def g5_tiers(spark, sf):
+    """The batch replay's decisions, tier caps included, from a stream whose rows come out of order."""
+    waves = out_of_order(budget_requests(spark, sf), "start_ts")
+    path = fed(spark, waves, "tier-caps", lambda stream, path: replay_budget_stream(stream, path, DAILY_LIMIT))
+    return spark.read.parquet(f"{path}/decisions").drop("batch_id")
 
 
 @query("g6_stream_assembly", X.with_sql("""

@@ -168,7 +168,7 @@ def budget_stream(requests: DataFrame, daily_limit: int, delay: str = "10 minute
     """Key budgets on a stream (key, request_id, start_ts, tier, cost, estimate), reset at midnight UTC.
 
     A request is decided when the watermark has passed it, and charged right when it is admitted. Tier caps, which hold over
-    all keys, are the batch replay's (``operators.budget.replay_budgets``).
+    all keys, and charges at the end of a request are ``streaming.budgets.replay_budget_stream``'s.
     """
     use_rocksdb(requests.sparkSession)
     rows = requests.withWatermark("start_ts", delay).select(

@@ -10,7 +10,8 @@ from promptledger.operators import budget
 from promptledger.operators.budget import replay_admissions
 from promptledger.operators.policy import enforce
 from promptledger.operators.ratelimit import RateLimits, demand, replay_limits
-from promptledger.plans.streams import collected, out_of_order
+from promptledger.plans.streams import collected, collected_in_waves, fed, out_of_order
+from promptledger.streaming.budgets import replay_budget_stream
 from promptledger.streaming.limits import budget_stream, limit_stream
 
 START = datetime(2024, 3, 1)
@@ -160,6 +161,18 @@ def test_budget_replay_over_midnights_and_long_requests(spark, monkeypatch):
     assert len(passes) == 4 * (budget.ROUNDS + 2)
 
 
+def test_tier_caps_in_a_stream_with_late_rows(spark):
+    rows = [r for r in make_budget(11, 300)]
+    df = spark.createDataFrame(rows, BUDGET_SCHEMA)
+    waves = out_of_order(df, "start_ts")
+    path = fed(spark, waves, "tier-caps-test", lambda stream, path: replay_budget_stream(stream, path, 9_000))
+    got = spark.read.parquet(f"{path}/decisions").collect()
+    want = simulate_budget(rows, 9_000)
+    assert len(got) == len(want) and {r.request_id: r.budget_type for r in got} == want
+    assert {v.split(":")[0] for v in want.values() if v} == {"daily_key_limit", "daily_tier_limit"}
+    assert spark.read.parquet(f"{path}/late").isEmpty()
+
+
 def test_budget_key_check_can_be_off(spark):
     rows = make_budget(7, 150)
     df = spark.createDataFrame(rows, BUDGET_SCHEMA)
@@ -218,7 +231,7 @@ def test_policy_chain_order(spark):
 def test_stream_limiter_equals_batch(spark):
     rows = make_requests(8, 250)
     df = spark.createDataFrame(rows, "key string, request_id string, start_ts timestamp")
-    got = collected(spark, limit_stream(out_of_order(spark, df, "start_ts", "limits"), LIMITS), "limits-out")
+    got = collected_in_waves(spark, out_of_order(df, "start_ts"), "limits-out", lambda stream: limit_stream(stream, LIMITS))
     want = simulate_limits(rows, LIMITS)
     assert {r.request_id: (r.allowed, r.limit_hit) for r in got.collect()} == {k: v[:2] for k, v in want.items()}
 
@@ -230,7 +243,7 @@ def test_stream_budget_resets_at_midnight(spark):
         for i in range(300)
     ]
     df = spark.createDataFrame(rows, "key string, request_id string, start_ts timestamp, tier string, cost bigint, estimate bigint")
-    got = collected(spark, budget_stream(out_of_order(spark, df, "start_ts", "budget"), 300), "budget-out")
+    got = collected_in_waves(spark, out_of_order(df, "start_ts"), "budget-out", lambda stream: budget_stream(stream, 300))
     used, want = {}, {}
     for key, rid, at, _, cost, estimate in rows:
         slot = (key, at.date())
