@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptledger.functions.requests import filled, tokens_per_second, total_tokens
 from promptledger.operators.ordered import _join_on, exact_percentiles
+from promptledger.session import cut_lineage
 
 RETENTION_DAYS = 90
 
@@ -263,6 +264,36 @@ def purge(audit: DataFrame, path: str, days: int = RETENTION_DAYS, as_of: dateti
     retained(audit, days, as_of).write.mode("errorifexists").partitionBy("event_date").parquet(path)
 
 
+def purge_in_place(spark: SparkSession, path: str, days: int = RETENTION_DAYS, as_of: datetime | None = None) -> list[date]:
+    """Drop the day folders of a table at ``path`` that are older than the retention; returns the days that changed.
+
+    Whole old days are dropped without being read, and only the day that the cutoff cuts is written again. ``as_of`` defaults to the
+    newest row, looked up in the newest day.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder) if f.isDirectory()]
+    held = sorted(date.fromisoformat(n.removeprefix("event_date=")) for n in names if n.startswith("event_date=") and n != "event_date=__HIVE_DEFAULT_PARTITION__")
+    if not held:
+        return []
+    table = spark.read.parquet(path)
+    if as_of is None:
+        as_of = table.filter(F.col("event_date") == F.lit(held[-1])).agg(F.max("event_ts")).first()[0]
+    cutoff = as_of - timedelta(days=days)
+    changed = [d for d in held if d < cutoff.date()]
+    for day in changed:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"event_date={day}"), True)
+    cut = table.filter(F.col("event_date") == F.lit(cutoff.date()))
+    if cutoff.date() in held and not cut.filter(F.col("event_ts") < F.lit(cutoff)).isEmpty():
+        kept = cut_lineage(cut.filter(F.col("event_ts") >= F.lit(cutoff)))
+        if kept.isEmpty():
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"event_date={cutoff.date()}"), True)
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+        changed.append(cutoff.date())
+    return changed
+
+
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row count of every table."""
     out = None

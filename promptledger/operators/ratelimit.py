@@ -40,29 +40,34 @@ class RateLimits:
 def _demand_counts(rows: DataFrame, limits: RateLimits) -> DataFrame:
     """Requests of the key in each window up to now, the current one included.
 
-    Requests of one moment are counted first. A running count over these moments and over one probe at the lower end of each
-    window gives the requests in the window as a difference, so the time grows with the rows however dense they are. Keys are
-    cut into stretches of four long windows; the last window of a stretch is copied to the next one, so counts are complete
-    and no key has to fit into one task.
+    Every request gives a point at its moment and one probe at the lower end of each window; a running count over the points gives the
+    requests in the window as a difference, so the time grows with the rows however dense they are. Keys are cut into
+    stretches of four long windows; the last window of a stretch is copied to the next one, so counts are complete and no key has to fit
+    into one task. One shuffle by (key, stretch) serves the counts, the differences and the places.
     """
     reach = limits.hour_window * MICROS
     stretch = 4 * reach
     own = F.floor(F.col("_us") / F.lit(stretch))
     late = F.col("_us") % F.lit(stretch) >= stretch - reach
-    copies = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
-    moments = rows.groupBy("key", "_us").agg(F.count(F.lit(1)).alias("_n"))
-    spread = moments.withColumn("_own", own).withColumn("_stretch", F.explode(copies))
-    points = [F.struct(F.lit("own").alias("kind"), F.col("_us").alias("at"), F.col("_n").alias("n"))] + [
-        F.struct(F.lit(name).alias("kind"), (F.col("_us") - seconds * MICROS).alias("at"), F.lit(0).cast("bigint").alias("n")) for name, seconds, _ in limits.windows
+    numbered = rows.withColumn("_own", own).withColumn("_row", F.monotonically_increasing_id())
+    spread = numbered.select(
+        "key", "_us", "_own", "_row", F.struct(*rows.columns).alias("_all"), F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))).alias("_stretch"))
+    here, nothing = F.col("_stretch") == F.col("_own"), F.lit(None).cast(spread.schema["_all"].dataType)
+    one = F.struct(F.lit("own").alias("kind"), F.col("_us").alias("at"), F.lit(1).alias("n"), F.when(here, F.col("_all")).alias("all"))
+    probes = [
+        F.when(here, F.struct(F.lit(name).alias("kind"), (F.col("_us") - seconds * MICROS).alias("at"), F.lit(0).alias("n"), nothing.alias("all")))
+        for name, seconds, _ in limits.windows
     ]
+    points = spread.select("key", "_stretch", "_own", "_us", "_row", F.explode(F.array_compact(F.array(one, *probes))).alias("p"))
     upto = F.sum("p.n").over(Window.partitionBy("key", "_stretch").orderBy("p.at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = spread.withColumn("p", F.explode(F.array(*points))).withColumn("_upto", upto).filter("_stretch = _own").groupBy("key", "_us", "_n").agg(
+    counted = points.withColumn("_upto", upto).filter("_stretch = _own").groupBy("key", "_stretch", "_us", "_row").agg(
+        F.first("p.all", ignorenulls=True).alias("_all"),
         *[F.max(F.when(F.col("p.kind") == kind, F.col("_upto"))).alias(f"_{kind}") for kind in ("own", *[w[0] for w in limits.windows])]
     )
-    demands = counted.select("key", "_us", "_n", *[(F.col("_own") - F.col(f"_{name}")).alias(f"{name}_demand") for name, _, _ in limits.windows])
     # Requests of the same moment count for each other; in a replay only those with a smaller id came first.
-    place = F.row_number().over(Window.partitionBy("key", "_us").orderBy("request_id"))
-    return _join_on(rows, demands, ["key", "_us"]).withColumn("_later", F.col("_n") - place).drop("_n")
+    moment = Window.partitionBy("key", "_stretch", "_us")
+    later = F.count(F.lit(1)).over(moment) - F.row_number().over(moment.orderBy("_all.request_id"))
+    return counted.select("_all.*", *[(F.col("_own") - F.col(f"_{name}")).alias(f"{name}_demand") for name, _, _ in limits.windows], later.alias("_later"))
 
 
 def demand(requests: DataFrame, limits: RateLimits = RateLimits()) -> DataFrame:

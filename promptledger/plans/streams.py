@@ -199,6 +199,19 @@ def g7(spark, sf):
     return collected(spark, U.request_rate(event_stream(spark, sf)), "request-rate")
 
 
+@query("g8_stream_rollup", X.with_sql("""
+select event_date::varchar as usage_date, client_id, endpoint, model, count(*) as request_count,
+  count(*) filter (where status = 'success') as success_count, sum(total_tokens)::bigint as total_tokens,
+  round(coalesce(sum(estimated_cost_usd), 0), 6) as total_cost_usd, round(avg(latency_ms), 6) as avg_latency_ms
+from audit group by all""", X.AUDIT_SQL))
+def g8_rollup(spark, sf):
+    """Every row in three waves; every fiftieth comes with the last one, days late, and still counts on its own day."""
+    rows = X.audit(spark, sf)
+    wave = F.expr("case when event_id % 50 = 0 then 2 when event_ts < timestamp '2024-01-16' then 0 else 1 end")
+    path = fed(spark, [rows.filter(wave == k) for k in range(3)], "rollup", U.rollup_stream)
+    return U.rollup_of_sums(spark, path)
+
+
 @query("g8_stream_late_rows", X.with_sql("""
 select 'late' as kind, count(*) as row_count from waves where wave = 2 and event_ts < (select max(event_ts) - interval 10 minute from waves where wave = 1)
 union all

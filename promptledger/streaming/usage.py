@@ -100,3 +100,39 @@ def split_late(audit: DataFrame, path: str, delay: str = "10 minutes") -> DataSt
 def on_time_rollup(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
     """The daily rollup over the on-time rows of all batches: one row per day and group, however many batches brought it."""
     return daily_rollup(spark.read.parquet(f"{path}/on_time"), day)
+
+
+_GROUP = ("usage_date", "client_id", "endpoint", "model")
+_SUMS = ("request_count", "success_count", "total_tokens", "total_cost_usd", "latency_sum", "latency_count")
+
+
+def rollup_stream(audit: DataFrame, path: str) -> DataStreamWriter:
+    """Keep the daily rollup of everything that came, late rows included: each batch adds its own sums to the days it touches.
+
+    Sums are kept by day and batch, so a batch reads no earlier data and writes only its own days, and one that is run again
+    replaces itself. ``rollup_of_sums`` merges them.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.withColumn("usage_date", F.to_date("event_ts")).groupBy(*_GROUP).agg(
+            F.count(F.lit(1)).alias("request_count"),
+            F.count_if(F.col("status") == "success").alias("success_count"),
+            F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"),
+            F.coalesce(F.sum("estimated_cost_usd"), F.lit(0.0)).alias("total_cost_usd"),
+            F.coalesce(F.sum("latency_ms"), F.lit(0.0)).alias("latency_sum"),
+            F.count("latency_ms").alias("latency_count"),
+        )
+        out = sums.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("usage_date", "batch_id").parquet(f"{path}/sums")
+
+    return audit.writeStream.foreachBatch(handle)
+
+
+def rollup_of_sums(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """The daily rollup from the sums of all batches, or one day of it; other days' folders are not read."""
+    parts = spark.read.parquet(f"{path}/sums")
+    parts = parts if day is None else parts.filter(F.col("usage_date") == F.lit(day).cast("date"))
+    merged = parts.groupBy(*_GROUP).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    average = F.when(F.col("latency_count") > 0, F.col("latency_sum") / F.col("latency_count"))
+    return merged.withColumn("avg_latency_ms", average).drop("latency_sum", "latency_count")
+

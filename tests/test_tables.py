@@ -300,3 +300,44 @@ def test_stream_first_writes_keeps_the_earliest_copy(spark):
     df = spark.createDataFrame(late, "request_id string, event_ts timestamp, seq long")
     got = collected(spark, first_writes(table_stream(spark, df.unionByName(closing_row(df, "event_ts")), "copies")), "copies-out")
     assert sorted((r.request_id, r.seq) for r in got.collect()) == [("a", 0), ("b", 3)]
+
+
+def test_purge_drops_old_days_and_writes_one(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    start = datetime(2023, 5, 1)
+    rows = spark.range(365 * 4).select(F.col("id"), (F.lit(start) + F.make_dt_interval(hours=(F.col("id") * 6).cast("int"))).alias("event_ts")).withColumn("event_date", F.to_date("event_ts"))
+    rows.coalesce(1).write.partitionBy("event_date").parquet(path)
+    files = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "audit").rglob("*.parquet")}
+    before = files()
+    as_of = start + timedelta(days=364, hours=13)
+    changed = audit.purge_in_place(spark, path, days=363, as_of=as_of)
+    assert changed == [start.date(), start.date() + timedelta(days=1)]
+    after = files()
+    assert len([f for f, t in after.items() if before.get(f) != t]) == 1 and len(after) == 364
+    left = spark.read.parquet(path)
+    assert left.count() == rows.filter(F.col("event_ts") >= F.lit(as_of - timedelta(days=363))).count() and left.agg(F.min("event_ts")).first()[0] == start + timedelta(days=1, hours=18)
+    assert audit.purge_in_place(spark, path, days=363, as_of=as_of) == []
+
+
+def test_rollup_of_sums_counts_late_rows_and_repeated_batches_once(spark):
+    from promptledger.streaming.usage import rollup_of_sums, rollup_stream
+
+    rows = X.audit(spark, "/root/testdata/sf0.001")
+    path = scratch_path(spark, "sums-test")
+    for k in range(3):
+        rows.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{path}/in")
+        run_available(rollup_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), path), f"{path}/checkpoint")
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in audit.daily_rollup(rows).collect()}
+
+    def check():
+        got = {tuple(r)[:4]: tuple(r)[4:] for r in rollup_of_sums(spark, path).collect()}
+        assert got.keys() == want.keys()
+        assert all(a == pytest.approx(b) for k in want for a, b in zip(got[k], want[k]))
+
+    check()
+    spark.read.parquet(f"{path}/sums").filter("batch_id = 1").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date", "batch_id").parquet(f"{path}/again")
+    spark.read.parquet(f"{path}/again").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date", "batch_id").parquet(f"{path}/sums")
+    check()
+    day = str(next(iter(want))[0])
+    plan = rollup_of_sums(spark, path, day)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_date" in plan
