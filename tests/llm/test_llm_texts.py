@@ -58,6 +58,27 @@ def test_pieces_round_trip(spark, model):
     assert [r["ids"] for r in out if r["text"] is None] == [None, None] and [r["ids"] for r in out if r["text"] == ""] == [[]]
     assert sentencepiece.encode(empty_docs(spark)).columns[-1] == "ids"
     assert all(model.decode(model.encode(t)) == t for t in [*texts_of(), "▁", "a▁▁b", " ", "  x", "\x00", LONG])
+    both = sentencepiece.round_trip(docs.withColumn("round_trip", F.lit("old")))
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["ids"] or [], r["round_trip"]) for r in both.collect() if r["doc_id"]) == \
+        sorted((False, r["doc_id"], r["ids"] or [], True) for r in out if r["doc_id"])
+    assert "text" not in both.columns and sentencepiece.round_trip(empty_docs(spark)).count() == 0
+
+
+def test_texts_together_equal_one_by_one(model, monkeypatch):
+    """Words cut from bytes, remembered words and array decoding give what one text at a time gives."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "the", " ", " ", "  ", "\t", "\n", "\r\n", "é", "▁", "日本", "\U0001f600", "\x00", "zzz" * 30, "."]) for _ in range(rng.randrange(40))) for _ in range(600)]
+    monkeypatch.setattr(sentencepiece, "REMEMBERED", 50)
+    alone = [[i for w in model._split(t) for i in ([model.byte_ids[b] for b in "▁".encode()] if w == sentencepiece.LITERAL else model._viterbi(w))] if t else [] for t in texts]
+    for size in (1, 7, 600):
+        got = [ids for a in range(0, len(texts), size) for ids in model.encode_all(texts[a:a + size])]
+        assert got == alone
+    import pyarrow as pa
+
+    lists = pa.array([None, *alone, [model.byte_ids[0xE9], 5]], pa.list_(pa.int32()))
+    assert model.decode_some(lists[:-1]).to_pylist() == [None, *texts]
+    assert model.decode_some(lists).to_pylist()[-1] == model.decode([model.byte_ids[0xE9], 5])  # bytes that are no text
+    assert model.decode_some(lists.slice(3, 9)).to_pylist() == texts[2:11]
 
 
 TOXIC = ["idiot", "scumlike", "vequ", "veju"]
