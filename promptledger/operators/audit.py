@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promptledger.functions.requests import filled, tokens_per_second, total_tokens
 from promptledger.operators.ordered import _join_on, exact_percentiles
+from promptledger.operators.paging import page
 from promptledger.session import cut_lineage
 
 RETENTION_DAYS = 90
@@ -92,13 +93,12 @@ def request_page(
     environment: str | None = None,
     status: str | None = None,
 ) -> DataFrame:
-    """One page of summaries, newest first, with the number of all matching rows."""
-    rows = _where(audit, client_id=client_id, environment=environment, status=status)
-    page = rows.orderBy(F.desc("event_ts"), "request_id").offset(offset).limit(limit)
-    return page.select(
+    """One page of summaries, newest first, with the number of all matching rows. Starts jobs (see ``paging``)."""
+    rows, total = page(_where(audit, client_id=client_id, environment=environment, status=status), limit, offset)
+    return rows.select(
         "request_id", "event_ts", "client_id", "user_id", "environment", "task", "model", "endpoint", "status",
         "latency_ms", "prompt_tokens", "completion_tokens", "total_tokens", "error_code",
-        rows.agg(F.count(F.lit(1))).scalar().alias("total_matches"),
+        F.lit(total).cast("bigint").alias("total_matches"),
     )
 
 

@@ -16,6 +16,7 @@ from promptledger.functions.sanitize import sanitize
 from promptledger.functions.spans import unicode_regex
 from promptledger.functions.threats import at_least
 from promptledger.operators.audit import since_hours
+from promptledger.operators.paging import page
 
 # Fixed value: how exported rows name their origin.
 TRAINING_SOURCE = "gateway_production"
@@ -140,6 +141,7 @@ def list_scans(
     unlabeled_only: bool = False,
     min_threat_level: str | None = None,
 ) -> DataFrame:
+    """One page of scans, newest first, with the number of all matching ones. Starts jobs (see ``paging``)."""
     rows = scans.filter(at_least(F.col("regex_threat_level"), min_threat_level))
     if label:
         rows = rows.filter(F.col("label") == label)
@@ -147,8 +149,8 @@ def list_scans(
         rows = rows.filter("is_disagreement")
     if unlabeled_only:
         rows = rows.filter(F.col("label").isNull())
-    page = rows.orderBy(F.desc("event_ts"), "request_id").offset(offset).limit(limit)
-    return page.select("*", rows.agg(F.count(F.lit(1))).scalar().alias("total_matches"))
+    found, total = page(rows, limit, offset)
+    return found.select("*", F.lit(total).cast("bigint").alias("total_matches"))
 
 
 def scan_by_id(scans: DataFrame, request_id: str) -> DataFrame:

@@ -187,12 +187,12 @@ def configured_keys(spark: SparkSession) -> DataFrame:
 # --- tiers -------------------------------------------------------------------------------------
 
 TIERS_VALUES = (
-    "('frontier', cast(12.0 as double), cast(60000 as bigint)), ('midrange', cast(4.0 as double), null), "
-    "('standard', cast(1.0 as double), null), ('embedding', cast(0.2 as double), null)"
+    "('apex', cast(12.0 as double), cast(60000 as bigint)), ('brisk', cast(4.0 as double), null), "
+    "('plain', cast(1.0 as double), null), ('vector', cast(0.2 as double), null)"
 )
 ASSIGNMENT_VALUES = (
-    "(1, 'llama*', 'midrange'), (2, 'GPT-4o', 'frontier'), (3, 'phi4:14b', 'standard'), (4, '*embed*', 'embedding'), "
-    "(5, 'LLAMA3.1:8B', 'standard'), (6, 'mistral:7b', 'missing-tier')"
+    "(1, 'llama*', 'brisk'), (2, 'GPT-4o', 'apex'), (3, 'phi4:14b', 'plain'), (4, 'nomic*', 'vector'), "
+    "(5, 'LLAMA3.1:8B', 'plain'), (6, 'mistral:7b', 'no-such-tier')"
 )
 
 

@@ -1,13 +1,14 @@
 """Audit, scan, catalog and ledger operators on small tables; writers; quirks of the reference rules."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from promptledger.operators import audit, budget, catalog, health, keys, metrics, routing, scans
-from promptledger.operators import ordered
+from promptledger.operators import ordered, paging
 from promptledger.operators.ordered import exact_percentiles, running
 from promptledger.operators.scoring import score
 from promptledger.plans import fixtures as X
@@ -160,11 +161,11 @@ def test_health_and_outages(spark):
 
 
 def test_tier_resolution_order(spark):
-    models = spark.createDataFrame([("GPT-4o",), ("llama3.1:8b",), ("mistral:7b",), ("my-embed",), ("other",), ("",)], "model string")
+    models = spark.createDataFrame([("GPT-4o",), ("llama3.1:8b",), ("mistral:7b",), ("nomic-x",), ("other",), ("",)], "model string")
     got = {r.model: (r.tier, r.cost_multiplier) for r in budget.resolve_tiers(models, X.assignments(spark), X.tiers(spark)).collect()}
     assert got == {
-        "GPT-4o": ("frontier", 12.0), "llama3.1:8b": ("standard", 1.0), "mistral:7b": (None, 5.0),
-        "my-embed": ("embedding", 0.2), "other": (None, 5.0),
+        "GPT-4o": ("apex", 12.0), "llama3.1:8b": ("plain", 1.0), "mistral:7b": (None, 5.0),
+        "nomic-x": ("vector", 0.2), "other": (None, 5.0),
     }
 
 
@@ -341,3 +342,25 @@ def test_rollup_of_sums_counts_late_rows_and_repeated_batches_once(spark):
     day = str(next(iter(want))[0])
     plan = rollup_of_sums(spark, path, day)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(usage_date" in plan
+
+
+def test_pages_sort_only_the_ranges_that_hold_them(spark, monkeypatch):
+    monkeypatch.setattr(paging, "ROWS_SORTED", 50)
+    rng = random.Random(21)
+    start = datetime(2024, 3, 1)
+    rows = [(f"r{i:05d}", rng.choice([start, start + timedelta(seconds=rng.randrange(3)), start + timedelta(days=rng.randrange(9), microseconds=rng.randrange(10**9)), None])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "request_id string, event_ts timestamp")
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or start).timestamp(), r[0]))]
+    for offset, limit in ((0, 20), (700, 50), (1500, 400), (2990, 30), (3990, 50), (4000, 5), (9000, 5), (0, 4000)):
+        found, total = paging.page(df, limit, offset)
+        assert [r["request_id"] for r in found.collect()] == want[offset:offset + limit] and total == 4000
+
+
+def test_deep_pages_sort_few_rows(spark):
+    """A page at an offset of ten million rows: what is sorted is a few ranges."""
+    df = spark.range(12_000_000).select(F.concat(F.lit("r"), "id").alias("request_id"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 50_000).alias("event_ts"))
+    found, total = paging.page(df, 50, 10_000_000)
+    assert total == 12_000_000 and [r["request_id"] for r in found.collect()] == [f"r{i}" for i in range(1_999_999, 1_999_949, -1)]
+    condition = found._jdf.queryExecution().analyzed().toString()
+    offsets = [int(x) for x in re.findall(r"Offset (\d+)", condition)]
+    assert offsets and max(offsets) <= paging.ROWS_SORTED
