@@ -121,6 +121,20 @@ def budget_state(charged: DataFrame, daily_limit: int = DEFAULT_DAILY_LIMIT, ove
     used = charged.groupBy("key", "usage_day").agg(
         F.sum("weighted_tokens").alias("tokens_used"), F.count(F.lit(1)).alias("request_count")
     )
+    return _state(used, daily_limit, overrides)
+
+
+def budget_view(charged: DataFrame, daily_limit: int = DEFAULT_DAILY_LIMIT, overrides: DataFrame | None = None) -> DataFrame:
+    """The state per key and day with ``tier_usage``, the weighted tokens by tier (a map of one entry per tier)."""
+    used = ledger_by_tier(charged).groupBy("key", "usage_day").agg(
+        F.sum("weighted_tokens").alias("tokens_used"),
+        F.sum("request_count").alias("request_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "weighted_tokens")))).alias("tier_usage"),
+    )
+    return _state(used, daily_limit, overrides)
+
+
+def _state(used: DataFrame, daily_limit: int, overrides: DataFrame | None) -> DataFrame:
     if overrides is None:
         used = used.withColumn("daily_limit", F.lit(daily_limit).cast("bigint"))
     else:

@@ -148,6 +148,18 @@ def e5(spark, sf):
     return B.budget_state(charged(spark, sf), DAILY_LIMIT)
 
 
+@query("e5_budget_view", X.with_sql("""
+select key, usage_day::varchar as usage_day, sum(t)::bigint as tokens_used, sum(n)::bigint as request_count, 40000::bigint as daily_limit,
+  greatest(0, 40000 - sum(t))::bigint as tokens_remaining, epoch_us(cast(usage_day as timestamp) + interval 1 day) as resets_at,
+  string_agg(concat(tier, '=', t), ',' order by tier) as tier_usage
+from (select key, usage_day, tier, sum(weighted_tokens)::bigint as t, count(*) as n from charged group by all) x group by key, usage_day""", X.CHARGES_SQL))
+def e5_view(spark, sf):
+    out = B.budget_view(charged(spark, sf), DAILY_LIMIT).select(
+        "key", "usage_day", "tokens_used", "request_count", "daily_limit", "tokens_remaining", "resets_at", "tier_usage")
+    shown = F.transform(F.map_entries("tier_usage"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.withColumn("tier_usage", F.array_join(shown, ","))
+
+
 @query("e6_tier_totals", X.with_sql("""
 select tier, usage_day::varchar as usage_day, sum(tokens)::bigint as raw_tokens, max(tier_daily_limit) as tier_daily_limit,
   coalesce(max(tier_daily_limit) > 0 and sum(tokens) > max(tier_daily_limit), false) as over_cap

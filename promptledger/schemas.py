@@ -127,7 +127,6 @@ PII_EVENTS = T.StructType([
     T.StructField("position_end", T.IntegerType()),
     T.StructField("value_hash", T.StringType(), False),
     T.StructField("was_scrubbed", T.BooleanType()),
-    T.StructField("scan_time_ms", T.DoubleType()),
 ])
 
 LOG_LINE = T.StructType([
