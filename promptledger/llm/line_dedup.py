@@ -16,7 +16,8 @@ a third of all rows is one row there.
 
 Cases: null texts stay null, empty ones empty; a text that loses every line that is not blank becomes empty; null ids come
 last in the order; rows that repeat id and text count as one document and all get its result; texts may be of any length.
-Line ids are 96-bit hashes.
+Equal runs tie by document and place, of which the first stays; an empty table gives no rows; other columns are kept, of whatever name,
+but for the one that counts removed lines. Line ids are 96-bit hashes.
 """
 
 from __future__ import annotations

@@ -5,9 +5,10 @@ hash lies below a threshold. The threshold is found without sorting: sizes are s
 the digit in which the running sum crosses the wanted words is kept, and only its rows are summed by the next digit.
 Thresholds for several budgets are nested: a smaller mix is contained in a larger one.
 
-Cases: null texts have size 0 and are kept with ``taken`` 0; a null source is a source of its own, ordered last; an empty
-table gives an empty mix. Rows that repeat id, source and text share one hash and are taken alike. No limit applies to
-documents, sources or sizes. Sources are counted in thousands, so their table may be ordered in one task.
+Cases: null and empty texts have size 0 and are kept with ``taken`` 0; a null source is a source of its own, ordered last; an empty
+table gives an empty mix. Rows that repeat id, source and text share one hash and are taken alike, as are others that tie by hash;
+sources that tie in their level are ordered by name. No limit applies to documents, sources or sizes: texts of any length are
+counted whole. ``mixed_documents`` keeps all columns. Sources are counted in thousands, so their table may be ordered in one task.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ commits are read, so a lost or repeated task leaves nothing wrong behind. Paths
 (local, HDFS, S3, GCS); files found by Spark alone can be read with ``read_binary``.
 
 Cases: null html is an empty payload; a null url gives an empty target; null page ids are smaller than others and come back
-as null; rows that repeat the largest page id of a payload are all responses; an empty table gives no archive. A damaged
+as null; rows that repeat the largest page id of a payload, the only ties, are all responses; payloads of any length are written and
+read whole, a piece at a time; an empty table gives no archive; other columns are not written. A damaged
 member ends its file's reading with one row of type ``damaged``; wrong digests give ``digest_ok`` false.
 """
 
