@@ -66,8 +66,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix, and whether they decode to its text."""
     prepared(spark)
-    out = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "source", "text")))
-    return out.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = sentencepiece.round_trip(docs.select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -12,8 +12,9 @@ Scores come from the model file if it is a unigram model. The pieces of a merge
 probabilities; they get the log of Zipf's law by rank, ``-log(rank + 1)``. Nothing is trained. Scores are summed as whole
 multiples of ``2 ** -24``, so that sums are exact; of equal paths the one whose last piece starts first is taken, at every place.
 
-Cases: a null text has null ids and decodes to null; an empty text has no ids and decodes to the empty text; the text of a
-marker character itself is kept by byte pieces; repeated rows and clashing columns are no special case.
+Cases: a null text has null ids and decodes to null; an empty text has no ids and decodes to the empty text; texts of any length are
+whole; a marker character of the text itself is kept by byte pieces; ties between paths are settled above; repeated rows each get their
+ids; an empty table gives no rows; other columns are kept, of whatever name, but for older ones of the results' names.
 """
 
 from __future__ import annotations
@@ -26,20 +27,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARKER = "▁"
-#: Words remembered per Python worker.
-REMEMBERED = 1 << 17
+#: Words remembered in a task: those met last, and as many before them.
+REMEMBERED = 1 << 16
 #: A character that no piece covers scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Steps of a score.
 SCALE = 1 << 24
 #: Words up to this length are encoded many at once, longer ones one by one.
 LONGEST_TOGETHER = 64
-#: Rows encoded together; bounds memory, never a result.
-ROWS_TOGETHER = 256
+#: Bytes of text, and pieces, that are handled together; bounds memory, never a result.
+BYTES_TOGETHER, PIECES_TOGETHER = 1 << 20, 1 << 18
 #: Stands for a marker character in the text itself.
 LITERAL = "\0" + MARKER
 #: Private characters that stand for bytes while a text is decoded.
@@ -124,7 +126,11 @@ class UnigramModel:
     unknown: int
     control: set[int]
     words: re.Pattern | None
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    #: Characters that are words of their own, where texts are cut into words.
+    alone: str = ""
+    #: Ids of words, blanks for markers, as 32-bit numbers.
+    known: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)
     surface: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -169,6 +175,9 @@ class UnigramModel:
         return tuple(ids)
 
     def _viterbi_all(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+        return (tuple(np.frombuffer(x, np.int32).tolist()) for x in self._all_paths(words))
+
+    def _all_paths(self, words: list[str]) -> Iterator[bytes]:
         """The same for many short words at once: all trie walks step together, then all words fill their next place together."""
         base, check, piece, scores = self.trie.base, self.trie.check, self.trie.piece, np.asarray(self.scores)
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -214,7 +223,7 @@ class UnigramModel:
             more = offset[here] > 0
             number, here = number[more], here[more]
         if not out:
-            yield from (() for _ in words)
+            yield from (b"" for _ in words)
             return
         number, taken = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.argsort(number[::-1], kind="stable")
@@ -223,10 +232,10 @@ class UnigramModel:
         chosen, froms, tos = by[taken], (start[taken] - word_start[number]).tolist(), offset[end[taken]].tolist()
         odd = np.zeros(len(words), bool)
         odd[number[chosen < 0]] = True
-        chosen = chosen.tolist()
+        raw, chosen = chosen.astype(np.int32).tobytes(), chosen.tolist()
         for i, word in enumerate(words):
             lo, hi = cut[i], cut[i + 1]
-            yield self._ids(word, zip(chosen[lo:hi], froms[lo:hi], tos[lo:hi], strict=True)) if odd[i] else tuple(chosen[lo:hi])
+            yield _bytes(self._ids(word, zip(chosen[lo:hi], froms[lo:hi], tos[lo:hi], strict=True))) if odd[i] else raw[4 * lo : 4 * hi]
 
     def _split(self, text: str) -> list[str]:
         """Words with their markers; a marker character of the text itself is a word of its own kind."""
@@ -241,23 +250,62 @@ class UnigramModel:
                 out.append(marked)
         return out
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. New words of all texts are encoded together and remembered."""
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. New ones are encoded together; all but long ones are remembered."""
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if LITERAL not in known:
-            known[LITERAL] = tuple(self.byte_ids[b] for b in MARKER.encode()) if self.byte_ids else (self.unknown,)
-        split = [self._split(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(known)
+        known.update((w, self.before[w]) for w in words if w in self.before)
+        new = [w for w in words if w not in known and w != LITERAL]
         short = [w for w in new if len(w) <= LONGEST_TOGETHER]
-        known.update(zip(short, self._viterbi_all(short), strict=True))
-        known.update((w, self._viterbi(w)) for w in new if len(w) > LONGEST_TOGETHER)
-        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-        for w in new:
-            if len(w) > LONGEST_TOGETHER:
-                del known[w]
-        return out
+        known.update(zip(short, self._all_paths([w.replace(" ", MARKER) for w in short]), strict=True))
+        rest = {w: _bytes(self._viterbi(w.replace(" ", MARKER))) for w in new if len(w) > LONGEST_TOGETHER}
+        rest[LITERAL] = _bytes(tuple(self.byte_ids[b] for b in MARKER.encode()) if self.byte_ids else (self.unknown,))
+        return [known[w] if w in known else rest[w] for w in words]
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All words of some texts, and the number of words of each."""
+        texts = texts.cast(pa.large_string())
+        blank, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), nothing, pc.binary_join_element_wise(blank, texts, nothing))
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        blank, alone = raw == 32, np.isin(raw, list(self.alone.encode())) if self.alone else np.zeros(len(raw), bool)
+        begins = blank | alone
+        begins[1:] &= ~blank[:-1] | alone[1:]
+        begins[1:] |= alone[:-1]
+        first = ends[:-1] - ends[0]
+        begins[first[first < len(raw)]] = True
+        starts = np.flatnonzero(begins)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw))
+        return words, np.diff(np.searchsorted(starts, ends - ends[0]))
+
+    def encode_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts (no nulls) one after another, and how many each has."""
+        by_hand = pc.match_substring(texts, MARKER).to_numpy(zero_copy_only=False) if self.words else np.ones(len(texts), bool)
+        if by_hand.all():
+            split = [[w.replace(MARKER, " ") if w != LITERAL else w for w in self._split(t)] if t else [] for t in texts.to_pylist()]
+            words, counts = pa.array(chain.from_iterable(split), pa.large_string()), np.fromiter(map(len, split), np.int64, len(split))
+        elif not by_hand.any():
+            words, counts = self._cut(texts)
+        else:
+            parts = [self.encode_some(texts.filter(pa.array(mask))) for mask in (~by_hand, by_hand)]
+            order = np.argsort(np.argsort(by_hand, kind="stable"))
+            sizes = np.concatenate([p[1] for p in parts])
+            pieces = np.split(np.concatenate([p[0] for p in parts]), np.cumsum(sizes)[:-1])
+            return np.concatenate([pieces[i] for i in order]), sizes[order]
+        coded = words.dictionary_encode()
+        found = self._encoded(coded.dictionary.to_pylist())
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, codes = np.frombuffer(b"".join(found), np.int32), coded.indices.to_numpy(zero_copy_only=False)
+        each = length[codes]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat((np.cumsum(length) - length)[codes] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, np.diff(np.r_[0, upto][np.r_[0, np.cumsum(counts)]])
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        ids, sizes = self.encode_some(pa.array(texts, pa.large_string()))
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -267,6 +315,20 @@ class UnigramModel:
         text = BYTE_RUN.sub(lambda m: bytes(ord(c) - BYTE_AT for c in m[0]).decode("utf-8", "replace"), "".join(map(self.surface.__getitem__, ids)))
         return text[1:] if text.startswith(" ") else text
 
+    def decode_some(self, lists: pa.Array) -> pa.Array:
+        """Texts of some lists of ids; of null lists, null."""
+        flat = lists.flatten()
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))].astype(np.int32)
+        if "_raw" not in self.__dict__:
+            self.__dict__["_raw"] = pa.array([bytes([self.bytes_of[i]]) if i in self.bytes_of else x.encode() for i, x in enumerate(self.surface)], pa.binary())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), self.__dict__["_raw"].take(flat)), b"")
+        joined = pc.if_else(lists.is_null(), pa.scalar(None, pa.binary()), joined)
+        try:
+            text = joined.cast(pa.string())
+            return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1, None), text)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8: not made by encoding a text
+            return pa.array([None if x is None else self.decode(x) for x in lists.to_pylist()], pa.string())
+
     def surfaces(self) -> list[str]:
         """Text of each piece as ``decode`` joins it."""
         return [
@@ -300,11 +362,11 @@ def load_model(path: str) -> UnigramModel:
     scores = [round(logs.get(i, 0.0) * SCALE) for i in range(size)]
     lowest = round((min(logs.values(), default=0.0) - UNKNOWN_PENALTY) * SCALE)
     trie = DoubleArray.build([(pieces[i], i) for i in normal])
-    words = None
+    words, alone = None, ""
     if not any(MARKER in pieces[i].lstrip(MARKER) for i in normal):
         alone = "".join(c for c in "\t\n\r" if c not in trie.symbols)
         words = re.compile(f"[{alone}]|{MARKER}*[^{MARKER}{alone}]+|{MARKER}+" if alone else f"{MARKER}*[^{MARKER}]+|{MARKER}+")
-    return UnigramModel(pieces, scores, lowest, trie, bytes_of, byte_ids, sp.unk_id(), control, words)
+    return UnigramModel(pieces, scores, lowest, trie, bytes_of, byte_ids, sp.unk_id(), control, words, alone if words else "")
 
 
 def is_unigram(proto: bytes) -> bool:
@@ -316,39 +378,64 @@ def is_unigram(proto: bytes) -> bool:
     return model.trainer_spec.model_type == model.trainer_spec.UNIGRAM
 
 
-def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the piece ids of each whole text in the column ``ids`` (replaced if present)."""
+def _bytes(ids: tuple[int, ...]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
 
-    def ids_of(model: UnigramModel, texts: pa.Array) -> pa.Array:
-        lists = model.encode_all([t or "" for t in texts.to_pylist()])
-        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-        values = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=texts.is_null())
 
-    return _mapped(docs, model_path, text, ids, T.ArrayType(T.IntegerType()), ids_of)
+def _ids_of(model: UnigramModel, texts: pa.Array) -> pa.Array:
+    ids, sizes = model.encode_some(pc.fill_null(texts, ""))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids), mask=texts.is_null())
+
+
+def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the piece ids of each whole text in the column ``ids`` (replaced if present)."""
+    return _mapped(docs, model_path, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], lambda model, texts: [_ids_of(model, texts)])
 
 
 def decode(docs: DataFrame, model_path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text that the column ``ids`` stands for."""
+    return _mapped(docs, model_path, ids, [T.StructField(text, T.StringType())], lambda model, lists: [model.decode_some(lists)])
+
+
+def round_trip(docs: DataFrame, model_path: str | None = None, text: str = "text", ids: str = "ids", same: str = "round_trip") -> DataFrame:
+    """``docs`` without its text, with its piece ids and whether they decode to that very text (nulls do)."""
+
+    def both(model: UnigramModel, texts: pa.Array) -> list[pa.Array]:
+        lists = _ids_of(model, texts)
+        return [lists, pc.fill_null(pc.equal(model.decode_some(lists), texts.cast(pa.string())), True)]
+
+    return _mapped(docs, model_path, text, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(same, T.BooleanType())], both, drop=True)
 
-    def text_of(model: UnigramModel, lists: pa.Array) -> pa.Array:
-        return pa.array((None if x is None else model.decode(x) for x in lists.to_pylist()), pa.string())
 
-    return _mapped(docs, model_path, ids, text, T.StringType(), text_of)
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows that are handled together."""
+    if pa.types.is_list(column.type):
+        size, most = pc.list_value_length(column), PIECES_TOGETHER
+    else:
+        size, most = pc.binary_length(column), BYTES_TOGETHER
+    upto = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(upto):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
+        yield start, end - start
+        start = end
 
 
-def _mapped(docs: DataFrame, model_path: str | None, source: str, target: str, kind: T.DataType, apply: Callable[[UnigramModel, pa.Array], pa.Array]) -> DataFrame:
+def _mapped(docs: DataFrame, model_path: str | None, source: str, made: list[T.StructField], apply: Callable[[UnigramModel, pa.Array], list[pa.Array]], drop: bool = False) -> DataFrame:
+    """``docs`` with columns made from one."""
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model_path or default_model_path()))
-    kept = [c for c in docs.columns if c != target]
+    names = [f.name for f in made]
+    kept = [c for c in docs.columns if c not in names and not (drop and c == source)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                for start in range(0, batch.num_rows, ROWS_TOGETHER):
-                    part = batch.slice(start, ROWS_TOGETHER)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), apply(shared.value, part.column(source))], [*kept, target])
-        finally:
-            shared.value.known.clear()  # a worker lives on after its task
-
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(target, kind)])
-    return docs.mapInArrow(run, schema)
+                for start, size in _slices(batch.column(source)):
+                    part = batch.slice(start, size)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *apply(shared.value, part.column(source))], [*kept, *names])
+        finally:  # a worker lives on after its task
+            shared.value.known.clear()
+            shared.value.before.clear()
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *made]))
