@@ -15,8 +15,10 @@ the documents reachable by links; no link between different texts is lost and no
    is nearest to it: this joins most classes with one comparison a set. What missed its class meets the groups that share most
    of its prefix. Then all pairs of groups whose members are still in different classes are expanded and verified.
 
-Cases: null texts, and texts without words, have the size 0 and link with nothing; rows that repeat a text are one class; a
-class with known ids has the smallest as its id, one of null ids only has null. Shingles and sets are 64-bit hashes.
+Cases: null texts, empty ones and those without words have the size 0 and link with nothing; very long texts are whole, and what is
+stored for them is in proportion to their words; rows that repeat a text are one class; a class with known ids has the smallest as its
+id, one of null ids only has null; ties in the order of shingles are broken by hash and change no result; an empty table gives no
+rows; other columns are not read. Shingles and sets are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BLOOM_BITS = 26
 BYTES_PER_WORD = 4
 #: Groups that a member without class meets before all others; it decides the order of the work only.
 PROBES = 16
+#: Prefixes up to this length are carried by their shingles; it bounds what is stored for a shingle, never a result.
+CARRIED = 2048
 #: Texts whose shingles are held at once.
 ROWS_TOGETHER = 2048
 
@@ -205,23 +209,26 @@ def _classed(prefixed: DataFrame, classes: DataFrame) -> DataFrame:
 def _open_pairs(postings: DataFrame, groups: DataFrame, classed: DataFrame, fits: Column) -> DataFrame:
     """Pairs of units (the members of one group in one class) of different classes that may link, with the number of shared prefix shingles.
 
-    Of the units of a shingle, those of its most frequent class are only met by the others. Two units meet at the first shingle
-    that their prefixes share.
+    Of the units of a shingle, those of its most frequent class are only met by the others. Two units with prefixes of up to ``CARRIED``
+    shingles meet once, at the first shingle that their prefixes share. Longer prefixes are not carried: there units meet at
+    every shared shingle, in rows of ids only, and these are counted. So what is stored is in proportion to the words.
     """
     units = postings.select("token", "gid", "n", "e", "pos").join(classed.select("gid", "class").distinct(), "gid").withColumn("unit", F.xxhash64("gid", "class"))
     major = (
         units.groupBy("token", "class").agg(F.count("*").alias("k")).groupBy("token")
         .agg(F.count("*").alias("classes"), F.max_by("class", F.struct("k", "class")).alias("major")).filter("classes > 1").select("token", "major")
     )
-    open_units = stored(units.join(major, "token").join(groups.select("gid", "prefix"), "gid"), "open-units")
-    shared = F.array_intersect("a.prefix", "b.prefix")
+    carried = groups.select("gid", F.when(F.size("prefix") <= CARRIED, F.col("prefix")).alias("prefix"))
+    open_units = stored(units.join(major, "token").join(carried, "gid"), "open-units")
     once = (F.col("b.class") == F.col("b.major")) | (F.col("a.unit") < F.col("b.unit"))
+    shared = F.array_intersect("a.prefix", "b.prefix")
+    is_short = F.col("a.prefix").isNotNull() & F.col("b.prefix").isNotNull()
     met = open_units.filter("class != major").alias("a").join(
-        open_units.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.class") != F.col("b.class")) & once & fits & (F.get(shared, F.lit(0)) == F.col("a.token")))
-    return stored(
-        met.select(
-            F.col("a.gid").alias("gid_a"), F.col("a.class").alias("class_a"), F.col("b.gid").alias("gid_b"), F.col("b.class").alias("class_b"), F.size(shared).alias("k")),
-        "open-pairs")
+        open_units.alias("b"),
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.class") != F.col("b.class")) & once & fits & F.coalesce(F.get(shared, F.lit(0)) == F.col("a.token"), ~is_short))
+    pair = [F.col("a.gid").alias("gid_a"), F.col("a.class").alias("class_a"), F.col("b.gid").alias("gid_b"), F.col("b.class").alias("class_b")]
+    found = met.select(*pair, F.when(is_short, F.size(shared)).otherwise(1).alias("k"))
+    return stored(found.groupBy("gid_a", "class_a", "gid_b", "class_b").agg(F.sum("k").cast("int").alias("k")), "open-pairs")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
