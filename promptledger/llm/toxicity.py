@@ -20,8 +20,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +35,8 @@ TOXIC_ROWS, CLEAN_ROWS = 8_000, 16_000
 LEAST_Z, LEAST_RATIO = 4.0, 0.7
 #: Characters hashed at once; bounds memory for very long texts.
 PIECE = 1 << 20
-#: Rows whose features are held at once.
-ROWS_TOGETHER = 256
+#: Rows whose features are held at once, and features that a training step holds at once.
+ROWS_TOGETHER, STRETCH = 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -84,14 +84,27 @@ def _with_buckets(rows: DataFrame, orders: Sequence[int], bits: int) -> DataFram
     return rows.select("toxic", "weight", "text").mapInArrow(features, "toxic int, weight double, buckets array<int>")
 
 
-def _regression(x_rows: np.ndarray, x_cols: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, features: int, decay: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression with ridge penalty, by Adam steps over the whole sample."""
+def _regression(cols: np.ndarray, sizes: np.ndarray, values: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression with ridge penalty, by Adam steps over the whole sample.
+
+    Row i has the next ``sizes[i]`` of the features ``cols``; feature j has the value ``values[j]``. Rows are walked in stretches, so
+    beside ``cols`` only a stretch is held.
+    """
+    features = len(values)
     w, m, s, b = np.zeros(features), np.zeros(features), np.zeros(features), 0.0
     weight = weight / weight.sum()
+    upto = np.cumsum(sizes)
+    cuts = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, STRETCH)).tolist() + [len(y)]
+    stretches = [(lo, hi, int(upto[lo] - sizes[lo]), int(upto[hi - 1])) for lo, hi in zip([0, *cuts], cuts) if lo < hi]
     for step in range(1, rounds + 1):
-        z = np.bincount(x_rows, w[x_cols] * x, len(y)) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        grad = np.bincount(x_cols, error[x_rows] * x, features) + decay * w
+        own, z, grad = w * values, np.full(len(y), b), np.zeros(features)
+        error = np.empty(len(y))
+        for lo, hi, start, end in stretches:
+            part = cols[start:end].astype(np.int64)
+            z[lo:hi] += np.bincount(np.repeat(np.arange(hi - lo), sizes[lo:hi]), own[part], hi - lo)
+            error[lo:hi] = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z[lo:hi], -60, 60))) - y[lo:hi])
+            grad += np.bincount(part, np.repeat(error[lo:hi], sizes[lo:hi]), features)
+        grad = grad * values + decay * w
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
         b -= 0.5 * error.sum()
@@ -137,16 +150,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, orders: Sequence[int
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(kept[kept >= 0]))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), lists], ["toxic", "weight", "places"])
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(k=[tuple(p) for p in pdf["places"]]).sort_values(["toxic", "weight", "k"], ignore_index=True)
-        sizes = pdf["places"].map(len).to_numpy()
-        cols = np.concatenate([np.asarray(p, np.int64) for p in pdf["places"]])
-        w, b = _regression(np.repeat(np.arange(len(pdf)), sizes), cols, ratios[cols], pdf["toxic"].to_numpy(float), pdf["weight"].to_numpy(float), len(buckets))
-        return pd.DataFrame({"bucket": np.append(buckets, -1), "value": np.append(w * ratios, b)})
+    def train(sample: pa.Table) -> pa.Table:
+        places = sample.column("places").combine_chunks()
+        flat, sizes = places.flatten().to_numpy(), places.value_lengths().to_numpy()
+        toxic, weight = sample.column("toxic").to_numpy(), sample.column("weight").to_numpy()
+        ends = np.cumsum(sizes)
+        # One order, whatever order the rows come in.
+        content = [xxhash.xxh64_intdigest(flat[end - size : end].tobytes()) for end, size in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        order = np.lexsort((np.array(content, np.uint64), weight, toxic))
+        cols = np.concatenate([np.empty(0, np.int32), *(flat[ends[i] - sizes[i] : ends[i]] for i in order)])
+        w, b = _regression(cols, sizes[order], ratios, toxic[order].astype(float), weight[order].astype(float))
+        return pa.table({"bucket": pa.array(np.append(buckets, -1), pa.int64()), "value": pa.array(np.append(w * ratios, b), pa.float64())})
 
     model = (
         rows.mapInArrow(restrict, "toxic int, weight double, places array<int>")
-        .groupBy().applyInPandas(train, "bucket long, value double").toPandas().sort_values("bucket")
+        .groupBy().applyInArrow(train, "bucket long, value double").toPandas().sort_values("bucket")
     )
     return ToxicityModel(tuple(orders), bits, model["bucket"].to_numpy()[1:], model["value"].to_numpy()[1:], float(model["value"].iloc[0]))
 

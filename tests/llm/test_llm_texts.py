@@ -469,3 +469,35 @@ def test_names_on_wrappers(html, text):
 ])
 def test_main_text(html, text):
     assert html_main.main_text(html) == text
+
+
+def test_long_texts_that_share_halves_store_what_they_hold(spark, monkeypatch):
+    """Three long texts share halves, two link: stored cells are in proportion to the words."""
+    rng = random.Random(12)
+    x, y, z = ([f"w{rng.randrange(10**9)}" for _ in range(30_000)] for _ in range(3))
+    texts = [x + y, x + z, y + z, x + y[:-900] + z[:300]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    held = {}
+    stored = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: held.setdefault(name, []).append(stored(df, name)) or held[name][-1])
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert out == {0: 0, 1: 1, 2: 2, 3: 0}
+    cells = [df.agg(F.sum(F.coalesce(F.size("prefix"), F.lit(0)) + 1)).first()[0] or 0 for df in held["open-units"]]
+    assert max(cells) <= 2 * sum(map(len, texts))
+    assert all(df.count() <= 12 for df in held["open-pairs"])
+
+
+def test_long_and_short_prefixes_give_the_same_classes(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [sentence(rng, 60) for _ in range(12)]
+    rows = []
+    for i in range(240):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = "other"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(tuple, jaccard.near_duplicates(docs).collect()))
+    for most in (0, 8):
+        monkeypatch.setattr(jaccard, "CARRIED", most)
+        assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
