@@ -125,14 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, orders: Sequence[int
     sample = known.withColumn("weight", 1 / share).filter(spread_hash("sample", F.col("doc_id")) < share * float(1 << HASH_BITS))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "weight").agg(
         F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"))
-    rows = stored(_with_buckets(texts, orders, bits), "toxicity-grams")
+    rows = stored(texts.select("toxic", "weight", "text"), "toxicity-sample")
     n = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     if not n["p"] or n["p"] == n["n"]:
         return empty
     pos, neg = F.col("pos"), F.col("df") - F.col("pos")
     ratio = F.log((pos + 1) / (n["p"] + 2)) - F.log((neg + 1) / (n["n"] - n["p"] + 2))
     kept = (
-        rows.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"), F.sum("toxic").alias("pos"))
+        _with_buckets(rows, orders, bits).select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"), F.sum("toxic").alias("pos"))
         .filter(F.col("df") >= 3).select("bucket", ratio.alias("ratio"), F.sqrt(1 / (pos + 1) + 1 / (neg + 1)).alias("error"))
         .filter((F.abs("ratio") >= LEAST_RATIO) & (F.abs("ratio") >= LEAST_Z * F.col("error"))).orderBy("bucket").toPandas()
     )
@@ -140,15 +140,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, orders: Sequence[int
     if not len(buckets):
         return empty
 
+    # Texts are hashed again for the kept buckets: a row's buckets are many times its text.
     def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << bits, -1, np.int32)
-        place[buckets] = np.arange(len(buckets))
+        place, mask = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, bool)
+        place[buckets], mask[buckets] = np.arange(len(buckets)), True
         for batch in batches:
-            column = batch.column("buckets")
-            kept = place[column.flatten().to_numpy()]
-            ends = np.cumsum(np.r_[0, kept >= 0])[np.cumsum(np.r_[0, column.value_lengths().to_numpy()])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(kept[kept >= 0]))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), lists], ["toxic", "weight", "places"])
+            for start in range(0, batch.num_rows, ROWS_TOGETHER):
+                part = batch.slice(start, ROWS_TOGETHER)
+                lists = [place[gram_buckets(t, orders, bits, mask)] for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("toxic"), part.column("weight"), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "weight", "places"])
 
     def train(sample: pa.Table) -> pa.Table:
         places = sample.column("places").combine_chunks()
