@@ -41,7 +41,8 @@ def current_health(checks: DataFrame, as_of: datetime | None = None) -> DataFram
     """Latest state per provider; every measure is a plain aggregate."""
     now = F.lit(as_of).cast("timestamp") if as_of is not None else checks.agg(F.max("check_ts")).scalar()
     last_good = checks.filter("healthy").groupBy("provider").agg(F.max(F.struct("check_ts", "seq")).alias("_good"))
-    rows = checks.join(last_good, "provider", "left")
+    # One row per provider: shuffled, all checks of a provider would be sorted in one task.
+    rows = checks.join(F.broadcast(last_good), "provider", "left")
     after = F.col("_good").isNull() | (F.struct("check_ts", "seq") > F.col("_good"))
     out = rows.groupBy("provider").agg(
         F.max("check_ts").alias("last_check"),

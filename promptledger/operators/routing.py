@@ -195,7 +195,7 @@ def route_report(resolved: DataFrame, health: DataFrame, providers: DataFrame) -
     """What would happen to each resolved request: healthy, fallback, reason."""
     state = health.select("provider", "healthy")
     chain = _config_array(providers.filter("enabled"), F.col("name").alias("endpoint"))
-    rows = resolved.join(state, "provider", "left").withColumn("_chain", chain)
+    rows = resolved.join(F.broadcast(state), "provider", "left").withColumn("_chain", chain)
     healthy = F.coalesce("healthy", F.lit(False))
     others = F.filter("_chain", lambda c: c["endpoint"] != F.col("provider"))
     would = ~healthy & F.col("fallback_allowed") & (F.size(others) > 0)

@@ -364,3 +364,19 @@ def test_deep_pages_sort_few_rows(spark):
     condition = found._jdf.queryExecution().analyzed().toString()
     offsets = [int(x) for x in re.findall(r"Offset (\d+)", condition)]
     assert offsets and max(offsets) <= paging.ROWS_SORTED
+
+
+def test_checks_are_not_shuffled_by_provider(spark):
+    """A provider has a third of the checks; sorted for a join, they would be in one task."""
+    rows = [(f"p{i % 3}", datetime(2024, 3, 1) + timedelta(seconds=i), i, i % 4 > 0) for i in range(60)]
+    state = health.current_health(spark.createDataFrame(rows, "provider string, check_ts timestamp, seq bigint, healthy boolean"))
+    resolved = spark.createDataFrame([(f"p{i % 4}", True) for i in range(8)], "provider string, fallback_allowed boolean")
+    providers = spark.createDataFrame([(f"p{i}", True) for i in range(3)], "name string, enabled boolean")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = routing.route_report(resolved, state, providers)
+        assert "SortMergeJoin" not in report._jdf.queryExecution().executedPlan().toString()
+        assert {r.provider: r.provider_healthy for r in report.collect()} == {"p0": True, "p1": True, "p2": True, "p3": False}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
