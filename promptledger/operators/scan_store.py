@@ -38,7 +38,8 @@ def update(requests: DataFrame, path: str, again: Iterable[date] = (), was_scrub
         return []
     rows = dealt(dated.filter(F.col("event_day").isin(new)), "request_id", partitions)
     for name, made in (("scans", scans.analyze(rows)), ("pii_events", scans.pii_events(rows, was_scrubbed).withColumn("event_day", F.to_date("event_ts")))):
-        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_day").parquet(f"{path}/{name}")
+        # Rows of a day are put together first: a task that holds all days writes a file for each, and their number is tasks times days.
+        made.hint("rebalance", "event_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_day").parquet(f"{path}/{name}")
     spark.createDataFrame([(d,) for d in new], _DAYS).coalesce(1).write.mode("append").parquet(f"{path}/days")
     return new
 

@@ -72,3 +72,11 @@ def test_dealing_changes_no_row(spark):
     df = spark.range(100).select(F.col("id"), F.lit("hot").alias("k"))
     out = dealt(df, "id", 5)
     assert out.rdd.getNumPartitions() == 5 and sorted(r["id"] for r in out.collect()) == list(range(100)) and dealt(df, "id", None) is df
+
+
+def test_a_day_is_written_by_few_tasks(spark):
+    """Tasks that scan texts of all days do not each write a file a day."""
+    path = scratch_path(spark, "store-files")
+    scan_store.update(requests_of(spark, [1, 2, 3]), path, partitions=8)
+    for name in ("scans", "pii_events"):
+        assert len(spark.read.parquet(f"{path}/{name}").inputFiles()) <= 3
