@@ -371,7 +371,7 @@ def test_checks_are_not_shuffled_by_provider(spark):
     rows = [(f"p{i % 3}", datetime(2024, 3, 1) + timedelta(seconds=i), i, i % 4 > 0) for i in range(60)]
     state = health.current_health(spark.createDataFrame(rows, "provider string, check_ts timestamp, seq bigint, healthy boolean"))
     resolved = spark.createDataFrame([(f"p{i % 4}", True) for i in range(8)], "provider string, fallback_allowed boolean")
-    providers = spark.createDataFrame([(f"p{i}", True) for i in range(3)], "name string, enabled boolean")
+    providers = spark.createDataFrame([(i, f"p{i}", True) for i in range(3)], "ord int, name string, enabled boolean")
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
