@@ -60,14 +60,14 @@ class _InTimeOrder(StatefulProcessor):
         else:
             self.pending.clear()
         if ready:
-            yield self.decided(key[0], sorted(ready, key=lambda r: (int(r[0]), r[1])))
+            yield self.decided(key[0], sorted(ready, key=lambda r: (int(r[0]), r[1])), passed)
         self.forget(passed)
 
     @classmethod
     def columns(cls) -> list[str]:
         return [part.split()[0] for part in cls.ROW.split(", ")]
 
-    def decided(self, key: str, ready: list[tuple]) -> pd.DataFrame:
+    def decided(self, key: str, ready: list[tuple], passed: int) -> pd.DataFrame:
         raise NotImplementedError
 
     def forget(self, passed: int) -> None:
@@ -89,7 +89,7 @@ class _Limiter(_InTimeOrder):
         super().init(handle)
         self.accepted = handle.getListState("accepted", "us bigint")
 
-    def decided(self, key: str, ready: list[tuple]) -> pd.DataFrame:
+    def decided(self, key: str, ready: list[tuple], passed: int) -> pd.DataFrame:
         accepted = [int(t[0]) for t in self.accepted.get()] if self.accepted.exists() else []
         out = []
         for us, request_id, rpm in ready:
@@ -134,7 +134,7 @@ class _Budget(_InTimeOrder):
         super().init(handle)
         self.by_tier = handle.getMapState("by_tier", "day bigint, tier string", "tokens bigint")
 
-    def decided(self, key: str, ready: list[tuple]) -> pd.DataFrame:
+    def decided(self, key: str, ready: list[tuple], passed: int) -> pd.DataFrame:
         used: dict[tuple[int, str], int] = {(int(k[0]), k[1]): int(v[0]) for k, v in self.by_tier.iterator()}
         totals: dict[int, int] = {}
         for (day, _), tokens in used.items():
@@ -149,10 +149,13 @@ class _Budget(_InTimeOrder):
                 used[slot] = used.get(slot, 0) + cost
                 totals[day] = before + cost
             out.append((key, request_id, int(us), day, tier, admitted, before, used.get(slot, 0)))
+        # Every call on state is a round trip, and later rows start at ``passed`` or after it.
         for (day, tier), tokens in used.items():
-            self.by_tier.updateValue((day, tier), (tokens,))
+            if day >= passed // DAY_US:
+                self.by_tier.updateValue((day, tier), (tokens,))
         for day in totals:
-            self.handle.registerTimer((day + 1) * DAY_US // 1000)
+            if day >= passed // DAY_US:
+                self.handle.registerTimer((day + 1) * DAY_US // 1000)
         return pd.DataFrame(
             out,
             columns=["key", "request_id", "start_us", "usage_day", "tier", "admitted", "used_before", "tier_tokens"],

@@ -6,13 +6,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from promptledger.operators import budget
+from promptledger.operators import budget, ordered
 from promptledger.operators.budget import replay_admissions
 from promptledger.operators.policy import enforce
 from promptledger.operators.ratelimit import RateLimits, demand, replay_limits
 from promptledger.plans.streams import collected, collected_in_waves, fed, out_of_order
 from promptledger.streaming.budgets import replay_budget_stream
-from promptledger.streaming.limits import budget_stream, limit_stream
+from promptledger.streaming.limits import _Budget, budget_stream, limit_stream
 
 START = datetime(2024, 3, 1)
 LIMITS = RateLimits(burst=3, per_minute=5, per_hour=20)
@@ -284,3 +284,44 @@ def test_dense_demand_is_linear(spark):
         spent.append(time.perf_counter() - begin)
         assert top[0] == n and abs(top[1] - n / 60) < n / 600
     assert spent[1] < 10 * max(spent[0], 1) and spent[1] < 40
+
+
+def test_a_wave_reads_its_own_folder(spark):
+    """Waves are written once; taking one in prunes all others, so feeding them takes time in proportion to the rows."""
+    df = spark.createDataFrame(make_requests(4), "key string, request_id string, start_ts timestamp")
+    *waves, closing = out_of_order(df, "start_ts", wave_rows=100)
+    assert len(waves) == 6 and closing.count() == 1
+    for k, wave in enumerate(waves):
+        plan = wave._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "(_wave#" in plan.split("PartitionFilters: [")[1].split("]")[0] and f"= {k})" in plan
+    assert sorted(r.request_id for wave in waves for r in wave.collect()) == sorted(r.request_id for r in df.collect())
+
+
+def test_budget_state_is_written_for_days_that_later_rows_see():
+    """Every call on state is a round trip to the JVM, so days that are over are neither stored nor given a timer."""
+
+    class Days(dict):
+        iterator = dict.items
+        removeKey = dict.pop
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    day = 86_400_000_000
+    state = _Budget(300)
+    state.by_tier, timers = Days(), []
+    state.handle = type("Handle", (), {"registerTimer": lambda self, ms: timers.append(ms)})()
+    out = state.decided("k", [(d * day + i, f"r{d}-{i}", "t", 200, 0) for d in range(5) for i in range(3)], 4 * day + 10)
+    assert out["used_before"].tolist() == [0, 200, 400] * 5 and out["admitted"].tolist() == [True, True, False] * 5
+    assert dict(state.by_tier) == {(4, "t"): (400,)} and timers == [5 * day // 1000]
+
+
+@pytest.mark.parametrize("together", [100_000, 3])
+def test_replay_looks_for_dense_buckets_once(spark, monkeypatch, together):
+    """Passes that cut dense buckets run only where there are any; both ways give the same decisions."""
+    flags, running = [], budget.running
+    monkeypatch.setattr(ordered, "ROWS_TOGETHER", together)
+    monkeypatch.setattr(budget, "running", lambda *a, **k: flags.append(k["dense"]) or running(*a, **k))
+    rows = make_budget(13, 120)
+    got = {r.request_id: r.budget_type for r in replay_admissions(spark.createDataFrame(rows, BUDGET_SCHEMA), 9_000).collect()}
+    assert got == simulate_budget(rows, 9_000) and set(flags) == {together == 3}
