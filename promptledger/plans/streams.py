@@ -49,17 +49,25 @@ def table_stream(spark, rows, name):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-#: Rows of a wave on average.
-WAVE_ROWS = 250_000
+#: Rows of a wave on average. It decides how many micro-batches there are, never a result.
+WAVE_ROWS = 1_500_000
+#: Where no key's rows are held together, a micro-batch can be larger.
+SPREAD_WAVE_ROWS = 6_000_000
 
 
-def out_of_order(rows, time, late="9 minutes"):
-    """A table in waves, four at least and more with more rows; rows near a wave's end come up to ``late`` too late, a last row closes."""
+def out_of_order(rows, time, late="9 minutes", wave_rows=WAVE_ROWS):
+    """A table in waves, four at least and more with more rows; rows near a wave's end come up to ``late`` too late, a last row closes.
+
+    The waves are written once, each to a folder of its own, so that taking one in reads no other.
+    """
     seen = F.unix_micros(time) + F.pmod(F.xxhash64("request_id"), F.lit(1000)) * F.expr(f"unix_micros(timestamp '1970-01-01' + interval {late})") / 1000
     count, first, last = rows.agg(F.count(F.lit(1)), F.min(seen), F.max(seen)).first()
-    waves = max(4, -(-count // WAVE_ROWS))
-    part = F.floor((seen - F.lit(first)) / F.lit(last - first + 1) * waves)
-    return [*(rows.filter(part == k) for k in range(waves)), closing_row(rows, time)]
+    waves = max(4, -(-count // wave_rows))
+    part = F.floor((seen - F.lit(first)) / F.lit(last - first + 1) * waves).cast("int")
+    path = scratch_path(rows.sparkSession, "waves")
+    rows.withColumn("_wave", part).filter("_wave is not null").hint("rebalance", "_wave").write.partitionBy("_wave").parquet(path)
+    staged = rows.sparkSession.read.schema(f"{rows.schema.toDDL()}, _wave int").parquet(path)
+    return [*(staged.filter(F.col("_wave") == k).drop("_wave") for k in range(waves)), closing_row(rows, time)]
 
 
 def fed(spark, waves, name, started):
@@ -176,7 +184,7 @@ def g5(spark, sf):
 @query("g5_stream_tier_caps", ORACLES["e4_budget_replay"])
 def g5_tiers(spark, sf):
     """The batch replay's decisions, tier caps included, from a stream whose rows come out of order."""
-    waves = out_of_order(budget_requests(spark, sf), "start_ts")
+    waves = out_of_order(budget_requests(spark, sf), "start_ts", wave_rows=SPREAD_WAVE_ROWS)
     path = fed(spark, waves, "tier-caps", lambda stream, path: replay_budget_stream(stream, path, DAILY_LIMIT))
     return spark.read.parquet(f"{path}/decisions").drop("batch_id")
 
