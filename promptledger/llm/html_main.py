@@ -412,7 +412,9 @@ def templates(pages: DataFrame) -> DataFrame:
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ROWS, strict=True)], schema=_ROWS)
 
-    rows = stored(_with_host(pages.filter("html is not null")).select("__host", "__page", "html").mapInArrow(tokens, _ROWS_SQL).dropDuplicates(["host", "page", "token"]), "page-tokens")
+    once = _with_host(pages.filter("html is not null")).select("__host", "__page", "html").mapInArrow(tokens, _ROWS_SQL).dropDuplicates(["host", "page", "token"])
+    # Side by side, the rows of a token repeat all but their page and place, so the files are smaller.
+    rows = stored(once.sortWithinPartitions("host", "token"), "page-tokens")
     vectors = stored(rows.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"),
         F.bool_or("article").alias("article"), F.first("text_token").alias("text_token"), F.first("within").alias("within")

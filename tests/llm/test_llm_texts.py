@@ -501,3 +501,11 @@ def test_long_and_short_prefixes_give_the_same_classes(spark, monkeypatch):
     for most in (0, 8):
         monkeypatch.setattr(jaccard, "CARRIED", most)
         assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
+
+
+def test_page_tokens_are_stored_side_by_side(spark, monkeypatch):
+    """Rows of a token are neighbours in the stored files, which makes these smaller."""
+    plans, stored = {}, html_main.stored
+    monkeypatch.setattr(html_main, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and stored(df, name))
+    html_main.extract(spark.createDataFrame([(1, "https://a.example/1", "<p>one</p>"), (2, "https://a.example/2", "<p>two</p>")], "page_id long, url string, html string")).collect()
+    assert re.match(r"Sort \[host#\d+ ASC NULLS FIRST, token#\d+L ASC NULLS FIRST\], false", plans["page-tokens"])
