@@ -3,10 +3,11 @@
 Two texts link when ``intersection * denominator >= union * numerator``. The result is one row per document with its class,
 the documents reachable by links; no link between different texts is lost and no group of copies is expanded into pairs.
 
-1. *Shared shingles.* Every shingle of every text goes once, as 32 bits in one of many ranges of its hash, to the task that
-   owns the range; it keeps those seen at least twice as one stretch of a Bloom filter of fixed size.
+1. *Shared shingles.* Every shingle of a chunk of texts goes once, as 32 bits in one of many ranges of its hash, to the task that
+   owns the range. Back come the texts of the chunk whose shingles other chunks hold too, so each text counts its shared ones.
 2. *Possible sets.* A text links with another only if so many of its shingles are shared. All others are alone. Of the rest,
-   equal sets become one row (copies are joined again at the end), with their shared shingles.
+   equal sets become one row (copies are joined again at the end), with their shingles. The row that carries them is known to
+   all tasks by 32 bits of a hash of set and id; where copies have equal ids, or hashes meet, more than one does.
 3. *Prefixes.* Shingles are ordered by document frequency among these sets. Two sets that link have a common shingle among the
    first ``n - ceil(t * n) + 1`` of each; those in one set only come first and can't be common, so they are only counted.
 4. *Groups.* Sets of one size with one prefix are one group. Groups meet by prefix shingle and are filtered by the bound that
@@ -16,7 +17,7 @@ the documents reachable by links; no link between different texts is lost and no
    of its prefix. Then all pairs of groups whose members are still in different classes are expanded and verified.
 
 Cases: null texts, empty ones and those without words have the size 0 and link with nothing; very long texts are whole, and what is
-stored for them is in proportion to their words; rows that repeat a text are one class; a class with known ids has the smallest as its
+stored for them is in proportion to their words; however many shingles are shared, none is held by the driver; rows that repeat a text are one class; a class with known ids has the smallest as its
 id, one of null ids only has null; ties in the order of shingles are broken by hash and change no result; an empty table gives no
 rows; other columns are not read. Shingles and sets are 64-bit hashes.
 """
@@ -33,101 +34,156 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from promptledger.llm.common import stored
+from promptledger.llm.common import dropping_shuffles, stored
 from promptledger.llm.components import components
 from promptledger.llm.shingles import WordHasher, mix, shingle_sets
 
 #: Shingles in a range on average; decides the number of ranges only.
 RANGE_SIZE = 1 << 21
-#: Bits of the Bloom filter (8 MB), whatever the size of the input. A full filter lets more sets through; none is lost.
-BLOOM_BITS = 26
 BYTES_PER_WORD = 4
 #: Groups that a member without class meets before all others; it decides the order of the work only.
 PROBES = 16
 #: Prefixes up to this length are carried by their shingles; it bounds what is stored for a shingle, never a result.
 CARRIED = 2048
-#: Texts whose shingles are held at once.
-ROWS_TOGETHER = 2048
+#: Texts of a chunk, and shingles after which it ends; a longer text is a chunk of its own.
+ROWS_TOGETHER, TOKENS_TOGETHER = 2048, 1 << 20
+#: Parts by which chunks' lists of sets are dealt.
+LISTS = 4096
 
 
-def _bloom_places(low: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Two places in a stretch of ``2 ** bits`` for each 32-bit number."""
-    for factor in (np.uint64(0x9E3779B1), np.uint64(0x85EBCA77)):
-        x = low * factor & np.uint64(0xFFFFFFFF)
-        x = (x ^ (x >> np.uint64(15))) * factor & np.uint64(0xFFFFFFFF)
-        yield (x >> np.uint64(32 - bits)).astype(np.int64)
+def _chunks(texts: pa.Array, size: int, hasher: WordHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What ``shingle_sets`` gives, for stretches put together."""
+    for start in range(0, len(texts), ROWS_TOGETHER):
+        found, held, begin, end = [], 0, start, start
+        for row, rows, owner, tokens in shingle_sets(texts.slice(start, ROWS_TOGETHER), size, hasher):
+            if held and held + len(tokens) > TOKENS_TOGETHER:
+                yield begin, end - begin, *map(np.concatenate, zip(*found, strict=True))
+                found, held, begin = [], 0, start + row
+            found.append((owner + (start + row - begin), tokens))
+            held, end = held + len(tokens), start + row + rows
+        yield begin, end - begin, *map(np.concatenate, zip(*found, strict=True))
 
 
-def _parts(tokens: np.ndarray, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Range of a shingle, and the 32 bits below."""
-    return (tokens >> np.uint64(64 - range_bits)).astype(np.int64), tokens >> np.uint64(32 - range_bits) & np.uint64(0xFFFFFFFF)
+def _set_ids(rows: int, owner: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of shingles of each row, and a hash of their set."""
+    n, sums = np.bincount(owner, minlength=rows), np.zeros(rows, np.uint64)
+    if len(tokens):
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        sums[owner[first]] = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), first)
+    return n, mix(sums + n.astype(np.uint64))
 
 
-def shared_filter(docs: DataFrame, size: int, range_bits: int) -> np.ndarray:
-    """Bloom filter (a byte of eight places each) of all shingles that occur in at least two texts."""
-    stretch = BLOOM_BITS - range_bits
+def _seen_again(values: np.ndarray) -> np.ndarray:
+    """Which of the 32-bit numbers occur more than once."""
+    keys = np.sort(values.astype(np.uint64) << np.uint64(32) | np.arange(len(values), dtype=np.uint64))
+    equal = keys[1:] >> np.uint64(32) == keys[:-1] >> np.uint64(32)
+    again = np.zeros(len(values), bool)
+    again[(keys & np.uint64(0xFFFFFFFF))[np.r_[False, equal] | np.r_[equal, False]].astype(np.int64)] = True
+    return again
+
+
+def _packed(owners: np.ndarray) -> bytes:
+    """Ascending numbers below 65,536 as steps: all low bytes, then all high ones, which are nearly always 0."""
+    return np.diff(owners, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    low, high = np.frombuffer(blob, np.uint8).reshape(2, -1).astype(np.int64)
+    return np.cumsum(low | high << 8)
+
+
+def _marks(sid: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """32 bits for the rows of one set and id."""
+    return (mix(sid ^ mix(key.view(np.uint64))) >> np.uint64(32)).astype(np.uint32)
+
+
+def possible_sets(docs: DataFrame, size: int, numerator: int, denominator: int, range_bits: int) -> np.ndarray:
+    """Marks, in order, of a row (key, text) of each set so many of whose shingles occur in other texts that it may have a partner."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for part in (batch.slice(start, ROWS_TOGETHER) for batch in batches for start in range(0, batch.num_rows, ROWS_TOGETHER)):
-            found = [tokens for *_, tokens in shingle_sets(part.column(0), size, hasher)]
-            tokens = np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
-            if not len(tokens):
-                continue
-            third = np.r_[False, False, tokens[2:] == tokens[:-2]][: len(tokens)]
-            of, low = _parts(tokens[~third], range_bits)
-            low = low.astype(np.uint32)
-            names, start = np.unique(of, return_index=True)
-            blobs = [low[a:b].tobytes() for a, b in zip(start, [*start[1:], len(low)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "low"])
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.sort(np.frombuffer(b"".join(pdf["low"]), np.uint32))
-        low = low[1:][low[1:] == low[:-1]].astype(np.uint64)
-        places = np.zeros(1 << stretch, bool)
-        for at in _bloom_places(low, stretch):
-            places[at] = True
-        return pd.DataFrame({"range": pdf["range"].iloc[:1], "bits": [np.packbits(places).tobytes()]})
-
-    rows = docs.mapInArrow(deal, "range int, low binary").groupBy("range").applyInPandas(keep, "range int, bits binary").collect()
-    bloom = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
-    for r in rows:
-        width = 1 << (stretch - 3)
-        bloom[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return bloom
-
-
-def _sets(docs: DataFrame, size: int, numerator: int, denominator: int, bloom: np.ndarray, range_bits: int) -> DataFrame:
-    """``doc_id``, ``n``, ``sid`` of every text; with ``tokens``, its shared shingles, where it may have a partner."""
-    shared, stretch = docs.sparkSession.sparkContext.broadcast(bloom), BLOOM_BITS - range_bits
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            for row, rows, owner, tokens in _chunks(batch.column("text"), size, hasher):
+                if not len(tokens):
+                    continue
+                n, sid = _set_ids(rows, owner, tokens)
+                key = keys[row : row + rows]
+                chunk = int(np.bitwise_xor.reduce(mix(mix(sid ^ mix(key.view(np.uint64))) + np.arange(rows, dtype=np.uint64))).astype(np.int64))
+                order = np.argsort(tokens, kind="stable")
+                equal = tokens[order][1:] == tokens[order][:-1]
+                # What the chunk itself holds twice is shared: it is told once, and the rest is asked for.
+                alone, told = np.ones(len(tokens), bool), order[np.r_[False, equal] & ~np.r_[equal, False]]
+                alone[order[np.r_[False, equal] | np.r_[equal, False]]] = False
+                hits = np.bincount(owner[~alone], minlength=rows)
+                sent, whose = np.r_[tokens[alone], tokens[told]], np.r_[owner[alone], np.full(len(told), rows)]
+                of = (sent >> np.uint64(64 - range_bits)).astype(np.int32)
+                low = (sent >> np.uint64(32 - range_bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                by = np.argsort(of, kind="stable")
+                of, low, whose = of[by], low[by], whose[by]
+                names, start = np.unique(of, return_index=True)
+                lists = [(low[a:b].tobytes(), _packed(whose[a:b])) for a, b in zip(start, [*start[1:], len(of)], strict=True)]
+                lows, owners = zip((sid.tobytes(), np.r_[n, hits, key].tobytes()), *lists, strict=True)
+                part = pa.array(np.r_[-1 - chunk % LISTS, names].astype(np.int32))
+                chunks, width = pa.array(np.full(len(part), chunk)), pa.array(np.full(len(part), rows, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part, chunks, width, pa.array(lows, pa.binary()), pa.array(owners, pa.binary())], ["part", "chunk", "rows", "low", "owner"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].iloc[0] < 0:
+            return pdf[["chunk", "rows", "low", "owner"]]
+        again, at, hits = _seen_again(np.frombuffer(b"".join(pdf["low"]), np.uint32)), 0, []
+        for rows, blob in zip(pdf["rows"], pdf["owner"], strict=True):
+            owners = _unpacked(blob)
+            hits.append(_packed(owners[again[at : at + len(owners)] & (owners < rows)]))
+            at += len(owners)
+        return pd.DataFrame({"chunk": pdf["chunk"], "rows": pdf["rows"], "low": None, "owner": hits})
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_list = pdf["low"].notna()
+        one = pdf[is_list].iloc[0]
+        n, hits, key = np.frombuffer(one["owner"], np.int64).reshape(3, -1)
+        for blob in pdf["owner"][~is_list]:
+            hits = hits + np.bincount(_unpacked(blob), minlength=one["rows"])
+        found = (n > 0) & (hits * denominator >= n * numerator)
+        return pd.DataFrame({"sid": np.frombuffer(one["low"], np.int64)[found], "key": key[found]})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = _marks(batch.column("sid").to_numpy().view(np.uint64), batch.column("key").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary())], ["marks"])
+
+    answers = docs.mapInArrow(deal, "part int, chunk long, rows int, low binary, owner binary").groupBy("part").applyInPandas(
+        answer, "chunk long, rows int, low binary, owner binary")
+    found = answers.groupBy("chunk").applyInPandas(count, "sid long, key long").groupBy("sid").agg(F.min("key").alias("key"))
+    return np.unique(np.frombuffer(b"".join(r["marks"] for r in found.mapInArrow(pack, "marks binary").collect()), np.uint32))
+
+
+def _sets(docs: DataFrame, size: int, marks: np.ndarray) -> DataFrame:
+    """``doc_id``, ``n``, ``sid`` of every row (doc_id, key, text); with ``tokens``, its shingles, where it is marked."""
+    possible = docs.sparkSession.sparkContext.broadcast(marks)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = WordHasher(), shared.value
+        hasher = WordHasher()
         for batch in batches:
             known: set[int] = set()
             for row, rows, owner, tokens in shingle_sets(batch.column("text"), size, hasher):
-                of, low = _parts(tokens, range_bits)
-                hit = np.ones(len(tokens), bool)
-                for at in _bloom_places(low, stretch):
-                    at += of << stretch
-                    hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                n, kept = np.bincount(owner, minlength=rows), np.bincount(owner[hit], minlength=rows)
-                sums = np.zeros(rows, np.uint64)
-                np.add.at(sums, owner, mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))
-                sid = mix(sums + n.astype(np.uint64)).view(np.int64)
+                n, sid = _set_ids(rows, owner, tokens)
                 # Equal sets of one batch carry their shingles once.
-                sent = (n > 0) & (kept * denominator >= n * numerator)
+                own = _marks(sid, batch.column("key").to_numpy()[row : row + rows])
+                place = np.minimum(np.searchsorted(possible.value, own), max(len(possible.value) - 1, 0))
+                sent = (n > 0) & (possible.value[place] == own) if len(possible.value) else np.zeros(rows, bool)
                 for i in np.flatnonzero(sent):
                     sent[i] = (s := int(sid[i])) not in known
                     known.add(s)
-                values = tokens[hit & sent[owner]].view(np.int64)
-                ends = np.cumsum(np.r_[0, np.where(sent, kept, 0)]).astype(np.int32)
+                values = tokens[sent[owner]].view(np.int64)
+                ends = np.cumsum(np.r_[0, np.where(sent, n, 0)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(~sent))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, rows), pa.array(n.astype(np.int64)), pa.array(sid), lists], ["doc_id", "n", "sid", "tokens"])
+                    [batch.column("doc_id").slice(row, rows), pa.array(n.astype(np.int64)), pa.array(sid.view(np.int64)), lists], ["doc_id", "n", "sid", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n long, sid long, tokens array<long>")
+    return docs.mapInArrow(sets, f"doc_id {kind}, n long, sid long, tokens array<long>")
 
 
 def _needed(n_a: str, n_b: str, numerator: int, denominator: int) -> Column:
@@ -233,17 +289,18 @@ def _open_pairs(postings: DataFrame, groups: DataFrame, classed: DataFrame, fits
 
 def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (doc_id, text); by default five words and 0.8."""
-    texts = docs.select("doc_id", "text")
-    volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    range_bits = min(20, max(4, (volume // BYTES_PER_WORD // RANGE_SIZE).bit_length()))
-    bloom = shared_filter(texts.select("text"), size, range_bits)
-    rows = stored(_sets(texts, size, numerator, denominator, bloom, range_bits), "shingle-sets")
-    sets = stored(
-        rows.filter("tokens is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct-sets")
-    linked = links(sets, numerator, denominator)
-    firsts = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    classes = stored(
-        firsts.join(linked, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("component", "sid").alias("class")), "classes")
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
+    with dropping_shuffles(docs.sparkSession):
+        volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        range_bits = min(20, max(4, (volume // BYTES_PER_WORD // RANGE_SIZE).bit_length()))
+        marks = possible_sets(texts.select("key", "text"), size, numerator, denominator, range_bits)
+        rows = stored(_sets(texts, size, marks), "shingle-sets")
+        sets = stored(
+            rows.filter("tokens is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "distinct-sets")
+        linked = links(sets, numerator, denominator)
+        firsts = rows.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
+        classes = stored(
+            firsts.join(linked, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("component", "sid").alias("class")), "classes")
     least = classes.groupBy("class").agg(F.min("first").alias("component_id"))
     named = classes.join(least, "class").select("sid", "component_id")
     return (

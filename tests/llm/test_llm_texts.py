@@ -5,6 +5,7 @@ import random
 import re
 import time
 import tracemalloc
+from pathlib import Path
 
 import pytest
 from helpers import DOCS, LONG, awkward_docs, empty_docs, sentence
@@ -509,3 +510,56 @@ def test_page_tokens_are_stored_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(html_main, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and stored(df, name))
     html_main.extract(spark.createDataFrame([(1, "https://a.example/1", "<p>one</p>"), (2, "https://a.example/2", "<p>two</p>")], "page_id long, url string, html string")).collect()
     assert re.match(r"Sort \[host#\d+ ASC NULLS FIRST, token#\d+L ASC NULLS FIRST\], false", plans["page-tokens"])
+
+
+def test_only_sets_with_enough_shared_shingles_are_stored_and_copies_once(spark, monkeypatch):
+    """However full a filter of small size would be; exact copies in other batches carry no shingles again."""
+    rng = random.Random(14)
+    pool = [f"w{i}" for i in range(10**6)]
+    alone = [" ".join(rng.choices(pool, k=300)) for _ in range(60)]
+    near = [rng.choices(pool, k=300) for _ in range(40)]
+    near = [" ".join(w[:at] + ["new"] + w[at + 1 :]) for w in near for at in (150, 151)]
+    texts = alone + near + alone[:20] * 3 + [None, "", "a b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(6)
+    monkeypatch.setattr(jaccard, "BLOOM_BITS", 12, raising=False)
+    held, stored = {}, jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: held.setdefault(name, stored(df, name)))
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
+    first = {t: i for i, t in reversed([*enumerate(texts)])}
+    assert out == {i: (0 if not t else 1 if t == "a b" else 296, i if not t else first[t] // 2 * 2 if 60 <= i < 140 else first[t]) for i, t in enumerate(texts)}
+    carried = held["shingle-sets"].filter("tokens is not null").agg(F.count("*"), F.countDistinct("sid"), F.sum(F.size("tokens")) - F.sum("n")).first()
+    assert tuple(carried) == (100, 100, 0)
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark):
+    """Only the shuffles of the returned rows may stay, which were not run yet."""
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    jaccard.near_duplicates(spark.createDataFrame([(i, f"one two three four five six seven eight nine ten {i % 3}", "en", "s", 0) for i in range(30)], DOCS))
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+
+
+def test_chunks_hold_what_their_texts_hold(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from promptledger.llm import shingles
+
+    rng = random.Random(15)
+    texts = pa.array([" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 1, 3, 40, 400]))) or None for _ in range(300)])
+    whole = [(r + o, t) for r, _, own, tok in shingles.shingle_sets(texts, 4, shingles.WordHasher()) for o, t in zip(own.tolist(), tok.tolist(), strict=True)]
+    monkeypatch.setattr(shingles, "PIECE", 500)
+    monkeypatch.setattr(jaccard, "ROWS_TOGETHER", 100)
+    monkeypatch.setattr(jaccard, "TOKENS_TOGETHER", 3000)
+    chunks = [*jaccard._chunks(texts, 4, shingles.WordHasher())]
+    assert [(r + o, t) for r, _, own, tok in chunks for o, t in zip(own.tolist(), tok.tolist(), strict=True)] == whole
+    assert [c[0] for c in chunks] == [0, *np.cumsum([c[1] for c in chunks])[:-1]] and sum(c[1] for c in chunks) == 300
+    assert len(chunks) > 6 and max(len(c[3]) for c in chunks) <= 3000
+    for owners in ([], [0], [0, 0, 3, 70, 300, 300, 2048], [40_000, 65_535]):
+        assert jaccard._unpacked(jaccard._packed(np.array(owners, np.int64))).tolist() == owners
